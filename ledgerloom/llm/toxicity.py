@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import raw_bytes, slices
+
 SAMPLE = 4000
 THRESHOLD = 0.3
 SYMBOLS = 64
@@ -34,18 +37,22 @@ SYMBOLS = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 #: A masking star may stand for any of these.
 ANY = "abcdefghijklmnopqrstuvwxyz"
-SUBSTITUTE, STAR, SHORTEN, JOIN = 1.0, 3.0, 0.5, 0.5
+SUBSTITUTE, STAR, SHORTEN, JOIN, APART, KEEP = 1.0, 3.0, 0.5, 0.0, 1.5, 2.5
 
 _LEET = re.escape("".join(LEET) + "*")
 _EDGES = "%&#$*!|.,;:?+"
-_APART = r" .\-_*·/"
-#: Both patterns read a text in linear time: what they repeat never overlaps.
-SUSPECT = re.compile(
-    rf"(?<!\S)[^\W_](?:[{_APART}]{{1,2}}[^\W_]){{2,}}(?![^\W_])"
-    rf"|(?<![\w{_LEET}])[\w{_LEET}]*(?:[^\W\d_][{_LEET}]+[^\W\d_]|[0-9@$|+€£][^\W\d_])[\w{_LEET}]*"
-)
+_MARKS = r".\-_*·/"
+#: Each pattern reads a text in linear time: what it repeats never overlaps.
+DISGUISES = [
+    # single letters set apart by blanks or marks
+    re.compile(rf"(?<!\S)[^\W_](?:[ {_MARKS}]{{1,2}}[^\W_]){{2,}}(?![^\W_])"),
+    # pieces of up to three letters set apart by marks
+    re.compile(rf"(?<!\S)[^\W\d_]{{1,3}}(?:[{_MARKS}][^\W\d_]{{1,3}}){{2,}}(?![^\W_])"),
+    # letters mixed with characters that stand for letters
+    re.compile(rf"(?<![\w{_LEET}])[\w{_LEET}]*(?:[^\W\d_][{_LEET}]+[^\W\d_]|[0-9@$|+€£][^\W\d_])[\w{_LEET}]*"),
+]
 REPEATED, WORD = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE), re.compile(r"[^\W\d_]+")
-SPACED = re.compile(rf"[^\W_](?:[{_APART}]{{1,2}}[^\W_]){{2,}}")
+SPACED = re.compile(rf"[^\W_]{{1,3}}(?:[ {_MARKS}]{{1,2}}[^\W_]{{1,3}}){{2,}}")
 
 
 # -- the character model ----------------------------------------------------------------
@@ -118,13 +125,13 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         while run < len(stretch) and stretch[run].lower() == c:
             run += 1
         if spaced and c in " .-_*·/":
-            out.append([("", JOIN), (" ", 0.0)])
+            out.append([("", JOIN), (" ", APART)])
             run = at + 1 if run == at + 1 else run
         elif c.isalpha() and run - at >= 3:
             out.append([(c, SHORTEN), (c + c, SHORTEN), (c * (run - at), 0.0)])
         elif c in LEET:
             options = [(x * k, SUBSTITUTE) for x in LEET[c] for k in {1, min(run - at, 2)}]
-            out.append([*options, (stretch[at:run], 0.0)])
+            out.append([*options, (stretch[at:run], KEEP)])
         elif c == "*":
             out.append([*((x, STAR) for x in ANY), ("*", 0.0)] if run - at == 1 else [("", JOIN), (stretch[at:run], 0.0)])
         else:
@@ -157,14 +164,39 @@ def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     return "".join(reversed(pieces))
 
 
+ALL_HINTS = 0b1111
+_IS_LETTER, _IS_LEET, _IS_MARK, _IS_SPACE = (np.array([f(c) for c in range(256)]) for f in (lambda c: chr(c).isalpha() and c < 128 or c >= 128, lambda c: chr(c) in LEET and c < 128 or c == 42, lambda c: c in b".-_*/" or c in (0xC2, 0xB7), lambda c: c in b" \t\n\r"))
+
+
+def hints(texts: pa.Array) -> np.ndarray:
+    """For each text, which disguises it may hold (bit k: DISGUISES[k], bit 3: repetition); never too few of the last two."""
+    data, offsets = raw_bytes(texts)
+    n = len(data)
+    letter, leet, mark, space = (np.append(t[data], np.zeros(5, bool)) for t in (_IS_LETTER, _IS_LEET, _IS_MARK, _IS_SPACE))
+    apart, single = mark | space, letter | leet
+    ahead = lambda x, k: x[k : k + n]
+    lower = np.append(np.where((data > 64) & (data < 91), data + 32, data), np.zeros(5, np.uint8))
+    found = [
+        ahead(apart, 0) & ahead(single, 1) & ahead(apart, 2) & ((ahead(single, 3) & ahead(apart, 4)) | (ahead(apart, 3) & ahead(single, 4))),
+        ahead(letter, 0) & ahead(mark, 1) & (ahead(letter, 2) | ahead(mark, 2)),
+        (ahead(leet, 0) & ahead(letter, 1)) | (ahead(lower, 0) == 0xAC) & ahead(letter, 1),
+        (ahead(letter, 0) & (ahead(lower, 0) == ahead(lower, 1)) & (ahead(lower, 1) == ahead(lower, 2))) | ((ahead(lower, 0) >= 0xC3) & (ahead(lower, 0) == ahead(lower, 2)) & (ahead(lower, 2) == ahead(lower, 4))),
+    ]
+    bits = np.zeros(len(offsets) - 1, dtype=np.int64)
+    for k, (at, width) in enumerate(zip(found, (5, 3, 2, 3), strict=True)):
+        total = np.concatenate([[0], np.cumsum(at)])
+        last = np.maximum(offsets[:-1], offsets[1:] - width + 1)  # what begins before it ends in the same text
+        bits |= (total[last] > total[offsets[:-1]]).astype(np.int64) << k
+    return bits
+
+
 class Restorer:
     MEMO = 50_000
 
     def __init__(self, model: np.ndarray):
         self.model, self.memo = model, {}
 
-    def stretch(self, found: re.Match) -> str:
-        text = found[0]
+    def reading(self, text: str) -> str:
         if text not in self.memo:
             if len(self.memo) > self.MEMO:
                 self.memo.clear()
@@ -175,12 +207,29 @@ class Restorer:
             self.memo[text] = text[:head] + viterbi(lattice(core), self.model) + text[head + len(core) :] if core else text
         return self.memo[text]
 
-    def repeated(self, found: re.Match) -> str:
-        return self.stretch(found) if REPEATED.search(found[0]) else found[0]
-
-    def restore(self, text: str) -> str:
-        text = SUSPECT.sub(self.stretch, text)
-        return WORD.sub(self.repeated, text) if REPEATED.search(text) else text
+    def repeated(self, text: str) -> str:
+        """Words that hold a letter three times in a row, restored."""
+        out, at = [], 0
+        for found in REPEATED.finditer(text):
+            start, end = found.span()
+            if start < at:
+                continue
+            while start > at and text[start - 1].isalpha():
+                start -= 1
+            end = WORD.match(text, start).end()
+            out += [text[at:start], self.reading(text[start:end])]
+            at = end
+        return "".join([*out, text[at:]])
+
+    def restore(self, text: str, hints: int = ALL_HINTS) -> str:
+        for k, disguise in enumerate(DISGUISES):
+            if hints >> k & 1:
+                text = disguise.sub(lambda m: self.reading(m[0]), text)
+        return self.repeated(text) if hints >> 3 & 1 else text
+
+    def restore_all(self, texts: pa.Array) -> list[str]:
+        """Whole texts restored; null is empty."""
+        return [self.restore(t or "", h) if h else t or "" for t, h in zip(texts.to_pylist(), hints(texts).tolist(), strict=True)]
 
 
 # -- scoring ----------------------------------------------------------------------------
@@ -196,45 +245,56 @@ class Scorer:
 
     def __init__(self, bias: float, weights: tuple[dict[str, float], ...]):
         self.bias, self.weights = bias, weights
+        self.known = tuple(map(frozenset, weights))
 
     def score(self, text: str) -> float:
         total = self.bias
-        for found, weights in zip(features(text), self.weights, strict=True):
-            total += math.fsum(weights[x] for x in found if x in weights)
+        for found, known, weights in zip(features(text), self.known, self.weights, strict=True):
+            total += math.fsum(weights[x] for x in found & known)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
-def fit(texts: list[str], labels: list[int], share: float, least: int = 3, rounds: int = 150) -> Scorer:
-    """``share``: of label 1 among all labelled rows, as the sample is taken by class."""
-    seen: dict[tuple[int, str], list[int]] = {}
+def fit(texts: list[str], labels: list[int], share: float, sure: float = 2.0, rounds: int = 400) -> Scorer:
+    """``share``: of label 1 among all labelled rows, as the sample is taken by class.
+
+    A feature is used if its documents' log odds ratio stays above 0.5 at ``sure`` standard
+    errors below the estimate; weights are not negative, so what else a long text says
+    neither hides a toxic word nor adds up to one.
+    """
     distinct = sorted(dict.fromkeys(zip(texts, labels, strict=True)))
     y = np.array([label for _, label in distinct], dtype=float)
     if not len(y) or y.min() == y.max():
         return Scorer(-40.0, ({}, {}, {}))
-    for k, (text, _) in enumerate(distinct):
-        for kind, found in enumerate(features(text)):
-            for x in found:
-                seen.setdefault((kind, x), []).append(k)
-    names = sorted(n for n, rows in seen.items() if len(rows) >= min(least, max(2, len(y) // 100)))
-    sizes = np.array([len(seen[n]) for n in names])
-    rows = np.concatenate([seen[n] for n in names]) if names else np.zeros(0, int)
-    columns = np.repeat(np.arange(len(names)), sizes)
+    found = [features(text) for text, _ in distinct]
+    toxic_docs, clean_docs = Counter(), Counter()
+    for sets, label in zip(found, y, strict=True):
+        (toxic_docs if label else clean_docs).update((kind, x) for kind, of in enumerate(sets) for x in of)
+    n1, n0 = y.sum(), (1 - y).sum()
+
+    def surely(name: tuple[int, str]) -> bool:
+        a, b = toxic_docs[name] + 0.5, clean_docs[name] + 0.5
+        c, d = n1 - a + 1, n0 - b + 1
+        return math.log(a * d / (b * c)) - sure * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > 0.5
+
+    names = sorted(n for n in toxic_docs if toxic_docs[n] >= 3 and surely(n))
+    place = {n: k for k, n in enumerate(names)}
+    pairs = [(row, place[kind, x]) for row, sets in enumerate(found) for kind, of in enumerate(sets) for x in of if (kind, x) in place]
+    rows, columns = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
     w, b = np.zeros(len(names)), 0.0
     squares, b_square = np.full(len(names), 1e-6), 1e-6
-    pull = 1e-4
     for _ in range(rounds):
         z = b + np.bincount(rows, w[columns], len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-        slope = np.bincount(columns, error[rows], len(names)) + pull * w
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * np.where(y == 1, 0.5 / n1, 0.5 / n0)
+        slope = np.bincount(columns, error[rows], len(names)) + 1e-4 * w
         squares += slope**2
         b_square += error.sum() ** 2
-        w -= 0.3 * slope / np.sqrt(squares)
+        w = np.maximum(0, w - 0.3 * slope / np.sqrt(squares))
         b -= 0.3 * error.sum() / math.sqrt(b_square)
-    # the fit weighs both classes alike; the base rate comes back as a shift of the bias
-    b += math.log(max(share, 1e-6) / max(1 - share, 1e-6))
+    # the fit weighs both classes alike; half the way back to the base rate keeps rare words detectable
+    b += 0.5 * math.log(max(share, 1e-6) / max(1 - share, 1e-6))
     kinds: tuple[dict[str, float], ...] = ({}, {}, {})
     for (kind, x), weight in zip(names, w.tolist(), strict=True):
-        if abs(weight) > 1e-4:
+        if weight > 1e-4:
             kinds[kind][x] = weight
     return Scorer(b, kinds)
 
@@ -256,7 +316,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([restorer.restore(t or "") for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["text", "toxic"])
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(restorer.restore_all(part.column(0)), pa.string()), part.column(1)], names=["text", "toxic"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "text string, toxic int").toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), counts.get(1, 0) / max(1, sum(counts.values())))
@@ -267,7 +328,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     model = character_model(docs, text)
     scorer = train(docs, labels, model)
     sent = docs.sparkSession.sparkContext.broadcast((model, scorer))
-    chosen = docs.select(*keep, docs[text].alias("__text"))
+    chosen = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    place = chosen.columns.index(text)
     names = [*keep, "score"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in chosen.select(*keep).dtypes), "score double"])
 
@@ -275,8 +337,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
         model, scorer = sent.value
         restorer = Restorer(model)
         for batch in batches:
-            scores = [scorer.score(restorer.restore(t or "")) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=names)
+            for part in slices(batch, text):
+                scores = [scorer.score(restored) for restored in restorer.restore_all(part.column(place))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64())], names=names)
 
     scored = chosen.mapInArrow(run, schema)
     return scored.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
