@@ -44,21 +44,47 @@ from .words import slices
 FRAME_BYTES = 256 << 10
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 500_000
 
 
 # -- encoding ---------------------------------------------------------------------------
 
 
-class _Ids(dict):
-    """Encoded bytes by chunk."""
-
-    def learn(self, tokenizer, chunks: set[str], kind: str) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        unknown = [c for c in chunks if c not in self]
-        for chunk, found in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(found.ids, dtype=kind).tobytes()
+class _Ids:
+    """Encoded bytes by chunk, in two generations: what is still in use survives the older one."""
+
+    def __init__(self, tokenizer, kind: str, separator: tuple[str, int] | None):
+        self.tokenizer, self.kind, self.separator = tokenizer, kind, separator
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Puts all of the chunks into ``young``."""
+        if len(self.young) > MEMO_ENTRIES:
+            self.young, self.old = {}, self.young
+        unknown = []
+        for chunk in chunks - self.young.keys():
+            if (known := self.old.get(chunk)) is not None:
+                self.young[chunk] = known
+            else:
+                unknown.append(chunk)
+        if self.separator is None:
+            plain = unknown
+        else:
+            # many chunks a call, told apart by a special token, which stands for itself
+            mark, mark_id = self.separator
+            plain = [c for c in unknown if mark in c]
+            joined = [c for c in unknown if mark not in c]
+            groups = [joined[k : k + 200] for k in range(0, len(joined), 200)]
+            for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {mark} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype=self.kind)
+                raw, size, at = ids.tobytes(), ids.itemsize, 0
+                ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
+                for chunk, end in zip(group, ends, strict=True):
+                    self.young[chunk] = raw[at * size : end * size]
+                    at = end + 1
+        for chunk, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            self.young[chunk] = np.array(found.ids, dtype=self.kind).tobytes()
 
 
 class Encoder:
@@ -81,14 +107,15 @@ class Encoder:
         pattern = (first.get("pattern") or {}).get("Regex", " ")
         plain = not any(t[k] for t in config["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.by_chunk = plain and config["model"].get("end_of_word_suffix") == "</w>" and first.get("behavior") == "Removed" and first.get("invert") and not any(x in pattern for x in (" ", ".", r"\s*", r"\s+", r"\s|")) and not any(any(c.isspace() for c in t["content"]) for t in config["added_tokens"])
-        self.memo = _Ids()
+        special = next(((t["content"], t["id"]) for t in config["added_tokens"] if t["special"]), None)
+        self.memo = _Ids(self.tokenizer, self.kind, special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self.memo.learn(self.tokenizer, set().union(*cut), self.kind)
-        at = self.memo.__getitem__
+        self.memo.learn(set().union(*cut))
+        at = self.memo.young.__getitem__
         return [b"".join(map(at, chunks)) for chunks in cut]
 
 
