@@ -4,8 +4,8 @@ Pages of one host are merged: every element path of the site (tags with their fi
 collects over all its pages how often each *presentation* (sequence of child elements) and
 each *content* (text of the branch) occurs.  The entropy of either distribution, divided by
 the logarithm of the number of pages, is 0 where all pages agree and 1 where all differ; a
-branch's importance is their product, as template branches have either a fixed form or a
-fixed text.  Branches of low importance are removed from each page.
+branch's importance is their product (a leaf has content alone), as template branches have
+either a fixed form or a fixed text.  Branches of low importance are removed from each page.
 
 Entropy alone cannot settle every branch: a menu whose words differ on each page looks like
 an article, and a host with few pages has no statistics.  So elements that HTML itself (or
@@ -64,10 +64,11 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("block", "children", "keep", "path", "state", "tag", "text")
+    __slots__ = ("block", "children", "keep", "outer", "path", "state", "tag", "text")
 
     def __init__(self, tag: str, path: str, state: int, keep: bool, block: bool = True):
         self.tag, self.path, self.state, self.keep, self.block = tag, path, state, keep, block
+        self.outer: list[str] = []  # text of the surrounding block, while a marked inline part is open
         self.children: list[str] = []
         self.text: list[str] = []
 
@@ -118,6 +119,7 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
             outer = next(n for n in reversed(stack) if n.block)
             if node.text:
                 outer.text.append(xxhash.xxh64_hexdigest("\n".join(node.text)) if len(stack) > 1 else "")
+            held.extend(node.outer)
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -152,19 +154,21 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
                     pop()
         if tag in VOID:
             continue
-        top = stack[-1]
+        top, around = stack[-1], []
         if tag in INLINE:
             marked = top.state != REMOVED and _state(tag, m["attributes"], top.state)[0] != top.state
             if not marked:
                 stack.append(_Node(tag, top.path, top.state, top.keep, block=False))
                 opened[tag] += 1
                 continue
-            flush()  # a marked inline part is a block of its own
+            around = held[:]  # a marked inline part is a block of its own inside the other
+            held.clear()
         state, label = _state(tag, m["attributes"], top.state)
         path = f"{top.path}/{label}" if len(stack) <= MOST_DEPTH else top.path
         next(n for n in reversed(stack) if n.block).children.append(label)
         keep = state == KEPT or (top.keep and not (state == NEUTRAL and tag not in ("html", "body") and path in removed))
         stack.append(_Node(tag, path, state, keep))
+        stack[-1].outer = around
         opened[tag] += 1
     if at < len(page):
         held.append(page[at:])
@@ -193,7 +197,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 for node in parse(page or "")[1]:
                     if node.path:
                         where = (host, node.path, node.state == NEUTRAL)
-                        seen[*where, False, xxhash.xxh64_intdigest(" ".join(node.children)) >> 1] += 1
+                        if node.children:
+                            seen[*where, False, xxhash.xxh64_intdigest(" ".join(node.children)) >> 1] += 1
                         seen[*where, True, xxhash.xxh64_intdigest("\n".join(node.text)) >> 1] += 1
             columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "open", "is_content", "value", "n"])
@@ -205,7 +210,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     each = values.groupBy("host", "path", "open", "is_content").agg(n.alias("n"), entropy.alias("entropy"))
     share = F.when(F.col("n") > 1, F.col("entropy") / F.log("n")).otherwise(1.0)
     tree = each.groupBy("host", "path", "open").agg(F.max("n").alias("pages"), F.max(F.when(~F.col("is_content"), share)).alias("presentation"), F.max(F.when(F.col("is_content"), share)).alias("content"))
-    return tree.withColumn("importance", F.col("presentation") * F.col("content"))
+    return tree.withColumn("importance", F.coalesce("presentation", F.lit(1.0)) * F.col("content"))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
