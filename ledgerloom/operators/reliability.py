@@ -20,7 +20,7 @@ RECOVERY_ACTIONS = ("human_reobserve_then_start_new_run", "inspect_trace_then_st
 BUDGETS = ("model_turns", "tool_calls", "side_effects", "input_tokens")
 
 RUN_EXPORT = f"""
-fullcycle_run_export_version int, manifest_digest string, run_id string, data_class string, training_use string,
+manifest_digest string, run_id string, data_class string, training_use string,
 checkpoint struct<checkpoint_version:int, phase:string, policy_version:string, recovery_status:string, recovery_action:string, failure_code:string, event_count:long,
   budgets:struct<{", ".join(f"max_{b}:long, {b}_used:long" for b in BUDGETS)}>>,
 events array<struct<sequence:long, kind:string, tool:string, status:string, dispatch:string, code:string, decision:string>>"""
@@ -37,9 +37,13 @@ def some(array: Column, condition) -> Column:
     return F.coalesce(F.exists(array, lambda e: F.coalesce(condition(e), F.lit(False))), F.lit(False))
 
 
-def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version: int = 1, trace_version: int = 1) -> DataFrame:
-    """One record for each run export (JSON text in ``raw``): identities, features and labels."""
-    runs = exports.select(F.from_json(raw, RUN_EXPORT).alias("run"), digest(canonical_json(raw)).alias("run_export_digest"))
+def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version: int = 1, trace_version: int = 1, version_field: str = "run_export_version") -> DataFrame:
+    """One record for each run export (JSON text in ``raw``): identities, features and labels.
+
+    ``version_field``: the top-level key under which the exports state their own version.
+    """
+    version = F.get_json_object(raw, f"$.{version_field}").cast("int")
+    runs = exports.select(F.from_json(raw, RUN_EXPORT).alias("run"), version.alias("version"), digest(canonical_json(raw)).alias("run_export_digest"))
     point = F.col("run.checkpoint")
     outcomes = events_of("tool_result", "sequence", "tool", "status", "dispatch", "code")
     decisions, recoveries = events_of("policy_decision", "sequence", "decision"), events_of("recovery", "sequence", "status")
@@ -68,7 +72,7 @@ def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version:
         tags(failure=F.col("is_failure"), unknown_outcome=F.col("is_unknown_outcome"), policy_denial=F.col("policy_denied"), recovery_required=F.col("recovery_required"), budget_limit=F.col("budget_limit_hit"), tool_sequence_available=F.size(calls) > 0).alias("verifier_tags"),
     )
     source = F.struct(
-        F.lit(manifest_version).alias("manifest_version"), F.col("run.fullcycle_run_export_version").alias("run_export_version"), F.col("run.manifest_digest").alias("manifest_digest"), "run_export_digest",
+        F.lit(manifest_version).alias("manifest_version"), F.col("version").alias("run_export_version"), F.col("run.manifest_digest").alias("manifest_digest"), "run_export_digest",
         F.col("run.run_id").alias("run_id"), F.lit(trace_version).alias("trace_version"), point["checkpoint_version"].alias("checkpoint_version"), point["policy_version"].alias("policy_version"),
     )
     return made.select(digest(identity).alias("record_id"), source.alias("source"), F.col("run.data_class").alias("data_class"), F.col("run.training_use").alias("training_use"), features.alias("features"), labels.alias("labels"))

@@ -168,3 +168,32 @@ def run_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     runs = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 3).alias("before"), ((F.col("event_id") + 1) % 3).alias("after"))
     return discontinuities(runs, "user_id", "event_id", "before", "after").select("user_id", "event_id", "before", "previous_after")
+
+
+@query("""
+with r as (
+  select user_id, user_id % 4 as p, count(*) filter (event_type = 'click') as calls, count(*) filter (event_type = 'view') as observations,
+    coalesce(bool_or(event_type = 'purchase' and value > 90), false) as unknown, coalesce(bool_or(event_type = 'error' and value > 50), false) as denied from events group by user_id
+), l as (
+  select user_id, ['success', 'failure', 'unknown_outcome', 'in_progress'][p + 1] as outcome_class, p in (1, 2) as is_failure, p = 2 or unknown as is_unknown_outcome, denied as policy_denied, calls >= 15 as budget_limit_hit, calls, observations from r
+)
+select user_id::varchar as run_id, outcome_class, is_failure, is_unknown_outcome, policy_denied, budget_limit_hit, calls::bigint as calls, observations::bigint as observations,
+  list_filter([case when is_failure then 'failure' end, case when is_unknown_outcome then 'unknown_outcome' end, case when policy_denied then 'policy_denial' end, case when budget_limit_hit then 'budget_limit' end, case when calls > 0 then 'tool_sequence_available' end], lambda x: x is not null) as verifier_tags from l""")
+def reliability_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 end to end: run exports written as JSON from each user's events, then mapped to records."""
+    from ..operators.reliability import BUDGETS
+    from ..operators.reliability import reliability_records as records
+
+    kind, value = F.col("event_type"), F.col("value")
+    name = F.when(kind == "click", "tool_call").when(kind == "purchase", "tool_result").when(kind == "error", "policy_decision").when(kind == "signup", "recovery").otherwise("observation")
+    status = F.when(kind == "purchase", F.when(value > 90, "unknown_outcome").otherwise("ok")).when(kind == "signup", "ready")
+    event = F.struct("ts", "event_id", name.alias("kind"), kind.alias("tool"), status.alias("status"), F.when(kind == "purchase", "dispatched").alias("dispatch"), F.when(kind == "error", F.when(value > 50, "deny").otherwise("allow")).alias("decision"))
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(event)).alias("e"), F.count_if(kind == "click").alias("calls"))
+    events = F.transform("e", lambda x, i: F.struct((i + 1).cast("long").alias("sequence"), *(x[f].alias(f) for f in ("kind", "tool", "status", "dispatch", "decision"))))
+    budgets = F.struct(*(F.lit(15 if b == "tool_calls" else 0).alias(f"max_{b}") for b in BUDGETS), *((F.col("calls") if b == "tool_calls" else F.lit(0)).alias(f"{b}_used") for b in BUDGETS))
+    phase = F.element_at(F.array(*map(F.lit, ("SUCCESS", "FAILED", "UNKNOWN_OUTCOME", "RUNNING"))), (F.col("user_id") % 4 + 1).cast("int"))
+    point = F.struct(F.lit(1).alias("checkpoint_version"), phase.alias("phase"), F.lit("trace-v1").alias("policy_version"), F.lit("ready").alias("recovery_status"), F.lit("none").alias("recovery_action"), F.size("e").alias("event_count"), budgets.alias("budgets"))
+    export = F.to_json(F.struct(F.lit(1).alias("run_export_version"), F.lit("sha256:none").alias("manifest_digest"), F.col("user_id").cast("string").alias("run_id"), F.lit("redacted").alias("data_class"), F.lit("verifier").alias("training_use"), point.alias("checkpoint"), events.alias("events")))
+    found = records(runs.select(export.alias("raw")))
+    counts = F.col("features.event_kind_counts")
+    return found.select(F.col("source.run_id").alias("run_id"), "labels.outcome_class", "labels.is_failure", "labels.is_unknown_outcome", "labels.policy_denied", "labels.budget_limit_hit", F.size("features.tool_sequence").cast("long").alias("calls"), counts["observation"].alias("observations"), "labels.verifier_tags")

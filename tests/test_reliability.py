@@ -12,7 +12,7 @@ from ledgerloom.operators import documents, reliability
 def export(run_id="r", phase="FAILED", events=(), used=2, recovery="stopped", action="inspect_trace_then_start_new_run", **more):
     budgets = {f"max_{b}": 0 for b in reliability.BUDGETS} | {f"{b}_used": 0 for b in reliability.BUDGETS} | {"max_tool_calls": 2, "tool_calls_used": used}
     point = {"checkpoint_version": 1, "phase": phase, "policy_version": "trace-v1", "recovery_status": recovery, "recovery_action": action, "event_count": len(events), "budgets": budgets, **more}
-    return {"fullcycle_run_export_version": 1, "manifest_digest": "sha256:m", "run_id": run_id, "data_class": "d", "training_use": "t", "checkpoint": point, "events": [{"sequence": k + 1, **e} for k, e in enumerate(events)]}
+    return {"run_export_version": 1, "manifest_digest": "sha256:m", "run_id": run_id, "data_class": "d", "training_use": "t", "checkpoint": point, "events": [{"sequence": k + 1, **e} for k, e in enumerate(events)]}
 
 
 DENIED = [{"kind": "user_task"}, {"kind": "tool_call", "tool": "click"}, {"kind": "policy_decision", "decision": "deny"}, {"kind": "tool_result", "tool": "click", "status": "rejected", "dispatch": "not_dispatched", "code": "POLICY_DENIED"}, {"kind": "recovery", "status": "stopped"}]
