@@ -3,17 +3,21 @@
 Two collections of ``groups`` small hashes (``rows`` minimum hashes each) are computed
 per document; every pair of one hash from each side is a table key, so ``groups**2``
 tables cost ``2 * groups * rows`` minimum hashes instead of ``groups**2 * 2 * rows``.
-With 9 groups of 2, a pair of similarity 0.8 shares a key with probability 0.9998.
+With 14 groups of 4, a pair of similarity 0.8 shares a key with probability 0.9988, one of
+0.85 with 0.9999; keys of 8 minimum hashes keep documents apart that only share a passage.
 
 1. Documents with equal shingle sets fall into one class (a 128-bit digest of the set);
    only one of each class goes on, so groups of exact copies cost one row.
 2. Within a bucket nothing like all pairs is made.  The member with the most company is
    the pivot, and every other member is compared with it on full shingle sets.
-3. Linked members are contracted (connected components).  A bucket that still holds
-   several components gives twice as many pivots in the next round, compared only with
-   members of other components; pivots then leave the bucket.  The rounds end when no
-   bucket holds two components, so every pair that shares a key has been compared or
-   is already connected: no cap, and no link between different texts is dropped.
+3. Linked members are contracted (connected components).  Members of buckets that still
+   hold several components are joined exactly: with shingles in the order of their rarity,
+   two sets of that similarity share one of the first n - ceil(percent * n) + 1 of either.
+   The place of the first shared shingle bounds the intersection, so a text with many
+   shingles of its own meets few of a large family's members, and pairs are formed from the smaller component's side only.
+
+So every pair that shares a table key is compared, known to be too different, or already
+connected: no cap, and no link between different texts is dropped.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of fewer words
 than a shingle are one shingle.  A null doc_id is never linked and always kept.  Rows
@@ -26,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import stored
 from .words import SPACES, U64, mix, segment_sum, shingle_sets, slices, word_table
 
-GROUPS, ROWS = 9, 2
+GROUPS, ROWS = 14, 4
 #: Ids of documents to be compared are broadcast up to this many; beyond, a shuffle finds their texts.
 BROADCAST_IDS = 1_000_000
 
@@ -63,8 +67,8 @@ def signatures(docs: DataFrame, width: int, groups: int = GROUPS, rows: int = RO
 
 def compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b, linked: whether 100 * intersection >= percent * union of the full shingle sets."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "compared-ids")
-    n = ids.count()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    n = 2 * pairs.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sided = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
@@ -89,52 +93,91 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def contracted(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, label after the links are added to what is labelled already."""
+    if labels is None:
+        return components(links)
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    merged = components(links)
+    onward = merged.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    old = labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return stored(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
+def in_reach(a: str, b: str, percent: int) -> Column:
+    """Sets whose sizes differ by more can't reach the similarity."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def one_way(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs, each in one direction."""
+    both = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.struct("a", "b").alias("p"))
+    return both.groupBy("x", "y").agg(F.first("p").alias("p")).select("p.a", "p.b")
+
+
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components: node, label, crowd (of the component), minor (a larger component is in one of its buckets)."""
+    same = Window.partitionBy("key")
+    crowds = labels.groupBy("label").agg(F.count("*").alias("crowd"))
+    known = labels.join(crowds, "label")
+    labelled = members.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
+    ends = labelled.withColumns({"least": F.min("label").over(same), "most": F.max("label").over(same), "top": F.max(F.struct("crowd", "label")).over(same)}).where("least <> most")
+    return ends.groupBy("node", "label", "crowd").agg(F.bool_or(F.struct("crowd", "label") < F.col("top")).alias("minor"))
+
+
+def rarest_shingles(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The first shingles, by rarity among these nodes, that a set must share with any set of the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, first = shingle_sets(word_table(part.column(1), SPACES, lower=True), width)
+                n = np.diff(first)
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in (0, 2, 3, 4)), pa.array(np.repeat(n, n)), pa.array(h.view(np.int64))], names=["node", "label", "crowd", "minor", "size", "shingle"])
+
+    small = nodes.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(nodes) if small else nodes, "node").select("node", "text", "label", "crowd", "minor")
+    shingles = texts.mapInArrow(run, "node long, label long, crowd long, minor boolean, size long, shingle long")
+    rare = shingles.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
+    place = F.row_number().over(Window.partitionBy("node", "size").orderBy("df", "shingle"))
+    head = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("long") + 1
+    return rare.withColumn("place", place).where(F.col("place") <= head).select("node", "label", "crowd", "minor", "size", "shingle", "place")
+
+
+def sharing(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a rare shingle, from the smaller component's side."""
+    a = heads.where("minor").select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("crowd").alias("ca"), F.col("size").alias("na"), F.col("place").alias("pa"))
+    b = heads.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("crowd").alias("cb"), F.col("size").alias("nb"), F.col("place").alias("pb"))
+    smaller = (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("la") < F.col("lb")))
+    # what the first shared shingle and all later ones can add up to; true of the first of any pair that is similar
+    enough = (100 + percent) * (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) >= percent * (F.col("na") + F.col("nb"))
+    return a.join(b, "shingle").where(smaller & in_reach("na", "nb", percent) & enough).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     signed = stored(signatures(docs, width, groups, rows), "signatures")
-    classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("left").alias("left"), F.any_value("right").alias("right")), "classes")
+    classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("size"), F.any_value("left").alias("left"), F.any_value("right").alias("right")), "classes")
     keys = F.explode(F.flatten(F.transform("left", lambda a, i: F.transform("right", lambda b, j: F.xxhash64(a, b, i * groups + j)))))
     same = Window.partitionBy("key")
-    shared = classes.select("node", keys.alias("key")).withColumn("n", F.count("*").over(same)).where("n > 1")
+    shared = classes.select("node", "size", keys.alias("key")).withColumn("n", F.count("*").over(same)).where("n > 1")
     members = stored(shared, "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    members = members.drop("n").join(company, "node").withColumn("label", F.col("node"))
-    labels, tested, pivots = None, None, 1
-    while True:
-        # the order alternates: well-connected members first, then members of small components
-        order = [F.desc("company"), "node"] if pivots == 1 else [F.desc("crowd"), F.desc("company"), "node"] if pivots % 3 == 2 else ["crowd", F.desc("company"), "node"]
-        crowded = members.withColumn("crowd", F.count("*").over(Window.partitionBy("key", "label")))
-        ranked = crowded.withColumn("rank", F.row_number().over(same.orderBy(*order)))
-        ranked = stored(ranked.withColumn("pivots", F.collect_list(F.when(F.col("rank") <= pivots, F.struct("node", "label"))).over(same)), "ranked")
-        pairs = ranked.select(F.col("node").alias("a"), "label", F.explode("pivots").alias("pivot")).where("label <> pivot.label").select("a", F.col("pivot.node").alias("b")).distinct()
-        if tested is not None:
-            swapped = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(tested.select("a", "b").union(swapped), ["a", "b"], "left_anti")
-        # one orientation of each pair
-        pairs = stored(pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).groupBy("x", "y").agg(F.first(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
-        if pairs.limit(1).count():
-            found = stored(compare(docs, pairs, width, percent), "compared")
-            tested = found if tested is None else tested.unionByName(found)
-            links = found.where("linked").select("a", "b")
-            if labels is not None:
-                for side in ("a", "b"):
-                    links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
-            merged = components(links)
-            if labels is None:
-                labels = merged
-            else:
-                onward = merged.select(F.col("node").alias("label"), F.col("label").alias("next"))
-                old = labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-                labels = stored(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")), "labels")
-        rest = ranked.where(F.col("rank") > pivots).select("key", "node", "company")
-        if labels is not None:
-            rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            rest = rest.withColumn("label", F.col("node"))
-        members = stored(rest.withColumns({"least": F.min("label").over(same), "most": F.max("label").over(same)}).where("least <> most").drop("least", "most"), "open")
-        if members.limit(1).count() == 0:
-            break
-        pivots *= 2
+    ranked = members.join(company, "node").withColumn("pivot", F.max(F.struct("company", (-F.col("node")).alias("node"), "size")).over(same))
+    pivoted = ranked.select(F.col("node").alias("a"), "size", (-F.col("pivot.node")).alias("b"), F.col("pivot.size").alias("other")).where("a <> b").where(in_reach("size", "other", percent))
+    pairs = stored(one_way(pivoted), "pairs")
+    labels, found = None, None
+    if pairs.limit(1).count():
+        found = stored(compare(docs, pairs, width, percent), "compared")
+        labels = contracted(found.where("linked").select("a", "b"), None)
+        open_nodes = stored(still_open(members, labels), "open")
+        if open_nodes.limit(1).count():
+            heads = stored(rarest_shingles(docs, open_nodes, width, percent), "rarest-shingles")
+            more = stored(one_way(sharing(heads, percent)).join(found.select("a", "b"), ["a", "b"], "left_anti").join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+            if more.limit(1).count():
+                labels = contracted(stored(compare(docs, more, width, percent), "compared").where("linked").select("a", "b"), labels)
     known = classes.select("d1", "d2", "node")
     known = known.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id")) if labels is not None else known.withColumnRenamed("node", "component_id")
     found = signed.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2"], "left")
