@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -109,7 +110,7 @@ def digest_array(path: str) -> DigestArray:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns, host, path, rule (null if none fits) and verdict of every row; one pass, no shuffle."""
     context = pages.sparkSession.sparkContext
-    name = f"rules-{os.getpid()}-{id(rules)}-{xxhash.xxh64_hexdigest(repr(rules))}.digests"
+    name = f"rules-{uuid.uuid4().hex}.digests"  # a session takes each file name once
     local = os.path.join(tempfile.mkdtemp(), name)
     if write_digest_array(rules, local) > MOST_BYTES:
         raise ValueError("the rule list is too large to travel with the job")
