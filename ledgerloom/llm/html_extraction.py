@@ -1,17 +1,23 @@
 r"""Main text of web pages by a site style tree (operator 4).
 
 Pages of one host are merged: every element path of the site (tags with their first class)
-collects over all its pages how often each *presentation* (sequence of child elements) and
-each *content* (text of the branch) occurs.  The entropy of either distribution, divided by
-the logarithm of the number of pages, is 0 where all pages agree and 1 where all differ; a
-branch's importance is their product (a leaf has content alone), as template branches have
-either a fixed form or a fixed text.  Branches of low importance are removed from each page.
-
-Entropy alone cannot settle every branch: a menu whose words differ on each page looks like
-an article, and a host with few pages has no statistics.  So elements that HTML itself (or
-their class, id or role) marks as template parts are always removed, ``article`` and ``main``
-are always kept, and importance decides about all other branches, on hosts with at least
-``LEAST_PAGES`` pages.  A page with an ``article`` or ``main`` keeps only what is in them.
+collects over all its pages how often each *presentation* (the child elements at that path on
+a page) and each *content* (the text standing directly in it) occurs.  The importance of
+either is the probability that two different pages of the host disagree; unlike an entropy
+over the logarithm of the number of pages it doesn't fall as a host grows.  A path is as
+important as the most important of its presentation, its content and the paths below it, so
+a wrapper of fixed form is no noise as long as anything in it varies.
+
+Two things are removed from a page: text at paths of low importance, and single texts that
+stand exactly once at their path on nearly all pages that have it (a notice among paragraphs
+that vary).  Words that several elements of a page draw from a small vocabulary, as table
+cells do, are exactly once on at most half the pages if they are independent, so they stay.
+
+Marks are a prior.  A menu whose words differ on each page looks like an article, so elements
+that HTML itself (or their class, id or role) marks as template parts are always removed; a
+page with an ``article`` or ``main`` keeps only what is in them, and there the tree needs
+stronger evidence (``LEAST_IMPORTANCE`` by prior).  Paths on fewer than ``LEAST_PAGES`` pages
+aren't judged.  Copies of a page under one host count as one page.
 
 Merging is two aggregates with partial sums (no task sees a host's pages together).  The
 removed paths go to the pages by a join on host, broadcast up to ``BROADCAST_HOSTS`` hosts.
@@ -37,8 +43,9 @@ from .shared import stored
 from .url_filter import host_and_path
 
 LEAST_PAGES = 5
-LEAST_IMPORTANCE = 0.3
 BROADCAST_HOSTS = 20_000
+#: Digests of pages that occur more than once are broadcast up to this many; beyond, the join is shuffled.
+BROADCAST_COPIES = 1_000_000
 MOST_DEPTH = 24
 
 TOKEN = re.compile(
@@ -64,16 +71,22 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("block", "children", "keep", "outer", "path", "state", "tag", "text")
+    __slots__ = ("block", "children", "outer", "path", "state", "tag", "text")
 
-    def __init__(self, tag: str, path: str, state: int, keep: bool, block: bool = True):
-        self.tag, self.path, self.state, self.keep, self.block = tag, path, state, keep, block
+    def __init__(self, tag: str, path: str, state: int, block: bool = True):
+        self.tag, self.path, self.state, self.block = tag, path, state, block
         self.outer: list[str] = []  # text of the surrounding block, while a marked inline part is open
         self.children: list[str] = []
         self.text: list[str] = []
 
 
 NEUTRAL, KEPT, REMOVED = 0, 1, 2
+#: By prior: what is less important is removed.
+LEAST_IMPORTANCE = {NEUTRAL: 0.3, KEPT: 0.1}
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
 def _state(tag: str, attributes: str, parent: int) -> tuple[int, str]:
@@ -95,8 +108,11 @@ def _state(tag: str, attributes: str, parent: int) -> tuple[int, str]:
 
 
 def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[list[tuple[str, int]], list[_Node]]:
-    """Blocks (text, state) in page order, and the elements of the page's tree (blocks only)."""
-    root = _Node("", "", NEUTRAL, True)
+    """Blocks (text, state) in page order, and the elements of the page's tree (blocks only).
+
+    ``removed`` holds paths (their state before them) and single texts of paths (their digest after a blank).
+    """
+    root = _Node("", "", NEUTRAL)
     stack, nodes, blocks, held = [root], [], [], []
     opened: Counter = Counter()
 
@@ -107,7 +123,8 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
             held.clear()
             if text:
                 top.text.append(text)
-                blocks.append((text, top.state if top.keep else REMOVED))
+                gone = removed and (f"{top.state}{top.path}" in removed or f"{top.state}{top.path} {_digest(text)}" in removed)
+                blocks.append((text, REMOVED if gone else top.state))
 
     def pop() -> None:
         if stack[-1].block:
@@ -116,9 +133,6 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
         opened[node.tag] -= 1
         if node.block:
             nodes.append(node)
-            outer = next(n for n in reversed(stack) if n.block)
-            if node.text:
-                outer.text.append(xxhash.xxh64_hexdigest("\n".join(node.text)) if len(stack) > 1 else "")
             held.extend(node.outer)
 
     at = 0
@@ -158,7 +172,7 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
         if tag in INLINE:
             marked = top.state != REMOVED and _state(tag, m["attributes"], top.state)[0] != top.state
             if not marked:
-                stack.append(_Node(tag, top.path, top.state, top.keep, block=False))
+                stack.append(_Node(tag, top.path, top.state, block=False))
                 opened[tag] += 1
                 continue
             around = held[:]  # a marked inline part is a block of its own inside the other
@@ -166,8 +180,7 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
         state, label = _state(tag, m["attributes"], top.state)
         path = f"{top.path}/{label}" if len(stack) <= MOST_DEPTH else top.path
         next(n for n in reversed(stack) if n.block).children.append(label)
-        keep = state == KEPT or (top.keep and not (state == NEUTRAL and tag not in ("html", "body") and path in removed))
-        stack.append(_Node(tag, path, state, keep))
+        stack.append(_Node(tag, path, state))
         stack[-1].outer = around
         opened[tag] += 1
     if at < len(page):
@@ -179,47 +192,85 @@ def parse(page: str, removed: frozenset[str] | set[str] = frozenset()) -> tuple[
 
 
 def main_text(page: str, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    blocks, _ = parse(page, removed)
-    wanted = KEPT if any(state == KEPT for _, state in blocks) else NEUTRAL
-    kept = [text for text, state in blocks if state == wanted]
+    blocks, nodes = parse(page, removed)
+    kept = [text for text, state in blocks if state == KEPT]
+    if not kept and not any(n.state == KEPT and n.text for n in nodes):
+        kept = [text for text, state in blocks if state == NEUTRAL]
     if not kept and removed:  # the tree would leave nothing of this page
         return main_text(page)
     return "\n".join(kept)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """One row for each (host, path): pages, presentation, content, importance and whether HTML leaves it open."""
+PRESENTATION, CONTENT, SINGLE = 0, 1, 2
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    """host, path, state, kind, value, n: on how many different pages the path has the value."""
+    page = F.xxhash64("html")
+    copies = stored(pages.groupBy("host", page.alias("page")).agg(F.count("*").alias("copies")).where("copies > 1"), "page-copies")
+    small = copies.count() <= BROADCAST_COPIES
+    right = (F.broadcast(copies) if small else copies).withColumnRenamed("host", "__other")
+    weighed = pages.withColumn("__page", page).join(right, F.col("host").eqNullSafe(F.col("__other")) & (F.col("__page") == F.col("page")), "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen: dict = {}
+            for host, page, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                children, texts = {}, {}
                 for node in parse(page or "")[1]:
-                    if node.path:
-                        where = (host, node.path, node.state == NEUTRAL)
-                        if node.children:
-                            seen[*where, False, xxhash.xxh64_intdigest(" ".join(node.children)) >> 1] += 1
-                        seen[*where, True, xxhash.xxh64_intdigest("\n".join(node.text)) >> 1] += 1
+                    if node.path and node.state != REMOVED:
+                        children.setdefault((node.path, node.state), []).extend([*node.children, ""])
+                        texts.setdefault((node.path, node.state), []).extend(node.text)
+                weight = 1 / copies
+                for at, labels in children.items():
+                    values = [(PRESENTATION, _digest(" ".join(labels)))] if any(labels) else []
+                    values.append((CONTENT, _digest("\n".join(texts[at])) if texts[at] else 0))
+                    values += [(SINGLE, _digest(text)) for text, n in Counter(texts[at]).items() if n == 1]
+                    for value in values:
+                        key = (host, *at, *value)
+                        seen[key] = seen.get(key, 0.0) + weight
             columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "open", "is_content", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["host", "path", "state", "kind", "value", "n"])
+
+    rows = weighed.mapInArrow(run, "host string, path string, state int, kind int, value long, n double")
+    return rows.groupBy("host", "path", "state", "kind", "value").agg(F.round(F.sum("n"), 3).alias("n"))
 
-    rows = pages.mapInArrow(run, "host string, path string, open boolean, is_content boolean, value long, n long")
-    values = rows.groupBy("host", "path", "open", "is_content", "value").agg(F.sum("n").alias("n"))
+
+def _tree(counted: DataFrame) -> DataFrame:
     n = F.sum("n")
-    entropy = F.when(n > 1, F.log(n) - F.sum(F.col("n") * F.log("n")) / n).otherwise(0.0)
-    each = values.groupBy("host", "path", "open", "is_content").agg(n.alias("n"), entropy.alias("entropy"))
-    share = F.when(F.col("n") > 1, F.col("entropy") / F.log("n")).otherwise(1.0)
-    tree = each.groupBy("host", "path", "open").agg(F.max("n").alias("pages"), F.max(F.when(~F.col("is_content"), share)).alias("presentation"), F.max(F.when(F.col("is_content"), share)).alias("content"))
-    return tree.withColumn("importance", F.coalesce("presentation", F.lit(1.0)) * F.col("content"))
+    differ = F.when(n > 1, 1 - F.sum(F.col("n") * (F.col("n") - 1)) / (n * (n - 1))).otherwise(1.0)
+    each = counted.where(F.col("kind") != SINGLE).groupBy("host", "path", "state", "kind").agg(n.alias("n"), differ.alias("differ"))
+    own = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("differ")))
+    paths = each.groupBy("host", "path", "state").agg(F.max("n").alias("pages"), own(PRESENTATION).alias("presentation"), own(CONTENT).alias("content"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    most = paths.select("host", F.explode(above).alias("path"), F.greatest("presentation", "content").alias("differ")).groupBy("host", "path").agg(F.max("differ").alias("importance"))
+    return paths.join(most.withColumnsRenamed({"host": "__other", "path": "__path"}), F.col("host").eqNullSafe(F.col("__other")) & (F.col("path") == F.col("__path"))).drop("__other", "__path")
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """One row for each (host, path, state): pages, presentation, content and importance."""
+    return _tree(_counted(pages))
+
+
+def removals(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: dict[int, float] = LEAST_IMPORTANCE) -> DataFrame:
+    """host and what :func:`parse` is to remove of its pages: paths, and single texts of other paths."""
+    counted = stored(_counted(pages), "path-values", "zstd")
+    least = F.when(F.col("state") == KEPT, least_importance[KEPT]).otherwise(least_importance[NEUTRAL])
+    judged = _tree(counted).where(F.col("pages") >= least_pages).select("host", "path", "state", "pages", "importance")
+    at = F.concat(F.col("state").cast("string"), "path")
+    low = judged.where(F.col("importance") < least).select("host", at.alias("what"))
+    singles = counted.where((F.col("kind") == SINGLE) & (F.col("n") >= (1 - max(least_importance.values())) * least_pages)).withColumnsRenamed({"host": "__other", "path": "__path", "state": "__state"})
+    shared = judged.join(singles, F.col("host").eqNullSafe(F.col("__other")) & (F.col("path") == F.col("__path")) & (F.col("state") == F.col("__state"))).where(F.col("n") >= (1 - least) * F.col("pages"))
+    return low.unionByName(shared.select("host", F.concat(at, F.lit(" "), F.col("value").cast("string")).alias("what")))
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = LEAST_PAGES, least_importance: dict[int, float] = LEAST_IMPORTANCE) -> DataFrame:
     """``keep`` columns, text and n_chars of every page."""
     host = host_and_path(F.col("url"))[0]
     hosted = pages.select(*keep, host.alias("__host"), "html")
-    tree = style_tree(hosted.select(F.col("__host"), "html"))
-    low = tree.where(F.col("open") & (F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    removed = stored(low.groupBy(F.col("host").alias("__host")).agg(F.collect_list("path").alias("__removed")), "removed-paths")
+    low = removals(hosted.select(F.col("__host").alias("host"), "html"), least_pages, least_importance)
+    removed = stored(low.groupBy(F.col("host").alias("__host")).agg(F.collect_list("what").alias("__removed")), "removed-paths")
     small = removed.count() <= BROADCAST_HOSTS
     joined = hosted.join(F.broadcast(removed) if small else removed, "__host", "left").select(*keep, "html", "__removed")
     schema = ", ".join([*(f"`{c}` {t}" for c, t in joined.select(*keep).dtypes), "text string"])

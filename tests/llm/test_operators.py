@@ -298,6 +298,19 @@ def test_style_tree_removes_what_all_pages_share(spark):
         assert r.text == "\n".join(re.findall(r"<p>(.*?)</p>", pages[r.page_id][2]))
 
 
+def test_style_tree_judges_inside_article(spark):
+    rng = random.Random(4)
+    page = lambda i, own: f"<body><article><h1>T{i}</h1><p>{own}</p><p>Read our other offers</p><div class='x'>Shared by all</div><p>end {i}</p></article></body>"
+    rows = [(i, f"http://site/{i}", page(i, rng.random())) for i in range(30)]
+    rows += [(30 + k, f"http://site/c{k}", page(0, "copied")) for k in range(400)]  # copies of one page don't make it a template
+    rows += [(1000 + i, f"http://few/{i}", page(i, "own")) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+    for i, _, html in rows:
+        texts = re.findall(r">([^<>]+)<", html)
+        assert found[i] == "\n".join(t for t in texts if i >= 1000 or t not in ("Read our other offers", "Shared by all"))
+
+
 def test_deobfuscation():
     corpus = ["you stupid idiot and moron loser clown with pathetic trash"] * 3 + ["the weather is good and they sit in the shade of a tree to read a letter"] * 5
     counts = toxicity.trigram_counts(corpus).reshape(64, 64, 64).astype(float)
