@@ -298,6 +298,23 @@ def test_style_tree_removes_what_all_pages_share(spark):
         assert r.text == "\n".join(re.findall(r"<p>(.*?)</p>", pages[r.page_id][2]))
 
 
+def one_layout(i, rng):
+    """A page without article, one of a fixed wrapper with a text of its own, and what is to be left of it."""
+    texts = [f"Title {i}", *(str(rng.random()) for _ in range(rng.randint(1, 9)))]
+    cells = [rng.choice(["red", "green", "blue", "grey"]) for _ in range(3)]
+    page = f"<body><div class='top'>Welcome</div><div class='wrap'><h1>{texts[0]}</h1><div class='text'>{''.join(f'<p>{t}</p>' for t in texts[1:])}<table><tr><td>{'<td>'.join(cells)}</table></div></div><div class='legal'>All rights</div></body>"
+    return page, "\n".join([*texts, *cells])
+
+
+@pytest.mark.parametrize("n", [5, 40, 5000])
+def test_style_tree_keeps_what_varies_at_any_host_size(spark, n):
+    rng = random.Random(n)
+    made = [one_layout(i, rng) for i in range(n)]
+    df = spark.createDataFrame([(i, f"http://site/{i}", page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string").repartition(4)
+    for r in html_extraction.extract(df).collect():
+        assert r.text == made[r.page_id][1]
+
+
 def test_style_tree_judges_inside_article(spark):
     rng = random.Random(4)
     page = lambda i, own: f"<body><article><h1>T{i}</h1><p>{own}</p><p>Read our other offers</p><div class='x'>Shared by all</div><p>end {i}</p></article></body>"
