@@ -3,8 +3,9 @@
 Two collections of ``groups`` small hashes (``rows`` minimum hashes each) are computed
 per document; every pair of one hash from each side is a table key, so ``groups**2``
 tables cost ``2 * groups * rows`` minimum hashes instead of ``groups**2 * 2 * rows``.
-With 14 groups of 4, a pair of similarity 0.8 shares a key with probability 0.9988, one of
-0.85 with 0.9999; keys of 8 minimum hashes keep documents apart that only share a passage.
+With 20 groups of 4, a pair of similarity 0.8 shares no key with probability 0.00005, one of
+0.85 with 0.0000008; keys of 8 minimum hashes keep documents apart that only share a passage.
+Only hashes that two documents share are made into keys, as no other key can be shared.
 
 1. Documents with equal shingle sets fall into one class (a 128-bit digest of the set);
    only one of each class goes on, so groups of exact copies cost one row.
@@ -17,7 +18,8 @@ With 14 groups of 4, a pair of similarity 0.8 shares a key with probability 0.99
    shingles of its own meets few of a large family's members, and pairs are formed from the smaller component's side only.
 
 So every pair that shares a table key is compared, known to be too different, or already
-connected: no cap, and no link between different texts is dropped.
+connected: no cap, and no link between texts that share a key is dropped.  A link between
+texts that share none (see above) is found only if both are open in step 3.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of fewer words
 than a shingle are one shingle.  A null doc_id is never linked and always kept.  Rows
@@ -37,7 +39,7 @@ from .components import components
 from .shared import stored
 from .words import SPACES, U64, mix, segment_sum, shingle_sets, slices, word_table
 
-GROUPS, ROWS = 14, 4
+GROUPS, ROWS = 20, 4
 #: Ids of documents to be compared are broadcast up to this many; beyond, a shuffle finds their texts.
 BROADCAST_IDS = 1_000_000
 
@@ -156,30 +158,40 @@ def sharing(heads: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "shingle").where(smaller & in_reach("na", "nb", percent) & enough).select("a", "b")
 
 
+def table_keys(classes: DataFrame, groups: int) -> DataFrame:
+    """node, size, key: the table keys made of hashes that more than one node has."""
+    hashes = classes.select("node", "size", F.posexplode(F.concat("left", "right")).alias("side", "hash"))
+    shared = hashes.withColumn("n", F.count("*").over(Window.partitionBy("side", "hash"))).where("n > 1")
+    sides = shared.groupBy("node", "size").agg(F.collect_list(F.when(F.col("side") < groups, F.struct("side", "hash"))).alias("left"), F.collect_list(F.when(F.col("side") >= groups, F.struct("side", "hash"))).alias("right"))
+    keys = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a["hash"], b["hash"], a["side"] * groups + b["side"] - groups))))
+    return sides.select("node", "size", F.explode(keys).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     signed = stored(signatures(docs, width, groups, rows), "signatures")
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("size"), F.any_value("left").alias("left"), F.any_value("right").alias("right")), "classes")
-    keys = F.explode(F.flatten(F.transform("left", lambda a, i: F.transform("right", lambda b, j: F.xxhash64(a, b, i * groups + j)))))
     same = Window.partitionBy("key")
-    shared = classes.select("node", "size", keys.alias("key")).withColumn("n", F.count("*").over(same)).where("n > 1")
+    shared = table_keys(classes, groups).withColumn("n", F.count("*").over(same)).where("n > 1")
     members = stored(shared, "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = members.join(company, "node").withColumn("pivot", F.max(F.struct("company", (-F.col("node")).alias("node"), "size")).over(same))
     pivoted = ranked.select(F.col("node").alias("a"), "size", (-F.col("pivot.node")).alias("b"), F.col("pivot.size").alias("other")).where("a <> b").where(in_reach("size", "other", percent))
     pairs = stored(one_way(pivoted), "pairs")
-    labels, found = None, None
+    spark = docs.sparkSession
     if pairs.limit(1).count():
         found = stored(compare(docs, pairs, width, percent), "compared")
         labels = contracted(found.where("linked").select("a", "b"), None)
-        open_nodes = stored(still_open(members, labels), "open")
-        if open_nodes.limit(1).count():
-            heads = stored(rarest_shingles(docs, open_nodes, width, percent), "rarest-shingles")
-            more = stored(one_way(sharing(heads, percent)).join(found.select("a", "b"), ["a", "b"], "left_anti").join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-            if more.limit(1).count():
-                labels = contracted(stored(compare(docs, more, width, percent), "compared").where("linked").select("a", "b"), labels)
+    else:  # no pivot is within reach of its bucket; what is left apart is joined all the same
+        found, labels = spark.createDataFrame([], "a long, b long, linked boolean"), spark.createDataFrame([], "node long, label long")
+    open_nodes = stored(still_open(members, labels), "open")
+    if open_nodes.limit(1).count():
+        heads = stored(rarest_shingles(docs, open_nodes, width, percent), "rarest-shingles")
+        more = stored(one_way(sharing(heads, percent)).join(found.select("a", "b"), ["a", "b"], "left_anti").join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            labels = contracted(stored(compare(docs, more, width, percent), "compared").where("linked").select("a", "b"), labels)
     known = classes.select("d1", "d2", "node")
-    known = known.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id")) if labels is not None else known.withColumnRenamed("node", "component_id")
+    known = known.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))

@@ -149,6 +149,23 @@ def test_near_duplicates(spark, docs, none, width):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates.near_duplicates(nameless, width=width).collect()) == [(0, 0, True), (0, 0, True), (3, 3, True)]
 
 
+def test_pairs_at_the_threshold_rarely_miss_all_keys():
+    g, r = near_duplicates.GROUPS, near_duplicates.ROWS
+    assert 1 - (1 - (1 - 0.8**r) ** g) ** 2 < 0.0001
+
+
+def test_texts_are_joined_though_no_pivot_is_in_reach(spark):
+    rows = []
+    for k in range(12):  # a long text with the smallest id, and two similar shorter ones inside it
+        w = [f"f{k}w{j}" for j in range(140)]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w[:100])), (3 * k + 2, " ".join(w[2:102]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.doc_id: (r.left, r.right) for r in near_duplicates.signatures(df, 4, 1, 1).collect()}
+    k = next(k for k in range(12) if hashes[3 * k] == hashes[3 * k + 1] == hashes[3 * k + 2])
+    found = near_duplicates.near_duplicates(df.where(F.col("doc_id").between(3 * k, 3 * k + 2)), width=4, groups=1, rows=1).collect()
+    assert sorted((r.doc_id - 3 * k, r.component_id - 3 * k, r.kept) for r in found) == [(0, 0, True), (1, 1, True), (2, 1, False)]
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(5)
     items = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 5)) for _ in range(n))) for i, n in enumerate([30, 13, 5, 1, 20])] + [(7, None), (8, ""), (9, "...!"), (None, "k1 k2 k3"), (1, "zz yy xx")]
