@@ -4,8 +4,8 @@ r"""Toxicity by noisy-channel deobfuscation (operator 6).
    Latin-1 letters, others): one partial table a task, summed by trigram, so the gathered
    table has at most 64**3 rows whatever the corpus is.
 2. :func:`restore` finds the stretches of a text that may be disguised: letters mixed with
-   leetspeak characters, letters repeated three times or more, and single letters set apart
-   by blanks or marks.  Each stretch becomes a character lattice (substitute, drop or keep,
+   or followed by leetspeak characters, letters repeated three times or more, and single
+   letters set apart by any white space or marks.  Each stretch becomes a character lattice (substitute, drop or keep,
    each with a channel cost) and Viterbi picks the reading that is likeliest under the model.
    The rest of the text, being the only reading of itself, stays as it is.
 3. The restored text is scored by a logistic model over word features (words and their first
@@ -41,17 +41,21 @@ SUBSTITUTE, STAR, SHORTEN, JOIN, APART, KEEP = 1.0, 3.0, 0.5, 0.0, 1.5, 2.5
 _LEET = re.escape("".join(LEET) + "*")
 _EDGES = "%&#$*!|.,;:?+"
 _MARKS = r".\-_*·/"
+_APART = rf"\s{_MARKS},~+"
+#: Leetspeak at the end of a word; the others are punctuation there.
+_TAIL = "0-9@$€£"
 #: Each pattern reads a text in linear time: what it repeats never overlaps.
 DISGUISES = [
-    # single letters set apart by blanks or marks
-    re.compile(rf"(?<!\S)[^\W_](?:[ {_MARKS}]{{1,2}}[^\W_]){{2,}}(?![^\W_])"),
+    # single letters set apart by white space or marks
+    re.compile(rf"(?<!\S)[^\W_](?:[{_APART}]++[^\W_]){{2,}}(?![^\W_])"),
     # pieces of up to three letters set apart by marks
     re.compile(rf"(?<!\S)[^\W\d_]{{1,3}}(?:[{_MARKS}][^\W\d_]{{1,3}}){{2,}}(?![^\W_])"),
-    # letters mixed with characters that stand for letters
-    re.compile(rf"(?<![\w{_LEET}])[\w{_LEET}]*(?:[^\W\d_][{_LEET}]+[^\W\d_]|[0-9@$|+€£][^\W\d_])[\w{_LEET}]*"),
+    # letters mixed with, or followed by, characters that stand for letters
+    re.compile(rf"(?<![\w{_LEET}])[\w{_LEET}]*(?:[^\W\d_][{_LEET}]+[^\W\d_]|[0-9@$|+€£][^\W\d_]|[^\W\d_][{_TAIL}]++(?![\w{_LEET}]))[\w{_LEET}]*"),
 ]
 REPEATED, WORD = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE), re.compile(r"[^\W\d_]+")
-SPACED = re.compile(rf"[^\W_]{{1,3}}(?:[ {_MARKS}]{{1,2}}[^\W_]{{1,3}}){{2,}}")
+SPACED = re.compile(rf"[^\W_]{{1,3}}(?:[{_APART}]++[^\W_]{{1,3}}){{2,}}")
+IS_APART = re.compile(rf"[{_APART}]")
 
 
 # -- the character model ----------------------------------------------------------------
@@ -123,7 +127,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         run = at
         while run < len(stretch) and stretch[run].lower() == c:
             run += 1
-        if spaced and c in " .-_*·/":
+        if spaced and IS_APART.match(c):
             out.append([("", JOIN), (" ", APART)])
             run = at + 1 if run == at + 1 else run
         elif c.isalpha() and run - at >= 3:
@@ -164,28 +168,46 @@ def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
 
 
 ALL_HINTS = 0b1111
-_IS_LETTER, _IS_LEET, _IS_MARK, _IS_SPACE = (np.array([f(c) for c in range(256)]) for f in (lambda c: chr(c).isalpha() and c < 128 or c >= 128, lambda c: chr(c) in LEET and c < 128 or c == 42, lambda c: c in b".-_*/" or c in (0xC2, 0xB7), lambda c: c in b" \t\n\r"))
+
+
+def _characters(pattern: str) -> np.ndarray:
+    """Whether the pattern takes the character of a code; the last entry is for all codes beyond."""
+    taken = np.zeros(0x10001, dtype=bool)
+    taken[[ord(c) for c in re.findall(pattern, "".join(map(chr, range(0x10000))))]] = True
+    taken[-1] = True
+    return taken
+
+
+_IS_SINGLE, _IS_LETTER, _IS_APART, _IS_MARK, _IS_LEET, _IS_TAIL = (_characters(p) for p in (r"[^\W_]", r"[^\W\d_]", rf"[{_APART}]", rf"[{_MARKS}]", rf"[{_LEET}]", rf"[{_TAIL}]"))
+for _table in (_IS_APART, _IS_MARK, _IS_LEET, _IS_TAIL):
+    _table[-1] = False
+_FOLDED = np.array([ord(f) if len(f := chr(c).casefold()) == 1 else ord(chr(c).lower()[0]) for c in range(0x10001)], dtype=np.uint32)
 
 
 def hints(texts: pa.Array) -> np.ndarray:
-    """For each text, which disguises it may hold (bit k: DISGUISES[k], bit 3: repetition); never too few of the last two."""
+    """For each text, which disguises it may hold (bit k: DISGUISES[k], bit 3: repetition); never too few."""
     data, offsets = raw_bytes(texts)
-    n = len(data)
-    letter, leet, mark, space = (np.append(t[data], np.zeros(5, bool)) for t in (_IS_LETTER, _IS_LEET, _IS_MARK, _IS_SPACE))
-    apart, single = mark | space, letter | leet
+    code = np.minimum(np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4"), 0x10000)
+    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # each text's first character
+    n = len(code)
+    letter, leet, mark, tail, single, apart = (np.append(t[code], np.zeros(4, bool)) for t in (_IS_LETTER, _IS_LEET, _IS_MARK, _IS_TAIL, _IS_SINGLE, _IS_APART))
+    fold = np.append(_FOLDED[code], np.zeros(4, np.uint32))
     ahead = lambda x, k: x[k : k + n]
-    lower = np.append(np.where((data > 64) & (data < 91), data + 32, data), np.zeros(5, np.uint8))
+    runs = np.flatnonzero(~(apart[:n] & np.append(False, apart[: max(n - 1, 0)])[:n]))  # separators in a row are one
+    one, gap = np.append(single[runs], np.zeros(4, bool)), np.append(apart[runs], np.zeros(4, bool))
+    m = len(runs)
+    spaced = np.zeros(n, bool)
+    spaced[runs[one[:m] & gap[1 : m + 1] & one[2 : m + 2] & gap[3 : m + 3] & one[4 : m + 4]]] = True
     found = [
-        ahead(apart, 0) & ahead(single, 1) & ahead(apart, 2) & ((ahead(single, 3) & ahead(apart, 4)) | (ahead(apart, 3) & ahead(single, 4))),
-        ahead(letter, 0) & ahead(mark, 1) & (ahead(letter, 2) | ahead(mark, 2)),
-        (ahead(leet, 0) & ahead(letter, 1)) | (ahead(lower, 0) == 0xAC) & ahead(letter, 1),
-        (ahead(letter, 0) & (ahead(lower, 0) == ahead(lower, 1)) & (ahead(lower, 1) == ahead(lower, 2))) | ((ahead(lower, 0) >= 0xC3) & (ahead(lower, 0) == ahead(lower, 2)) & (ahead(lower, 2) == ahead(lower, 4))),
+        spaced,
+        ahead(letter, 0) & ahead(mark, 1) & ahead(letter, 2),
+        (ahead(leet, 0) & ahead(letter, 1)) | (ahead(letter, 0) & ahead(tail, 1)),
+        ahead(letter, 0) & (ahead(fold, 0) == ahead(fold, 1)) & (ahead(fold, 1) == ahead(fold, 2)),
     ]
     bits = np.zeros(len(offsets) - 1, dtype=np.int64)
-    for k, (at, width) in enumerate(zip(found, (5, 3, 2, 3), strict=True)):
+    for k, at in enumerate(found):
         total = np.concatenate([[0], np.cumsum(at)])
-        last = np.maximum(offsets[:-1], offsets[1:] - width + 1)  # what begins before it ends in the same text
-        bits |= (total[last] > total[offsets[:-1]]).astype(np.int64) << k
+        bits |= (total[first[1:]] > total[first[:-1]]).astype(np.int64) << k
     return bits
 
 
@@ -203,6 +225,8 @@ class Restorer:
             head = text.index(core) if core else 0
             if head and text[head - 1] in "$@":
                 core, head = text[head - 1] + core, head - 1
+            while core and text[head + len(core) : head + len(core) + 1] == "$":
+                core += "$"
             self.memo[text] = text[:head] + viterbi(lattice(core), self.model) + text[head + len(core) :] if core else text
         return self.memo[text]
 
@@ -223,7 +247,9 @@ class Restorer:
     def restore(self, text: str, hints: int = ALL_HINTS) -> str:
         for k, disguise in enumerate(DISGUISES):
             if hints >> k & 1:
-                text = disguise.sub(lambda m: self.reading(m[0]), text)
+                before, text = text, disguise.sub(lambda m: self.reading(m[0]), text)
+                if text != before:  # what was restored may hold others
+                    hints = ALL_HINTS
         return self.repeated(text) if hints >> 3 & 1 else text
 
     def restore_all(self, texts: pa.Array) -> list[str]:

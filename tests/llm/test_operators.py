@@ -359,6 +359,30 @@ def test_deobfuscation():
     assert len(restorer.restore("a" * 100_000 + " " + "x-" * 50_000 + " " + "9" * 100_000)) > 1000
 
 
+def small_restorer():
+    corpus = ["you stupid idiot and moron dumbass loser идиот"] * 3 + ["the weather is good and they sit in the shade of a tree"] * 5
+    counts = toxicity.trigram_counts(corpus).reshape(64, 64, 64).astype(float)
+    one = counts.sum((0, 1)) + 0.5
+    one /= one.sum()
+    two = (counts.sum(0) + 5 * one) / (counts.sum((0, 2))[:, None] + 5)
+    return toxicity.Restorer(-np.log((counts + 5 * two[None]) / (counts.sum(2)[:, :, None] + 5)).astype(np.float32))
+
+
+def test_disguises_at_word_ends_and_set_apart_by_anything():
+    restorer = small_restorer()
+    for disguised, plain in [("idi07", "idiot"), ("dumba55", "dumbass"), ("dumba$$", "dumbass"), ("s   t   u   p   i   d", "stupid"), ("m\to\tr\to\tn", "moron"), ("m\no\nr\no\nn", "moron"), ("m, o, r, o, n", "moron"), ("m~o~r~o~n", "moron"), ("m+o+r+o+n", "moron"), ("m\u2003o\u2003r\u2003o\u2003n", "moron"), ("\u0438 \u0434 \u0438 \u043e \u0442", "\u0438\u0434\u0438\u043e\u0442"), ("£oser", "loser"), ("st¡pid", "stipid")]:
+        text = f"such {disguised} here"
+        assert restorer.restore(text) == f"such {plain} here", disguised
+        assert restorer.restore_all(pa.array([text]))[0] == f"such {plain} here", disguised
+
+
+def test_hints_are_never_too_few():
+    restorer, rng = small_restorer(), random.Random(9)
+    pieces = ["idiot", "moron", "a", "i", "é", "и", "д", "日", "😀", "ſ", "S", "s", "sss", "ÉéÉ", "0", "55", "7", "$", "@", "!", "£", "¡", "€", "*", "|", "+", " ", "   ", "\t", "\n", "\xa0", "\u2003", ",", "~", ".", "-", "_", "·", "/", "\x1c"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + [None, ""]
+    assert restorer.restore_all(pa.array(texts)) == [restorer.restore(t or "") for t in texts]
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(2)
     names = [f"word{k}" for k in range(300)]
