@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +39,39 @@ def with_content_ids(records: DataFrame, kinds: dict[str, Column]) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, group: list[str], order: str, digest: str) -> DataFrame:
-    """J8, section 1.4: the digest of a group's digests in order."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))))
-    agg = F.sha2(F.array_join(F.transform(lines, lambda x: x["d"]), "\n"), 256)
-    return rows.groupBy(*group).agg(F.count("*").alias("n"), agg.alias("digest"))
+    """J8, section 1.4: the digest of a group's digests in order (null ones left out; null if none is left).
+
+    A group is sorted (on disk where it must be) and hashed in passing, so no row or task holds all its digests.
+    """
+    chosen = rows.select(*group, order, F.col(digest).alias("__digest"))
+    ordered = chosen.repartition(*group).sortWithinPartitions(*group, order, "__digest").select(*group, "__digest")
+    keys = ordered.select(*group)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in keys.dtypes), "n long", "digest string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, state, held = None, 0, None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*held, pa.array([n], pa.int64()), pa.array([state and state.hexdigest()], pa.string())], names=[*group, "n", "digest"])
+
+        for batch in batches:
+            columns = batch.columns
+            for k, (*own, d) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+                if held is None or own != key:
+                    if held is not None:
+                        yield done()
+                    key, n, state, held = own, 0, None, [c.slice(k, 1) for c in columns[:-1]]
+                n += 1
+                if d is not None:
+                    if state is None:
+                        state = hashlib.sha256()
+                    else:
+                        state.update(b"\n")
+                    state.update(d.encode())
+        if held is not None:
+            yield done()
+
+    return ordered.mapInArrow(run, schema)
 
 
 def exclusion_registry(identities: DataFrame, kind: str, value: str) -> DataFrame:

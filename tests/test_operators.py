@@ -236,3 +236,12 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
         q.awaitTermination()
     assert rows(spark.table("counts")) == rows(runs.run_counts(events, "run", "kind", ["error", "view"]))
     assert sorted((r.events, r.errors, r.failed) for r in spark.table("windows").collect()) == [(1, 0, False), (2, 1, True)]
+
+
+def test_ordered_digest_holds_no_group_in_a_row(spark):
+    n = 30_000
+    df = spark.range(n).selectExpr("if(id % 3 = 0, null, 'a') as g", "id as o", "sha2(cast(id as string), 256) as d").repartition(5)
+    found = generate.ordered_digest(df, ["g"], "o", "d")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    lines = lambda keep: "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n) if (i % 3 == 0) == keep)
+    assert {r.g: (r.n, r.digest) for r in found.collect()} == {g: (n // 3 if keep else n - n // 3, hashlib.sha256(lines(keep).encode()).hexdigest()) for g, keep in ((None, True), ("a", False))}
