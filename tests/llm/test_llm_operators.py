@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -310,7 +311,8 @@ def test_style_tree_removes_what_all_pages_share(spark):
     pages = [(i, f"http://site/{i}", f"<body><div class='top'><span>Welcome to our site</span></div><div class='text'>{''.join(f'<p>{rng.random()}</p>' for _ in range(rng.randint(1, 9)))}</div><div class='legal'>All rights</div></body>") for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     tree = {r.path: r.importance for r in html_extraction.style_tree(df.select(F.lit("site").alias("host"), "html")).collect()}
-    assert tree["/body/div.top"] == 0.0 == tree["/body/div.legal"] and tree["/body/div.text"] > 0.4
+    at = html_extraction.path_digest
+    assert tree[at("/body/div.top")] == tree[at("/body/div.legal")] == 1 / 40 and tree[at("/body/div.text")] > 0.9
     for r in html_extraction.extract(df).collect():
         assert r.text == "\n".join(re.findall(r"<p>(.*?)</p>", pages[r.page_id][2]))
 
@@ -337,12 +339,66 @@ def test_style_tree_judges_inside_article(spark):
     page = lambda i, own: f"<body><article><h1>T{i}</h1><p>{own}</p><p>Read our other offers</p><div class='x'>Shared by all</div><p>end {i}</p></article></body>"
     rows = [(i, f"http://site/{i}", page(i, rng.random())) for i in range(30)]
     rows += [(30 + k, f"http://site/c{k}", page(0, "copied")) for k in range(400)]  # copies of one page don't make it a template
-    rows += [(1000 + i, f"http://few/{i}", page(i, "own")) for i in range(4)]
+    rows += [(1000 + i, f"http://few/{i}", page(i, "own").replace("Read our other", "Take our")) for i in range(4)]
+    rows += [(2000, "http://lone/0", page(77, "single"))]  # judged by the hosts of the same template
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     found = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
     for i, _, html in rows:
         texts = re.findall(r">([^<>]+)<", html)
-        assert found[i] == "\n".join(t for t in texts if i >= 1000 or t not in ("Read our other offers", "Shared by all"))
+        assert found[i] == "\n".join(t for t in texts if t not in ("Read our other offers", "Shared by all")), i
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(8)
+    sites = {"a": 30, "b": 6, "c": 2, "d": 1}
+    page = lambda: f"<body><div class='top'>{rng.choice(['x', 'y'])}</div><div class='search'><a href=u>{rng.random()}</a>{rng.choice(['', 'find'])}</div><main><h1>{rng.randint(0, 9)}</h1>{'<p>t</p>' * rng.randint(0, 3)}</main></body>"
+    rows = [(h, page()) for h, n in sites.items() for _ in range(n)]
+    values = {}
+    for h in sites:
+        for html in dict.fromkeys(x for host, x in rows if host == h):  # copies are one page
+            top, tail, h1 = re.search(r"top'>(.)", html)[1], re.search(r"</a>(\w*)", html)[1], re.search(r"<h1>(.)", html)[1]
+            n = html.count("<p>")
+            for path, state, shape, content in [("/body", 0, "div div main", ""), ("/body/div.top", 0, "", top), ("/body/div.search", 1, "", tail), ("/body/main", 2, "p" * n, ""), ("/body/main/h1", 2, "", h1)]:
+                # a block with text beside its links counts whole, one of links alone not at all
+                if path == "/body/div.search":
+                    content = re.search(r"u>(.*?)</a>", html)[1] + tail if tail else ""
+                values.setdefault((path, state), {}).setdefault(h, []).append((shape, content))
+
+    def entropy(seen):
+        n = len(seen)
+        h = -sum(c / n * math.log2(c / n) for c in collections.Counter(seen).values())
+        return 1.0 if n < 2 else min(1.0, h / math.log2(min(n, 8)))
+
+    tree = {(r.path, r.state, r.host): r for r in html_extraction.style_tree(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()}
+    for (path, state), by_host in values.items():
+        measured = {h: (entropy([c for _, c in v]) if state == 1 else max(entropy([s for s, _ in v]), entropy([c for _, c in v]))) for h, v in by_host.items()}
+        for h, v in by_host.items():
+            others = [(len(by_host[o]) - 1, measured[o]) for o in by_host if o != h]
+            prior = (sum(n * m for n, m in others) + (0.0 if state == 1 else 1.0)) / (sum(n for n, _ in others) + 1)
+            expected = ((len(v) - 1) * measured[h] + prior) / len(v)
+            r = tree[html_extraction.path_digest(path), state, h]
+            assert r.pages == len(v) and abs(r.importance - expected) < 1e-9, (path, h)
+
+
+def test_html_markup_and_article_text_stay_apart():
+    text = html_extraction.main_text
+    assert text('<p><a title="a > b" href=x>link</a> text</p>') == "link text"
+    assert text("<p data-x='<b>' class=a>one</p><p title=\"it's>\">two</p><p a = 'b>' >three<img alt=\"x>y\">!") == "one\ntwo\nthree!"
+    assert text('<article><p>a <span class="search-term">found</span> word</p><div class="related">see also</div><div class="share">shared values</div></article>') == "a found word\nsee also\nshared values"
+    assert text("<main>m</main><div class=content><p>story</p></div>") == "m\nstory"
+    assert text('<div class="ad-box">buy</div><div id="comments-list">first</div><div class="adventure notice-me">trip</div><article>x<div class="comments">no</div></article>') == "trip\nx"
+    deep = "<div>" * 30_000 + "deep" + "</div>" * 30_000
+    assert text(deep) == "deep"
+
+
+def test_many_removed_keys_are_joined(spark):
+    rng = random.Random(6)
+    rows = [(i, f"http://h{i % 3}/x", f"<body><div class='g{i % 7}'>Menu {i % 7}</div><p>{rng.random()}</p><p>Shared</p></body>") for i in range(90)] + [(90, None, None), (91, "http://h1/x", "")]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").selectExpr("*", "'h' as host", "1 as keys", "2 as __page").repartition(4)
+    key = lambda r: (r.page_id, r.url or "", r.text)
+    broadcast = sorted(map(key, html_extraction.extract(df).collect()))
+    assert sorted(map(key, html_extraction.extract(df, broadcast_digests=0).collect())) == broadcast
+    assert sum("Menu" in t or "Shared" in t for _, _, t in broadcast) < 20 < sum(t != "" for _, _, t in broadcast)
 
 
 def test_deobfuscation():
