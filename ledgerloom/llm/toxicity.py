@@ -3,7 +3,7 @@ r"""Toxicity by noisy-channel deobfuscation (operator 6).
 1. A character trigram model is counted over all texts of the corpus (boundaries, a-z,
    Latin-1 letters, others): one partial table a task, summed by trigram, so the gathered
    table has at most 64**3 rows whatever the corpus is.
-2. :func:`restore` finds the stretches of a text that may be disguised: letters mixed with
+2. :class:`Restorer` finds the stretches of a text that may be disguised: letters mixed with
    or followed by leetspeak characters, letters repeated three times or more, and single
    letters set apart by any white space or marks.  Each stretch becomes a character lattice (substitute, drop or keep,
    each with a channel cost) and Viterbi picks the reading that is likeliest under the model.
@@ -14,10 +14,12 @@ r"""Toxicity by noisy-channel deobfuscation (operator 6).
 
 Null and empty texts have no words and get the model's base score; without labelled rows of
 both classes every score is 0.0.  A null doc_id isn't held out.  Repeated rows get equal scores.
+Whole texts of any length are read.  An empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -27,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .words import raw_bytes, slices
 
-SAMPLE = 3000
+SAMPLE = 4000
 THRESHOLD = 0.3
 SYMBOLS = 64
 #: Which letters a character may stand for.
@@ -279,35 +282,25 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
-def fit(texts: list[str], labels: list[int], share: float, sure: float = 2.0, rounds: int = 400) -> Scorer:
-    """``share``: of label 1 among all labelled rows, as the sample is taken by class.
+def fit(names: list[tuple[int, str]], found: list[tuple[tuple[int, ...], int, int]], share: float, rounds: int = 400) -> Scorer:
+    """``found``: numbers of a text's features in ``names``, its label, and how many texts are like that.
 
-    A feature is used if its documents' log odds ratio stays above 0.5 at ``sure`` standard
-    errors below the estimate; weights are not negative, so what else a long text says
-    neither hides a toxic word nor adds up to one.
+    ``share``: of label 1 among all labelled rows, as the sample is taken by class.  Weights are
+    not negative, so what else a long text says neither hides a toxic word nor adds up to one.
     """
-    distinct = sorted(dict.fromkeys(zip(texts, labels, strict=True)))
-    y = np.array([label for _, label in distinct], dtype=float)
+    found = sorted(found)
+    y = np.array([label for _, label, _ in found], dtype=float)
     if not len(y) or y.min() == y.max():
         return Scorer(-40.0, ({}, {}, {}))
-    numbers: dict[tuple[int, str], int] = {}
-    docs = [np.fromiter((numbers.setdefault((kind, x), len(numbers)) for kind, of in enumerate(features(text)) for x in of), np.int64) for text, _ in distinct]
-    rows, columns = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
-    n1, n0 = y.sum(), (1 - y).sum()
-    a = np.bincount(columns, y[rows], len(numbers)) + 0.5
-    b = np.bincount(columns, 1 - y[rows], len(numbers)) + 0.5
-    c, d = n1 - a + 1, n0 - b + 1
-    surely = (a > 3) & (np.log(a * d / (b * c)) - sure * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > 0.5)
-    names = sorted((n, k) for n, k in numbers.items() if surely[k])
-    place = np.full(len(numbers), -1)
-    place[[k for _, k in names]] = np.arange(len(names))
-    used = place[columns] >= 0
-    rows, columns, names = rows[used], place[columns[used]], [n for n, _ in names]
+    times = np.array([n for *_, n in found], dtype=float)
+    rows, columns = np.repeat(np.arange(len(found)), [len(of) for of, *_ in found]), np.array([k for of, *_ in found for k in of], dtype=np.int64)
+    n1, n0 = times @ y, times @ (1 - y)
+    pull = times * np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(names)), 0.0
     squares, b_square = np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
         z = b + np.bincount(rows, w[columns], len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * np.where(y == 1, 0.5 / n1, 0.5 / n0)
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * pull
         slope = np.bincount(columns, error[rows], len(names)) + 1e-4 * w
         squares += slope**2
         b_square += error.sum() ** 2
@@ -326,9 +319,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sure_features(rows: DataFrame, n1: int, n0: int, sure: float = 2.0) -> DataFrame:
+    """feature: of those whose texts' log odds ratio stays above 0.5 at ``sure`` standard errors below the estimate."""
+    counted = rows.select(F.explode("features").alias("feature"), "toxic").groupBy("feature").agg((F.sum("toxic") + 0.5).alias("a"), (F.sum(1 - F.col("toxic")) + 0.5).alias("b"))
+    c, d = F.lit(n1 + 1.0) - F.col("a"), F.lit(n0 + 1.0) - F.col("b")
+    odds = F.log(F.col("a") * d / (F.col("b") * c)) - sure * F.sqrt(1 / F.col("a") + 1 / F.col("b") + 1 / c + 1 / d)
+    return counted.where((F.col("a") > 3) & (odds > 0.5)).select("feature")
+
+
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> Scorer:
-    """Fits on at most ``sample`` labelled rows of each class that aren't held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fits on at most ``sample`` labelled ids of each class that aren't held out; equal restored texts of one class count once.
+
+    Features are counted by Spark; only the names of the sure ones, and how many texts have which
+    of them, come to the driver, never a text.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for label in (0, 1):
@@ -340,10 +345,27 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
         restorer = Restorer(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(restorer.restore_all(part.column(0)), pa.string()), part.column(1)], names=["text", "toxic"])
+                restored = restorer.restore_all(part.column(0))
+                found = [[f"{kind}{x}" for kind, of in enumerate(features(t)) for x in of] for t in restored]
+                digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in restored]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["digest", "toxic", "features"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, "digest string, toxic int, features array<string>")
+    rows = stored(rows.dropDuplicates(["digest", "toxic"]).drop("digest"), "labelled-features", "zstd")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return fit([], [], 0.0)
+    names = sorted((int(x[0]), x[1:]) for x in sure_features(rows, n[1], n[0]).toArrow().column("feature").to_pylist())
+    numbers = docs.sparkSession.sparkContext.broadcast({f"{kind}{x}": k for k, (kind, x) in enumerate(names)})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = numbers.value
+        for batch in batches:
+            own = [sorted(known[x] for x in of if x in known) for of in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "text string, toxic int").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), counts.get(1, 0) / max(1, sum(counts.values())))
+    alike = rows.select("toxic", "features").mapInArrow(number, "toxic int, own array<int>").groupBy("own", "toxic").agg(F.count("*").alias("n")).toArrow()
+    return fit(names, [(tuple(r["own"]), r["toxic"], r["n"]) for r in alike.to_pylist()], counts[1] / sum(counts.values()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

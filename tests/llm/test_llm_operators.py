@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -432,6 +433,32 @@ def test_disguises_at_word_ends_and_set_apart_by_anything():
         assert restorer.restore_all(pa.array([text]))[0] == f"such {plain} here", disguised
 
 
+def test_viterbi_equals_all_readings():
+    model, rng = small_restorer().model, random.Random(12)
+    symbol = lambda c: int(toxicity.symbols(c)[0])
+
+    def cost(pieces):
+        total, s = sum(c for _, c in pieces), [0, 0, *(symbol(c) for p, _ in pieces for c in p), 0]
+        return total + sum(float(model[s[k], s[k + 1], s[k + 2]]) for k in range(len(s) - 2))
+
+    for _ in range(60):
+        stretch = "".join(rng.choice(["i", "d", "o", "t", "1", "0", "7", "$", "@", "!", "ooo", "é", "5"]) for _ in range(rng.randint(1, 6)))
+        places = toxicity.lattice(stretch)
+        readings = {}
+        for pieces in itertools.product(*places):
+            text = "".join(p for p, _ in pieces)
+            readings[text] = min(readings.get(text, math.inf), cost(pieces))
+        assert readings[toxicity.viterbi(places, model)] <= min(readings.values()) + 1e-4, stretch
+
+
+def test_equal_rows_and_texts_weigh_once(spark):
+    df = spark.createDataFrame([(i, f"plain {'idiot' if i % 2 else 'fine'} {i}") for i in range(200)], "doc_id long, text string")
+    known = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    found = {r.doc_id: r.score for r in toxicity.score_documents(df, known).collect()}
+    again = toxicity.score_documents(df.unionByName(df.where("doc_id % 3 = 0")), known.unionByName(known)).collect()
+    assert len(again) == 267 and all(r.score == found[r.doc_id] for r in again)
+
+
 def test_hints_are_never_too_few():
     restorer, rng = small_restorer(), random.Random(9)
     pieces = ["idiot", "moron", "a", "i", "é", "и", "д", "日", "😀", "ſ", "S", "s", "sss", "ÉéÉ", "0", "55", "7", "$", "@", "!", "£", "¡", "€", "*", "|", "+", " ", "   ", "\t", "\n", "\xa0", "\u2003", ",", "~", ".", "-", "_", "·", "/", "\x1c"]
