@@ -1,20 +1,29 @@
 """Benchmark decontamination on a distributed positional inverted index (operator 10).
 
-:func:`build_index` turns runs of documents into index blocks, one row each: the documents
-of the block and, for every term, the sorted word positions at which it stands.  Blocks are
-the index's partitions, so building and searching shuffle nothing, and the stored table can
-be searched again with other benchmarks.
-
-:func:`matches` takes every window of each benchmark item.  In a block, a window that has a
-term without postings is out at once; for the others the postings of the rarest term give
-the candidate starts (position minus the term's offset in the window), and the lists of the
-other terms, rarest first, are intersected at their own offsets.  What is left are the exact
-phrase matches; with ``slop`` the other terms may stand up to so many words away from their
-place in the same document (proximity matches).
-
-Benchmarks of any size: items are taken in slices of at most ``SLICE_CHARS`` characters, each
-sent to all tasks; hits of several slices are merged per document.  Null texts have no words
-and null item ids are written as ``null``; repeated items count once.
+:func:`build_index` turns runs of training documents into index blocks, one row each: the
+documents of the block and, for every term in it, the sorted word positions at which it stands.
+It knows nothing of benchmarks: the stored table is the index of the training data and can be
+searched by any number of them.
+
+:func:`matches` searches it with tables only, whatever their sizes; nothing of the benchmark
+passes the driver.  Every distinct window of the items is a row.  The index tells how often each
+of their terms occurs in the whole corpus, so each window has its terms from the rarest on, and
+goes to the blocks that have its rarest term; one without postings for that fits nowhere.  There
+blocks and their windows are co-located by a shuffle and streamed, the block before its windows:
+the postings of the rarest term give candidate starts (position minus the term's offset in the
+window), and the offset-adjusted lists of the other terms are intersected, rarest first.  What is
+left are the exact phrase matches; with ``slop`` the other terms may stand up to so many words
+away from their place in the same document (proximity matches; a window may then begin or end
+beyond the document, and its span is cut there).
+
+Terms are 64-bit hashes (:func:`.words.word_hashes`: words of up to eight bytes and equal length
+never collide), so a false exact match of a window takes as many chance collisions as the window
+has words.
+
+Null and empty texts have no words; texts without words are no windows and are never hit.  Null
+item ids are written as ``null``; repeated items count once; repeated documents get equal results;
+one very long document is a block of its own.  Empty tables give no rows, or no hits.  Extra
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -27,16 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import PUNCTUATION, U64, segment_sum, slices, word_table
+from .words import PUNCTUATION, U64, slices, word_table
 
 WIDTH = 13
-SLICE_CHARS = 4 << 20
-BLOCK = "block string, n_docs long, doc_ids binary, nulls binary, first binary, terms binary, term_first binary, steps binary"
-MATCHES = "block string, row long, doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+#: Index blocks (about a megabyte of text each) a shuffle partition of the search.
+BLOCKS_A_PARTITION = 32
+CELLS = "n_docs long, doc_ids binary, nulls binary, first binary, steps binary"
+BLOCK = f"block string, terms array<long>, counts array<int>, {CELLS}"
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """Index blocks of ``docs`` (doc_id, text); ``vocabulary``: sorted hashes of the only terms to index, or all."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """Index blocks of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -44,79 +54,89 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
         for batch in batches:
             for part in slices(batch, "text"):
                 table = word_table(part.column(1), PUNCTUATION, lower=True)
-                at = np.arange(len(table.hash))
-                if vocabulary is not None:
-                    place = np.minimum(np.searchsorted(vocabulary, table.hash), max(len(vocabulary) - 1, 0))
-                    at = np.flatnonzero(vocabulary[place] == table.hash) if len(vocabulary) else at[:0]
-                order = at[np.argsort(table.hash[at], kind="stable")]
-                terms, first = np.unique(table.hash[order], return_index=True)
+                order = np.argsort(table.hash, kind="stable")
+                terms, counts = np.unique(table.hash, return_counts=True)
                 ids = part.column(0)
-                cells = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), table.first.astype(np.int64), terms, np.append(first, len(order)).astype(np.int64), np.diff(order, prepend=0).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([part.num_rows]), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["block", "n_docs", "doc_ids", "nulls", "first", "terms", "term_first", "steps"])
+                cells = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), table.first.astype(np.int64), np.diff(order, prepend=0).astype(np.int32)]
+                lists = [pa.array([terms.view(np.int64)], pa.list_(pa.int64())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, pa.array([part.num_rows]), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["block", "terms", "counts", "n_docs", "doc_ids", "nulls", "first", "steps"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
 
 
-def item_windows(rows: list, width: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Item names, and for each distinct (item, window): the item, its length, and its terms padded to ``width``."""
-    table = word_table(pa.array([r["text"] for r in rows], pa.string()), PUNCTUATION, lower=True)
-    item, terms, size = [], [], []
-    for k, (a, b) in enumerate(zip(table.first[:-1], table.first[1:], strict=True)):
-        n = min(width, b - a)
-        if n:
-            h = np.lib.stride_tricks.sliding_window_view(table.hash[a:b], n)
-            terms.append(np.pad(h, ((0, 0), (0, width - n))))
-            item.append(np.full(len(h), k))
-            size.append(np.full(len(h), n))
-    names = ["null" if r["item_id"] is None else str(r["item_id"]) for r in rows]
-    if not terms:
-        return names, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), U64)
-    return names, np.concatenate(item), np.concatenate(size), np.concatenate(terms)
-
-
-def find_in_block(terms: np.ndarray, term_first: np.ndarray, positions: np.ndarray, word_doc: np.ndarray, wanted: np.ndarray, size: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (rows of ``wanted``) and the word positions where they start."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def stored_index(docs: DataFrame) -> DataFrame:
+    return stored(build_index(docs), "postings", "zstd")
+
+
+def documents_of(index: DataFrame) -> DataFrame:
+    """block, row, doc_id, n_words of every indexed document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = row["n_docs"]
+                ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n), pa.array(np.arange(n)), ids, pa.array(np.diff(np.frombuffer(row["first"], np.int64)))], names=["block", "row", "doc_id", "n_words"])
+
+    return index.select("block", "n_docs", "doc_ids", "nulls", "first").mapInArrow(run, "block string, row long, doc_id long, n_words long")
+
+
+def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """item, terms: every distinct window of every item (fewer than ``width`` terms: the whole item)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                table = word_table(part.column(1), PUNCTUATION, lower=True)
+                items, terms = [], []
+                for name, a, b in zip(part.column(0).to_pylist(), table.first[:-1], table.first[1:], strict=True):
+                    n = min(width, b - a)
+                    if n:
+                        own = np.lib.stride_tricks.sliding_window_view(table.hash[a:b], n).view(np.int64)
+                        items += [name] * len(own)
+                        terms += list(own)
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(terms, pa.list_(pa.int64()))], names=["item", "terms"])
+
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    return named.mapInArrow(run, "item string, terms array<long>").distinct()
+
+
+def find_in_block(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, first: np.ndarray, wanted: np.ndarray, offsets: np.ndarray, size: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (rows of ``wanted``), the documents they are in, and the word positions where they start.
+
+    ``wanted`` holds each window's terms from the rarest on and ``offsets`` their places in the window.
+    """
+    none = np.zeros(0, np.int64)
     if not len(terms) or not len(wanted):
-        return none
-    n = len(word_doc)
+        return none, none, none
     real = np.arange(wanted.shape[1]) < size[:, None]
     place = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
-    known = terms[place] == wanted
-    possible = np.flatnonzero((known | ~real).all(1))
-    if not len(possible):
-        return none
-    place, real = place[possible], real[possible]
-    counts = np.where(real, np.diff(term_first)[place], np.iinfo(np.int64).max)
-    rarest_first = np.argsort(counts, axis=1, kind="stable")
-    rows = np.arange(len(possible))
-    best = rarest_first[:, 0]
-    n_seen = counts[rows, best]
-    window = np.repeat(rows, n_seen)
-    begins = np.repeat(term_first[place[rows, best]] - np.concatenate([[0], np.cumsum(n_seen)[:-1]]), n_seen)
-    start = positions[begins + np.arange(len(window))] - best[window]
-    fits = (start >= 0) & (start + size[possible][window] <= n)
-    window, start = window[fits], start[fits]
-    last = start + size[possible][window] - 1
-    whole = word_doc[start] == word_doc[last]
-    window, start = window[whole], start[whole]
-    keys = np.repeat(np.arange(len(terms)), np.diff(term_first)) * (n + 1) + positions
+    possible = np.flatnonzero(((terms[place] == wanted) | ~real).all(1))
+    place, real, offsets, size = place[possible], real[possible], offsets[possible], size[possible]
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    n_seen = counts[place[:, 0]] if len(possible) else none
+    window = np.repeat(np.arange(len(possible)), n_seen)
+    at = np.arange(len(window)) - np.repeat(np.cumsum(n_seen) - n_seen, n_seen)
+    seen = positions[begin[place[window, 0]] + at]
+    doc = np.searchsorted(first, seen, "right") - 1
+    start = seen - offsets[window, 0]
+    low, high = first[doc], first[doc + 1] - 1
+    if not slop:
+        fits = (start >= low) & (start + size[window] - 1 <= high)
+        window, doc, start, low, high = (x[fits] for x in (window, doc, start, low, high))
+    n = int(first[-1]) + 1
+    keys = np.repeat(np.arange(len(terms)), counts) * n + positions
     for step in range(1, wanted.shape[1]):
         if not len(window):
             break
-        offset = rarest_first[window, step]
-        asked = real[window, offset]
-        expected = start + offset
-        low = place[window, offset] * (n + 1) + np.maximum(expected - slop, 0)
-        high = place[window, offset] * (n + 1) + np.minimum(expected + slop, n)
-        at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-        good = (keys[at] >= low) & (keys[at] <= high)
-        if slop:
-            found = np.where(good, positions[at], start)
-            good &= word_doc[found] == word_doc[start]
-        good |= ~asked
-        window, start = window[good], start[good]
-    return possible[window], start
+        base = place[window, step] * n
+        expected = start + offsets[window, step]
+        # the first posting from the earliest allowed place on is the only one that needs a look
+        nearest = np.searchsorted(keys, base + np.maximum(expected - slop, low))
+        found = keys[np.minimum(nearest, len(keys) - 1)]
+        good = (nearest < len(keys)) & (found >= base) & (found <= base + np.minimum(expected + slop, high)) | ~real[window, step]
+        window, doc, start, low, high = (x[good] for x in (window, doc, start, low, high))
+    return possible[window], doc, start
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,48 +148,75 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
-def matches(index: DataFrame, rows: list, width: int = WIDTH, slop: int = 0) -> DataFrame:
-    """For every document of the index: its words, the spans of words hit, and the ids of the items that hit it."""
-    names, item, size, wanted = item_windows(rows, width)
-    sent = index.sparkSession.sparkContext.broadcast((names, item, size, wanted))
+def rarest_first(index: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """window, size, terms and offsets (rarest in the corpus first) of windows whose terms all occur; and block, term of those terms."""
+    each = windows.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    asked = each.select("term").distinct()
+    postings = index.select("block", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("block", F.col("p.terms").alias("term"), F.col("p.counts").alias("n"))
+    directory = stored(postings.join(asked, "term", "left_semi"), "directory", "zstd")
+    often = directory.groupBy("term").agg(F.sum("n").alias("n"))
+    known = each.join(often, "term").groupBy("window", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("found"))
+    ordered = known.where(F.size("found") == F.col("size")).select("window", "size", F.col("found.term").alias("terms"), F.col("found.offset").alias("offsets"))
+    return ordered, directory.select("block", "term")
+
+
+def matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """block, row, start, end of the spans hit (merged where they touch); and block, row, item."""
+    owned = stored(item_windows(benchmark, width).withColumn("window", F.xxhash64("terms")).withColumn("window2", F.xxhash64(F.reverse("terms"), F.size("terms"))), "windows")
+    windows = owned.groupBy(F.struct("window", "window2").alias("window")).agg(F.first("terms").alias("terms"))
+    ordered, directory = rarest_first(index, windows)
+    ordered = stored(ordered, "ordered-windows")
+    pairs = stored(ordered.withColumn("term", F.element_at("terms", 1)).join(directory, "term").select("block", "window", "size", "terms", "offsets"), "block-windows", "zstd")
+    blocks = index.select("block", F.lit(0).alias("kind"), "terms", "counts", "n_docs", "doc_ids", "nulls", "first", "steps").join(pairs.select("block").distinct(), "block", "left_semi")
+    both = blocks.unionByName(pairs.withColumn("kind", F.lit(1)), allowMissingColumns=True).select("block", "kind", "terms", "counts", "first", "steps", F.col("window.window").alias("w1"), F.col("window.window2").alias("w2"), "size", "offsets")
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // BLOCKS_A_PARTITION))
+
+    def padded(column: pa.Array, size: np.ndarray, kind) -> np.ndarray:
+        out = np.zeros((len(size), width), dtype=kind)
+        out[np.arange(width) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False).view(kind) if kind == U64 else column.flatten().to_numpy(zero_copy_only=False)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, item, size, wanted = sent.value
+        name = terms = counts = first = positions = None
         for batch in batches:
-            for row in batch.to_pylist():
-                get = lambda name, kind: np.frombuffer(row[name], dtype=kind)  # noqa: E731, B023
-                first, terms, term_first = get("first", np.int64), get("terms", U64), get("term_first", np.int64)
-                word_doc = np.repeat(np.arange(row["n_docs"]), np.diff(first))
-                window, start = find_in_block(terms, term_first, np.cumsum(get("steps", np.int32), dtype=np.int64), word_doc, wanted, size, slop)
-                spans: list[list] = [[]] * row["n_docs"]
-                items: list[list] = [[]] * row["n_docs"]
-                doc = word_doc[start]
-                order = np.argsort(doc, kind="stable")
-                hit, begins = np.unique(doc[order], return_index=True)
-                for d, own in zip(hit.tolist(), np.split(order, begins[1:]), strict=True) if len(hit) else ():
-                    s, e = merged(start[own] - first[d], start[own] + size[window[own]] - first[d])
-                    spans[d] = [{"s": a, "e": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-                    items[d] = sorted({names[i] for i in np.unique(item[window[own]])})
-                n = row["n_docs"]
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n), pa.array(np.arange(n)), pa.array(get("doc_ids", np.int64), mask=get("nulls", np.uint8).astype(bool)), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["block", "row", "doc_id", "n_words", "spans", "items"])
-
-    return index.mapInArrow(run, MATCHES)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), spans, items."""
-    asked = benchmark.select("item_id", "text").where("text is not null").distinct()
-    total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // SLICE_CHARS))
-    parts = [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-    vocabulary = np.unique(item_windows(parts[0].collect(), width)[3]) if n == 1 else None
-    index = stored(build_index(docs, vocabulary), "postings", "zstd")
-    found = None
-    for part in parts:
-        more = matches(index, part.collect(), width)
-        found = more if found is None else found.unionByName(more)
-    if n > 1:
-        found = found.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    hit = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'to', 0L), (a, x) -> named_struct('n', a.n + greatest(0L, x.e - greatest(x.s, a.to)), 'to', greatest(a.to, x.e)), a -> a.n)")
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "spans", "items")
+            kinds = batch.column(1).to_numpy(zero_copy_only=False)
+            bounds = np.unique(np.concatenate([[0], np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 0) + 1, [len(kinds)]]))
+            for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if kinds[at] == 0:
+                    name = batch.column(0)[at].as_py()
+                    terms, counts = batch.column(2)[at].values.to_numpy(zero_copy_only=False).view(U64), batch.column(3)[at].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    first, positions = np.frombuffer(batch.column(4)[at].as_py(), np.int64), np.cumsum(np.frombuffer(batch.column(5)[at].as_py(), np.int32), dtype=np.int64)
+                    continue
+                part = batch.slice(at, to - at)
+                size = part.column(8).to_numpy(zero_copy_only=False).astype(np.int64)
+                window, doc, start = find_in_block(terms, counts, positions, first, padded(part.column(2), size, U64), padded(part.column(9), size, np.int64), size, slop)
+                if not len(window):
+                    continue
+                # spans of one document lie apart from those of others, so all are merged at once on their own scale
+                begin, end = np.maximum(start, first[doc]), np.minimum(start + size[window], first[doc + 1])
+                s, e = merged(begin + doc, end + doc)
+                of = np.searchsorted(first + np.arange(len(first)), s, "right") - 1
+                hit = np.unique(np.stack([doc, window]), axis=1)
+                n, m = len(s), hit.shape[1]
+                w = pa.array(hit[1])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (n + m)), pa.array(np.concatenate([of, hit[0]])), pa.array([*(s - of - first[of]).tolist(), *[None] * m], pa.int64()), pa.array([*(e - of - first[of]).tolist(), *[None] * m], pa.int64()), *(pa.concat_arrays([pa.nulls(n, pa.int64()), part.column(k).take(w)]) for k in (6, 7))], names=["block", "row", "start", "end", "w1", "w2"])
+
+    found = stored(both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "block string, row long, start long, end long, w1 long, w2 long"), "found", "zstd")
+    items = found.where("w1 is not null").join(owned.select(F.col("window").alias("w1"), F.col("window2").alias("w2"), "item"), ["w1", "w2"]).select("block", "row", "item").distinct()
+    return found.where("start is not null").select("block", "row", "start", "end"), items
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), spans, items; one row a document.
+
+    ``index``: a :func:`stored_index` of the documents, if there is one already.
+    """
+    index = stored_index(docs) if index is None else index
+    hits, named = matches(index, benchmark, width, slop)
+    spans = hits.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
+    items = named.groupBy("block", "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = stored(spans.join(items, ["block", "row"], "full_outer"), "hits")
+    n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0L), (a, x) -> named_struct('n', a.n + greatest(0L, x.e - greatest(x.s, a.to)), 'to', greatest(a.to, x.e)), a -> a.n)")
+    all_docs = documents_of(index).join(found, ["block", "row"], "left").withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<string>)"))})
+    out = all_docs.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans", "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

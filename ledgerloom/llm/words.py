@@ -2,22 +2,21 @@
 
 Every text operator of this subpackage reads its words through :func:`word_table`:
 the UTF-8 bytes of a slice of documents are classified with a 256-entry delimiter
-table, word boundaries come from that mask, and each word gets a 64-bit hash from
-prefix sums, so no Python code runs per word.  Null texts count as empty.
+table, word boundaries come from that mask, and all words are hashed together, eight
+bytes at a time, so no Python code runs per word.  Null texts count as empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def _table(inside) -> np.ndarray:
@@ -43,29 +42,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
+#: Longer words are hashed one by one; the others eight bytes at a time, all words at once.
+LONG_WORD = 512
+_SPREAD = U64(0xA24BAED4963EE407)
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``.
 
-    forward = backward = np.ones(0, dtype=U64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.forward) < n:
-            size = max(n, SLICE_BYTES)
-            for name, base in (("forward", _BASE), ("backward", pow(_BASE, -1, 1 << 64))):
-                x = np.full(size, base, dtype=U64)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
-            if size > 8 * SLICE_BYTES:  # a very long text must not pin its tables
-                out = cls.forward, cls.backward
-                cls.forward = cls.backward = np.ones(0, dtype=U64)
-                return out
-        return cls.forward, cls.backward
+    Each eight bytes are xored into the state, which then goes through a bijection: words of up
+    to eight bytes and equal length never collide, others by chance alone (no structure of the
+    text, like two mirrored runs of letters, makes the products cancel as in a polynomial).
+    """
+    size = end - start
+    out = mix((size.astype(U64) + U64(1)) * _SPREAD)
+    short = np.flatnonzero(size <= LONG_WORD)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    at, left = start[short], size[short]
+    while len(short):
+        chunk = np.ascontiguousarray(eight[at]).view("<u8").ravel()
+        some = left < 8
+        chunk[some] &= (U64(1) << (U64(8) * left[some].astype(U64))) - U64(1)
+        out[short] = mix(out[short] * _SPREAD ^ chunk)
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] ^= U64(xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes()))
+    return out
 
 
 @dataclass
@@ -132,11 +136,7 @@ def word_table(texts: pa.Array, delimiters: np.ndarray = SPACES, lower: bool = F
         edge[:-1] = ~inside[1:]
     end = np.flatnonzero(inside & (edge | opens[1:])) + 1
     first = np.searchsorted(start, offsets)
-    forward, backward = _Powers.upto(n + 1)
-    prefix = np.zeros(n + 1, dtype=U64)
-    np.cumsum(_letters()[data] * forward[:n], out=prefix[1:])
-    value = (prefix[end] - prefix[start]) * backward[start]
-    return WordTable(data, offsets, start, end, first, mix(value + (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
+    return WordTable(data, offsets, start, end, first, word_hashes(data, start, end))
 
 
 def windows(table: WordTable, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -198,15 +198,49 @@ def test_decontamination(spark, docs, none):
     assert {r.n_hit for r in decontamination.contamination(docs, benchmark.where("false")).collect()} == {0}
 
 
-def test_decontamination_in_slices_and_proximity(spark, monkeypatch):
+def test_one_index_serves_many_benchmarks_and_proximity(spark):
+    docs = spark.createDataFrame([(0, "x a0 b0 c0 d0 a1 b1 c1 d1"), (1, "a2 q b2 c2 d2"), (2, "a3 b3 c3"), (3, "b4 c4 d4"), (4, "q c5 a5 c5 b5 d5 " + "long " * 300_000), (5, "a1 b1"), (6, "c1 d1")], "doc_id long, text string").coalesce(1)
+    index = decontamination.stored_index(docs)
     items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(6)], "item_id long, text string")
-    docs = spark.createDataFrame([(0, "x a0 b0 c0 d0 a1 b1 c1 d1"), (1, "a2 q b2 c2 d2"), (2, "a3 b3 c3")], "doc_id long, text string")
-    whole = sorted(map(str, decontamination.contamination(docs, items).drop("spans").collect()))
-    monkeypatch.setattr(decontamination, "SLICE_CHARS", 20)
-    assert sorted(map(str, decontamination.contamination(docs, items).drop("spans").collect())) == whole
-    index = decontamination.build_index(docs)
-    near = {r.doc_id: r["items"] for r in decontamination.matches(index, items.collect(), slop=1).collect()}
-    assert near == {0: ["0", "1"], 1: ["2"], 2: []}
+    found = lambda of, slop=0: {r.doc_id: (r["items"], r.n_hit) for r in decontamination.contamination(docs, of, slop=slop, index=index).collect() if r.n_hit}
+    assert found(items) == {0: (["0", "1"], 8)}
+    assert found(items.where("item_id = 1")) == {0: (["1"], 4)}
+    # a posting in the document before, or one at its edge, hides nothing: c5 stands twice near its place
+    assert set(found(items, 1)) == {0, 1, 4}
+    assert found(items, 1)[1][0] == ["2"]
+    assert found(spark.createDataFrame([(9, "b4 c4 d4")], "item_id long, text string")) == {3: (["9"], 3)}
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    items = [" ".join(rng.choice("abcdef") for _ in range(4)) for _ in range(5)]
+    docs, benchmark = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    often = collections.Counter(w for t in texts for w in t.split())
+    index = decontamination.stored_index(docs)
+    for slop in (0, 1, 3):
+        found = {r.doc_id: set(r["items"]) for r in decontamination.contamination(docs, benchmark, slop=slop, index=index).collect()}
+        for d, text in enumerate(texts):
+            w = text.split()
+            near = lambda start, k, t: any(0 <= p < len(w) and w[p] == t for p in range(start + k - slop, start + k + slop + 1))  # noqa: B023, E731
+            hit = set()
+            for i, item in enumerate(items):
+                terms = item.split()
+                rarest = min(range(4), key=lambda k: (often[terms[k]], k))  # noqa: B023
+                if any(x == terms[rarest] and all(near(p - rarest, k, t) for k, t in enumerate(terms)) for p, x in enumerate(w)):
+                    hit.add(str(i))
+            assert found[d] == hit, (slop, d)
+
+
+def test_words_do_not_collide_by_structure():
+    from ledgerloom.llm import words as tables
+
+    for size in (5, 8, 9, 64, 1024):
+        mirrored = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+        texts = [mirrored, mirrored.translate(str.maketrans("ab", "ba")), mirrored[::-1] + "a", "a" * size, "a" * (size + 1)]
+        h = tables.word_table(pa.array(texts)).hash
+        assert len(set(h.tolist())) == len(set(texts))
+        assert tables.word_table(pa.array(["x " + " ".join(texts)])).hash[1:].tolist() == h.tolist()
 
 
 def test_mixing(spark, docs, none):
