@@ -129,8 +129,8 @@ def jaccard_components(texts, width, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates(spark, docs, none, width):
+@pytest.mark.parametrize(("width", "part"), [(4, near_duplicates.PART), (5, near_duplicates.PART), (5, 3)])
+def test_near_duplicates(spark, docs, none, width, part):
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 3000)}" for _ in range(150)]
     rows = [(i, t) for i, t in enumerate(sample_texts())]
@@ -141,7 +141,7 @@ def test_near_duplicates(spark, docs, none, width):
         rows.append((1000 - k, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *CLASH)
     expected = jaccard_components(rows, width, 80)
-    found = near_duplicates.near_duplicates(df, width=width).collect()
+    found = near_duplicates.near_duplicates(df, width=width, part=part).collect()
     assert len(found) == len(rows)
     for r in found:
         assert (r.n_shingles, r.component_id) == expected[r.doc_id], r
@@ -151,6 +151,15 @@ def test_near_duplicates(spark, docs, none, width):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates.near_duplicates(nameless, width=width).collect()) == [(0, 0, True), (0, 0, True), (3, 3, True)]
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    rng = random.Random(31)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (5, a), (5, b), (3, b + " tail"), (9, a + " end"), (7, c), (7, c), (8, d), (8, None), (6, d)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == sorted([(5, 3, False)] * 3 + [(3, 3, True), (9, 3, False), (7, 7, True), (7, 7, True), (8, 6, False), (8, 8, True), (6, 6, True)])
+
+
 def test_pairs_at_the_threshold_rarely_miss_all_keys():
     g, r = near_duplicates.GROUPS, near_duplicates.ROWS
     assert 1 - (1 - (1 - 0.8**r) ** g) ** 2 < 0.0001
