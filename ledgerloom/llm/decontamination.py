@@ -8,9 +8,9 @@ searched by any number of them.
 :func:`matches` searches it with tables only, whatever their sizes; nothing of the benchmark
 passes the driver.  Every distinct window of the items is a row.  The index tells how often each
 of their terms occurs in the whole corpus, so each window has its terms from the rarest on, and
-goes to the blocks that have its rarest term; one without postings for that fits nowhere.  There
-blocks and their windows are co-located by a shuffle and streamed, the block before its windows:
-the postings of the rarest term give candidate starts (position minus the term's offset in the
+goes to the blocks that have its ``PROBED`` rarest terms; one without postings for them fits
+nowhere.  There the block's postings of terms that the benchmark has and its windows are
+co-located by a shuffle and streamed, the postings before the windows: those of the rarest term give candidate starts (position minus the term's offset in the
 window), and the offset-adjusted lists of the other terms are intersected, rarest first.  What is
 left are the exact phrase matches; with ``slop`` the other terms may stand up to so many words
 away from their place in the same document (proximity matches; a window may then begin or end
@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import PUNCTUATION, U64, slices, word_table
+from .words import PUNCTUATION, slices, word_table
 
 WIDTH = 13
 #: Index blocks (about a megabyte of text each) a shuffle partition of the search.
 BLOCKS_A_PARTITION = 32
-CELLS = "n_docs long, doc_ids binary, nulls binary, first binary, steps binary"
-BLOCK = f"block string, terms array<long>, counts array<int>, {CELLS}"
+#: A window goes to blocks that have so many of its rarest terms.
+PROBED = 3
+BLOCK = "block long, n_docs long, doc_ids binary, nulls binary, first binary, terms array<long>, steps array<binary>"
+HEADER, POSTINGS, WINDOW = 0, 1, 2
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -54,12 +56,17 @@ def build_index(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 table = word_table(part.column(1), PUNCTUATION, lower=True)
-                order = np.argsort(table.hash, kind="stable")
-                terms, counts = np.unique(table.hash, return_counts=True)
+                h = table.hash.view(np.int64)
+                order = np.argsort(h, kind="stable")
+                terms, begin = np.unique(h[order], return_index=True)
+                steps = np.diff(order, prepend=0)
+                steps[begin] = order[begin]
+                steps, ends = steps.astype("<i4"), np.append(begin, len(order)).astype(np.int32) * 4
                 ids = part.column(0)
-                cells = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), table.first.astype(np.int64), np.diff(order, prepend=0).astype(np.int32)]
-                lists = [pa.array([terms.view(np.int64)], pa.list_(pa.int64())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, pa.array([part.num_rows]), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["block", "terms", "counts", "n_docs", "doc_ids", "nulls", "first", "steps"])
+                cells = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), table.first.astype(np.int64)]
+                one = pa.array([0, len(terms)], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, pa.array(terms)), pa.ListArray.from_arrays(one, pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(steps.tobytes())]))]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([part.num_rows]), *(pa.array([c.tobytes()], pa.binary()) for c in cells), *lists], names=["block", "n_docs", "doc_ids", "nulls", "first", "terms", "steps"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
 
@@ -78,7 +85,7 @@ def documents_of(index: DataFrame) -> DataFrame:
                 ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n), pa.array(np.arange(n)), ids, pa.array(np.diff(np.frombuffer(row["first"], np.int64)))], names=["block", "row", "doc_id", "n_words"])
 
-    return index.select("block", "n_docs", "doc_ids", "nulls", "first").mapInArrow(run, "block string, row long, doc_id long, n_words long")
+    return index.select("block", "n_docs", "doc_ids", "nulls", "first").mapInArrow(run, "block long, row long, doc_id long, n_words long")
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -148,61 +155,85 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
-def rarest_first(index: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """window, size, terms and offsets (rarest in the corpus first) of windows whose terms all occur; and block, term of those terms."""
+def rarest_first(postings: DataFrame, windows: DataFrame) -> DataFrame:
+    """window, size, terms and offsets (rarest in the corpus first) of windows whose terms all occur."""
     each = windows.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    asked = each.select("term").distinct()
-    postings = index.select("block", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("block", F.col("p.terms").alias("term"), F.col("p.counts").alias("n"))
-    directory = stored(postings.join(asked, "term", "left_semi"), "directory", "zstd")
-    often = directory.groupBy("term").agg(F.sum("n").alias("n"))
+    often = postings.groupBy("term").agg(F.sum("n").alias("n"))
     known = each.join(often, "term").groupBy("window", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("found"))
-    ordered = known.where(F.size("found") == F.col("size")).select("window", "size", F.col("found.term").alias("terms"), F.col("found.offset").alias("offsets"))
-    return ordered, directory.select("block", "term")
+    return known.where(F.size("found") == F.col("size")).select("window", "size", F.col("found.term").alias("terms"), F.col("found.offset").alias("offsets"))
+
+
+def windows_by_block(postings: DataFrame, ordered: DataFrame) -> DataFrame:
+    """block, window: where the window's ``PROBED`` rarest terms all are."""
+    directory = postings.select("block", "term")
+    found = ordered.select("window", "size", "terms").withColumn("term", F.element_at("terms", 1)).join(directory, "term").select("block", "window", "size", "terms")
+    for k in range(2, PROBED + 1):
+        there = directory.withColumnsRenamed({"block": "there", "term": "next"})
+        short = F.col("size") < k
+        found = found.where(short).unionByName(found.where(~short).join(there, (F.col("block") == F.col("there")) & (F.element_at("terms", F.lit(k)) == F.col("next")), "left_semi"))
+    return found.select("block", "window")
+
+
+def _matrix(column: pa.Array, size: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(size), width), dtype=np.int64)
+    out[np.arange(width) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """block, row, start, end of the spans hit (merged where they touch); and block, row, item."""
-    owned = stored(item_windows(benchmark, width).withColumn("window", F.xxhash64("terms")).withColumn("window2", F.xxhash64(F.reverse("terms"), F.size("terms"))), "windows")
-    windows = owned.groupBy(F.struct("window", "window2").alias("window")).agg(F.first("terms").alias("terms"))
-    ordered, directory = rarest_first(index, windows)
-    ordered = stored(ordered, "ordered-windows")
-    pairs = stored(ordered.withColumn("term", F.element_at("terms", 1)).join(directory, "term").select("block", "window", "size", "terms", "offsets"), "block-windows", "zstd")
-    blocks = index.select("block", F.lit(0).alias("kind"), "terms", "counts", "n_docs", "doc_ids", "nulls", "first", "steps").join(pairs.select("block").distinct(), "block", "left_semi")
-    both = blocks.unionByName(pairs.withColumn("kind", F.lit(1)), allowMissingColumns=True).select("block", "kind", "terms", "counts", "first", "steps", F.col("window.window").alias("w1"), F.col("window.window2").alias("w2"), "size", "offsets")
+    owned = stored(item_windows(benchmark, width).withColumns({"w1": F.xxhash64("terms"), "w2": F.xxhash64(F.reverse("terms"), F.size("terms"))}), "windows")
+    windows = owned.groupBy("w1", "w2").agg(F.first("terms").alias("terms")).select(F.struct("w1", "w2").alias("window"), "terms")
+    asked = owned.select(F.explode("terms").alias("term")).distinct()
+    each = index.select("block", F.explode(F.arrays_zip("terms", "steps")).alias("p")).select("block", F.col("p.terms").alias("term"), F.col("p.steps").alias("cell"))
+    postings = stored(each.join(asked, "term", "left_semi").select("block", "term", "cell", (F.length("cell") / 4).cast("long").alias("n")), "asked-postings", "zstd")
+    ordered = stored(rarest_first(postings, windows), "ordered-windows")
+    placed = stored(windows_by_block(postings, ordered), "block-windows")
+    blocks = placed.select("block").distinct()
+    heads = index.select("block", F.lit(HEADER).alias("kind"), F.col("first").alias("cell")).join(blocks, "block", "left_semi")
+    lists = postings.select("block", F.lit(POSTINGS).alias("kind"), "term", "cell").join(blocks, "block", "left_semi")
+    asks = placed.join(ordered, "window").select("block", F.lit(WINDOW).alias("kind"), "window.w1", "window.w2", "size", "terms", "offsets")
+    both = heads.unionByName(lists, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True).select("block", "kind", "term", "cell", "w1", "w2", "size", "terms", "offsets")
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // BLOCKS_A_PARTITION))
 
-    def padded(column: pa.Array, size: np.ndarray, kind) -> np.ndarray:
-        out = np.zeros((len(size), width), dtype=kind)
-        out[np.arange(width) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False).view(kind) if kind == U64 else column.flatten().to_numpy(zero_copy_only=False)
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = terms = counts = first = positions = None
+        first, known, cells, ready = None, [], [], None
         for batch in batches:
-            kinds = batch.column(1).to_numpy(zero_copy_only=False)
-            bounds = np.unique(np.concatenate([[0], np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 0) + 1, [len(kinds)]]))
-            for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if kinds[at] == 0:
-                    name = batch.column(0)[at].as_py()
-                    terms, counts = batch.column(2)[at].values.to_numpy(zero_copy_only=False).view(U64), batch.column(3)[at].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    first, positions = np.frombuffer(batch.column(4)[at].as_py(), np.int64), np.cumsum(np.frombuffer(batch.column(5)[at].as_py(), np.int32), dtype=np.int64)
-                    continue
+            kinds, blocks = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            edges = np.flatnonzero((kinds[1:] != kinds[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            bounds = np.concatenate([[0], edges, [len(kinds)]]).tolist()
+            for at, to in zip(bounds[:-1], bounds[1:], strict=True):
                 part = batch.slice(at, to - at)
-                size = part.column(8).to_numpy(zero_copy_only=False).astype(np.int64)
-                window, doc, start = find_in_block(terms, counts, positions, first, padded(part.column(2), size, U64), padded(part.column(9), size, np.int64), size, slop)
-                if not len(window):
-                    continue
-                # spans of one document lie apart from those of others, so all are merged at once on their own scale
-                begin, end = np.maximum(start, first[doc]), np.minimum(start + size[window], first[doc + 1])
-                s, e = merged(begin + doc, end + doc)
-                of = np.searchsorted(first + np.arange(len(first)), s, "right") - 1
-                hit = np.unique(np.stack([doc, window]), axis=1)
-                n, m = len(s), hit.shape[1]
-                w = pa.array(hit[1])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (n + m)), pa.array(np.concatenate([of, hit[0]])), pa.array([*(s - of - first[of]).tolist(), *[None] * m], pa.int64()), pa.array([*(e - of - first[of]).tolist(), *[None] * m], pa.int64()), *(pa.concat_arrays([pa.nulls(n, pa.int64()), part.column(k).take(w)]) for k in (6, 7))], names=["block", "row", "start", "end", "w1", "w2"])
-
-    found = stored(both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "block string, row long, start long, end long, w1 long, w2 long"), "found", "zstd")
-    items = found.where("w1 is not null").join(owned.select(F.col("window").alias("w1"), F.col("window2").alias("w2"), "item"), ["w1", "w2"]).select("block", "row", "item").distinct()
+                if kinds[at] == HEADER:
+                    first, known, cells, ready = np.frombuffer(part.column(3)[0].as_py(), np.int64), [], [], None
+                elif kinds[at] == POSTINGS:
+                    known += part.column(2).to_pylist()
+                    cells += [np.frombuffer(c, "<i4") for c in part.column(3).to_pylist()]
+                else:
+                    if ready is None:
+                        counts = np.array([len(c) for c in cells], dtype=np.int64)
+                        steps = np.concatenate(cells).astype(np.int64)
+                        total, begin = np.cumsum(steps), np.cumsum(counts) - counts
+                        ready = np.array(known, dtype=np.int64), counts, total - np.repeat(total[begin] - steps[begin], counts)
+                    yield from search(part, int(blocks[at]), ready, first)
+
+    def search(part: pa.RecordBatch, block: int, postings: tuple, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = part.column(6).to_numpy().astype(np.int64)
+        window, doc, start = find_in_block(*postings, first, _matrix(part.column(7), size, width), _matrix(part.column(8), size, width), size, slop)
+        if not len(window):
+            return
+        # spans of one document lie apart from those of others, so all are merged at once on their own scale
+        begin, end = np.maximum(start, first[doc]), np.minimum(start + size[window], first[doc + 1])
+        s, e = merged(begin + doc, end + doc)
+        of = np.searchsorted(first + np.arange(len(first)), s, "right") - 1
+        hit = np.unique(np.stack([doc, window]), axis=1)
+        n, m = len(s), hit.shape[1]
+        w = pa.array(hit[1])
+        ends = [pa.array([*(x - of - first[of]).tolist(), *[None] * m], pa.int64()) for x in (s, e)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, block)), pa.array(np.concatenate([of, hit[0]])), *ends, *(pa.concat_arrays([pa.nulls(n, pa.int64()), part.column(k).take(w)]) for k in (4, 5))], names=["block", "row", "start", "end", "w1", "w2"])
+
+    found = stored(both.repartition(parts, "block").sortWithinPartitions("block", "kind", "term").mapInArrow(run, "block long, row long, start long, end long, w1 long, w2 long"), "found", "zstd")
+    items = found.where("w1 is not null").join(owned.select("w1", "w2", "item"), ["w1", "w2"]).select("block", "row", "item").distinct()
     return found.where("start is not null").select("block", "row", "start", "end"), items
 
 
