@@ -2,16 +2,18 @@
 
 Base rules are counted on the whole text: word_chars, n_symbols, n_dup_lines and
 n_repeat_words.  The method's verdict compares two multinomials over hashed word unigrams
-and bigrams: the *target*, counted on trusted documents (label quality = 1, a bounded
-sample of ``SAMPLE`` with the smallest hash of doc_id), and the *raw* corpus, counted on all
-documents.  A document's score is the sum of its n-grams' log ratios divided by their number.
-Every document with a score under the threshold is dropped, without any randomness: the
-threshold stands midway between the mean scores of trusted and of untrusted sample documents
-(weights ``LEAN``), so it is a function of the data alone.
-
-Null and empty texts have no words: all counts are 0, score 0.0, and base_failed is true.
-Repeated rows get equal results.  Without labels of both classes no document is dropped by
-the ratio.
+and bigrams: the *target*, counted on all trusted documents (label quality = 1), and the *raw*
+corpus, counted on all documents.  A document's score is the sum of its n-grams' log ratios
+divided by their number.  Every document with a score under the threshold is dropped, without
+any randomness: the threshold stands midway between the mean scores of all trusted and all
+untrusted documents of ten words or more (weights ``LEAN``), so it is a function of the data alone.
+
+Counts are partial tables of ``BUCKETS`` numbers a task, so nothing that reaches the driver grows
+with the corpus; labelled documents are found by a join that Spark broadcasts where their list is
+small.  Null and empty texts have no words: all counts are 0, score 0.0, and base_failed is true.
+Whole texts of any length are read.  Repeated rows get equal results, and count as often as they
+stand.  An empty table gives no rows; extra columns are left alone.  Without labels of both
+classes no document is dropped by the ratio.
 """
 
 from __future__ import annotations
@@ -25,43 +27,44 @@ from pyspark.sql import functions as F
 
 from .words import SPACES, U64, WordTable, mix, segment_sum, slices, windows, word_table
 
-BUCKETS = 1 << 16
-SAMPLE = 4000
+BUCKETS = 1 << 18
+#: Where the threshold stands between the means of untrusted (0) and trusted (1) documents.
 LEAN = 0.5
+#: How many n-grams the raw model is worth in the target.
+LEANING = 1000.0
 SYMBOLS = b"#*$%&|<>"
 
 
-def ngram_buckets(table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+def ngram_buckets(table: WordTable, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and document of every word and every pair of neighbouring words."""
     pair, pair_doc, _ = windows(table, 2)
     h = np.concatenate([mix(table.hash ^ U64(0x5851F42D4C957F2D)), pair])
-    return (h % U64(BUCKETS)).astype(np.int64), np.concatenate([table.doc, pair_doc])
+    return (h % U64(buckets)).astype(np.int64), np.concatenate([table.doc, pair_doc])
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """n-grams by bucket over all texts: one partial table a task, then a sum by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                total += np.bincount(ngram_buckets(word_table(part.column(0), SPACES))[0], minlength=BUCKETS)
+                total += np.bincount(ngram_buckets(word_table(part.column(0), SPACES), buckets)[0], minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
     counted = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS)
+    out = np.zeros(buckets)
     out[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     return out
 
 
 def scores(table: WordTable, ratio: np.ndarray) -> np.ndarray:
-    bucket, doc = ngram_buckets(table)
+    bucket, doc = ngram_buckets(table, len(ratio))
     n = len(table.first) - 1
     count = np.bincount(doc, minlength=n)
     # sums in whole millionths: the same whatever else stands in the batch
-    total = np.zeros(n, dtype=np.int64)
-    np.add.at(total, doc, np.rint(ratio[bucket] * 1e6).astype(np.int64))
+    total = np.bincount(doc, np.rint(ratio[bucket] * 1e6), minlength=n)
     return total / 1e6 / np.maximum(count, 1)
 
 
@@ -102,39 +105,43 @@ def base_measures(part: pa.Array) -> tuple[WordTable, dict[str, np.ndarray]]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def labelled_sample(labels: DataFrame, quality: int, sample: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text and quality of every labelled document; of several labels of one id, the least counts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
-
-
-def ratio_and_threshold(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lean: float = LEAN) -> tuple[np.ndarray, float]:
-    good, bad = (docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, q, sample)), "doc_id") for q in (1, 0))
-    raw = bucket_counts(docs)
-    target = bucket_counts(good)
-    smooth = 1.0
-    raw_p = (raw + smooth) / (raw.sum() + smooth * BUCKETS)
-    # the target leans on the raw model, so buckets that the sample hasn't seen say nothing
-    weight = 1000.0
-    ratio = np.log((target + weight * raw_p) / (target.sum() + weight)) - np.log(raw_p)
+    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality")
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of target over raw by bucket; the target leans on the raw model, so buckets it hasn't seen say nothing."""
+    raw_p = (raw + 1.0) / (raw.sum() + len(raw))
+    return np.log((target + LEANING * raw_p) / (target.sum() + LEANING)) - np.log(raw_p)
+
+
+def ratio_and_threshold(docs: DataFrame, labels: DataFrame, lean: float = LEAN, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    known = labelled(docs, labels)
+    target = bucket_counts(known.where("quality = 1"), buckets)
     if not target.sum():
-        return np.zeros(BUCKETS), -np.inf
+        return np.zeros(buckets), -np.inf
+    ratio = log_ratio(bucket_counts(docs, buckets), target)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 table = word_table(part.column(0), SPACES)
-                yield pa.RecordBatch.from_arrays([pa.array(scores(table, sent.value)[table.counts >= 10])], names=["score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.rint(scores(table, sent.value) * 1e9).astype(np.int64)), part.column(1), pa.array(table.counts)], names=["score", "quality", "n_words"])
 
-    means = [part.select("text").mapInArrow(run, "score double").toArrow().column("score").to_numpy() for part in (good, bad)]
-    if not len(means[0]) or not len(means[1]):
+    # whole billionths, so no order of addition shows in the means
+    scored = known.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "score long, quality int, n_words long").where("n_words >= 10 and quality in (0, 1)")
+    mean = {r["quality"]: r["mean"] for r in scored.groupBy("quality").agg((F.sum(F.col("score").cast("decimal(38,0)")) / F.count("*")).cast("double").alias("mean")).collect()}
+    if len(mean) < 2:
         return ratio, -np.inf
-    return ratio, float(np.round(lean * np.sort(means[0]).mean() + (1 - lean) * np.sort(means[1]).mean(), 9))
+    return ratio, float(np.round((lean * mean[1] + (1 - lean) * mean[0]) / 1e9, 9))
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, lean: float = LEAN) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), lean: float = LEAN, buckets: int = BUCKETS) -> DataFrame:
     """``keep`` columns, the measures, score, base_failed and kept of every row."""
-    ratio, threshold = ratio_and_threshold(docs, labels, sample, lean)
+    ratio, threshold = ratio_and_threshold(docs, labels, lean, buckets)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     chosen = docs.select(*keep, docs["text"].alias("__text"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in chosen.select(*keep).dtypes), *(f"{m} long" for m in MEASURES), "score double"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in local tests, a new temporary folder."""
+    """``spark.checkpoint.dir``; in local mode alone, a new temporary folder where it is unset."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_ledgerloom_dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         context._ledgerloom_dir = found
     return found.rstrip("/")
@@ -22,8 +25,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_ledgerloom_written"):
+        context._ledgerloom_written = []
+    return context._ledgerloom_written
+
+
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder, read again: recomputing never goes further back."""
     path = new_path(df.sparkSession, name)
+    _written(df.sparkSession).append(path)
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_so_far(spark: SparkSession) -> int:
+    return len(_written(spark))
+
+
+def discard(spark: SparkSession, after: int, keep: DataFrame) -> None:
+    """Deletes the tables stored since :func:`stored_so_far` gave ``after``, but for those that ``keep`` reads."""
+    kept = {path for path in _written(spark)[after:] if any(f"/{path.rsplit('/', 1)[1]}/" in file for file in keep.inputFiles())}
+    for path in _written(spark)[after:]:
+        if path not in kept:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written(spark)[after:] = sorted(kept)

@@ -21,21 +21,20 @@ from __future__ import annotations
 
 import os
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyarrow import fs as pafs
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import new_path
+
 MAGIC = b"URLDIG01"
-#: Rule files beyond this are to be put in the shared folder by the caller; smaller ones travel with the job.
-MOST_BYTES = 256 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,7 +48,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def write_digest_array(rules: list[tuple[str, str, str]], path: str) -> int:
-    """Writes (verdict, host, path) rules; returns the bytes written.  Later rules replace equal earlier ones."""
+    """Writes (verdict, host, path) rules to a path or file URI; returns the bytes written.  Later rules replace equal earlier ones."""
     strings = {h + p: (v, h, p) for v, h, p in rules}
     rows = sorted((xxhash.xxh64_intdigest(s), s, v, h) for s, (v, h, p) in strings.items())
     shapes = sorted({(len(h.split(".")), len(p), len(h)) for v, h, p in strings.values()}, key=lambda x: (-(x[1] + x[2]), -x[2]))
@@ -60,7 +59,9 @@ def write_digest_array(rules: list[tuple[str, str, str]], path: str) -> int:
     header = MAGIC + struct.pack("<QI", len(rows), len(shapes)) + np.array(shapes, "<u4").tobytes()
     header += b"\0" * (-len(header) % 8)
     data = header + np.array([k for k, *_ in rows], "<u8").tobytes() + ends.tobytes() + hosts.tobytes() + blocks.tobytes() + b"".join(texts)
-    with open(path, "wb") as f:
+    files, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    files.create_dir(os.path.dirname(place), recursive=True)
+    with files.open_output_stream(place) as f:
         f.write(data)
     return len(data)
 
@@ -107,14 +108,23 @@ def digest_array(path: str) -> DigestArray:
     return DigestArray(path)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep`` columns, host, path, rule (null if none fits) and verdict of every row; one pass, no shuffle."""
-    context = pages.sparkSession.sparkContext
-    name = f"rules-{uuid.uuid4().hex}.digests"  # a session takes each file name once
-    local = os.path.join(tempfile.mkdtemp(), name)
-    if write_digest_array(rules, local) > MOST_BYTES:
-        raise ValueError("the rule list is too large to travel with the job")
-    context.addFile(local)
+def stored_rules(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
+    """Where the rules now are, as a file of the shared folder."""
+    path = f"{new_path(spark, 'rules')}.digests"
+    write_digest_array(rules, path)
+    return path
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | str, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``keep`` columns, host, path, rule (null if none fits) and verdict of every row; one pass, no shuffle.
+
+    ``rules``: (verdict, host, path) tuples, or the address of a file that :func:`write_digest_array` wrote.
+    """
+    spark = pages.sparkSession
+    place = rules if isinstance(rules, str) else stored_rules(spark, rules)
+    name = os.path.basename(place)
+    if place not in spark.sparkContext.listFiles:  # a session takes each file once
+        spark.sparkContext.addFile(place)
 
     @F.pandas_udf("rule string, verdict string")
     def rule_of(host: pd.Series, path: pd.Series) -> pd.DataFrame:
@@ -137,5 +147,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
     host, path = host_and_path(F.col(url))
-    split = pages.select(*keep, host.alias("host"), path.alias("path"))
-    return split.withColumn("found", rule_of("host", "path")).select(*keep, "host", "path", "found.rule", "found.verdict")
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    split = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), host.alias("host"), path.alias("path"))
+    found = split.withColumn("found", rule_of("host", "path"))
+    return found.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), "host", "path", "found.rule", "found.verdict")

@@ -290,6 +290,9 @@ def test_url_filter(spark):
         best = max(fits)[2:] if fits else (None, "allow")
         assert (found[k].host, found[k].path, found[k].rule, found[k].verdict) == (host, path, *best), url
     assert url_filter.judge(df.where("false"), rules).count() == 0
+    place = url_filter.stored_rules(spark, rules)  # one file for many calls
+    for _ in range(2):
+        assert {r.page_id: r.rule for r in url_filter.judge(df.unionByName(df), place).collect()} == {k: r.rule for k, r in found.items()}
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
@@ -565,6 +568,28 @@ def test_quality_rules(spark, docs, none):
     assert all(r.kept != r.base_failed for r in quality_rules.judge(df, labels.where("false")).collect())
 
 
+def test_ratio_equals_brute_force(spark):
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice(("fine plain words of prose", "buy cheap now click here")[(i + rng.randint(0, 3)) % 2].split()) for _ in range(rng.randint(0, 30))) for i in range(80)] + [None]
+    labels = [(i, i % 3 % 2) for i in range(0, 60)] + [(3, 0), (None, 1)]
+    df, known = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    quality = {}
+    for i, q in labels:
+        quality[i] = min(q, quality.get(i, 1))
+    of = [quality_rules.ngram_buckets(quality_rules.word_table(pa.array([t], pa.string())), 64)[0].tolist() for t in texts]
+    raw, target = collections.Counter(b for x in of for b in x), collections.Counter(b for i, x in enumerate(of) if quality.get(i) == 1 for b in x)
+    n, m = sum(raw.values()), sum(target.values())
+    p = {b: (raw[b] + 1) / (n + 64) for b in range(64)}
+    ratio = {b: math.log((target[b] + quality_rules.LEANING * p[b]) / (m + quality_rules.LEANING)) - math.log(p[b]) for b in p}
+    score = [sum(round(ratio[b] * 1e6) for b in x) / 1e6 / max(1, len(x)) for x in of]
+    means = [np.mean([score[i] for i, q in quality.items() if q == k and i is not None and len(words(texts[i])) >= 10]) for k in (0, 1)]
+    found = quality_rules.judge(df.repartition(3), known, buckets=64).collect()
+    for r in found:
+        assert abs(r.score - score[r.doc_id]) < 1e-9
+        if abs(r.score - sum(means) / 2) > 1e-8:
+            assert r.kept == (not r.base_failed and r.score >= sum(means) / 2)
+
+
 def test_ratio_is_a_log_likelihood(spark):
     df = spark.createDataFrame([(i, ("good words stand here in order " if i % 2 else "junk %% stuff !! all over ") * 3 + str(i)) for i in range(60)], "doc_id long, text string")
     labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
