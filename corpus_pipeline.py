@@ -1,9 +1,15 @@
 """A training corpus from ``documents``: toxicity, near-duplicates, decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as
-Parquet in the shared folder and reads it again as the next stage's documents.  All but the
-last return the columns of ``documents``.  Rows with a null doc_id pass the filters of the
-near-duplicate and decontamination stages, which decide by id.
+Parquet in the shared folder and reads it again as the next stage's documents, and deletes what
+the stage before it and the operators had stored.  All but the last return the columns of
+``documents``; others are dropped.
+
+Every decision is of a row, never of an id: the stages number the rows of their stored input, so
+rows with a null or repeated doc_id are judged and copied one by one.  Of near-duplicates the row
+with the smallest doc_id stays (null last, then the first row); rows without words link with
+nothing.  A contaminated row goes, and no other row of its id.  Null texts are scored, kept and
+encoded as empty ones.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -13,20 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, mixing, near_duplicates, token_files, toxicity
-from ledgerloom.llm.shared import stored
+from ledgerloom.llm.shared import discard, stored, stored_so_far
 
-#: Ids of documents to be dropped are broadcast up to this many; beyond, the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Numbers of dropped rows are broadcast up to this many; beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = stored(ids.where("doc_id is not null").select("doc_id").distinct(), "dropped-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written down, as numbers made on the way differ between passes."""
+    return stored(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = stored(rows.select(ROW), "dropped-rows")
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, ROW, "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +47,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(docs, width=5, percent=80)
-    return without(docs.select(*COLUMNS), found.where("not kept")).select(*COLUMNS)
+    docs = numbered(docs)
+    linked = near_duplicates.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text"), width=5, percent=80)
+    found = linked.select(F.col("doc_id").alias(ROW), "component_id").join(docs.select(ROW, "doc_id"), ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    first = found.groupBy("component_id").agg(F.min(order)[ROW].alias("first"))
+    return without(docs, found.join(first, "component_id").where(F.col(ROW) != F.col("first")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs.select(*COLUMNS), found.where("contaminated")).select(*COLUMNS)
+    docs = numbered(docs)
+    found = decontamination.contamination(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
-    taken = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
+    docs = numbered(docs)
+    copies = mixing.mix(docs, keep=(ROW,)).where("copies > 0").select(ROW, "copies")
+    return docs.join(copies, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +85,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = stored_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
