@@ -71,7 +71,10 @@ def prefix_document(raw: Column) -> Column:
 
 
 def first_difference(left: Column, right: Column) -> Column:
-    """Path of the first place at which two documents differ, types and signed zeros told apart; null if they are equal."""
+    """Path of the first place at which two documents differ, types and signed zeros told apart; null if they are equal.
+
+    A side that is null or no JSON differs at ``$`` from everything but the same text.
+    """
 
     @F.pandas_udf(StringType())
     def path_of(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -88,7 +91,15 @@ def first_difference(left: Column, right: Column) -> Column:
                 return next((d for k, (u, v) in enumerate(zip(x, y, strict=True)) if (d := differs(u, v, f"{path}[{k}]"))), None)
             return None if (x.hex() == y.hex() if isinstance(x, float) else x == y) else path
 
-        return pd.Series([differs(json.loads(x), json.loads(y), "$") for x, y in zip(a, b, strict=True)], dtype=object)
+        def one(x: str | None, y: str | None) -> str | None:
+            if x == y:
+                return None
+            try:
+                return differs(json.loads(x or ""), json.loads(y or ""), "$")
+            except (ValueError, RecursionError):
+                return "$"
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return path_of(left, right)
 

@@ -15,21 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-Rule = tuple[str, str, Column]
+Rule = tuple[str | Column, str | Column, Column]
 
 
 def violations(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """A row for every broken rule, with its place in the list."""
     found = F.array_compact(F.array(*(F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(k).alias("ordinal"), F.lit(code).alias("code"), F.lit(path).alias("location"))) for k, (code, path, broken) in enumerate(rules))))
     return df.select(key, F.inline(found))
 
 
+def first_broken(rules: list[Rule]) -> Column:
+    """Struct of code and location of the first broken rule, null if none is; a condition that is null isn't broken."""
+    one = lambda code, path: F.struct(F.lit(code).cast("string").alias("code"), F.lit(path).cast("string").alias("location"))
+    out = F.when(F.lit(False), one("", ""))
+    for code, path, broken in rules:
+        out = out.when(F.coalesce(broken, F.lit(False)), one(code, path))
+    return out
+
+
 def first_violation(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     """``code`` and ``location`` of the first broken rule of each row, null if none is."""
-    code, location = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
-    for name, path, broken in rules:
-        bad = F.coalesce(broken, F.lit(False))
-        code, location = code.when(bad, F.lit(name)), location.when(bad, F.lit(path))
-    return df.select(key, code.alias("code"), location.alias("location"))
+    return df.select(key, first_broken(rules).alias("found")).select(key, "found.code", "found.location")
 
 
 def missing_fields(raw: Column, required: list[str]) -> Column:
@@ -59,9 +65,8 @@ def unsafe_path(path: Column) -> Column:
     return path.isNull() | (path == "") | path.contains("\\") | path.rlike("^[A-Za-z]:") | odd
 
 
-@F.pandas_udf(StringType())
-def strict_json_code(raw: pd.Series) -> pd.Series:
-    """A3: null for strict JSON, else DUPLICATE_JSON_KEY, NONFINITE_NUMBER or MALFORMED_JSON."""
+def json_code(text: str | None) -> str | None:
+    """A3: null for strict JSON, else DUPLICATE_JSON_KEY, NONFINITE_NUMBER or MALFORMED_JSON (null and empty texts too)."""
 
     def pairs(items: list) -> dict:
         if len({k for k, _ in items}) < len(items):
@@ -71,22 +76,29 @@ def strict_json_code(raw: pd.Series) -> pd.Series:
     def constant(_: str):
         raise OverflowError
 
-    def one(text: str | None) -> str | None:
-        try:
-            json.loads(text or "", object_pairs_hook=pairs, parse_constant=constant)
-        except KeyError:
-            return "DUPLICATE_JSON_KEY"
-        except OverflowError:
-            return "NONFINITE_NUMBER"
-        except (ValueError, RecursionError):
-            return "MALFORMED_JSON"
-        return None
+    try:
+        json.loads(text or "", object_pairs_hook=pairs, parse_constant=constant)
+    except KeyError:
+        return "DUPLICATE_JSON_KEY"
+    except OverflowError:
+        return "NONFINITE_NUMBER"
+    except (ValueError, RecursionError):
+        return "MALFORMED_JSON"
+    return None
 
-    return raw.map(one)
+
+@F.pandas_udf(StringType())
+def strict_json_code(raw: pd.Series) -> pd.Series:
+    """A3 as a column: null texts have no code, so what needs no look is passed as null."""
+    return raw.map(lambda text: None if text is None else json_code(text))
 
 
 def json_leaves(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """One row for each leaf of a JSON document of any depth: path, name of the last key, value as JSON."""
+    """One row for each leaf of a JSON document of any depth: path, name of the last key, value as JSON.
+
+    A document that is null or no strict JSON has one row, with its code (:func:`strict_json_code`) as the name
+    and null as path and value.
+    """
     schema = f"{key} {dict(df.dtypes)[key]}, path string, name string, value string"
 
     def leaves(value, path: str, name: str) -> Iterator[tuple[str, str, str]]:
@@ -102,14 +114,17 @@ def json_leaves(df: DataFrame, key: str, raw: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *leaf) for k, text in zip(frame[key], frame[raw], strict=True) if text for leaf in leaves(json.loads(text), "$", "")]
+            rows = []
+            for k, text in zip(frame[key], frame[raw], strict=True):
+                code = json_code(text)
+                rows += [(k, None, code, None)] if code else [(k, *leaf) for leaf in leaves(json.loads(text), "$", "")]
             yield pd.DataFrame(rows, columns=[key, "path", "name", "value"])
 
     return df.select(key, raw).mapInPandas(run, schema)
 
 
 def changed_leaves(before: DataFrame, after: DataFrame, key: str, raw: str, allowed: list[str]) -> DataFrame:
-    """Leaves that differ between two versions of a document, and whether the path is one that may."""
-    a, b = json_leaves(before, key, raw), json_leaves(after, key, raw)
+    """Leaves that differ between two versions of a document, and whether the path is one that may; ``!CODE`` is the path of one that isn't JSON."""
+    a, b = (json_leaves(df, key, raw).withColumn("path", F.coalesce("path", F.concat(F.lit("!"), "name"))) for df in (before, after))
     both = a.select(key, "path", F.col("value").alias("before")).join(b.select(key, "path", F.col("value").alias("after")), [key, "path"], "full_outer")
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("allowed", F.col("path").isin(allowed))
