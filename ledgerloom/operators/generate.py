@@ -19,6 +19,83 @@ def expand_templates(families: DataFrame, subjects: DataFrame, template: str, fi
     return grid.withColumns({"instruction": text, "split": F.when(F.col("ordinal") < first_train, "train").otherwise("validation")})
 
 
+def family_records(specs: DataFrame, train_families: int, train_variants: int, validation_variants: int, first_family: int = 1) -> DataFrame:
+    """One record for each variant of each family, with its ids.
+
+    ``specs``: number (from 0 on, in order), category, place (in its category, from 0 on), description, template, subjects, arguments (map).
+    The first ``train_families`` of a category train, the others validate; ``{subject}`` is replaced in template and arguments.
+    """
+    split = F.when(F.col("place") < train_families, "train").otherwise("validation")
+    named = specs.withColumns({"split": split, "family_id": F.format_string("family-%03d", F.col("number") + first_family)})
+    variants = F.slice("subjects", F.lit(1), F.when(F.col("split") == "train", train_variants).otherwise(validation_variants))
+    rows = named.select("*", F.posexplode(variants).alias("variant", "subject"))
+    ids = F.format_string("%s-%s-v%02d", "split", "family_id", F.col("variant") + 1)
+    filled = lambda text: F.replace(text, F.lit("{subject}"), F.col("subject"))
+    return rows.select(ids.alias("example_id"), "family_id", "split", "category", "description", filled(F.col("template")).alias("instruction"), F.transform_values("arguments", lambda _, v: filled(v)).alias("arguments"), F.concat(F.lit("delivery-"), ids).alias("delivery_id"))
+
+
+def family_manifest(records: DataFrame) -> DataFrame:
+    """One row a family with its example ids in order; a family's variants are few by contract."""
+    return records.groupBy("family_id", "split", "category", "description").agg(F.array_sort(F.collect_list("example_id")).alias("example_ids"))
+
+
+def with_increment(records: DataFrame, more: DataFrame) -> DataFrame:
+    """Records of an increment behind those of the version before; families that exist already are left out of it."""
+    new = more.join(records.select("family_id").distinct(), "family_id", "left_anti")
+    return records.unionByName(new)
+
+
+def fixture_records(specs: DataFrame, split: str, suffixed: bool, untouched: tuple[str, ...] = ()) -> DataFrame:
+    """Numbered records of a fixture; those of a suffixed split say so in the instruction and in every argument but the ``untouched`` ones.
+
+    ``specs``: number (from 1 on), category, instruction, arguments (map).
+    """
+    text, arguments = F.col("instruction"), F.col("arguments")
+    if suffixed:
+        text = F.format_string("%s Evaluation case %d.", "instruction", "number")
+        arguments = F.transform_values("arguments", lambda k, v: F.when(k.isin(*untouched), v).otherwise(F.concat(v, F.lit("-eval"))))
+    return specs.select(F.format_string(f"{split}-%03d", "number").alias("example_id"), F.lit(split).alias("split"), "category", text.alias("instruction"), arguments.alias("arguments"))
+
+
+MODES, ENDS = ("uia_only", "screenshot_only", "fused"), ("act", "reject", "fallback")
+
+
+def training_grid(spark, split: str, repeats: int) -> DataFrame:
+    """Repeats x modes x dispositions, numbered in that order, with what each shows and is to answer."""
+    cells = len(MODES) * len(ENDS)
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), k.cast("int") + 1)
+    i = F.col("id") + 1
+    grid = spark.range(repeats * cells).select(i.alias("index"), (F.floor(F.col("id") / cells) + 1).alias("repeat"), pick(MODES, F.floor(F.col("id") / len(ENDS)) % len(MODES)).alias("mode"), pick(ENDS, F.col("id") % len(ENDS)).alias("disposition"))
+    token = F.format_string(f"{split[0]}%02d", "index")
+    x, y = 34 + (F.col("index") * 29) % 170, 72 + (F.col("index") * 37) % 190
+    box = F.array(x, y, x + 132, y + 62)
+    act, has_ref, has_box = F.col("disposition") == "act", F.col("mode") != "screenshot_only", F.col("mode") != "uia_only"
+    label = F.concat(F.lit("OPEN "), token)
+    says = F.when(act, F.format_string("Activate the reviewed synthetic %s control.", label)).when(F.col("disposition") == "reject", F.format_string("Activate the expired synthetic %s reference.", label)).otherwise(F.format_string("Activate the absent synthetic %s control.", label))
+    ref = F.concat(F.lit("ref-open-"), token)
+    return grid.select(
+        F.format_string(f"pt-{split}-%03d", "index").alias("case_id"), F.format_string(f"pt-{split}-family-%03d", "index").alias("family_id"), F.col("mode").alias("observation_mode"), F.col("repeat").alias("training_repeat_group"), says.alias("instruction"),
+        F.when(has_ref, ref).alias("cue_ref"), F.when(has_box, box).alias("cue_bbox"), F.concat(F.when(F.col("disposition") == "fallback", F.concat(F.lit("OTHER "), token)).otherwise(label), F.lit(" CLOSE "), token).alias("ocr_text"),
+        "disposition", F.when(act, "click").alias("tool"), F.when(act & has_ref, ref).alias("ref"), F.when(act & has_box, box).alias("bbox"), F.when(F.col("disposition") == "reject", "stale_ref").when(F.col("disposition") == "fallback", "insufficient_grounding").alias("reason"),
+    )
+
+
+def hard_negatives(categories: DataFrame, families: int, train_families: int, base: dict[str, str]) -> DataFrame:
+    """Every category x family x variant, the category's overrides over a base observation.
+
+    ``categories``: number (from 0 on), category_id, overrides (map), clean and negative (struct of disposition, tool, target, rationale), evidence_refs.
+    """
+    observation = F.map_concat(F.map_filter(F.create_map(*(F.lit(x) for pair in base.items() for x in pair)), lambda k, _: ~F.map_contains_key("overrides", k)), "overrides")
+    grid = categories.withColumns({"ordinal": F.explode(F.sequence(F.lit(1), F.lit(families))), "observation": observation})
+    split = F.when(F.col("ordinal") <= train_families, "train").otherwise("validation")
+    scene = F.format_string("scene-%02d-%02d", F.col("number") + 1, "ordinal")
+    made = grid.withColumns({"split": split, "scene_id": scene}).withColumn("instruction", F.format_string("Review synthetic %s scene %d in the %s split and choose only the evidence-supported safe candidate.", "category_id", "ordinal", "split"))
+    pair = F.array(F.struct(F.lit("clean").alias("variant"), F.col("clean").alias("candidate"), F.lit("accept").alias("verdict"), F.lit("contract_satisfied").alias("reason_code")), F.struct(F.lit("hard_negative").alias("variant"), F.col("negative").alias("candidate"), F.lit("reject").alias("verdict"), F.col("category_id").alias("reason_code")))
+    rows = made.select("category_id", "scene_id", "split", "instruction", "observation", "evidence_refs", F.inline(pair))
+    target = F.when(F.col("candidate.target").isNotNull(), F.concat("scene_id", F.lit("-"), F.col("candidate.target")))
+    return rows.select("category_id", "scene_id", "split", "variant", "instruction", "observation", "evidence_refs", F.col("candidate.disposition").alias("disposition"), F.col("candidate.tool").alias("tool"), target.alias("target_ref"), F.col("candidate.rationale").alias("rationale"), "verdict", "reason_code")
+
+
 def render_chat(turns: DataFrame, key: str, order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Turns of a conversation in order, as ``role: text`` lines, with its turn count."""
     line = F.concat(F.coalesce(F.col(role), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
