@@ -37,3 +37,8 @@ def float32(x: Column) -> Column:
     """Rounded to single precision, with -0.0 as 0.0."""
     f = x.cast("float")
     return F.when(f == 0, F.lit(0.0).cast("float")).otherwise(f)
+
+
+def contiguous_strides(shape: Column) -> Column:
+    """Elements between neighbours along each axis of a contiguous tensor: the product of the sizes behind it."""
+    return F.transform(shape, lambda _, i: F.aggregate(F.slice(shape, i + 2, F.size(shape)), F.lit(1).cast("long"), lambda a, x: a * x))

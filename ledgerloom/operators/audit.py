@@ -6,18 +6,26 @@ order column, as rows of a DataFrame have no order of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalized, token_set
 
 
-def exact_duplicates(records: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
-    """records whose normalised text an earlier record has; ``previous`` is the first of them."""
-    same = Window.partitionBy("__normal").orderBy(*order)
-    marked = records.withColumn("__normal", normalized(F.col(text)))
-    found = marked.withColumns({"previous": F.first(key).over(same), "position": F.row_number().over(same)})
-    return found.where("position > 1").drop("__normal")
+def exact_duplicates(records: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """records whose normalised text an earlier record has; ``previous`` is the first of them.
+
+    The first of each text is an aggregate over its 256-bit digest, joined back, so a text that many share is no one task's.
+    """
+    marked = records.withColumn("__normal", F.unhex(F.sha2(normalized(F.col(text)), 256)))
+    first = marked.groupBy("__normal").agg(F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__normal", "__first")
+    found = marked.join(first, "__normal").where((F.col(order) != F.col("__first.o")) | (F.col(key) != F.col("__first.k")))
+    return found.withColumn("previous", F.col("__first.k")).drop("__normal", "__first")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -38,27 +46,91 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return found.unionByName(empties)
 
 
+#: Tokens and item numbers of the smaller side are sent to the tasks up to this many (about 100 MB); beyond, both sides are joined.
+MOST_SENT = 2_000_000
+
+
+def similarity_summary(left: DataFrame, right: DataFrame, right_key: str, thresholds: list[float], text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
+    """D3 without its pairs: for every right record that any left one shares a token with, the greatest similarity and how many are over each threshold.
+
+    ``right_key``, max_jaccard, over_0, over_1, ... in the order of the thresholds.  A short right side goes to
+    the tasks as an inverted index, so documents are read once and nothing of theirs is shuffled; a long one is joined.
+    """
+    items = right.select(right_key, token_set(F.col(text)).alias("t")).withColumn("n", F.size("t"))
+    if items.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).first()[0] > most_sent:
+        pairs = similar_pairs(left.withColumn("__left", F.monotonically_increasing_id()), right, "__left", right_key, text)
+        return pairs.groupBy(right_key).agg(F.max("jaccard").alias("max_jaccard"), *(F.count_if(F.col("jaccard") > x).alias(f"over_{k}") for k, x in enumerate(thresholds)))
+    found = items.toArrow()
+    keys, sizes = found.column(0).combine_chunks(), found.column(2).to_numpy().astype(np.int64)
+    tokens = found.column(1).combine_chunks()
+    vocabulary = pc.unique(tokens.flatten())
+    of_token = pc.index_in(tokens.flatten(), vocabulary).to_numpy(zero_copy_only=False)
+    order = np.argsort(of_token, kind="stable")
+    posting = np.repeat(np.arange(len(sizes)), sizes)[order]
+    begin = np.searchsorted(of_token[order], np.arange(len(vocabulary) + 1))
+    sent = left.sparkSession.sparkContext.broadcast((vocabulary, posting, begin, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, posting, begin, sizes = sent.value
+        best, over, seen = np.zeros(len(sizes)), np.zeros((len(thresholds), len(sizes)), dtype=np.int64), np.zeros(len(sizes), dtype=bool)
+        step = max(1, (1 << 21) // max(1, len(sizes)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                lists = batch.column(0).slice(at, step)
+                n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = pc.index_in(lists.flatten(), vocabulary).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(n)), n)[~np.isnan(place)]
+                place = place[~np.isnan(place)].astype(np.int64)
+                many = begin[place + 1] - begin[place]
+                cell = np.repeat(doc, many) * len(sizes) + posting[np.repeat(begin[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                shared = np.bincount(cell, minlength=len(n) * len(sizes)).reshape(len(n), len(sizes)) if len(sizes) else np.zeros((len(n), 0))
+                union = n[:, None] + sizes[None] - shared
+                both_empty = union == 0
+                jaccard = np.where(both_empty, 1.0, shared / np.maximum(union, 1))
+                formed = (shared > 0) | both_empty
+                seen |= formed.any(0)
+                best = np.maximum(best, jaccard.max(0, initial=0.0))
+                for k, x in enumerate(thresholds):
+                    over[k] += (formed & (jaccard > x)).sum(0)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(best[some]), *(pa.array(o[some]) for o in over)], names=["item", "max_jaccard", *(f"over_{k}" for k in range(len(thresholds)))])
+
+    counts = [f"over_{k}" for k in range(len(thresholds))]
+    partial = left.select(token_set(F.col(text)).alias("t")).mapInArrow(run, "item long, max_jaccard double, " + ", ".join(f"{c} long" for c in counts))
+    summed = partial.groupBy("item").agg(F.max("max_jaccard").alias("max_jaccard"), *(F.sum(c).alias(c) for c in counts))
+    names = left.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(sizes))), right_key: keys}))
+    return summed.join(F.broadcast(names), "item").select(right_key, "max_jaccard", *counts)
+
+
 def pairs_above(records: DataFrame, key: str, split: str, threshold: float, text: str = "text") -> DataFrame:
     """D3's gate, exact: pairs of different splits with similarity over ``threshold``.
 
-    Tokens of a record are put in the order of their rarity; a pair over the threshold must
-    share a token among the first n - ceil(threshold * n) + 1 of either, and their sizes can't
-    differ by more than the threshold allows, so frequent tokens are hardly ever joined on.
+    Equal token sets are one class (a 256-bit digest), and only classes are compared.  Tokens of a class are put
+    in the order of their rarity; a pair over the threshold must share a token among the first
+    n - ceil(threshold * n) + 1 of either, sizes can't differ by more than the threshold allows, and the place of
+    the first shared token bounds what is shared, so frequent tokens are hardly ever joined on.  What is left is
+    compared on whole sets of token hashes, and the classes' members are put in at the end.
     """
-    base = records.select(key, split, token_set(F.col(text)).alias("t")).where(F.size("t") > 0).withColumn("n", F.size("t"))
-    rarity = base.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = base.select(key, split, "n", F.explode("t").alias("token")).join(rarity, "token")
-    sets = ranked.groupBy(key, split, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered")).withColumn("t", F.transform("ordered", lambda x: x["token"])).drop("ordered")
-    head = F.slice("t", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1)
-    heads = sets.select(key, split, "n", F.explode(head).alias("token"))
-    a = heads.select(F.col(key).alias("a"), F.col(split).alias("split_a"), F.col("n").alias("n_a"), "token")
-    b = heads.select(F.col(key).alias("b"), F.col(split).alias("split_b"), F.col("n").alias("n_b"), "token")
-    near = (F.col("split_a") < F.col("split_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
-    candidates = a.join(b, "token").where(near).select("a", "b", "split_a", "split_b", "n_a", "n_b").distinct()
-    with_a = candidates.join(sets.select(F.col(key).alias("a"), F.col("t").alias("t_a")), "a")
-    with_b = with_a.join(sets.select(F.col(key).alias("b"), F.col("t").alias("t_b")), "b")
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    return with_b.withColumn("jaccard", jaccard(shared, F.col("n_a"), F.col("n_b"))).where(F.col("jaccard") > threshold).select("a", "b", "split_a", "split_b", "jaccard")
+    base = records.select(key, split, token_set(F.col(text)).alias("t")).where(F.size("t") > 0)
+    base = base.select(key, split, F.unhex(F.sha2(F.array_join(F.array_sort("t"), " "), 256)).alias("set"), F.array_sort(F.transform("t", lambda x: F.xxhash64(x))).alias("t"))
+    classes = base.groupBy("set").agg(F.any_value("t").alias("t")).withColumn("n", F.size("t"))
+    rarity = classes.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranked = classes.select("set", "n", F.explode("t").alias("token")).join(rarity, "token")
+    ordered = ranked.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    head = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1)
+    heads = ordered.select("set", "n", F.posexplode(head).alias("place", "h")).select("set", "n", "place", F.col("h.token").alias("token"))
+    a, b = (heads.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), "token") for x in ("a", "b"))
+    most = 1 + F.least(F.col("n_a") - F.col("p_a") - 1, F.col("n_b") - F.col("p_b") - 1)
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")) & (most >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - most))
+    candidates = a.join(b, "token").where(near).select("a", "b", "n_a", "n_b").distinct()
+    with_a = candidates.join(classes.select(F.col("set").alias("a"), F.col("t").alias("t_a")), "a")
+    with_b = with_a.join(classes.select(F.col("set").alias("b"), F.col("t").alias("t_b")), "b")
+    linked = with_b.withColumn("jaccard", jaccard(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).where(F.col("jaccard") > threshold).select("a", "b", "jaccard")
+    alike = classes.select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("jaccard")).where(F.lit(1.0) > threshold)
+    both_ways = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(alike)
+    members = lambda x: base.select(F.col("set").alias(x), F.col(key).alias(f"key_{x}"), F.col(split).alias(f"split_{x}"))
+    found = both_ways.join(members("a"), "a").join(members("b"), "b").where(F.col("split_a") < F.col("split_b"))
+    return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "split_a", "split_b", "jaccard")
 
 
 def member_check(families: DataFrame, records: DataFrame, key: str, agree: list[str]) -> DataFrame:
@@ -107,12 +179,12 @@ def pair_integrity(records: DataFrame, pair: str, variant: str, required: list[s
 
 
 def prefix_mismatch(before: DataFrame, after: DataFrame, ordinal: str, digest: str) -> DataFrame:
-    """whether ``before`` is an exact prefix of ``after``: counts and the first ordinal that differs (null: none)."""
+    """whether ``before`` is an exact prefix of ``after``: counts, of mismatches too, and the first ordinal that differs (null: none)."""
     a = before.select(ordinal, F.col(digest).alias("__a"))
     joined = a.join(after.select(ordinal, F.col(digest).alias("__b")), ordinal, "full_outer")
     return joined.agg(
         F.count("__a").alias("n_before"), F.count("__b").alias("n_after"),
-        F.min(F.when(F.col("__a").isNotNull() & ~F.col("__a").eqNullSafe(F.col("__b")), F.col(ordinal))).alias("first_mismatch"),
+        F.count_if(F.col("__a").isNotNull() & ~F.col("__a").eqNullSafe(F.col("__b"))).alias("n_mismatched"), F.min(F.when(F.col("__a").isNotNull() & ~F.col("__a").eqNullSafe(F.col("__b")), F.col(ordinal))).alias("first_mismatch"),
     )
 
 

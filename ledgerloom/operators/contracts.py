@@ -31,7 +31,7 @@ def document(raw: str | Column) -> Column:
 
 def parse_code(raw: str, parsed: Column) -> Column:
     """A3: null for strict JSON, else its code; Python sees only what the parser refused."""
-    refused = F.when(parsed.isNull(), F.coalesce(F.col(raw), F.lit("")))
+    refused = F.when(parsed.isNull(), F.col(raw)).otherwise("0")  # of the others it sees one digit
     return F.when(parsed.isNull(), F.coalesce(strict_json_code(refused), F.lit("MALFORMED_JSON")))
 
 

@@ -13,12 +13,17 @@ def first_difference(left: Column, right: Column) -> Column:
     return F.try_element_at(places, F.lit(1)).cast("long")
 
 
-def layered_equality(reference: DataFrame, replay: DataFrame, key: str, layers: list[str]) -> DataFrame:
-    """One row a layer: how many records are equal, and the keys of those that aren't (missing ones too)."""
-    r = replay.select(key, *(F.col(c).alias(f"__{c}") for c in layers))
-    joined = reference.select(key, *layers).join(r, key, "full_outer")
-    cells = joined.select(key, F.inline(F.array(*(F.struct(F.lit(c).alias("layer"), F.col(c).eqNullSafe(F.col(f"__{c}")).alias("same")) for c in layers))))
-    return cells.groupBy("layer").agg(F.count_if("same").alias("equal"), F.count_if(~F.col("same")).alias("different"), F.array_sort(F.collect_list(F.when(~F.col("same"), F.col(key)))).alias("mismatches"))
+def layer_mismatches(reference: DataFrame, replay: DataFrame, key: str, layers: list[str]) -> DataFrame:
+    """A row for each record and layer with whether it is equal; a record that one side lacks is equal in none."""
+    r = replay.select(key, *(F.col(c).alias(f"__{c}") for c in layers), F.lit(True).alias("__there"))
+    joined = reference.select(key, *layers, F.lit(True).alias("__here")).join(r, key, "full_outer")
+    both = F.col("__here").isNotNull() & F.col("__there").isNotNull()
+    return joined.select(key, F.inline(F.array(*(F.struct(F.lit(c).alias("layer"), (both & F.col(c).eqNullSafe(F.col(f"__{c}"))).alias("same")) for c in layers))))
+
+
+def layered_equality(cells: DataFrame, key: str) -> DataFrame:
+    """Per layer, how many records are equal and how many not, and the first that isn't."""
+    return cells.groupBy("layer").agg(F.count_if("same").alias("equal"), F.count_if(~F.col("same")).alias("different"), F.min(F.when(~F.col("same"), F.col(key))).alias("first_mismatch"))
 
 
 def delta_statistics(pairs: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
@@ -57,6 +62,42 @@ def first_divergent(modules: DataFrame, group: list[str], index: str, equal: str
     return rows.withColumn("growth", F.round(F.try_divide("last_size", "first_size"), 9))
 
 
+def growth_by_stage(modules: DataFrame, group: list[str], index: str, equal: str, size: str) -> DataFrame:
+    """every differing module with its size as a multiple of the first differing one's."""
+    different = modules.where(~F.col(equal)).select(*group, index, size)
+    first = different.groupBy(*group).agg(F.min_by(size, index).alias("__first"))
+    return different.join(first, group).select(*group, index, F.round(F.try_divide(size, "__first"), 9).alias("growth"))
+
+
+def delta_bounds(statistics: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Issues of delta statistics (elements, n_different, n_bitwise, nonzero, max_delta, mean_delta, rms_delta, witness) that can't be true together.
+
+    Five bounds: mean <= rms <= max; no delta without a difference, and none with one of 0; differences among the bitwise ones; a witness's delta is at most the greatest; counts within the elements.
+    """
+    c = F.col
+    issues = {
+        "MEAN_OVER_RMS": c("mean_delta") > c("rms_delta") + tolerance, "RMS_OVER_MAX": c("rms_delta") > c("max_delta") + tolerance, "DELTA_WITHOUT_DIFFERENCE": (c("n_different") == 0) != (c("max_delta") == 0), "DIFFERENT_OVER_BITWISE": c("n_different") > c("n_bitwise"),
+        "WITNESS_OVER_MAX": c("witness") > c("max_delta") + tolerance, "COUNT_OVER_ELEMENTS": (c("n_bitwise") > c("elements")) | (c("nonzero") > c("elements")),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in issues.items())))
+    return statistics.withColumn("issues", found)
+
+
+def epoch_orders(records: DataFrame, epochs: DataFrame, key: str, epoch: str, place: str) -> DataFrame:
+    """per epoch, ids that are missing, unknown or repeated, and places that aren't 0..n-1; an epoch with none is a permutation.
+
+    ``epochs``: one row for each epoch and place with the id that stands there.
+    """
+    known = records.select(key).distinct()
+    n = known.agg(F.count("*").alias("__n"))
+    seen = epochs.join(known.withColumn("__known", F.lit(True)), key, "left")
+    per = seen.groupBy(epoch).agg(
+        F.count_if(F.col("__known").isNull()).alias("unknown"), (F.count("*") - F.count_distinct(key)).alias("repeated"), F.count_distinct(F.when(F.col("__known"), F.col(key))).alias("__there"),
+        (F.count("*") - F.count_distinct(F.when(F.col(place).between(0, F.lit(2**62)), F.col(place)))).alias("__same_place"), F.max(place).alias("__last"), F.count("*").alias("__rows"),
+    )
+    return per.crossJoin(F.broadcast(n)).select(epoch, (F.col("__n") - F.col("__there")).alias("missing"), "unknown", "repeated", ((F.col("__same_place") > 0) | (F.col("__last") != F.col("__rows") - 1)).alias("misplaced"))  # one row
+
+
 def repeats_agree(runs: DataFrame, path: str, key: str, repeat: str, digest: str) -> DataFrame:
     """F8: per path, whether every key has one digest over all repeats."""
     keys = runs.groupBy(path, key).agg((F.count_distinct(digest) == 1).alias("same"), F.count_distinct(repeat).alias("repeats"))

@@ -35,6 +35,11 @@ def within_caps(rows: DataFrame, value: str, cap: str) -> DataFrame:
     return rows.withColumns({"used": F.round(F.try_divide(value, cap), 9), "within": F.coalesce(F.col(value) <= F.col(cap), F.lit(False))})
 
 
-def taxonomy(rows: DataFrame, kind: Column, key: str) -> DataFrame:
-    """Ids by class, in order; a class is short by nature (bad cases of one evaluation)."""
-    return rows.withColumn("class", kind).groupBy("class").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
+def classified(rows: DataFrame, kind: Column, key: str) -> DataFrame:
+    """The class of every record, one row each."""
+    return rows.select(key, kind.alias("class"))
+
+
+def taxonomy(classes: DataFrame, key: str) -> DataFrame:
+    """Records of each class and the first of them; which they are, :func:`classified` says row by row."""
+    return classes.groupBy("class").agg(F.count("*").alias("n"), F.min(key).alias("first"))

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import domain_digest
@@ -151,6 +151,39 @@ def ordered_digest(rows: DataFrame, group: list[str], order: str, digest: str) -
     return ordered.mapInArrow(run, schema)
 
 
+def chunk_digests(rows: DataFrame, group: list[str], order: str, digest: str, chunk: int) -> DataFrame:
+    """The digest of each run of ``chunk`` ordinals of a group, in order: group, chunk, n, digest.
+
+    Rows without a digest are counted and left out.  The order column is an integer; a chunk is at most ``chunk`` ordinals.
+    """
+    place = F.floor(F.col(order) / chunk).cast("long")
+    one = F.array_sort(F.collect_list(F.when(F.col(digest).isNotNull(), F.struct(F.col(order).alias("o"), F.col(digest).alias("d")))))
+    return rows.groupBy(*group, place.alias("chunk")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(one, lambda x: x["d"]), "\n"), 256).alias("digest"))
+
+
+def tree_digest(rows: DataFrame, group: list[str], order: str, digest: str, chunk: int = 1000) -> DataFrame:
+    """J8 for groups of any size: one digest a group over the digests of its chunks in order.
+
+    Only a chunk's digests are ever in one row, and of a group only its chunks' digests: 64 bytes for each ``chunk`` ordinals.
+    """
+    chunks = chunk_digests(rows, group, order, digest, chunk)
+    parts = F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("o"), F.col("digest").alias("d"))))
+    return chunks.groupBy(*group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(parts, lambda x: x["d"]), "\n"), 256).alias("digest"))
+
+
+def registry_rows(identities: DataFrame, kind: str, value: str) -> DataFrame:
+    """J9, H-6: distinct identities of each kind in order, one row each with its place (from 0 on).
+
+    Places are counted by the leading byte of the identity first, so no kind's whole list is in one task.
+    """
+    head = F.substring(value, 1, 2)
+    once = identities.select(kind, value, head.alias("__head")).distinct()
+    before = Window.partitionBy(kind).orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = once.groupBy(kind, "__head").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(kind, "__head").orderBy(value)) - 1
+    return once.withColumn("__own", own).join(heads, [kind, "__head"]).select(kind, value, (F.col("__before") + F.col("__own")).alias("place"))
+
+
 def exclusion_registry(identities: DataFrame, kind: str, value: str) -> DataFrame:
-    """J9, H-6: distinct identities of each kind, sorted."""
+    """J9, H-6: distinct identities of each kind as sorted lists, for registries that are documents; see :func:`registry_rows` for large ones."""
     return identities.groupBy(kind).agg(F.array_sort(F.collect_set(value)).alias("identities"))

@@ -11,6 +11,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.geometry import iou
 from . import contracts as c
@@ -226,7 +227,7 @@ def resolved_box(box: Column, catalog: Column, least: tuple[int, int]) -> Column
     return F.when((F.size(best) == 1) & (top["f"]["shared"] * least[1] >= top["f"]["union"] * least[0]), top["target_id"])
 
 
-@F.pandas_udf("numerator string, denominator string")
+@F.pandas_udf(StructType([StructField("numerator", StringType()), StructField("denominator", StringType())]))
 def exact_mean(parts: pd.Series) -> pd.DataFrame:
     """The mean of a short list of fractions (n, d) as a reduced fraction; null for none."""
     out = []

@@ -37,10 +37,12 @@ def some(array: Column, condition) -> Column:
     return F.coalesce(F.exists(array, lambda e: F.coalesce(condition(e), F.lit(False))), F.lit(False))
 
 
-def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version: int = 1, trace_version: int = 1, version_field: str = "run_export_version") -> DataFrame:
+def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version: int = 1, trace_version: int = 1, version_field: str = "run_export_version", runtime_commit: str | None = None, consumer_version: str | None = None) -> DataFrame:
     """One record for each run export (JSON text in ``raw``): identities, features and labels.
 
-    ``version_field``: the top-level key under which the exports state their own version.
+    ``version_field``: the top-level key under which the exports state their own version; ``runtime_commit`` and
+    ``consumer_version``: what the records say they were made from and by.  Exports are to be valid (:mod:`.exports`);
+    of others a missing phase is no failure, and a missing recovery status not ready.
     """
     version = F.get_json_object(raw, f"$.{version_field}").cast("int")
     runs = exports.select(F.from_json(raw, RUN_EXPORT).alias("run"), version.alias("version"), digest(canonical_json(raw)).alias("run_export_digest"))
@@ -53,10 +55,10 @@ def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version:
     outcome = F.coalesce(*(F.when(point["phase"] == phase, F.lit(name)) for phase, name in OUTCOMES.items()), F.lit("in_progress"))
     made = runs.withColumns({
         "outcome_class": outcome,
-        "is_failure": point["phase"].isin("FAILED", "UNKNOWN_OUTCOME"),
-        "is_unknown_outcome": (point["phase"] == "UNKNOWN_OUTCOME") | some(outcomes, lambda e: (e["status"] == "unknown_outcome") | (e["dispatch"] == "unknown")),
+        "is_failure": F.coalesce(point["phase"].isin("FAILED", "UNKNOWN_OUTCOME"), F.lit(False)),
+        "is_unknown_outcome": point["phase"].eqNullSafe(F.lit("UNKNOWN_OUTCOME")) | some(outcomes, lambda e: (e["status"] == "unknown_outcome") | (e["dispatch"] == "unknown")),
         "policy_denied": some(decisions, lambda e: e["decision"] == "deny") | some(outcomes, lambda e: e["code"] == "POLICY_DENIED"),
-        "recovery_required": (point["recovery_status"] != "ready") | point["recovery_action"].isin(*RECOVERY_ACTIONS) | some(recoveries, lambda e: e["status"] != "ready"),
+        "recovery_required": ~point["recovery_status"].eqNullSafe(F.lit("ready")) | F.coalesce(point["recovery_action"].isin(*RECOVERY_ACTIONS), F.lit(False)) | some(recoveries, lambda e: e["status"] != "ready"),
         "budget_limit_hit": F.lit(False) | hit(BUDGETS[0]) | hit(BUDGETS[1]) | hit(BUDGETS[2]) | hit(BUDGETS[3]),
     })
     identity = canonical_struct(reliability_dataset_schema_version=F.lit(SCHEMA_VERSION), manifest_digest=F.col("run.manifest_digest"), run_export_digest=F.col("run_export_digest"))
@@ -72,10 +74,10 @@ def reliability_records(exports: DataFrame, raw: str = "raw", manifest_version:
         tags(failure=F.col("is_failure"), unknown_outcome=F.col("is_unknown_outcome"), policy_denial=F.col("policy_denied"), recovery_required=F.col("recovery_required"), budget_limit=F.col("budget_limit_hit"), tool_sequence_available=F.size(calls) > 0).alias("verifier_tags"),
     )
     source = F.struct(
-        F.lit(manifest_version).alias("manifest_version"), F.col("version").alias("run_export_version"), F.col("run.manifest_digest").alias("manifest_digest"), "run_export_digest",
+        F.lit(runtime_commit).cast("string").alias("runtime_git_commit"), F.lit(consumer_version).cast("string").alias("consumer_schema_version"), F.lit(manifest_version).alias("manifest_version"), F.col("version").alias("run_export_version"), F.col("run.manifest_digest").alias("manifest_digest"), "run_export_digest",
         F.col("run.run_id").alias("run_id"), F.lit(trace_version).alias("trace_version"), point["checkpoint_version"].alias("checkpoint_version"), point["policy_version"].alias("policy_version"),
     )
-    return made.select(digest(identity).alias("record_id"), source.alias("source"), F.col("run.data_class").alias("data_class"), F.col("run.training_use").alias("training_use"), features.alias("features"), labels.alias("labels"))
+    return made.select(F.lit(SCHEMA_VERSION).alias("reliability_dataset_schema_version"), digest(identity).alias("record_id"), source.alias("source"), F.col("run.data_class").alias("data_class"), F.col("run.training_use").alias("training_use"), features.alias("features"), labels.alias("labels"))
 
 
 def repeated_runs(exports: DataFrame, raw: str = "raw") -> DataFrame:

@@ -89,8 +89,8 @@ def json_code(text: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def strict_json_code(raw: pd.Series) -> pd.Series:
-    """A3 as a column: null texts have no code, so what needs no look is passed as null."""
-    return raw.map(lambda text: None if text is None else json_code(text))
+    """A3 as a column."""
+    return raw.map(json_code)
 
 
 def json_leaves(df: DataFrame, key: str, raw: str) -> DataFrame:

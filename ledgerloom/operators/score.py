@@ -58,13 +58,14 @@ def first_rule(*rules: tuple[str, Column]) -> Column:
 def unique_best(candidates: DataFrame, group: str, key: str, shared: str, union: str, least: tuple[int, int] = (1, 2)) -> DataFrame:
     """Section 2.G: the candidate with the highest shared/union, if it reaches ``least`` and is the only one.
 
-    Fractions are compared as decimals of products, never as doubles.
+    Fractions are compared as doubles, which are equal for equal fractions and different for different ones
+    whose unions are below 2**26 (boxes of up to 4096 have less).  Two aggregates with partial sums, no join.
     """
-    exact = F.struct((F.col(shared).cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") / F.col(union).cast("decimal(20,0)")).cast("decimal(38,6)").alias("score"))
-    scored = candidates.withColumn("__score", exact["score"])
-    best = scored.groupBy(group).agg(F.max("__score").alias("__best"))
-    top = scored.join(best, group).where("__score = __best").groupBy(group).agg(F.count("*").alias("ties"), F.min(key).alias("best"), F.first(F.col(shared) * least[1] >= F.col(union) * least[0]).alias("reaches"))
-    return top.select(group, F.when((F.col("ties") == 1) & F.col("reaches"), F.col("best")).alias("best"), F.col("ties").cast("long").alias("ties"))
+    score = F.try_divide(F.col(shared).cast("double"), F.col(union).cast("double"))
+    each = candidates.select(group, key, score.alias("__score"), (F.col(shared) * least[1] >= F.col(union) * least[0]).alias("__reaches"))
+    counted = each.groupBy(group, "__score").agg(F.count("*").alias("ties"), F.min(key).alias("best"), F.first("__reaches").alias("reaches"))
+    top = counted.groupBy(group).agg(F.max_by(F.struct("ties", "best", "reaches"), "__score").alias("t"))
+    return top.select(group, F.when((F.col("t.ties") == 1) & F.col("t.reaches"), F.col("t.best")).alias("best"), F.col("t.ties").cast("long").alias("ties"))
 
 
 def events_of_change(joined: DataFrame, key: str, dimensions: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -31,7 +31,7 @@ select doc_id, previous from (
 ) where k > 1""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7."""
-    return audit.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["doc_id"], "text").select("doc_id", "previous")
+    return audit.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "doc_id", "text").select("doc_id", "previous")
 
 
 JACCARD_SQL = f"""
@@ -55,8 +55,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(JACCARD_SQL + " select item_id, max(jaccard) as max_jaccard, count(*) filter (jaccard > 0.5)::bigint as over_half from j group by item_id")
 def jaccard_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: the closest document of each item."""
-    pairs = jaccard_pairs(spark, sf_dir)
-    return pairs.groupBy("item_id").agg(F.max("jaccard").alias("max_jaccard"), F.count_if(F.col("jaccard") > 0.5).alias("over_half"))
+    return audit.similarity_summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", [0.5]).withColumnRenamed("over_0", "over_half")
 
 
 @query(f"""
@@ -78,8 +77,8 @@ select (select count(*) from d)::bigint as documents, (select count(*) from b)::
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the frozen benchmark in one row."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pairs = audit.similar_pairs(docs, items, "doc_id", "item_id")
-    best = pairs.agg(F.max("jaccard").alias("max_jaccard"), F.count_if(F.col("jaccard") > 0.8).alias("pairs_over"))
+    summary = audit.similarity_summary(docs, items, "item_id", [0.8])
+    best = summary.agg(F.max("max_jaccard").alias("max_jaccard"), F.coalesce(F.sum("over_0"), F.lit(0)).alias("pairs_over"))
     normal = lambda df: df.select(text.normalized(F.col("text")).alias("n"))
     exact = normal(docs).join(normal(items), "n", "left_semi").agg(F.count("*").alias("exact"))
     return docs.agg(F.count("*").alias("documents")).crossJoin(items.agg(F.count("*").alias("items"))).crossJoin(best).crossJoin(exact)
@@ -110,8 +109,10 @@ def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select {SPLIT_SQL} as split, lang, count(*)::bigint as n from documents group by all")
 def split_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5, H-4."""
-    return records(spark, sf_dir).groupBy("split", "lang").agg(F.count("*").alias("n"))
+    """E5, H-4: counts over the union of the splits, each a table of its own."""
+    every = records(spark, sf_dir)
+    train, validation, evaluation = (every.where(F.col("split") == s) for s in ("train", "validation", "eval"))
+    return train.unionByName(validation).unionByName(evaluation).groupBy("split", "lang").agg(F.count("*").alias("n"))
 
 
 @query("select quality, toxic, count(*)::bigint as n from labels group by all")
@@ -177,14 +178,17 @@ def pair_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select doc_id as k, sha256(text) as h from documents where doc_id < 500), b as (select doc_id as k, sha256(case when doc_id = 321 then '' else text end) as h from documents)
-select count(a.h)::bigint as n_before, count(b.h)::bigint as n_after, min(k) filter (a.h is not null and a.h is distinct from b.h)::bigint as first_mismatch from a full join b using (k)""")
+with m as (select max(doc_id) as most from documents), a as (select doc_id as k, sha256(text) as h from documents, m where doc_id * 10 < most * 9), b as (select doc_id as k, sha256(case when doc_id % 1000 = 321 or (most < 321 and doc_id = 21) then '' else text end) as h from documents, m)
+select count(a.h)::bigint as n_before, count(b.h)::bigint as n_after, count(*) filter (a.h is not null and a.h is distinct from b.h)::bigint as n_mismatched, min(k) filter (a.h is not null and a.h is distinct from b.h)::bigint as first_mismatch from a full join b using (k)""")
 def prefix_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a first version of the table against a second in which one record was altered; doc_id is the ordinal."""
-    docs = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id"))
-    before = docs.where("doc_id < 500").select("k", F.sha2("text", 256).alias("h"))
-    after = docs.select("k", F.sha2(F.when(F.col("doc_id") == 321, "").otherwise(F.col("text")), 256).alias("h"))
-    return audit.prefix_mismatch(before, after, "k", "h")
+    """the first nine tenths of the table as its first version, against a second in which one record of each thousand was altered; doc_id is the ordinal."""
+    docs = table(spark, sf_dir, "documents")
+    most = docs.agg(F.max("doc_id").alias("most"))
+    k = F.col("k")
+    numbered = docs.select(F.col("doc_id").alias("k"), "text").crossJoin(F.broadcast(most))  # one row
+    before = numbered.where(k * 10 < F.col("most") * 9).select("k", F.sha2("text", 256).alias("h"))
+    altered = (k % 1000 == 321) | ((F.col("most") < 321) & (k == 21))
+    return audit.prefix_mismatch(before, numbered.select("k", F.sha2(F.when(altered, "").otherwise(F.col("text")), 256).alias("h")), "k", "h")
 
 
 @query("""
@@ -202,9 +206,27 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.coverage(table(spark, sf_dir, "documents"), "lang", ["de", "en", "it"])
 
 
-@query("select lang, count(*)::bigint as n, sha256(string_agg(sha256(text), chr(10) order by doc_id)) as digest from documents group by lang")
+@query("""
+with c as (select lang, doc_id // 1000 as chunk, count(*) as n, sha256(string_agg(sha256(text), chr(10) order by doc_id)) as digest from documents group by all)
+select lang, sum(n)::bigint as n, sha256(string_agg(digest, chr(10) order by chunk)) as digest from c group by lang""")
 def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8, section 1.4: order-sensitive digests."""
+    """J8, section 1.4: order-sensitive digests of groups of any size, over digests of a thousand ordinals each."""
+    from ..operators.generate import tree_digest
+
+    return tree_digest(table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("h")), ["lang"], "doc_id", "h")
+
+
+@query("select conv_id, count(*)::bigint as n, sha256(string_agg(sha256(coalesce(text, '')), chr(10) order by turn)) as digest from conversations group by conv_id")
+def receipt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest over the receipts of a conversation's prompts in order."""
     from ..operators.generate import ordered_digest
 
-    return ordered_digest(table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("h")), ["lang"], "doc_id", "h")
+    return ordered_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")), ["conv_id"], "turn", "h")
+
+
+@query("select kind, identity, (row_number() over (partition by kind order by identity) - 1)::bigint as place from (select distinct lang as kind, sha256(text) as identity from documents)")
+def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of any size as rows in order."""
+    from ..operators.generate import registry_rows as build
+
+    return build(table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.sha2("text", 256).alias("identity")), "kind", "identity")

@@ -1,4 +1,4 @@
 """All registered queries of the reference operators."""
 
-from . import audits, consent, contracts, datasets, divergence, grounding, router, runs, scores  # noqa: F401
+from . import audits, consent, contracts, datasets, divergence, grounding, router, runs, scores, sources  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -30,18 +30,32 @@ def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", diverge.first_difference(F.col("w"), F.col("r")).alias("first_difference"))
 
 
-@query("""
+LAYERS_SQL = """
 with a as (select doc_id, sha256(text) as raw, lang as compiled, n_chars as metric from documents where doc_id % 91 <> 0),
 b as (select doc_id, case when doc_id % 40 = 0 then '' else sha256(text) end as raw, case when doc_id % 60 = 0 then 'xx' else lang end as compiled, n_chars as metric from documents),
-j as (select coalesce(a.doc_id, b.doc_id) as doc_id, a.raw is not distinct from b.raw as s1, a.compiled is not distinct from b.compiled as s2, a.metric is not distinct from b.metric as s3 from a full join b on a.doc_id = b.doc_id),
-u as (select doc_id, 'raw' as layer, s1 as same from j union all select doc_id, 'compiled', s2 from j union all select doc_id, 'metric', s3 from j)
-select layer, count(*) filter (same)::bigint as "equal", count(*) filter (not same)::bigint as different, coalesce(list_sort(list(doc_id) filter (not same)), []) as mismatches from u group by layer""")
-def layered_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replay with altered raw and compiled layers and a missing record in the reference."""
+j as (select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id is not null and b.doc_id is not null and a.raw is not distinct from b.raw as s1, a.doc_id is not null and b.doc_id is not null and a.compiled is not distinct from b.compiled as s2, a.doc_id is not null and b.doc_id is not null and a.metric is not distinct from b.metric as s3 from a full join b on a.doc_id = b.doc_id),
+u as (select doc_id, 'raw' as layer, s1 as same from j union all select doc_id, 'compiled', s2 from j union all select doc_id, 'metric', s3 from j)"""
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay with altered raw and compiled layers, and a record that the reference lacks."""
     docs = table(spark, sf_dir, "documents")
     reference = docs.where("doc_id % 91 <> 0").select("doc_id", F.sha2("text", 256).alias("raw"), F.col("lang").alias("compiled"), F.col("n_chars").alias("metric"))
     replay = docs.select("doc_id", F.when(F.col("doc_id") % 40 == 0, "").otherwise(F.sha2("text", 256)).alias("raw"), F.when(F.col("doc_id") % 60 == 0, "xx").otherwise(F.col("lang")).alias("compiled"), F.col("n_chars").alias("metric"))
-    return diverge.layered_equality(reference, replay, "doc_id", ["raw", "compiled", "metric"])
+    return diverge.layer_mismatches(reference, replay, "doc_id", ["raw", "compiled", "metric"])
+
+
+@query(f"""{LAYERS_SQL}
+select layer, count(*) filter (same)::bigint as "equal", count(*) filter (not same)::bigint as different, min(doc_id) filter (not same) as first_mismatch from u group by layer""")
+def layered_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay with altered raw and compiled layers and a missing record in the reference."""
+    return diverge.layered_equality(replayed(spark, sf_dir), "doc_id")
+
+
+@query(f"{LAYERS_SQL} select doc_id, layer from u where not same")
+def replay_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record and layer that a replay doesn't reproduce."""
+    return replayed(spark, sf_dir).where("not same").select("doc_id", "layer")
 
 
 @query(f"""with {VECTOR_PAIRS_SQL}, d as (select vec_id, pos, abs(l - r) as d from c)

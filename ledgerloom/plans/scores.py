@@ -145,19 +145,29 @@ def regression_events(spark: SparkSession, sf_dir: str) -> DataFrame:
   select lang as metric, count(*) filter (p1 = quality)::double / count(*)::double as before, count(*) filter (p2 = quality)::double / count(*)::double as after from scored group by lang union all select 'none', null, 1.0)
 select metric, before, after, after - before as delta, case when after - before is null then 'not_applicable' when after > before then 'improved' when after < before then 'regressed' else 'equal' end as class from m""")
 def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E27, E29, E38."""
+    """E27, E38."""
     q, n = F.col("quality"), F.count("*").cast("double")
     m = scored(spark, sf_dir).groupBy(F.col("lang").alias("metric")).agg((F.count_if(F.col("p1") == q).cast("double") / n).alias("before"), (F.count_if(F.col("p2") == q).cast("double") / n).alias("after"))
     none = spark.range(1).select(F.lit("none").alias("metric"), F.lit(None).cast("double").alias("before"), F.lit(1.0).alias("after"))
     return score.metric_deltas(m.unionByName(none), "before", "after")
 
 
-@query(f"""with {SCORED_SQL}, e as (select doc_id, case when p1 = quality then 'exact' when quality = 0 and p1 = 1 then 'reject_to_act' when quality = 1 and p1 = 0 then 'act_to_reject' else 'unclassified' end as class from scored)
-select class, count(*)::bigint as n, list_sort(list(doc_id)) as ids from e group by class""")
-def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered CASE over gold and prediction, with id lists."""
-    from ..operators.gates import taxonomy
+CLASSES_SQL = f"""with {SCORED_SQL}, e as (select doc_id, case when p1 = quality then 'exact' when quality = 0 and p1 = 1 then 'reject_to_act' when quality = 1 and p1 = 0 then 'act_to_reject' else 'unclassified' end as class from scored)"""
+
+
+@query(f"{CLASSES_SQL} select * from e")
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered CASE over gold and prediction, a row for each record."""
+    from ..operators.gates import classified
 
     p, q = F.col("p1"), F.col("quality")
     kind = F.when(p == q, "exact").when((q == 0) & (p == 1), "reject_to_act").when((q == 1) & (p == 0), "act_to_reject").otherwise("unclassified")
-    return taxonomy(scored(spark, sf_dir), kind, "doc_id")
+    return classified(scored(spark, sf_dir), kind, "doc_id")
+
+
+@query(f'{CLASSES_SQL} select class, count(*)::bigint as n, min(doc_id) as "first" from e group by class')
+def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each class, and the first of them."""
+    from ..operators.gates import taxonomy
+
+    return taxonomy(failure_classes(spark, sf_dir), "doc_id")

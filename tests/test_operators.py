@@ -4,13 +4,14 @@ import hashlib
 import json
 import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import geometry, identity, text
 from ledgerloom.operators import audit, diverge, gates, generate, rules, score, traces
-from ledgerloom.sources import files
+from ledgerloom.sources import files, sinks
 from ledgerloom.streaming import runs
 
 
@@ -64,14 +65,14 @@ def test_empty_token_sets_are_equal(spark):
 
 def test_audit_offenders(spark):
     df = spark.createDataFrame([(1, "A b", "x"), (2, "a  B!", "y"), (3, "c", "x")], "id long, text string, split string")
-    assert [(r.id, r.previous, r.position) for r in audit.exact_duplicates(df, "id", ["id"], "text").collect()] == [(2, 1, 2)]
+    assert [(r.id, r.previous) for r in audit.exact_duplicates(df, "id", "id", "text").collect()] == [(2, 1)]
     assert rows(audit.crossing(df.withColumn("g", F.col("id") % 2), "g", "split")) == []
     families = spark.createDataFrame([(1, "x"), (2, "x"), (9, "x")], "id long, split string")
     assert sorted((r.id, r.issues) for r in audit.member_check(families, df, "id", ["split"]).collect()) == [(2, ["split"]), (9, ["missing"])]
     assert rows(audit.unmapped(df.select("id"), families, "id")) == [(3,)]
     a = spark.createDataFrame([(0, "h0"), (1, "h1")], "k long, h string")
     b = spark.createDataFrame([(0, "h0"), (1, "hX"), (2, "h2")], "k long, h string")
-    assert rows(audit.prefix_mismatch(a, b, "k", "h")) == [(2, 3, 1)] and rows(audit.prefix_mismatch(a, a, "k", "h")) == [(2, 2, None)]
+    assert rows(audit.prefix_mismatch(a, b, "k", "h")) == [(2, 3, 1, 1)] and rows(audit.prefix_mismatch(a, a, "k", "h")) == [(2, 2, 0, None)]
     pairs = spark.createDataFrame([("p", "clean", "i", 1), ("p", "hard", "i", 2), ("q", "clean", "j", 3)], "p string, v string, i string, c int")
     assert rows(audit.pair_integrity(pairs, "p", "v", ["clean", "hard"], ["i", "c"])) == [("p", 2, [], ["c"]), ("q", 1, ["hard"], [])]
 
@@ -205,10 +206,12 @@ def test_ordered_digest_depends_on_order(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "j").mkdir()
-    for name, content in {"good.json": b'{"a":1}', "dup.json": b'{"a":1,"a":1}', "bad.json": b"\xff\xfe", "big.json": b"[" + b"1," * 100 + b"1]"}.items():
+    for name, content in {"good.json": b'{"a":1}', "dup.json": b'{"a":1,"a":1}', "bad.json": b"\xff\xfe", "big.json": b"[" + b"1," * 100 + b"1]", "empty.json": b"", "twice.json": b"{}"}.items():
         (tmp_path / "j" / name).write_bytes(content)
+    (tmp_path / "j" / "link.json").symlink_to(tmp_path / "j" / "good.json")
+    (tmp_path / "j" / "second.json").hardlink_to(tmp_path / "j" / "twice.json")
     found = {r.path.rpartition("/")[2]: r.code for r in files.json_documents(spark, str(tmp_path / "j"), most_bytes=100).collect()}
-    assert found == {"good.json": None, "dup.json": "DUPLICATE_JSON_KEY", "bad.json": "INVALID_UTF8", "big.json": "TOO_LARGE"}
+    assert found == {"good.json": None, "dup.json": "DUPLICATE_JSON_KEY", "bad.json": "MALFORMED_JSON", "big.json": "INPUT_TOO_LARGE", "empty.json": "EMPTY_JSON", "link.json": "UNSAFE_INPUT_PATH", "twice.json": "UNSAFE_INPUT_PATH", "second.json": "UNSAFE_INPUT_PATH"}
     receipts = {r.path.rpartition("/")[2]: (r.bytes, r.sha256) for r in files.receipts(spark, str(tmp_path / "j"), "*.json").collect()}
     assert receipts["good.json"] == (7, hashlib.sha256(b'{"a":1}').hexdigest())
     header = json.dumps({"__metadata__": {}, "w": {"dtype": "F32", "shape": [2, 2], "data_offsets": [0, 16]}, "b": {"dtype": "F32", "shape": [], "data_offsets": [16, 20]}}).encode()
@@ -216,15 +219,44 @@ def test_files(spark, tmp_path):
     (tmp_path / "t" / "x.safetensors").write_bytes(struct.pack("<Q", len(header)) + header + struct.pack("<5f", 1, 2, 3, 4, float("nan")))
     tensors = files.safetensors_headers(spark, str(tmp_path / "t"))
     assert rows(tensors.select("name", "shape", "start", "size", "data_bytes")) == [("b", [], 16, 4, 20), ("w", [2, 2], 0, 16, 20)]
+    assert rows(files.safetensors_issues(tensors, ["w", "z"]).select("name", "issue")) == [("z", "MISSING_TENSOR")]
+    (tmp_path / "t" / "y.safetensors").write_bytes(b"12")
+    assert rows(files.safetensors_issues(files.safetensors_headers(spark, str(tmp_path / "t"))).select("name", "issue")) == [("MALFORMED_HEADER", "MALFORMED_HEADER")]
     (tmp_path / "raw.bin").write_bytes(struct.pack("<3f", 1, float("inf"), 2))
     records = spark.createDataFrame([("a", 0, 4), ("b", 4, 4), ("c", 8, 3)], "tensor_id string, byte_offset long, byte_length long")
     kept = records.where("tensor_id <> 'c'")
-    assert [(r.tensor_id, r.aligned, r.finite) for r in files.tensor_records(spark, str(tmp_path / "raw.bin"), kept).orderBy("tensor_id").collect()] == [("a", True, True), ("b", True, False)]
+    found = files.tensor_records(spark, str(tmp_path / "raw.bin"), records).orderBy("tensor_id").collect()
+    assert [(r.tensor_id, r.aligned, r.whole, r.finite, r.elements) for r in found] == [("a", True, True, True, 1), ("b", True, True, False, 1), ("c", False, True, True, 0)]
+    raw = hashlib.sha256(struct.pack("<f", 1))
+    assert (found[0].sha256, found[0].bound_sha256) == (raw.hexdigest(), hashlib.sha256(struct.pack(">QQ", 0, 4) + raw.digest()).hexdigest())
+    (tmp_path / "zero.bin").write_bytes(struct.pack("<f", -0.0))
+    assert files.tensor_records(spark, str(tmp_path / "zero.bin"), kept.where("tensor_id = 'a'")).first().canonical_sha256 == hashlib.sha256(struct.pack("<f", 0.0)).hexdigest()
     pointer = "version https://git-lfs.github.com/spec/v1\noid sha256:" + "a" * 64 + "\nsize 12\n"
     assert [r[0] and tuple(r[0]) for r in spark.createDataFrame([(pointer,), ("x",)], "t string").select(files.lfs_pointer(F.col("t"))).collect()] == [("a" * 64, 12), None]
-    files.write_jsonl(spark.createDataFrame([(2, "b"), (1, None)], "k int, a string").coalesce(1), str(tmp_path / "out"), ["k"])
+    sinks.write_jsonl(spark.createDataFrame([(2, "b"), (1, None)], "k int, a string").coalesce(1), str(tmp_path / "out"), ["k"])
     lines = [line for p in sorted((tmp_path / "out").glob("part-*")) for line in p.read_text().splitlines()]
     assert lines == ['{"a":null,"k":1}', '{"a":"b","k":2}']
+    with pytest.raises(FileExistsError):
+        sinks.write_jsonl(spark.createDataFrame([(2, "b")], "k int, a string"), str(tmp_path / "out"), ["k"])
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        sinks.write_exclusive(spark.range(3).selectExpr("1 / (id - 1) as x"), str(tmp_path / "half"))
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("half")]
+
+
+def test_images_are_readable(spark):
+    boxes = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2", "colour", "stroke"), b, strict=True))) for b in [(1, 1, 4, 3, 0xFF0000, 0), (-2, 0, 9, 5, 0x0000FF, 1)]))
+    raw = bytes(spark.range(1).select(sinks.png(F.lit(6), F.lit(5), F.lit(0x102030), boxes)).first()[0])
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, {}
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "big")
+        kind, data = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + n]
+        assert int.from_bytes(raw[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+        chunks[kind], at = data, at + 12 + n
+    assert struct.unpack(">IIBBBBB", chunks[b"IHDR"]) == (6, 5, 8, 2, 0, 0, 0)
+    lines = zlib.decompress(chunks[b"IDAT"])
+    pixel = lambda x, y: lines[y * 19 + 1 + 3 * x : y * 19 + 4 + 3 * x]
+    assert pixel(2, 2) == b"\xff\0\0" and pixel(2, 0) == b"\0\0\xff" and pixel(5, 2) == b"\x10\x20\x30" and pixel(0, 2) == b"\0\0\xff"
 
 
 def test_streaming_counts_equal_batch(spark, tmp_path):
