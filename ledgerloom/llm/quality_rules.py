@@ -9,8 +9,7 @@ any randomness: the threshold stands midway between the mean scores of all trust
 untrusted documents of ten words or more (weights ``LEAN``), so it is a function of the data alone.
 
 Counts are partial tables of ``BUCKETS`` numbers a task, so nothing that reaches the driver grows
-with the corpus; labelled documents are found by a join that Spark broadcasts where their list is
-small.  Null and empty texts have no words: all counts are 0, score 0.0, and base_failed is true.
+with the corpus; labelled documents are found by a join, broadcast where the list of labels is short.  Null and empty texts have no words: all counts are 0, score 0.0, and base_failed is true.
 Whole texts of any length are read.  Repeated rows get equal results, and count as often as they
 stand.  An empty table gives no rows; extra columns are left alone.  Without labels of both
 classes no document is dropped by the ratio.
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, stored, stored_so_far
 from .words import SPACES, U64, WordTable, mix, segment_sum, slices, windows, word_table
 
 BUCKETS = 1 << 18
@@ -32,6 +32,8 @@ BUCKETS = 1 << 18
 LEAN = 0.5
 #: How many n-grams the raw model is worth in the target.
 LEANING = 1000.0
+#: Labels are broadcast up to this many (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -106,9 +108,15 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and quality of every labelled document; of several labels of one id, the least counts."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality")
+    """text and quality of every labelled document; of several labels of one id, the least counts.
+
+    Up to ``BROADCAST_IDS`` labels go to the documents; beyond, both are shuffled once, and what meets is stored.
+    """
+    known = stored(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")), "labels")
+    texts = docs.select("doc_id", "text")
+    if known.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(known), "doc_id").select("text", "quality")
+    return stored(texts.join(known, "doc_id").select("text", "quality"), "labelled", "zstd")
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -118,6 +126,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def ratio_and_threshold(docs: DataFrame, labels: DataFrame, lean: float = LEAN, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    before = stored_so_far()
     known = labelled(docs, labels)
     target = bucket_counts(known.where("quality = 1"), buckets)
     if not target.sum():
@@ -134,6 +143,7 @@ def ratio_and_threshold(docs: DataFrame, labels: DataFrame, lean: float = LEAN,
     # whole billionths, so no order of addition shows in the means
     scored = known.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "score long, quality int, n_words long").where("n_words >= 10 and quality in (0, 1)")
     mean = {r["quality"]: r["mean"] for r in scored.groupBy("quality").agg((F.sum(F.col("score").cast("decimal(38,0)")) / F.count("*")).cast("double").alias("mean")).collect()}
+    discard(docs.sparkSession, before, keep=[])
     if len(mean) < 2:
         return ratio, -np.inf
     return ratio, float(np.round((lean * mean[1] + (1 - lean) * mean[0]) / 1e9, 9))
