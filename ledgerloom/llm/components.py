@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored, stored_so_far
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b.  Returns node, label: the smallest node reachable, for nodes with edges."""
+    before = stored_so_far()
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
@@ -25,4 +26,5 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(nearer.join(onward, "label", "left").select("node", "was", F.coalesce("next", "label").alias("label")), "labels")
         labels = step.select("node", "label")
         if step.where("was <> label").limit(1).count() == 0:
+            discard(edges.sparkSession, before, keep=[step])
             return labels

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored, stored_so_far
 from .words import PUNCTUATION, slices, word_table
 
 WIDTH = 13
@@ -242,12 +242,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
     ``index``: a :func:`stored_index` of the documents, if there is one already.
     """
+    before = stored_so_far()
     index = stored_index(docs) if index is None else index
     hits, named = matches(index, benchmark, width, slop)
     spans = hits.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
     items = named.groupBy("block", "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     found = stored(spans.join(items, ["block", "row"], "full_outer"), "hits")
+    rows = stored(documents_of(index), "indexed-documents")
+    discard(index.sparkSession, before, keep=[found, rows])
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0L), (a, x) -> named_struct('n', a.n + greatest(0L, x.e - greatest(x.s, a.to)), 'to', greatest(a.to, x.e)), a -> a.n)")
-    all_docs = documents_of(index).join(found, ["block", "row"], "left").withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<string>)"))})
+    all_docs = rows.join(found, ["block", "row"], "left").withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<string>)"))})
     out = all_docs.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans", "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored, stored_so_far
 from .url_filter import host_and_path
 
 #: Digests are broadcast up to this many (about 100 bytes each in a Python worker); beyond, they are joined.
@@ -356,7 +356,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least_
     """``keep`` columns, text and n_chars of every page."""
     host = host_and_path(F.col("url"))[0]
     named = pages.select(*(F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)), host.alias("host"), "html")
+    before = stored_so_far()
     gone = stored(removals(named.select("host", "html"), least_importance), "removed-keys")
+    discard(pages.sparkSession, before, keep=[gone])
     n = len(keep)
     kept = named.columns[:n]
     if gone.count() <= broadcast_digests:

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import discard, stored, stored_so_far
 from .words import SPACES, U64, mix, segment_sum, shingle_sets, slices, word_table
 
 GROUPS, ROWS = 20, 4
@@ -244,6 +244,7 @@ def links_by_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    before = stored_so_far()
     signed = stored(signatures(docs, width, groups, rows), "signatures")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("size"), F.any_value("left").alias("left"), F.any_value("right").alias("right")), "classes")
@@ -259,8 +260,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
         key = ["a", "da", "b", "db"]
         more = one_way(sharing(heads, percent)).join(found.select(*key), key, "left_anti").join(back, key, "left_anti")
         labels = contracted(stored(compare(sets, more, percent), "compared").where("linked").select("a", "b"), labels)
-    known = classes.select("d1", "d2", "node")
-    known = known.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id"))
+    known = stored(classes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id")), "class-components")
+    discard(docs.sparkSession, before, keep=[signed, known])
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))

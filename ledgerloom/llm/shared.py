@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,30 +26,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(spark: SparkSession) -> list[str]:
-    context = spark.sparkContext
-    if not hasattr(context, "_ledgerloom_written"):
-        context._ledgerloom_written = []
-    return context._ledgerloom_written
+_tables = threading.local()
+
+
+def _written() -> list[str]:
+    """Addresses of the tables that this thread has stored and not deleted."""
+    if not hasattr(_tables, "paths"):
+        _tables.paths = []
+    return _tables.paths
 
 
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder, read again: recomputing never goes further back."""
     path = new_path(df.sparkSession, name)
-    _written(df.sparkSession).append(path)
+    _written().append(path)
     df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
 
+def stored_so_far() -> int:
+    return len(_written())
 
-def stored_so_far(spark: SparkSession) -> int:
-    return len(_written(spark))
 
+def discard(spark: SparkSession, after: int, keep: list[DataFrame]) -> None:
+    """Deletes what this thread has stored since :func:`stored_so_far` gave ``after``, but for the tables to keep.
 
-def discard(spark: SparkSession, after: int, keep: DataFrame) -> None:
-    """Deletes the tables stored since :func:`stored_so_far` gave ``after``, but for those that ``keep`` reads."""
-    kept = {path for path in _written(spark)[after:] if any(f"/{path.rsplit('/', 1)[1]}/" in file for file in keep.inputFiles())}
-    for path in _written(spark)[after:]:
+    Call it once nothing unwritten reads the others any more.
+    """
+    kept = [df._ledgerloom_path for df in keep if hasattr(df, "_ledgerloom_path")]
+    for path in _written()[after:]:
         if path not in kept:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _written(spark)[after:] = sorted(kept)
+    _written()[after:] = [path for path in _written()[after:] if path in kept]
