@@ -5,7 +5,7 @@ Parquet in the shared folder and reads it again as the next stage's documents, a
 the stage before it and the operators had stored.  All but the last return the columns of
 ``documents``; others are dropped.
 
-Every decision is of a row, never of an id: the stages number the rows of their stored input, so
+Every decision is of a row, never of an id: the stages number the rows of their input, so
 rows with a null or repeated doc_id are judged and copied one by one.  Of near-duplicates the row
 with the smallest doc_id stays (null last, then the first row); rows without words link with
 nothing.  A contaminated row goes, and no other row of its id.  Null texts are scored, kept and
@@ -15,6 +15,7 @@ encoded as empty ones.  Empty tables give no rows.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number for each row, written down, as numbers made on the way differ between passes."""
-    return stored(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """The documents with a number for each row that is the same in every pass.
+
+    Rows of Parquet files have one: their file's and their own in it.  Others are written with numbers.
+    """
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return stored(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())  # as many as there are files with rows
+    numbers = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "__file string, __first long")
+    return placed.join(F.broadcast(numbers), "__file").select(*COLUMNS, (F.col("__first") + F.col("__at")).alias(ROW))
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -85,8 +95,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    before = stored_so_far(spark)
+    before = stored_so_far()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-        discard(spark, before, keep=docs)
+        discard(spark, before, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
