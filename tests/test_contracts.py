@@ -2,7 +2,9 @@
 
 import json
 import math
+import os
 import random
+import types
 from fractions import Fraction
 
 import pytest
@@ -140,6 +142,6 @@ def test_a_file_that_changes_is_not_taken(tmp_path, monkeypatch):
         (tmp_path / "other").replace(path)
         return real(path, *more)
 
-    monkeypatch.setattr(scratch.os, "lstat", replaced)
+    monkeypatch.setattr(scratch, "os", types.SimpleNamespace(**{name: getattr(os, name) for name in dir(os) if name != "lstat"}, lstat=replaced))
     assert scratch.read_once(str(place), 100) == (None, "INPUT_CHANGED")
     assert scratch.read_once(str(tmp_path / "gone"), 100) == (None, "UNSAFE_INPUT_PATH") == scratch.read_once(str(tmp_path), 100)
