@@ -135,13 +135,14 @@ def test_a_file_that_changes_is_not_taken(tmp_path, monkeypatch):
     place = tmp_path / "f.json"
     place.write_text("{}")
     assert scratch.read_once(f"file://{place}", 100) == (b"{}", None)
-    real = scratch.os.lstat
 
     def replaced(path, *more):
+        assert path == str(place)  # the module's own view of os, and this one file: nothing else may be replaced
         (tmp_path / "other").write_text("[]")
-        (tmp_path / "other").replace(path)
-        return real(path, *more)
+        (tmp_path / "other").replace(place)
+        return os.lstat(path, *more)
 
-    monkeypatch.setattr(scratch, "os", types.SimpleNamespace(**{name: getattr(os, name) for name in dir(os) if name != "lstat"}, lstat=replaced))
+    monkeypatch.setattr(scratch, "os", types.SimpleNamespace(**{name: getattr(os, name) for name in ("open", "fdopen", "fstat", "close", "O_RDONLY", "O_NOFOLLOW")}, lstat=replaced))
     assert scratch.read_once(str(place), 100) == (None, "INPUT_CHANGED")
+    monkeypatch.undo()
     assert scratch.read_once(str(tmp_path / "gone"), 100) == (None, "UNSAFE_INPUT_PATH") == scratch.read_once(str(tmp_path), 100)
