@@ -4,8 +4,10 @@ Records of any layout (a VARIANT column) are fingerprinted: ``schema_of_variant`
 nested field paths, scalar types are blanked out, and the SHA-256 of what is left is the
 record's fingerprint.  Each :class:`Layout` declares an example of its shape and the SQL
 expression that turns such a record into canonical turns ``array<struct<role, text>>``;
-the example's own fingerprint (a folded constant) selects it.  A record that fits no layout
-gets no turns and a null layout; nothing is dropped.
+the example's own fingerprint (a folded constant) selects it.  A record with fields beside
+those of a layout has another fingerprint; it takes the first layout, in their order, all of
+whose own paths it has (``fits``).  A record that fits no layout gets no turns and a null
+layout; nothing is dropped.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n`` per turn.  Control strings inside texts are
 escaped reversibly: one backslash goes in after the first character of each, and where
@@ -48,11 +50,23 @@ def unescape(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """``examples``: JSON records of this shape (one for each set of fields it may have); ``turns``: SQL over the VARIANT column ``record``."""
+    """``examples``: JSON records of this shape (one for each set of fields it may have); ``turns``: SQL over the VARIANT column ``record``.
+
+    ``fits``: SQL that says whether a record with other fields too has this layout's own.
+    """
 
     name: str
     examples: tuple[str, ...]
     turns: str
+    fits: str
+
+
+def _texts(*paths: str) -> str:
+    return " and ".join(f"try_variant_get(record, '{p}', 'string') is not null" for p in paths)
+
+
+def _list(path: str, role: str, text: str) -> str:
+    return f"coalesce(size(try_variant_get(record, '{path}', 'array<struct<{role}:string,{text}:string>>')) > 0 and forall(try_variant_get(record, '{path}', 'array<struct<{role}:string,{text}:string>>'), x -> x.{role} is not null), false)"
 
 
 def _pair(role: str, path: str) -> str:
@@ -60,14 +74,14 @@ def _pair(role: str, path: str) -> str:
 
 
 LAYOUTS = (
-    Layout("turns", ('{"turns":[{"role":"","text":""}]}', '{"turns":[]}'), f"variant_get(record, '$.turns', '{TURNS}')"),
-    Layout("messages", ('{"messages":[{"role":"","content":""}]}', '{"messages":[]}'), "transform(variant_get(record, '$.messages', 'array<struct<role:string,content:string>>'), x -> named_struct('role', x.role, 'text', x.content))"),
-    Layout("conversations", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'), "transform(variant_get(record, '$.conversations', 'array<struct<from:string,value:string>>'), x -> named_struct('role', CASE x.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.from END, 'text', x.value))"),
-    Layout("prompt", ('{"prompt":"","response":""}',), f"array({_pair('user', '$.prompt')}, {_pair('assistant', '$.response')})"),
-    Layout("prompt completion", ('{"prompt":"","completion":""}',), f"array({_pair('user', '$.prompt')}, {_pair('assistant', '$.completion')})"),
-    Layout("question", ('{"question":"","answer":""}',), f"array({_pair('user', '$.question')}, {_pair('assistant', '$.answer')})"),
-    Layout("instruction", ('{"instruction":"","output":""}', '{"instruction":"","input":"","output":""}'), "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', variant_get(record, '$.instruction', 'string'), nullif(variant_get(record, '$.input', 'string'), ''))), " + _pair("assistant", "$.output") + ")"),
-    Layout("system prompt", ('{"system":"","prompt":"","response":""}',), f"array({_pair('system', '$.system')}, {_pair('user', '$.prompt')}, {_pair('assistant', '$.response')})"),
+    Layout("turns", ('{"turns":[{"role":"","text":""}]}', '{"turns":[]}'), f"variant_get(record, '$.turns', '{TURNS}')", _list("$.turns", "role", "text")),
+    Layout("messages", ('{"messages":[{"role":"","content":""}]}', '{"messages":[]}'), "transform(variant_get(record, '$.messages', 'array<struct<role:string,content:string>>'), x -> named_struct('role', x.role, 'text', x.content))", _list("$.messages", "role", "content")),
+    Layout("conversations", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'), "transform(variant_get(record, '$.conversations', 'array<struct<from:string,value:string>>'), x -> named_struct('role', CASE x.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.from END, 'text', x.value))", _list("$.conversations", "from", "value")),
+    Layout("system prompt", ('{"system":"","prompt":"","response":""}',), f"array({_pair('system', '$.system')}, {_pair('user', '$.prompt')}, {_pair('assistant', '$.response')})", _texts("$.system", "$.prompt", "$.response")),
+    Layout("prompt", ('{"prompt":"","response":""}',), f"array({_pair('user', '$.prompt')}, {_pair('assistant', '$.response')})", _texts("$.prompt", "$.response")),
+    Layout("prompt completion", ('{"prompt":"","completion":""}',), f"array({_pair('user', '$.prompt')}, {_pair('assistant', '$.completion')})", _texts("$.prompt", "$.completion")),
+    Layout("question", ('{"question":"","answer":""}',), f"array({_pair('user', '$.question')}, {_pair('assistant', '$.answer')})", _texts("$.question", "$.answer")),
+    Layout("instruction", ('{"instruction":"","output":""}', '{"instruction":"","input":"","output":""}'), "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', variant_get(record, '$.instruction', 'string'), nullif(variant_get(record, '$.input', 'string'), ''))), " + _pair("assistant", "$.output") + ")", _texts("$.instruction", "$.output")),
 )
 
 
@@ -80,7 +94,7 @@ def to_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...]
     """Adds ``fingerprint``, ``layout`` and canonical ``turns``."""
     marked = df.withColumn("fingerprint", F.expr(fingerprint(record)))
     cases = [(layout, " or ".join(f"fingerprint = {fingerprint(f'parse_json({text!r})')}" for text in layout.examples)) for layout in layouts]
-    name = "CASE " + " ".join(f"WHEN {when} THEN '{layout.name}'" for layout, when in cases) + " END"
+    name = "CASE " + " ".join(f"WHEN {when} THEN '{layout.name}'" for layout, when in cases) + " " + " ".join(f"WHEN {layout.fits} THEN '{layout.name}'" for layout in layouts) + " END"
     turns = "CASE " + " ".join(f"WHEN layout = '{layout.name}' THEN {layout.turns.replace('(record,', f'({record},')}" for layout in layouts) + " END"
     named = marked.withColumn("layout", F.expr(name))
     return named.withColumn("turns", F.coalesce(F.expr(turns), F.array().cast(TURNS)))

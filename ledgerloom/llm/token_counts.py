@@ -74,7 +74,9 @@ def whole_tokens(tokenizer) -> list[str]:
 
 
 class TokenCounter:
-    def __init__(self, path: str):
+    """``whole``: what :func:`whole_tokens` gave for this vocabulary, if that is known already."""
+
+    def __init__(self, path: str, whole: list[str] | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,7 +87,8 @@ class TokenCounter:
         self.find = regex.compile(PRE_TOKEN).findall
         added = sorted((t["content"] for t in config["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.costs = _Costs(self.tokenizer, whole_tokens(self.tokenizer)) if self.shortcut else None
+        self.whole = (whole_tokens(self.tokenizer) if whole is None else whole) if self.shortcut else []
+        self.costs = _Costs(self.tokenizer, self.whole) if self.shortcut else None
 
     def plain(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -105,19 +108,33 @@ class TokenCounter:
 
 @lru_cache(2)
 def counter(path: str) -> TokenCounter:
+    """The driver's own, which proves the table."""
     return TokenCounter(path)
 
 
+_workers: dict[str, TokenCounter] = {}
+
+
+def counter_of(path: str, whole: list[str]) -> TokenCounter:
+    """A worker's, made once from the table that it is sent."""
+    if path not in _workers:
+        _workers.clear()
+        _workers[path] = TokenCounter(path, whole)
+    return _workers[path]
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 1024, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, then n_bytes, n_tokens and over_limit of each row; one pass, no shuffle.
 
     ``path`` names a vocabulary file that every executor can open (it is part of the installation).
+    Which vocabulary strings encode alone is proven once, on the driver, and sent (some 50,000 strings).
     """
+    sent = df.sparkSession.sparkContext.broadcast(counter(path).whole)
     chosen = df.select(*keep, df[text].alias("__text"))
     schema = T.StructType([chosen.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        count = counter_of(path, sent.value).count
         for batch in batches:
             texts = batch.column(len(keep))
             _, offsets = raw_bytes(texts)

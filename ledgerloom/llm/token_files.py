@@ -15,7 +15,8 @@ Ids are little-endian unsigned 16-bit integers if the vocabulary fits, else 32-b
 Documents are dealt by ``repartitionByRange(doc_id)``; each task writes its shard under
 a temporary name and renames it, so a repeated task leaves the same file.  Shard k holds
 smaller ids than shard k+1.  Null and empty texts hold the end id alone.  Null ids come
-first; rows with equal ids stand in the order of their texts.
+first; rows with equal ids stand in the order of their texts.  Texts of any length are encoded
+whole; an empty table has no shards and gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -220,7 +221,7 @@ class ShardReader:
 
 # -- Spark ------------------------------------------------------------------------------
 
-MANIFEST = "shard int, path string, n_docs long, n_tokens long"
+MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_id long, last_id long"
 
 
 def _files(path: str):
@@ -251,7 +252,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
             writer.close()
             stream.close()
             files.move(partial, final)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{final.rpartition('/')[2]}"], "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.counts)]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{final.rpartition('/')[2]}"], "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.counts)], **{name: pa.array([end_of(x for x in writer.ids if x is not None)], pa.int64()) for name, end_of in (("first_id", lambda ids: min(ids, default=None)), ("last_id", lambda ids: max(ids, default=None)))}})
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -282,6 +283,45 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return bases.repartition(max(1, manifest.count())).mapInArrow(run, schema)
 
 
+def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids of the wanted documents (column doc_id; null ones aren't found), as often as the files hold them; only their frames are decompressed.
+
+    Where each shard's ids begin is known from the manifest (16 bytes a shard), so a wanted id goes to the one
+    shard that can hold it; those of one shard are read together, in order, as they come.
+    """
+    known = manifest.where("first_id is not null").select("shard", "path", "first_id", "last_id").orderBy("first_id").toArrow()
+    firsts, lasts = (np.asarray(known.column(c).to_numpy()) for c in ("first_id", "last_id"))
+    paths = known.column("path").to_pylist()
+    sent = manifest.sparkSession.sparkContext.broadcast((firsts, lasts, paths))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, _ = sent.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.searchsorted(firsts, ids, "right") - 1
+            here = (at >= 0) & (ids <= lasts[np.maximum(at, 0)]) if len(firsts) else np.zeros(len(ids), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(at[here].astype(np.int64)), pa.array(ids[here])], names=["place", "doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, held, source, reader = sent.value[2], -1, None, None
+        for batch in batches:
+            places, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in np.unique(places).tolist():
+                if at != held:
+                    if source is not None:
+                        source.close()
+                    files, where = _files(paths[at])
+                    source = files.open_input_file(where)
+                    held, reader = at, ShardReader(source)
+                found = list(reader.documents(ids[places == at].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x.astype(np.int64) for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+        if source is not None:
+            source.close()
+
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().mapInArrow(place, "place long, doc_id long")
+    return asked.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def token_files(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Writes the token files of ``df`` and returns what they hold, read back."""
     return read_token_files(write_token_files(df, folder or new_path(spark, "token-files"), tokenizer, end_id))

@@ -84,6 +84,18 @@ def test_token_files(spark, docs, none, vocabulary, tmp_path):
     assert token_files.token_files(spark, none, path).count() == 0
 
 
+def test_documents_are_read_by_id(spark, docs, none, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/ids", path, 1)
+    wanted = spark.createDataFrame([(0,), (0,), (3,), (17,), (43,), (999,), (-5,), (None,)], "doc_id long")
+    found = sorted((r.doc_id, r.ids) for r in token_files.read_documents(manifest, wanted).collect())
+    expected = sorted((r.doc_id, [*library.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.where("doc_id in (0, 3, 17, 43)").collect())
+    assert found == expected and len(found) == 5
+    empty = token_files.write_token_files(none, f"file://{tmp_path}/none", path, 1)
+    assert token_files.read_documents(empty, wanted).count() == 0
+
+
 def test_shards_are_plain_zstandard_and_checked(tmp_path):
     import zstandard
 
@@ -336,6 +348,25 @@ def test_chat_layouts(spark):
     assert all(found[n].layout is None and found[n].turns == [] for n in ("other", "null", "bad"))
 
 
+def test_chat_layouts_with_fields_beside_theirs(spark):
+    cases = {
+        "turns": '{"turns":[{"role":"user","text":"q","weight":1},{"role":"assistant","text":"a"}],"id":7}', "messages": '{"id":"x","messages":[{"role":"user","content":"q","name":null},{"role":"assistant","content":"a"}],"meta":{"a":[1]}}',
+        "conversations": '{"source":"s","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "prompt": '{"response":"a","prompt":"q","score":0.5}', "question": '{"question":"q","answer":"a","tags":["t"]}', "instruction": '{"id":1,"instruction":"q","output":"a"}',
+    }
+    more = {"system": '{"system":"s","prompt":"q","response":"a","id":1}', "none": '{"messages":[{"content":"q"}],"id":1}', "empty": '{"messages":[],"id":1}', "half": '{"prompt":"q","id":1}'}
+    df = spark.createDataFrame([*cases.items(), *more.items()], "name string, j string").selectExpr("name", "try_parse_json(j) record")
+    found = {r["name"]: r for r in chat_format.to_turns(df).collect()}
+    for name in cases:
+        assert found[name].layout == name and [(t.role, t.text) for t in found[name].turns] == [("user", "q"), ("assistant", "a")], name
+    assert [(t.role, t.text) for t in found["system"].turns] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    assert all(found[n].layout is None and found[n].turns == [] for n in ("none", "empty", "half"))
+
+
+def test_chat_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.digests(chat_format.read_back(chat_format.formatted(chat_format.to_turns(chat_format.records_of_turns(rows))))).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- c <p>no</p> --><article><h1>Head &amp; Shoulders</h1><p><b>One &lt;two&gt;<br><p>Three
  four&nbsp;five &am <span class="ad">buy</span> six<div class="comments"><p>first!</p></div><ul><li>i1<li>i2</ul></article><aside>side</aside><form><p>name</p></form><footer>&copy; x</footer>"""
