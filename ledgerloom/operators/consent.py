@@ -49,23 +49,23 @@ def _time(value: Column, field: str, place: str) -> tuple[Column, list[Rule]]:
     return at, [("INVALID_TIMESTAMP", f"{place}.{field}", at.isNull())]
 
 
-def consent_rules(consent: Column, place: str = "$.consent") -> list[Rule]:
+def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent") -> list[Rule]:
     """A grant with a window, a scope without wildcards, control sets, and a retention window inside what it grants."""
     get = lambda f: c.at(consent, f)
-    operator, scope, controls, retention, forbidden, authority = map(get, ("operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"))
+    operator, granted_scope, controls, retention, forbidden, authority = (scope.open(get(f)) for f in ("operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"))
     granted, is_granted = _time(operator, "granted_at_utc", f"{place}.operator_action")
     expires, is_expiry = _time(operator, "expires_at_utc", f"{place}.operator_action")
     delete_by, is_deletion = _time(retention, "delete_by_utc", f"{place}.retention")
-    applications = c.strings(c.at(scope, "application_scope"))
-    listed = lambda f, values: [("INVALID_VALUE", f"{place}.scope.{f}", ~F.coalesce(c.strings(c.at(scope, f)) == F.array(*map(F.lit, values)), F.lit(False)))]
+    applications = scope.keep(c.strings(c.at(granted_scope, "application_scope")))
+    listed = lambda f, values: [("INVALID_VALUE", f"{place}.scope.{f}", ~F.coalesce(c.strings(c.at(granted_scope, f)) == F.array(*map(F.lit, values)), F.lit(False)))]
     days = c.number_at(retention, "max_days")
     return [
         *_object(consent, ("consent_version", "consent_id", "session_id", "decision", "operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"), place),
         ("UNSUPPORTED_VERSION", f"{place}.consent_version", ~c.is_exactly(get("consent_version"), 1)), *_named(consent, "consent_id", place), *_named(consent, "session_id", place), ("VALUE_MISMATCH", f"{place}.decision", ~c.is_exactly(get("decision"), "granted")),
         *_object(operator, ("granted_at_utc", "expires_at_utc", "visible_indicator_acknowledged"), f"{place}.operator_action"), *is_granted, *is_expiry, *_flags(operator, ["visible_indicator_acknowledged"], [], f"{place}.operator_action"), ("INVALID_CONSENT_WINDOW", f"{place}.operator_action", expires <= granted),
-        *_object(scope, ("data_classes", "purposes", "application_scope", "network_upload_allowed"), f"{place}.scope"), *listed("data_classes", DATA_CLASSES), *listed("purposes", PURPOSES),
-        ("EMPTY_ARRAY", f"{place}.scope.application_scope", F.size(applications) == 0), ("INVALID_STRING", f"{place}.scope.application_scope", ~c.all_texts(c.at(scope, "application_scope"))), ("DUPLICATE_ARRAY_ITEM", f"{place}.scope.application_scope", c.repeats(applications)),
-        ("WILDCARD_SCOPE_FORBIDDEN", f"{place}.scope.application_scope", F.exists(applications, lambda a: a.contains("*") | (F.lower(a) == "all"))), *_flags(scope, [], ["network_upload_allowed"], f"{place}.scope"),
+        *_object(granted_scope, ("data_classes", "purposes", "application_scope", "network_upload_allowed"), f"{place}.scope"), *listed("data_classes", DATA_CLASSES), *listed("purposes", PURPOSES),
+        ("EMPTY_ARRAY", f"{place}.scope.application_scope", F.size(applications) == 0), ("INVALID_STRING", f"{place}.scope.application_scope", ~c.all_texts(c.at(granted_scope, "application_scope"))), ("DUPLICATE_ARRAY_ITEM", f"{place}.scope.application_scope", c.repeats(applications)),
+        ("WILDCARD_SCOPE_FORBIDDEN", f"{place}.scope.application_scope", F.exists(applications, lambda a: a.contains("*") | (F.lower(a) == "all"))), *_flags(granted_scope, [], ["network_upload_allowed"], f"{place}.scope"),
         *_object(controls, (*TRUE_CONTROLS, *FALSE_CONTROLS), f"{place}.capture_controls"), *_flags(controls, TRUE_CONTROLS, FALSE_CONTROLS, f"{place}.capture_controls"),
         *_object(retention, ("policy_id", "max_days", "delete_by_utc", "operator_delete_on_request"), f"{place}.retention"), *_named(retention, "policy_id", f"{place}.retention"), ("INVALID_INTEGER", f"{place}.retention.max_days", ~c.is_integer(c.at(retention, "max_days"), 1, MOST_DAYS)),
         *is_deletion, *_flags(retention, ["operator_delete_on_request"], [], f"{place}.retention"), ("INVALID_RETENTION_WINDOW", f"{place}.retention", (delete_by < expires) | (delete_by > granted + F.make_dt_interval(days.cast("int")))),
@@ -87,21 +87,21 @@ def outside(refs: Column, sources: Column) -> Column:
     return F.size(F.array_except(refs, sources)) > 0
 
 
-def action_rules(action: Column, roles: Column, before: Column, tools: Column, place: str = "$.candidate_action") -> list[Rule]:
+def action_rules(action: Column, scope: c.Scope, roles: Column, before: Column, tools: Column, place: str = "$.candidate_action") -> list[Rule]:
     """C20: one mode, an end without execution fields, and grounding that the tool and its evidence support.
 
     ``roles``: role by artifact id; ``before``: ids seen before the action; ``tools``: struct(supports_bbox, supports_ref) by name.
     """
     get = lambda f: c.at(action, f)
     tool, box, ref = c.text_at(action, "next_tool"), ~c.is_null(get("bbox")), ~c.is_null(get("ref"))
-    chosen = F.try_element_at(tools, tool)
+    chosen = scope.keep(F.try_element_at(tools, tool))
     reject, fallback = c.is_true(get("should_reject")), c.is_true(get("should_fallback"))
-    refs = c.strings(get("evidence_refs"))
+    refs = scope.keep(c.strings(get("evidence_refs")))
     role = lambda wanted: F.exists(refs, lambda r: F.try_element_at(roles, r).isin(*wanted))
-    n = F.transform(c.items_at(action, "bbox"), lambda x: F.when(c.is_integer(x, 0), F.try_variant_get(x, "$", "bigint")))
+    n = F.transform(c.items_at(action, "bbox"), lambda x: F.when(c.is_integer(x, 0), x["json"].cast("bigint")))
     good_box = F.coalesce((F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull()) & (F.get(n, F.lit(2)) > F.get(n, F.lit(0))) & (F.get(n, F.lit(3)) > F.get(n, F.lit(1))), F.lit(False))
-    values = F.map_values(F.try_variant_get(get("arguments"), "$", "map<string,variant>"))
-    long = lambda x: (c.kind(x) == "STRING") & (F.length(F.try_variant_get(x, "$", "string")) > MOST_TEXT)
+    values = c.values(get("arguments"))
+    long = lambda x: F.coalesce(F.length(c.text(x)) > MOST_TEXT, F.lit(False))
     terminal = reject | fallback
     return [
         *_object(action, ACTION_FIELDS, place), ("UNKNOWN_ARTIFACT_REF", f"{place}.record_ref", ~F.map_contains_key(roles, c.text_at(action, "record_ref"))),
@@ -116,10 +116,10 @@ def action_rules(action: Column, roles: Column, before: Column, tools: Column, p
     ]
 
 
-def verifier_rules(verifier: Column, roles: Column, after: Column, place: str = "$.verifier") -> list[Rule]:
+def verifier_rules(verifier: Column, scope: c.Scope, roles: Column, after: Column, place: str = "$.verifier") -> list[Rule]:
     """A state-based label whose evidence holds all that was seen after the action, and the verifier's own."""
     get = lambda f: c.at(verifier, f)
-    refs = c.strings(get("evidence_refs"))
+    refs = scope.keep(c.strings(get("evidence_refs")))
     own = F.exists(refs, lambda r: F.try_element_at(roles, r).eqNullSafe(F.lit("state_verifier_evidence")))
     return [
         *_object(verifier, ("source", "label", "evidence_refs", "model_self_report_used"), place), ("VALUE_MISMATCH", f"{place}.source", ~c.is_exactly(get("source"), "state_based")), ("INVALID_ENUM", f"{place}.label", ~c.is_member(get("label"), ("success", "failure", "unknown"))),

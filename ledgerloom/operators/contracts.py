@@ -1,17 +1,19 @@
 """Contracts over nested JSON records as ordered rules on VARIANT columns.
 
-A document is parsed once (:func:`document`); conditions are built from the predicates below and
-stay in the engine: no Python runs for a document that parses.  Rules keep the order in which a
-validator that stops at the first offence would look, so :func:`.rules.first_broken` gives its code
-and location; nested lists are judged item by item inside their own row, without explode or shuffle.
-Null documents are malformed ones.
+A document is parsed once (:func:`document`).  What rules look at is *opened* once too: an opened
+value is a struct of kind, JSON text, the variant and, for an object, a map of its fields, each with
+kind, text and variant; :class:`Scope` makes the opened parts columns of their own, so a rule is a
+look-up and a comparison and nothing is taken apart twice.  No Python runs for a document that
+parses.  Rules keep the order in which a validator that stops at the first offence would look, so
+:func:`.rules.first_broken` gives its code and location; lists are judged item by item inside their
+own row, without explode or shuffle.  Null documents are malformed ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import Rule, first_broken, strict_json_code
@@ -35,92 +37,182 @@ def parse_code(raw: str, parsed: Column) -> Column:
     return F.when(parsed.isNull(), F.coalesce(strict_json_code(refused), F.lit("MALFORMED_JSON")))
 
 
+def _leaf(x: Column, json: Column) -> Column:
+    """kind, json and v of one value; kinds of numbers are the parser's types."""
+    head = F.left(json, F.lit(1))
+    kind_ = F.when(head == "{", "object").when(head == "[", "list").when(head == '"', "text").when(head.isin("t", "f"), "flag").when(head == "n", "null").otherwise(F.schema_of_variant(x))
+    return F.struct(kind_.alias("kind"), json.alias("json"), x.alias("v"))
+
+
+def _leaves(values: Column, over) -> Column:
+    """Each variant of an array (``over``: transform) or map (transform_values) as kind, json and v."""
+    with_text = over(values, lambda *x: F.struct(F.to_json(x[-1]).alias("j"), x[-1].alias("v")))
+    return over(with_text, lambda *x: _leaf(x[-1]["v"], x[-1]["j"]))
+
+
+def _items(v: Column) -> Column:
+    array = F.try_variant_get(v, "$", "array<variant>")
+    return _leaves(array, lambda a, f: F.transform(a, lambda x: f(x)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def opened(v: Column) -> Column:
+    """A variant as kind, json, v and fields."""
+
+    def whole(x: Column) -> Column:
+        fields = _leaves(F.try_variant_get(x["v"], "$", "map<string,variant>"), lambda m, f: F.transform_values(m, lambda k, y: f(k, y)))
+        leaf = _leaf(x["v"], x["j"])
+        return F.struct(leaf["kind"].alias("kind"), x["j"].alias("json"), x["v"].alias("v"), fields.alias("fields"))
+
+    return F.when(v.isNotNull(), bound(F.struct(v.alias("v"), F.to_json(v).alias("j")), whole))
+
+
+class Scope:
+    """Columns that hold opened parts of a document, in the order in which they are to be made."""
+
+    def __init__(self):
+        self.steps: list[tuple[str, Column]] = []
+
+    def keep(self, value: Column) -> Column:
+        name = f"__part{len(self.steps)}"
+        self.steps.append((name, value))
+        return F.col(name)
+
+    def open(self, value: Column) -> Column:
+        """A field that may be an object."""
+        return self.keep(opened(value["v"]))
+
+    def open_items(self, value: Column) -> Column:
+        """The items of a list, each opened."""
+        return self.keep(F.transform(F.try_variant_get(value["v"], "$", "array<variant>"), opened))
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        for name, value in self.steps:
+            df = df.withColumn(name, value)
+        return df
+
+
+def judged(df: DataFrame, keys: list[str], raw: str, root: str, rules: Callable[[Column, Scope], list[Rule]], more: tuple[str, ...] = (), most_bytes: int | None = None) -> DataFrame:
+    """``keys``, code and location of the first rule that each document breaks; size and text come first."""
+    scope = Scope()
+    doc = scope.keep(opened(F.col("__parsed")))
+    found = first_broken(rules(doc, scope))
+    parsed = df.select(*keys, *(x for x in (raw, *more) if x not in keys), document(raw).alias("__parsed"))
+    code = parse_code(raw, F.col("__parsed"))
+    if most_bytes is not None:
+        code = F.when(F.octet_length(raw) > most_bytes, "INPUT_TOO_LARGE").otherwise(code)
+    parts = scope.applied(parsed.withColumn("__code", code))
+    both = F.when(F.col("__code").isNotNull(), F.struct(F.col("__code").alias("code"), F.lit(root).alias("location"))).otherwise(found)
+    return parts.select(*keys, both.alias("__found")).select(*keys, "__found.code", "__found.location")
+
+
 def at(value: Column, field: str) -> Column:
-    """The field of an object as a value of its own; SQL null where it is missing."""
-    return F.try_variant_get(value, f"$.{field}", "variant")
+    """A field of an opened object: kind, json and v; SQL null where it is missing."""
+    return F.try_element_at(value["fields"], F.lit(field))
+
+
+def text(value: Column) -> Column:
+    """The string that a value is; null if it is none."""
+    return F.when(value["kind"] == "text", F.try_variant_get(value["v"], "$", "string"))
 
 
 def text_at(value: Column, field: str) -> Column:
-    return F.try_variant_get(value, f"$.{field}", "string")
+    return text(at(value, field))
 
 
 def number_at(value: Column, field: str) -> Column:
-    return F.try_variant_get(value, f"$.{field}", "bigint")
+    found = at(value, field)
+    return F.when(found["kind"] == "BIGINT", found["json"].cast("bigint"))
+
+
+def items(value: Column) -> Column:
+    """The items of a list, each with kind, json and v; null if it is none."""
+    return _items(value["v"])
 
 
 def items_at(value: Column, field: str) -> Column:
-    """The items of a list; null if it is none."""
-    return F.try_variant_get(value, f"$.{field}", "array<variant>")
+    return items(at(value, field))
+
+
+def values(value: Column) -> Column:
+    """The values of an object's fields, each with kind, json and v."""
+    return _leaves(F.map_values(F.try_variant_get(value["v"], "$", "map<string,variant>")), lambda a, f: F.transform(a, lambda x: f(x)))
 
 
 def kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+    return F.coalesce(value["kind"], F.lit("missing"))
 
 
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT<")
+    return kind(value) == "object"
 
 
 def is_list(value: Column) -> Column:
-    return kind(value).startswith("ARRAY<")
+    return kind(value) == "list"
 
 
 def is_null(value: Column) -> Column:
-    return kind(value).isin("VOID", "MISSING")
+    return kind(value).isin("null", "missing")
 
 
 def is_flag(value: Column) -> Column:
-    return kind(value) == "BOOLEAN"
+    return kind(value) == "flag"
 
 
 def is_true(value: Column) -> Column:
-    return F.coalesce(F.to_json(value) == "true", F.lit(False))
+    return F.coalesce(value["json"] == "true", F.lit(False))
 
 
 def is_false(value: Column) -> Column:
-    return F.coalesce(F.to_json(value) == "false", F.lit(False))
+    return F.coalesce(value["json"] == "false", F.lit(False))
 
 
 def is_text(value: Column) -> Column:
     """A string that isn't empty."""
-    return (kind(value) == "STRING") & (F.to_json(value) != '""')
+    return (kind(value) == "text") & (value["json"] != '""')
 
 
 def is_integer(value: Column, least: int | None = None, most: int | None = None) -> Column:
     """An integer and no boolean; integers beyond 64 bits are unbounded ones."""
-    whole = kind(value) == "BIGINT"
-    n = F.try_variant_get(value, "$", "bigint")
+    n = F.when(kind(value) == "BIGINT", value["json"].cast("bigint"))
+    whole = n.isNotNull()
     if least is not None:
         whole &= F.coalesce(n >= least, F.lit(False))
     if most is not None:
-        whole &= F.coalesce(n <= most, F.lit(False))
-    big = F.coalesce(F.to_json(value).rlike("^[0-9]{19,}$" if least is not None else "^-?[0-9]{19,}$"), F.lit(False))
-    return whole if most is not None else whole | (kind(value).startswith("DECIMAL") & big)
+        return whole & F.coalesce(n <= most, F.lit(False))
+    return whole | (kind(value).startswith("DECIMAL") & F.coalesce(value["json"].rlike("^[0-9]{19,}$" if least is not None else "^-?[0-9]{19,}$"), F.lit(False)))
+
+
+def is_any_number(value: Column) -> Column:
+    return kind(value).startswith("DECIMAL") | kind(value).isin("BIGINT", "DOUBLE", "FLOAT")
 
 
 def is_number(value: Column, least: float, most: float) -> Column:
-    number = kind(value).startswith("DECIMAL") | kind(value).isin("BIGINT", "DOUBLE", "FLOAT")
-    return number & F.coalesce(F.try_variant_get(value, "$", "double").between(least, most), F.lit(False))
+    return is_any_number(value) & F.coalesce(F.try_variant_get(value["v"], "$", "double").between(least, most), F.lit(False))
 
 
 def is_exactly(value: Column, expected: int | str) -> Column:
     """The very integer or string: 1.0 isn't 1, and "1" isn't either."""
     if isinstance(expected, int):
-        return (kind(value) == "BIGINT") & F.coalesce(F.try_variant_get(value, "$", "bigint") == expected, F.lit(False))
-    return (kind(value) == "STRING") & F.coalesce(F.try_variant_get(value, "$", "string") == expected, F.lit(False))
+        return (kind(value) == "BIGINT") & (value["json"] == str(expected))
+    return F.coalesce(text(value) == expected, F.lit(False))
 
 
 def is_member(value: Column, allowed: Iterable[str]) -> Column:
-    return (kind(value) == "STRING") & F.coalesce(F.try_variant_get(value, "$", "string").isin(*sorted(allowed)), F.lit(False))
+    return F.coalesce(text(value).isin(*sorted(allowed)), F.lit(False))
 
 
 def matches(value: Column, pattern: str) -> Column:
     """C4: a string that the pattern takes from end to end."""
-    return (kind(value) == "STRING") & F.coalesce(F.try_variant_get(value, "$", "string").rlike(rf"\A(?:{pattern})\z"), F.lit(False))
+    return F.coalesce(text(value).rlike(rf"\A(?:{pattern})\z"), F.lit(False))
 
 
 def keys(value: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
+    return F.coalesce(F.json_object_keys(value["json"]), F.array().cast("array<string>"))
 
 
 def literal(names: Iterable[str]) -> Column:
@@ -139,7 +231,7 @@ def exact(value: Column, fields: Iterable[str], location: str | Column) -> list[
 
 def strings(value: Column) -> Column:
     """The items of a list of strings (C6); null if it is no list."""
-    return F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    return F.transform(items(value), text)
 
 
 def all_texts(value: Column) -> Column:
@@ -154,12 +246,12 @@ def repeats(array: Column) -> Column:
 def has_key(value: Column, names: Iterable[str], fold_case: bool = True) -> Column:
     """Any of the keys at any depth.  In written JSON a quote inside a string is escaped, so only a key has an open one before the colon."""
     fold = "(?i)" if fold_case else ""
-    return F.coalesce(F.to_json(value).rlike(rf'{fold}(?<!\\)"(?:{"|".join(sorted(names))})":'), F.lit(False))
+    return F.coalesce(value["json"].rlike(rf'{fold}(?<!\\)"(?:{"|".join(sorted(names))})":'), F.lit(False))
 
 
-def first_of_items(items: Column, rules: Callable[[Column, Column], list[Rule]]) -> Column:
+def first_of_items(array: Column, rules: Callable[[Column, Column], list[Rule]]) -> Column:
     """The first broken rule of the first item that breaks one: struct of code and location, or null."""
-    found = F.transform(items, lambda x, i: first_broken(rules(x, i)))
+    found = F.transform(array, lambda x, i: first_broken(rules(x, i)))
     return F.get(F.filter(found, lambda f: f.isNotNull()), F.lit(0))
 
 

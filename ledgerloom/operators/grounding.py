@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.geometry import iou
 from . import contracts as c
-from .rules import Rule, first_broken
+from .rules import Rule
 from .score import ratio
 
 #: Fixed values of the contract.
@@ -36,22 +36,22 @@ PREDICTION = f"struct<disposition:string, tool:string, arguments:map<string,stri
 
 def is_box(value: Column) -> Column:
     """Four integers from 0 to 4096 that span an area."""
-    n = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.when(c.is_integer(x, 0, MOST_PLACE), F.try_variant_get(x, "$", "int")))
+    n = F.transform(c.items(value), lambda x: F.when(c.is_integer(x, 0, MOST_PLACE), x["json"].cast("int")))
     whole = (F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull())
     return c.is_list(value) & F.coalesce(whole & (F.get(n, F.lit(0)) < F.get(n, F.lit(2))) & (F.get(n, F.lit(1)) < F.get(n, F.lit(3))), F.lit(False))
 
 
 def _text(value: Column, place) -> list[Rule]:
-    short = F.length(F.try_variant_get(value, "$", "string")) <= MOST_TEXT
-    return [("EXPECTED_STRING", place, c.kind(value) != "STRING"), ("INVALID_STRING", place, ~(c.is_text(value) & short))]
+    short = F.coalesce(F.length(c.text(value)) <= MOST_TEXT, F.lit(False))
+    return [("EXPECTED_STRING", place, c.kind(value) != "text"), ("INVALID_STRING", place, ~(c.is_text(value) & short))]
 
 
 def _identifier(value: Column, place) -> list[Rule]:
-    return [("EXPECTED_STRING", place, c.kind(value) != "STRING"), ("INVALID_IDENTIFIER", place, ~c.matches(value, IDENTIFIER))]
+    return [("EXPECTED_STRING", place, c.kind(value) != "text"), ("INVALID_IDENTIFIER", place, ~c.matches(value, IDENTIFIER))]
 
 
 def _enum(value: Column, allowed, place) -> list[Rule]:
-    return [("EXPECTED_STRING", place, c.kind(value) != "STRING"), ("INVALID_ENUM", place, ~c.is_member(value, allowed))]
+    return [("EXPECTED_STRING", place, c.kind(value) != "text"), ("INVALID_ENUM", place, ~c.is_member(value, allowed))]
 
 
 def _object(value: Column, fields, place) -> list[Rule]:
@@ -75,8 +75,8 @@ def _null(value: Column, fields, place: str) -> list[Rule]:
 
 
 def _arguments(value: Column, place: str) -> list[Rule]:
-    values = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-    long = lambda x: (c.kind(x) == "STRING") & (F.length(F.try_variant_get(x, "$", "string")) > MOST_TEXT)
+    values = c.values(value)
+    long = lambda x: F.coalesce(F.length(c.text(x)) > MOST_TEXT, F.lit(False))
     return [
         ("EXPECTED_OBJECT", place, ~c.is_object(value)), ("TOO_MANY_ARGUMENTS", place, F.size(c.keys(value)) > MOST_ARGUMENTS),
         ("INVALID_IDENTIFIER", f"{place}.key", ~F.forall(c.keys(value), lambda k: k.rlike(rf"\A(?:{IDENTIFIER})\z"))),
@@ -89,9 +89,9 @@ def _shape(capability: Column, ref: Column, box: Column) -> Column:
     return F.when(capability == "ref_grounding", ref & ~box).when(capability == "bbox_grounding", ~ref & box).otherwise(ref & box)
 
 
-def _items(value: Column, name: str, place: str, fields, own, key: str, many: str, repeated: str) -> list[Rule]:
-    items = c.items_at(value, name)
-    names = F.transform(items, lambda x: c.text_at(x, key))
+def _items(value: Column, scope: c.Scope, name: str, place: str, fields, own, key: str, many: str, repeated: str) -> list[Rule]:
+    items = scope.open_items(c.at(value, name))
+    names = scope.keep(F.transform(items, lambda x: c.text_at(x, key)))
 
     def one(x: Column, i: Column) -> list[Rule]:
         at = F.concat(F.lit(f"{place}.{name}["), i.cast("string"), F.lit("]"))
@@ -101,10 +101,10 @@ def _items(value: Column, name: str, place: str, fields, own, key: str, many: st
     return [("EXPECTED_ARRAY", f"{place}.{name}", items.isNull()), (many, f"{place}.{name}", F.size(items) > MOST_ITEMS), *c.nested(c.first_of_items(items, one))]
 
 
-def input_rules(case: Column, place: str) -> list[Rule]:
-    given, mode, capability = c.at(case, "model_input"), c.text_at(case, "observation_mode"), c.text_at(case, "capability")
-    seen, tools = c.at(given, "observation"), c.strings(c.at(given, "available_tools"))
-    cue, ocr = c.at(seen, "grounding_cue"), c.at(seen, "ocr_text")
+def input_rules(case: Column, given: Column, tools: Column, scope: c.Scope, place: str) -> list[Rule]:
+    mode, capability = c.text_at(case, "observation_mode"), c.text_at(case, "capability")
+    seen = scope.open(c.at(given, "observation"))
+    cue, ocr = scope.open(c.at(seen, "grounding_cue")), c.at(seen, "ocr_text")
     controls, regions = F.size(c.items_at(seen, "uia_controls")) > 0, F.size(c.items_at(seen, "screenshot_regions")) > 0
     fits = F.when(mode == "uia_only", controls & ~regions).when(mode == "screenshot_only", ~controls & regions).otherwise(controls & regions)
     at = f"{place}.model_input"
@@ -116,36 +116,35 @@ def input_rules(case: Column, place: str) -> list[Rule]:
         *_object(given, ("instruction", "available_tools", "observation"), at), *_text(c.at(given, "instruction"), f"{at}.instruction"), ("EXPECTED_ARRAY", f"{at}.available_tools", tools.isNull()),
         ("INVALID_TOOL_COUNT", f"{at}.available_tools", ~F.size(tools).between(1, MOST_TOOLS)), *c.nested(c.first_of_items(c.items_at(given, "available_tools"), tool)), ("DUPLICATE_TOOL", f"{at}.available_tools", c.repeats(tools)),
         *_object(seen, ("uia_controls", "screenshot_regions", "ocr_text", "grounding_cue"), view),
-        *_items(seen, "uia_controls", view, ("ref", "role", "name", "state", "bbox"), control, "ref", "TOO_MANY_CONTROLS", "DUPLICATE_REF"),
-        *_items(seen, "screenshot_regions", view, ("region_id", "label", "bbox", "occluded"), region, "region_id", "TOO_MANY_REGIONS", "DUPLICATE_REGION"),
-        ("OBSERVATION_MODE_MISMATCH", view, ~fits), ("INVALID_STRING", f"{view}.ocr_text", (c.kind(ocr) != "STRING") | (F.length(c.text_at(seen, "ocr_text")) > MOST_TEXT)),
+        *_items(seen, scope, "uia_controls", view, ("ref", "role", "name", "state", "bbox"), control, "ref", "TOO_MANY_CONTROLS", "DUPLICATE_REF"),
+        *_items(seen, scope, "screenshot_regions", view, ("region_id", "label", "bbox", "occluded"), region, "region_id", "TOO_MANY_REGIONS", "DUPLICATE_REGION"),
+        ("OBSERVATION_MODE_MISMATCH", view, ~fits), ("INVALID_STRING", f"{view}.ocr_text", (c.kind(ocr) != "text") | (F.length(c.text_at(seen, "ocr_text")) > MOST_TEXT)),
         ("OCR_CONDITION_MISMATCH", f"{view}.ocr_text", (c.text_at(case, "ocr_condition") == "missing") != (c.text_at(seen, "ocr_text") == "")),
         *_object(cue, ("ref", "bbox"), f"{view}.grounding_cue"), *_unless_null(c.at(cue, "ref"), _identifier(c.at(cue, "ref"), f"{view}.grounding_cue.ref")), *_unless_null(c.at(cue, "bbox"), _box(c.at(cue, "bbox"), f"{view}.grounding_cue.bbox")),
         ("CAPABILITY_CUE_MISMATCH", f"{view}.grounding_cue", ~_shape(capability, ~c.is_null(c.at(cue, "ref")), ~c.is_null(c.at(cue, "bbox")))),
     ]
 
 
-def gold_rules(case: Column, place: str) -> list[Rule]:
-    gold, at = c.at(case, "gold"), f"{place}.gold"
+def gold_rules(case: Column, tools: Column, scope: c.Scope, place: str) -> list[Rule]:
+    gold, at = scope.open(c.at(case, "gold")), f"{place}.gold"
     get = lambda f: c.at(gold, f)
     act = c.text_at(gold, "disposition") == "act"
-    catalog = c.items_at(gold, "target_catalog")
-    column = lambda f: F.transform(catalog, lambda x: F.to_json(c.at(x, f)))
-    target = F.get(F.filter(catalog, lambda x: c.text_at(x, "target_id") == c.text_at(gold, "target_id")), F.lit(0))
+    catalog = scope.open_items(c.at(gold, "target_catalog"))
+    column = lambda f: F.transform(catalog, lambda x: c.at(x, f)["json"])
+    target = scope.keep(F.get(F.filter(catalog, lambda x: c.text_at(x, "target_id") == c.text_at(gold, "target_id")), F.lit(0)))
 
     def entry(x: Column, i: Column) -> list[Rule]:
         where = F.concat(F.lit(f"{at}.target_catalog["), i.cast("string"), F.lit("]"))
         field = lambda f: F.concat(where, F.lit(f".{f}"))
         again = F.lit(False)
         for f in ("target_id", "ref", "bbox"):
-            again |= F.array_contains(F.slice(column(f), F.lit(1), i), F.to_json(c.at(x, f)))
+            again |= F.array_contains(F.slice(column(f), F.lit(1), i), c.at(x, f)["json"])
         return [*_object(x, ("target_id", "ref", "bbox"), where), *_identifier(c.at(x, "target_id"), field("target_id")), *_identifier(c.at(x, "ref"), field("ref")), *_box(c.at(x, "bbox"), field("bbox")), ("DUPLICATE_CATALOG_TARGET", where, again)]
 
     perturbation = c.text_at(case, "perturbation")
     ends_well = F.lit(False)
     for name, (disposition, reason) in TERMINAL.items():
         ends_well |= (perturbation == name) & (c.text_at(gold, "disposition") == disposition) & (c.text_at(gold, "reason") == reason)
-    tools = c.strings(c.at(c.at(case, "model_input"), "available_tools"))
     return [
         *_object(gold, GOLD_FIELDS, at), *_enum(get("disposition"), DISPOSITIONS, f"{at}.disposition"), ("EXPECTED_ARRAY", f"{at}.target_catalog", catalog.isNull()), ("INVALID_CATALOG_COUNT", f"{at}.target_catalog", ~F.size(catalog).between(1, MOST_ITEMS)),
         *c.nested(c.first_of_items(catalog, entry)),
@@ -153,24 +152,26 @@ def gold_rules(case: Column, place: str) -> list[Rule]:
             *_identifier(get("tool"), f"{at}.tool"), ("GOLD_TOOL_UNAVAILABLE", f"{at}.tool", ~F.array_contains(tools, c.text_at(gold, "tool"))), *_arguments(get("arguments"), f"{at}.arguments"),
             *_unless_null(get("ref"), _identifier(get("ref"), f"{at}.ref")), *_unless_null(get("bbox"), _box(get("bbox"), f"{at}.bbox")), *_identifier(get("target_id"), f"{at}.target_id"), *_null(gold, ("reason",), at),
             ("UNKNOWN_TARGET", f"{at}.target_id", target.isNull()), ("GOLD_CAPABILITY_MISMATCH", at, ~_shape(c.text_at(case, "capability"), ~c.is_null(get("ref")), ~c.is_null(get("bbox")))),
-            ("GOLD_REF_MISMATCH", f"{at}.ref", ~c.is_null(get("ref")) & (F.to_json(get("ref")) != F.to_json(c.at(target, "ref")))), ("GOLD_BBOX_MISMATCH", f"{at}.bbox", ~c.is_null(get("bbox")) & (F.to_json(get("bbox")) != F.to_json(c.at(target, "bbox")))),
+            ("GOLD_REF_MISMATCH", f"{at}.ref", ~c.is_null(get("ref")) & (get("ref")["json"] != c.at(target, "ref")["json"])), ("GOLD_BBOX_MISMATCH", f"{at}.bbox", ~c.is_null(get("bbox")) & (get("bbox")["json"] != c.at(target, "bbox")["json"])),
             ("PERTURBATION_OUTCOME_MISMATCH", at, perturbation.isin(*TERMINAL)),
         ]),
         *_where(~act, [*_null(gold, ("tool", "arguments", "ref", "bbox", "target_id"), at), *_identifier(get("reason"), f"{at}.reason"), ("PERTURBATION_OUTCOME_MISMATCH", at, ~ends_well)]),
     ]
 
 
-def case_rules(case: Column, place: str = "$") -> list[Rule]:
+def case_rules(case: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
     """C16 for one case."""
     get = lambda f: c.at(case, f)
+    given = scope.open(get("model_input"))
+    tools = scope.keep(c.strings(c.at(given, "available_tools")))
     return [
         *_object(case, CASE_FIELDS, place), *_identifier(get("case_id"), f"{place}.case_id"), *_identifier(get("family_id"), f"{place}.family_id"),
         *(rule for f, allowed in (("capability", CAPABILITIES), ("observation_mode", MODES), ("ocr_condition", OCR), ("perturbation", PERTURBATIONS)) for rule in _enum(get(f), allowed, f"{place}.{f}")),
-        *input_rules(case, place), *gold_rules(case, place),
+        *input_rules(case, given, tools, scope, place), *gold_rules(case, tools, scope, place),
     ]
 
 
-def prediction_rules(record: Column, place: str = "$") -> list[Rule]:
+def prediction_rules(record: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
     """C17: an action has grounding and no reason, an end has a reason and nothing else."""
     get = lambda f: c.at(record, f)
     act = c.text_at(record, "disposition") == "act"
@@ -186,10 +187,7 @@ def prediction_rules(record: Column, place: str = "$") -> list[Rule]:
 
 def document_violations(df: DataFrame, key: list[str], raw: str, rules, most_bytes: int = 2 << 20) -> DataFrame:
     """Code and location of the first rule that each document breaks: its size and text first."""
-    parsed = df.select(*key, raw, c.document(raw).alias("__doc"))
-    code = F.when(F.octet_length(raw) > most_bytes, "INPUT_TOO_LARGE").otherwise(c.parse_code(raw, F.col("__doc")))
-    found = F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit("$").alias("location"))).otherwise(first_broken(rules(F.col("__doc"))))
-    return parsed.select(*key, found.alias("found")).select(*key, "found.code", "found.location")
+    return c.judged(df, key, raw, "$", rules, most_bytes=most_bytes)
 
 
 def suite_violations(cases: DataFrame, suite: str, ordinal: str, case: str) -> DataFrame:
@@ -197,8 +195,9 @@ def suite_violations(cases: DataFrame, suite: str, ordinal: str, case: str) -> D
 
     ``case``: variant.  Ids are ``ground-001`` and so on by the order column.
     """
-    text = lambda f: c.text_at(F.col(case), f)
-    rows = cases.select(suite, (text("case_id") != F.format_string("ground-%03d", F.col(ordinal))).alias("wrong"), *(text(f).alias(f) for f in ("family_id", "observation_mode", "capability", "ocr_condition", "perturbation")), c.text_at(c.at(F.col(case), "model_input"), "instruction").alias("instruction"))
+    text = lambda f: c.text_at(F.col("__case"), f)
+    parts = cases.select(suite, ordinal, c.opened(F.col(case)).alias("__case")).withColumn("__input", c.opened(c.at(F.col("__case"), "model_input")["v"]))
+    rows = parts.select(suite, (text("case_id") != F.format_string("ground-%03d", F.col(ordinal))).alias("wrong"), *(text(f).alias(f) for f in ("family_id", "observation_mode", "capability", "ocr_condition", "perturbation")), c.text_at(F.col("__input"), "instruction").alias("instruction"))
     lacks = lambda f, all_of: F.size(F.array_except(c.literal(all_of), F.collect_set(f))).cast("long")
     again = lambda f: F.count(f) - F.count_distinct(f)
     found = rows.groupBy(suite).agg(

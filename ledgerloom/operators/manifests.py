@@ -27,11 +27,11 @@ def _at(place: str, i: Column, field: str = "") -> Column:
     return F.concat(F.lit(f"{place}["), i.cast("string"), F.lit("]" + (f".{field}" if field else "")))
 
 
-def family_rules(manifest: Column, place: str = "$") -> list[Rule]:
+def family_rules(manifest: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
     """A5: versions, digest, families with distinct ids, and examples that are their split's and no other family's."""
-    families = c.items_at(manifest, "families")
-    ids = F.transform(families, lambda f: c.text_at(f, "family_id"))
-    examples = F.transform(families, lambda f: F.coalesce(c.strings(c.at(f, "example_ids")), F.array().cast("array<string>")))
+    families = scope.open_items(c.at(manifest, "families"))
+    ids = scope.keep(F.transform(families, lambda f: c.text_at(f, "family_id")))
+    examples = scope.keep(F.transform(families, lambda f: F.coalesce(c.strings(c.at(f, "example_ids")), F.array().cast("array<string>"))))
     root = f"{place}.families"
 
     def family(f: Column, i: Column) -> list[Rule]:
@@ -51,13 +51,13 @@ def family_rules(manifest: Column, place: str = "$") -> list[Rule]:
     ]
 
 
-def taxonomy_rules(taxonomy: Column, targets: list[str], epoch: int, place: str = "$") -> list[Rule]:
+def taxonomy_rules(taxonomy: Column, scope: c.Scope, targets: list[str], epoch: int, place: str = "$") -> list[Rule]:
     """One bad case for each repair target, overfitting facts, and a policy of constants."""
-    cases = c.items_at(taxonomy, "badcases")
-    ids = F.transform(cases, lambda b: c.text_at(b, "example_id"))
-    root, fit = f"{place}.badcases", c.at(taxonomy, "overfitting")
-    number = lambda f: F.try_variant_get(c.at(fit, f), "$", "double")
-    is_number = lambda f: c.kind(c.at(fit, f)).startswith("DECIMAL") | c.kind(c.at(fit, f)).isin("BIGINT", "DOUBLE")
+    cases = scope.open_items(c.at(taxonomy, "badcases"))
+    ids = scope.keep(F.transform(cases, lambda b: c.text_at(b, "example_id")))
+    root, fit = f"{place}.badcases", scope.open(c.at(taxonomy, "overfitting"))
+    number = lambda f: F.try_variant_get(c.at(fit, f)["v"], "$", "double")
+    is_number = lambda f: c.is_any_number(c.at(fit, f))
 
     def case(b: Column, i: Column) -> list[Rule]:
         codes = c.at(b, "failure_codes")
@@ -66,7 +66,7 @@ def taxonomy_rules(taxonomy: Column, targets: list[str], epoch: int, place: str
             ("INVALID_REPAIR_TARGET", _at(root, i, "repair_target"), ~c.is_member(c.at(b, "repair_target"), targets)), ("INVALID_FAILURE_CODES", _at(root, i, "failure_codes"), ~c.all_texts(codes) | (F.size(c.strings(codes)) == 0)), ("INVALID_BADCASE_CLASSIFICATION", _at(root, i, "classification"), ~c.is_text(c.at(b, "classification"))),
         ]
 
-    policy = c.at(taxonomy, "repair_policy")
+    policy = scope.open(c.at(taxonomy, "repair_policy"))
     as_said = F.lit(True)
     for f, value in POLICY.items():
         as_said &= c.is_true(c.at(policy, f)) if value else c.is_false(c.at(policy, f))
@@ -82,11 +82,12 @@ def taxonomy_rules(taxonomy: Column, targets: list[str], epoch: int, place: str
 
 def remote_files(listing: Column) -> Column:
     """The files of a remote listing by name: name, size, blob_id, and size and digest of what a pointer stands for."""
-    files = F.transform(c.items_at(listing, "siblings"), lambda f: F.struct(
+    files = F.transform(F.try_variant_get(listing, "$.siblings", "array<variant>"), c.opened)
+    large = lambda f, path, kind: F.try_variant_get(f["v"], path, kind)
+    return F.array_sort(F.transform(files, lambda f: F.struct(
         c.text_at(f, "rfilename").alias("name"), c.number_at(f, "size").alias("size"), c.text_at(f, "blobId").alias("blob_id"),
-        F.when(c.is_object(c.at(f, "lfs")), F.struct(F.try_variant_get(f, "$.lfs.pointerSize", "bigint").alias("pointer_size"), F.try_variant_get(f, "$.lfs.sha256", "string").alias("sha256"), F.try_variant_get(f, "$.lfs.size", "bigint").alias("size"))).alias("lfs"),
-    ))
-    return F.array_sort(files)
+        F.when(c.is_object(c.at(f, "lfs")), F.struct(large(f, "$.lfs.pointerSize", "bigint").alias("pointer_size"), large(f, "$.lfs.sha256", "string").alias("sha256"), large(f, "$.lfs.size", "bigint").alias("size"))).alias("lfs"),
+    )))
 
 
 def content_bindings(expected: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ GATES = {"full_eval": "quality", "safety": "safety", "per_example_regression": "
 def correctness(gold: Column, answer: Column, error: Column, semantic_error: Column) -> dict[str, Column]:
     """Eight flags of one judged answer; all are false for an answer with an error."""
     valid = error.isNull() & answer.isNotNull()
-    text = lambda x, f: F.to_json(c.at(x, f))
+    text = lambda x, f: c.at(x, f)["json"]
     same = lambda f: valid & F.coalesce(text(gold, f) == text(answer, f), F.lit(False))
     return {"valid": valid, "semantic_valid": valid & semantic_error.isNull(), **{name: same(f) for name, f in FIELDS.items()}}
 
@@ -59,7 +59,7 @@ def conflict_cohort(judged: DataFrame, key: str, signature: dict[str, str], code
     """The answers with the semantic error, and whether each has the signature (field: value as JSON)."""
     fits = F.lit(True)
     for f, value in signature.items():
-        fits &= F.coalesce(F.to_json(c.at(F.col("answer"), f)) == value, F.lit(False))
+        fits &= F.coalesce(c.at(F.col("answer"), f)["json"] == value, F.lit(False))
     return judged.where(F.col("semantic_error") == code).select(key, fits.alias("has_signature"))
 
 

@@ -63,7 +63,7 @@ def candidate_action_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     able = lambda box, ref: F.struct(F.lit(box).alias("supports_bbox"), F.lit(ref).alias("supports_ref"))
     tools = F.create_map(F.lit("click"), able(True, True), F.lit("type"), able(False, True), F.lit("point"), able(True, False))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(ACTION, ACTION_DEFECTS, F.col("o_orderkey")).alias("raw"))
-    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc: consent.action_rules(doc, roles(), F.array(F.lit(A), F.lit(B)), tools))
+    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.action_rules(doc, scope, roles(), F.array(F.lit(A), F.lit(B)), tools))
 
 
 VERIFIER = json.dumps({"source": "state_based", "label": "success", "evidence_refs": [B, V], "model_self_report_used": False})
@@ -78,7 +78,7 @@ VERIFIER_DEFECTS: list[Defect] = [
 def verifier_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was seen after the action is in the verifier's evidence, and its own too."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(VERIFIER, VERIFIER_DEFECTS, F.col("o_orderkey")).alias("raw"))
-    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc: consent.verifier_rules(doc, roles(), F.array(F.lit(B))))
+    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.verifier_rules(doc, scope, roles(), F.array(F.lit(B))))
 
 
 GOVERNANCE = json.dumps(consent.GOVERNANCE)
@@ -93,7 +93,7 @@ GOVERNANCE_DEFECTS: list[Defect] = [
 def governance_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governance fields have the one value that each may have."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(GOVERNANCE, GOVERNANCE_DEFECTS, F.col("o_orderkey")).alias("raw"))
-    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc: consent.constant_rules(doc, consent.GOVERNANCE, Q))
+    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.constant_rules(doc, consent.GOVERNANCE, Q))
 
 
 @query("""

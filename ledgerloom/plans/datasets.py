@@ -247,7 +247,7 @@ TAXONOMY_DEFECTS: list[Defect] = [
 def taxonomy_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that each bad-case taxonomy breaks."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(TAXONOMY, TAXONOMY_DEFECTS, F.col("o_orderkey")).alias("raw"))
-    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc: manifests.taxonomy_rules(doc, TARGETS, 3))
+    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: manifests.taxonomy_rules(doc, scope, TARGETS, 3))
 
 
 @query("""

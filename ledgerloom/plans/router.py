@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import router
-from ..operators.contracts import document
+from ..operators.contracts import document, text_at
 from .contracts import Defect, defects_sql, sql_text, with_defect
 from .registry import query, table
 
@@ -82,7 +82,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {ANSWERED_SQL} select example_id, category, error, semantic_error, case when error is null then tool end as tool from s")
 def answer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with each text answer, first as a text, then as a decision."""
-    return judged(spark, sf_dir).select("example_id", "category", "error", "semantic_error", F.try_variant_get("answer", "$.selected_tool", "string").alias("tool"))
+    return judged(spark, sf_dir).select("example_id", "category", "error", "semantic_error", text_at(F.col("answer"), "selected_tool").alias("tool"))
 
 
 def _rate(top: str, bottom: str, empty: str) -> str:

@@ -37,7 +37,7 @@ def test_strictness_equals_the_plain_parser(spark):
 
 def test_predicates(spark):
     doc = {"i": 3, "neg": -1, "big": 2**70, "f": 1.0, "t": "x", "e": "", "b": False, "n": None, "o": {}, "l": ["a", "a", ""], "deep": [{"Secret": 1, "say": 'the "secret": no'}]}
-    v = F.parse_json(F.lit(json.dumps(doc)))
+    v = contracts.opened(F.parse_json(F.lit(json.dumps(doc))))
     is_true = lambda column: one(spark, column)
     at = lambda f: contracts.at(v, f)
     assert is_true(contracts.is_integer(at("i"), 0)) and is_true(contracts.is_integer(at("big"), 0)) and not is_true(contracts.is_integer(at("neg"), 0)) and is_true(contracts.is_integer(at("neg")))
@@ -146,3 +146,21 @@ def test_a_file_that_changes_is_not_taken(tmp_path, monkeypatch):
     assert scratch.read_once(str(place), 100) == (None, "INPUT_CHANGED")
     monkeypatch.undo()
     assert scratch.read_once(str(tmp_path / "gone"), 100) == (None, "UNSAFE_INPUT_PATH") == scratch.read_once(str(tmp_path), 100)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from ledgerloom.__main__ import main
+    from ledgerloom.plans import contracts as made
+
+    (tmp_path / "runs").mkdir()
+    for k in (1, 2):
+        (tmp_path / "runs" / f"{k}.json").write_text(made.RUN.replace("@id", str(k)))
+    assert main(["runs", str(tmp_path / "runs")], spark) == 0 == main(["records", str(tmp_path / "runs"), str(tmp_path / "out")], spark)
+    lines = [json.loads(line) for p in sorted((tmp_path / "out").glob("part-*")) for line in p.read_text().splitlines()]
+    assert sorted(r["source"]["run_id"] for r in lines) == ["run-1", "run-2"] and [r["record_id"] for r in lines] == sorted(r["record_id"] for r in lines)
+    (tmp_path / "runs" / "3.json").write_text(made.RUN.replace("@id", "2"))
+    assert main(["records", str(tmp_path / "runs"), str(tmp_path / "more")], spark) == 2 and "DUPLICATE_DATASET_RUN" in capsys.readouterr().err
+    (tmp_path / "runs" / "0.json").write_text("{")
+    assert main(["runs", str(tmp_path / "runs")], spark) == 2 and '"code":"MALFORMED_JSON"' in capsys.readouterr().err
+    (tmp_path / "none").mkdir()
+    assert main(["cases", str(tmp_path / "none")], spark) == 2 and "EMPTY_DATASET_INPUT" in capsys.readouterr().err
