@@ -12,7 +12,9 @@ parts: documents of smaller size (a running count over the source's distinct siz
 of the same size in lower salts (a running count over salts), and its row number among
 those of its own size and salt.  There are about as many salts (doc_id modulo
 their number) as the square root of the rows, so even a group of a third of all rows is
-neither one long salt nor a long list of salts.
+neither one long salt nor a long list of salts.  Where many rows have one id (or none), a salt
+can still be long: groups of more than ``HOT`` rows are ranked by id and by part of an id, the
+parts being runs of row numbers, as rows of one id and size may stand in any order.
 
 Sizes count ``[^\x20\x09-\x0D]+`` in the text (null: 0).  A null source is a source, last
 in order.  Repeated rows are documents of their own; an empty table gives no rows.
@@ -30,6 +32,8 @@ from .shared import stored
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+#: Rows of one source, size and salt that are ranked in one task; more are ranked in parts.
+HOT = 1_000_000
 
 
 def word_count(text: str = "text"):
@@ -63,9 +67,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return first.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def ranked_in_parts(rows: DataFrame, most: int) -> DataFrame:
+    """``__own``: the place of each row among those of its source, size and salt, by doc_id; no window holds more than ``most`` rows of one id."""
+    key = ["source", "size", "salt", "doc_id"]
+    parted = rows.withColumn("__part", F.floor(F.col("__number") / most))
+    counts = parted.groupBy(*key, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").withColumnsRenamed({c: f"__{c}" for c in key}).withColumnRenamed("__part", "__of")
+    within = Window.partitionBy(*key, "__part").orderBy("__number")
+    placed = parted.withColumn("__within", F.row_number().over(within) - 1)
+    match = F.col("__part") == F.col("__of")
+    for c in key:
+        match &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return placed.join(starts, match).withColumn("__own", (F.col("__start") + F.col("__within")).cast("int")).select(*rows.columns, "__own")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken of every document, then ``keep`` columns (kept through the shuffles: choose few)."""
-    sized = stored(docs.select("doc_id", "source", word_count().alias("size"), *keep), "sizes")
+    kept = [f"__keep{i}" for i in range(len(keep))]  # whatever their names are
+    sized = stored(docs.select("doc_id", "source", word_count().alias("size"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), F.monotonically_increasing_id().alias("__number")), "sizes")
     totals = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     salts = max(31, math.isqrt(sized.count()))
     salt = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(salts)).cast("int")
@@ -75,17 +95,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     counts = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     lower = counts.select("source", "size", "salt", F.coalesce(F.sum("n").over(before(Window.partitionBy("source", "size").orderBy("salt"))), F.lit(0)).alias("lower"))
     targets = source_targets(sized, weights, most)
-    group = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), *keep)
-    ranked = salted.withColumn("own", F.row_number().over(group) - 1)
     same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
+    large = F.broadcast(counts.where(F.col("n") > hot).select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("salt").alias("__salt")))  # at most rows / hot of them
+    is_large = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("salt") == F.col("__salt"))
+    group = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), *kept, "__number")
+    ranked = salted.join(large, is_large, "left_anti").withColumn("__own", F.row_number().over(group) - 1)
+    ranked = ranked.unionByName(ranked_in_parts(salted.join(large, is_large, "left_semi"), hot)).drop("__number")
     placed = ranked.alias("d").join(lower.alias("l"), same(ranked, lower, ["source", "size", "salt"])).select("d.*", "lower")
     placed = placed.alias("p").join(F.broadcast(targets.withColumnRenamed("source", "name")), F.col("p.source").eqNullSafe(F.col("name"))).drop("name")
     placed = placed.join(smaller.withColumnsRenamed({"source": "name", "size": "of"}), F.col("source").eqNullSafe(F.col("name")) & (F.col("size") == F.col("of"))).drop("name", "of")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("\0")))), 1, 4), 16, 10).cast("double") / 65536
     expected = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    rank = F.col("smaller") + F.col("lower") + F.col("own")
+    rank = F.col("smaller") + F.col("lower") + F.col("__own")
     copies = F.least(F.floor((rank + 1) * expected + offset) - F.floor(rank * expected + offset), F.lit(most)).cast("long")
-    return placed.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    return placed.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)))
 
 
 def mix_sql(documents: str = "documents", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> str:

@@ -280,6 +280,15 @@ def test_mixing(spark, docs, none):
     key = ["doc_id", "size", "source_size", "target", "taken"]
     assert sorted(map(tuple, sql[key].round(9).values.tolist())) == sorted(map(tuple, found[key].round(9).values.tolist()))
     assert mixing.mix(none).count() == 0
+    for hot in (1, 2):  # ranked in parts, the rows are the same
+        parts = mixing.mix(docs, hot=hot).toPandas()
+        assert sorted(map(tuple, parts[key].round(9).values.tolist())) == sorted(map(tuple, found[key].round(9).values.tolist()))
+
+
+def test_mixing_of_one_id(spark):
+    df = spark.createDataFrame([(None if i % 3 else 7, "w " * (i % 4 + 1), "ab"[i % 7 % 2]) for i in range(300)], "doc_id long, text string, source string").repartition(3)
+    by = lambda hot: sorted(map(str, mixing.mix(df, hot=hot).groupBy("source", "size", "doc_id").agg(F.count("*"), F.sum("taken")).collect()))
+    assert by(5) == by(10**6)
 
 
 def test_mixing_takes_what_is_expected(spark):
