@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extraction, mixing, near_duplicates, quality_rules, token_counts, token_files, toxicity, url_filter
+from . import best_fit_packing, chat_format, decontamination, html_extraction, importance_resampling, mixing, near_duplicates, periodic_runs, quality_rules, token_counts, token_files, toxicity, url_filter
 from .shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,8 +85,110 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents; of those that the contract plants a period in, the words stand joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    found = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", F.size("words")).withColumn("a", F.col("g") % F.col("n"))
+    found = found.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    unit = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    repeated = F.flatten(F.array_repeat(unit, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.slice(F.concat(F.slice("words", 1, F.col("a").cast("int")), repeated), 1, F.col("n"))
+    return found.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.withColumn("best", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.less")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2(F.col("text"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 ORACLES["op8_mixing"] = mixing.mix_sql()
 
+#: DuckDB has no crc32: its table of 256 values by the bit rule, and the crc32 of a text from it.
+CRC_TABLE = "crc_table as (select list(list_reduce(range(0, 8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b) order by b) as t from range(0, 256) x(b))"
+
+
+def crc32_sql(text: str, table: str = "t") -> str:
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+ORACLES["op13_importance_resampling"] = rf"""
+with {CRC_TABLE}, dw as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), df as (select r, unnest(w) as f from dw
+), bf as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as f from benchmark
+), hashed as (
+  select f, {crc32_sql("f")} % 10000 as bucket from (select f from df union select f from bf), crc_table
+), raw as (select bucket, count(*) as s from df join hashed using (f) group by bucket
+), target as (select bucket, count(*) as t from bf join hashed using (f) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from df) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from bf) + 10000)::double)))::bigint as gain
+  from (select distinct bucket from hashed) left join raw using (bucket) left join target using (bucket)
+), weighed as (
+  select dw.doc_id, dw.r, len(any_value(dw.w)) as n_words, count(f)::bigint as n_features, coalesce(sum(gain), 0)::bigint as weight
+  from dw left join df on dw.r = df.r left join hashed using (f) left join gains using (bucket) group by dw.doc_id, dw.r
+), scored as (
+  select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score from weighed
+), placed as (
+  select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) end as place, count(*) filter (n_words >= 20) over () as n from scored
+)
+select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from placed
+"""
+
+ORACLES["op11_periodic_runs"] = rf"""
+with {CRC_TABLE}, dw as (
+  select row_number() over () as d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, {crc32_sql("doc_id::varchar")} as h from documents, crc_table
+), told as (
+  select d, doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as planted, (h // 10) % nullif(len(w), 0) as a, 3 + (h // 10) % 8 as parts from dw
+), places as (
+  select d, unnest(range(0, n)) as i, planted, a, 1 + (n - a) // parts as p from told
+), origin as (
+  select d, i, case when planted and i >= a then a + (i - a) % p else i end as o from places
+), flat as (select d, unnest(range(0, n)) as i, unnest(w) as w from told
+), wt as (select o.d, o.i, f.w from origin o join flat f on o.d = f.d and o.o = f.i
+), lags as (select d, n, unnest(range(1, n // 2 + 1)) as q from told where n >= 12
+), anchors as (
+  select d, q, unnest(range(0, n - q, greatest(1, greatest(12 - q, q) // 2))) as i, greatest(1, greatest(12 - q, q) // 2) as step from lags
+), alike as (
+  select x.d, x.q, x.i, x.step from anchors x join wt b on b.d = x.d and b.i = x.i join wt c on c.d = x.d and c.i = x.i + x.q where b.w = c.w
+), candidates as (
+  select distinct d, q from (select d, q, i - lag(i) over (partition by d, q order by i) = step as pair from alike) where pair
+), equal as (
+  select k.d, k.q, b.i from candidates k join wt b on b.d = k.d join wt c on c.d = k.d and c.i = b.i + k.q where b.w = c.w
+), stretches as (
+  select d, q, min(i) as start, count(*) + q as length from (select d, q, i, i - row_number() over (partition by d, q order by i) as island from equal) group by d, q, island
+), runs as (
+  select d, start, length, min(q) as period from stretches where length >= greatest(12, 2 * q) group by d, start, length
+), summary as (
+  select d, count(*) as n_runs, arg_max(struct_pack(s := start, l := length, p := period), [length, -start, -period]) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as told from runs group by d
+), gone as (select distinct d, unnest(range(start + period, start + length)) as i from runs
+), kept as (select d, string_agg(w, ' ' order by i) as text from wt anti join gone using (d, i) group by d)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, (best).s::bigint as start, (best).l::bigint as length, (best).p::bigint as period, (1000 * (best).l // (best).p)::bigint as exponent_milli,
+  sha256(coalesce(s.told, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from told t left join summary s on t.d = s.d left join kept k on t.d = k.d
+"""
+
 ORACLES["op7_url_filter"] = r"""
 with cut as (
   select page_id, case when position('://' in url) > 0 then regexp_extract(substr(url, position('://' in url) + 3), '^[^?#]*', 0, 's') else '' end as rest from pages
