@@ -88,7 +88,8 @@ def scores(docs: DataFrame, target: DataFrame, widths: tuple[int, int] = WIDTHS,
     """doc_id, n_words, n_features, weight, score of every document, then ``keep`` columns (they are part of the grouping: choose few)."""
     kept = [f"__keep{i}" for i in range(len(keep))]
     before = stored_so_far()
-    table = stored(gains(bucket_counts(docs, widths, buckets), bucket_counts(target, widths, buckets), buckets).withColumnRenamed("bucket", "__bucket"), "gains")
+    raw, wanted = (stored(bucket_counts(df, widths, buckets), "bucket-counts") for df in (docs, target))  # each is read twice
+    table = stored(gains(raw, wanted, buckets).withColumnRenamed("bucket", "__bucket"), "gains")
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").alias("__id"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), words(F.col("text")).alias("__words"))
     exploded = rows.select("__row", "__id", *kept, F.size("__words").cast("bigint").alias("__n"), F.explode_outer(features(F.col("__words"), widths)).alias("__feature"))
     weighed = exploded.join(F.broadcast(table), bucket(F.col("__feature"), buckets) == F.col("__bucket"), "left")
