@@ -68,7 +68,7 @@ def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent") ->
         ("WILDCARD_SCOPE_FORBIDDEN", f"{place}.scope.application_scope", F.exists(applications, lambda a: a.contains("*") | (F.lower(a) == "all"))), *_flags(granted_scope, [], ["network_upload_allowed"], f"{place}.scope"),
         *_object(controls, (*TRUE_CONTROLS, *FALSE_CONTROLS), f"{place}.capture_controls"), *_flags(controls, TRUE_CONTROLS, FALSE_CONTROLS, f"{place}.capture_controls"),
         *_object(retention, ("policy_id", "max_days", "delete_by_utc", "operator_delete_on_request"), f"{place}.retention"), *_named(retention, "policy_id", f"{place}.retention"), ("INVALID_INTEGER", f"{place}.retention.max_days", ~c.is_integer(c.at(retention, "max_days"), 1, MOST_DAYS)),
-        *is_deletion, *_flags(retention, ["operator_delete_on_request"], [], f"{place}.retention"), ("INVALID_RETENTION_WINDOW", f"{place}.retention", (delete_by < expires) | (delete_by > granted + F.make_dt_interval(days.cast("int")))),
+        *is_deletion, *_flags(retention, ["operator_delete_on_request"], [], f"{place}.retention"), ("INVALID_RETENTION_WINDOW", f"{place}.retention", (delete_by < expires) | (delete_by > granted + F.make_dt_interval(days.try_cast("int")))),
         *_object(forbidden, FORBIDDEN_CONTENT, f"{place}.forbidden_content"), *_flags(forbidden, FORBIDDEN_CONTENT, [], f"{place}.forbidden_content"),
         *_object(authority, (*NO_AUTHORITY, "state_verifier_required"), f"{place}.authority"), *_flags(authority, ["state_verifier_required"], NO_AUTHORITY, f"{place}.authority"),
     ]

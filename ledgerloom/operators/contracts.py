@@ -16,21 +16,33 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexical
+from ..functions.lexical import bound
 from .rules import Rule, first_broken, strict_json_code
 
 
 def document(raw: str | Column) -> Column:
     """A3: the parsed document, null if it isn't strict JSON.
 
+    Numbers that the engine's parser would change are replaced first, so integers of any length stay integers
+    in their order, and no number becomes Infinity (C3, C8).
     The engine's parser refuses repeated keys and NaN, but stops after the first value.  What follows it can
     close a list or an object around the text too early, never both, so the text must be the only content of either.
     """
-    raw = F.col(raw) if isinstance(raw, str) else raw
+    return bound(lexical.with_bounded_numbers(F.col(raw) if isinstance(raw, str) else raw), _only_value)
+
+
+def _only_value(raw: Column) -> Column:
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
     around = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))), "$", "map<string,variant>")
     return F.when((F.size(items) == 1) & (F.size(around) == 1), F.get(items, F.lit(0)))
 
 
+def is_strict(raw: Column) -> Column:
+    """A3: whether the text is strict JSON; no lambda is in it, so it may stand in an argument of a Python function."""
+    return _only_value(raw).isNotNull()
+
+
 def parse_code(raw: str, parsed: Column) -> Column:
     """A3: null for strict JSON, else its code; Python sees only what the parser refused."""
     refused = F.when(parsed.isNull(), F.col(raw)).otherwise("0")  # of the others it sees one digit
@@ -55,11 +67,6 @@ def _items(v: Column) -> Column:
     return _leaves(array, lambda a, f: F.transform(a, lambda x: f(x)))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
-
-
 def opened(v: Column) -> Column:
     """A variant as kind, json, v and fields."""
 
@@ -72,9 +79,10 @@ def opened(v: Column) -> Column:
 
 
 class Scope:
-    """Columns that hold opened parts of a document, in the order in which they are to be made."""
+    """Columns that hold opened parts of a document, in the order in which they are to be made; ``raw`` is its text."""
 
-    def __init__(self):
+    def __init__(self, raw: Column):
+        self.raw = raw
         self.steps: list[tuple[str, Column]] = []
 
     def keep(self, value: Column) -> Column:
@@ -90,6 +98,15 @@ class Scope:
         """The items of a list, each opened."""
         return self.keep(F.transform(F.try_variant_get(value["v"], "$", "array<variant>"), opened))
 
+    def nonfinite(self) -> Column:
+        """Paths of the numbers that no double holds, in document order."""
+        return self.keep(F.when(F.col("__parsed").isNotNull() & lexical.may_be_nonfinite(self.raw), lexical.hits(self.raw, lexical.is_nonfinite)))
+
+    def forbidden(self, whole: Column, names: Iterable[str], fold_case: bool = True) -> Column:
+        """Paths of the forbidden keys at any depth, in document order; only a document that has one is walked."""
+        said = lambda t: F.lower(lexical.string_value(t)) if fold_case else lexical.string_value(t)
+        return self.keep(F.when(has_key(whole, names, fold_case), lexical.hits(self.raw, lambda t: lexical.is_key(t) & said(t).isin(*sorted(names)))))
+
     def applied(self, df: DataFrame) -> DataFrame:
         for name, value in self.steps:
             df = df.withColumn(name, value)
@@ -98,7 +115,7 @@ class Scope:
 
 def judged(df: DataFrame, keys: list[str], raw: str, root: str, rules: Callable[[Column, Scope], list[Rule]], more: tuple[str, ...] = (), most_bytes: int | None = None) -> DataFrame:
     """``keys``, code and location of the first rule that each document breaks; size and text come first."""
-    scope = Scope()
+    scope = Scope(F.col(raw))
     doc = scope.keep(opened(F.col("__parsed")))
     found = first_broken(rules(doc, scope))
     parsed = df.select(*keys, *(x for x in (raw, *more) if x not in keys), document(raw).alias("__parsed"))
@@ -107,7 +124,8 @@ def judged(df: DataFrame, keys: list[str], raw: str, root: str, rules: Callable[
         code = F.when(F.octet_length(raw) > most_bytes, "INPUT_TOO_LARGE").otherwise(code)
     parts = scope.applied(parsed.withColumn("__code", code))
     both = F.when(F.col("__code").isNotNull(), F.struct(F.col("__code").alias("code"), F.lit(root).alias("location"))).otherwise(found)
-    return parts.select(*keys, both.alias("__found")).select(*keys, "__found.code", "__found.location")
+    # a filter on the result stays above the generator, so the rules aren't written out once more in its condition
+    return parts.select(*keys, F.inline_outer(F.array(both)))
 
 
 def at(value: Column, field: str) -> Column:
@@ -125,8 +143,9 @@ def text_at(value: Column, field: str) -> Column:
 
 
 def number_at(value: Column, field: str) -> Column:
+    """An integer of any length, as a decimal of 38 digits."""
     found = at(value, field)
-    return F.when(found["kind"] == "BIGINT", found["json"].cast("bigint"))
+    return F.when(found["json"].rlike("^-?[0-9]+$") & is_any_number(found), found["json"].cast("decimal(38,0)"))
 
 
 def items(value: Column) -> Column:
@@ -249,6 +268,12 @@ def has_key(value: Column, names: Iterable[str], fold_case: bool = True) -> Colu
     return F.coalesce(value["json"].rlike(rf'{fold}(?<!\\)"(?:{"|".join(sorted(names))})":'), F.lit(False))
 
 
+def located(found: Column, prefix: str | Column, code: str, root: str) -> tuple[str, Column, Column]:
+    """A rule that breaks at the first path that :meth:`Scope.nonfinite` or :meth:`Scope.forbidden` found below the prefix."""
+    path = lexical.first_below(found, prefix)
+    return (code, F.concat(F.lit(root), path), path.isNotNull())
+
+
 def first_of_items(array: Column, rules: Callable[[Column, Column], list[Rule]]) -> Column:
     """The first broken rule of the first item that breaks one: struct of code and location, or null."""
     found = F.transform(array, lambda x, i: first_broken(rules(x, i)))

@@ -10,31 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
-from .rules import json_leaves
+from ..functions import lexical
+from . import walk
+from .contracts import document
 
 
 def all_keys(raw: Column) -> Column:
     """Every key of a document at any depth, distinct and sorted; none if it isn't JSON."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def keys(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str]:
-            try:
-                stack, seen = [json.loads(text or "null")], set()
-            except (ValueError, RecursionError):
-                return []
-            while stack:
-                value = stack.pop()
-                if isinstance(value, dict):
-                    seen.update(value)
-                    stack.extend(value.values())
-                elif isinstance(value, list):
-                    stack.extend(value)
-            return sorted(seen)
-
-        return texts.map(one)
-
-    return keys(raw)
+    keys = F.transform(F.filter(lexical.tokens(raw), lexical.is_key), lexical.string_value)
+    return F.when(document(raw).isNotNull(), F.array_sort(F.array_distinct(keys))).otherwise(F.array().cast("array<string>"))
 
 
 def forbidden_keys(raw: Column, forbidden: list[str], fold_case: bool) -> Column:
@@ -45,7 +29,7 @@ def forbidden_keys(raw: Column, forbidden: list[str], fold_case: bool) -> Column
 
 def absolute_paths(df: DataFrame, key: str, raw: str) -> DataFrame:
     """String leaves that name an absolute path; addresses and digests don't."""
-    leaves = json_leaves(df, key, raw).withColumn("text", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))
+    leaves = walk.leaves(df, key, raw).withColumn("text", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))
     string = F.startswith("value", F.lit('"'))
     return leaves.where(string & F.col("text").rlike(r"^([A-Za-z]:[\\/]|/|\\\\)")).select(key, "path", "text")
 

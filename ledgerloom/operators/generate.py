@@ -164,11 +164,24 @@ def chunk_digests(rows: DataFrame, group: list[str], order: str, digest: str, ch
 def tree_digest(rows: DataFrame, group: list[str], order: str, digest: str, chunk: int = 1000) -> DataFrame:
     """J8 for groups of any size: one digest a group over the digests of its chunks in order.
 
-    Only a chunk's digests are ever in one row, and of a group only its chunks' digests: 64 bytes for each ``chunk`` ordinals.
+    A Merkle tree with ``chunk`` children a node: while a group has chunk numbers of ``chunk`` or more, its chunks
+    are folded once more, so no row ever holds more than ``chunk`` digests.  A group's digest depends on its own rows
+    alone; one of up to ``chunk ** 2`` ordinals has two levels.
     """
     chunks = chunk_digests(rows, group, order, digest, chunk)
     parts = F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("o"), F.col("digest").alias("d"))))
-    return chunks.groupBy(*group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(parts, lambda x: x["d"]), "\n"), 256).alias("digest"))
+    joined = F.sha2(F.array_join(F.transform(parts, lambda x: x["d"]), "\n"), 256).alias("digest")
+    top = rows.agg(F.max(F.floor(F.col(order) / chunk))).first()[0] or 0
+    while top >= chunk:
+        whole = chunks.groupBy(*group).agg(F.max("chunk").alias("__top")).withColumnsRenamed({g: f"__{g}" for g in group})
+        same = F.lit(True)
+        for g in group:
+            same &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+        told = chunks.join(whole, same).select(*group, F.when(F.col("__top") >= chunk, F.floor(F.col("chunk") / chunk)).otherwise(F.col("chunk")).alias("__node"), (F.col("__top") >= chunk).alias("__deep"), "chunk", "n", "digest")
+        folded = told.where("__deep").groupBy(*group, "__node").agg(F.sum("n").alias("n"), joined)
+        chunks = folded.withColumnRenamed("__node", "chunk").select(*group, "chunk", "n", "digest").unionByName(told.where(~F.col("__deep")).select(*group, "chunk", "n", "digest"))
+        top //= chunk
+    return chunks.groupBy(*group).agg(F.sum("n").alias("n"), joined)
 
 
 def registry_rows(identities: DataFrame, kind: str, value: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Grounding cases and predictions: contracts and exact scores.
 
-A case is one JSON text a row, of a suite and with its place in it; suites are short by contract
-(``MOST_CASES``), so what is summed exactly is a bounded list.
+A case is one JSON text a row, of a suite and with its place in it.  Suites that are read as files are
+short by contract (``MOST_CASES``, checked by :mod:`..sources.suites`); scores hold for suites of any size.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from ..functions.geometry import iou
 from . import contracts as c
@@ -228,7 +228,7 @@ def resolved_box(box: Column, catalog: Column, least: tuple[int, int]) -> Column
 
 @F.pandas_udf(StructType([StructField("numerator", StringType()), StructField("denominator", StringType())]))
 def exact_mean(parts: pd.Series) -> pd.DataFrame:
-    """The mean of a short list of fractions (n, d) as a reduced fraction; null for none."""
+    """E15 in one row: the mean of a short list of fractions (n, d) as a reduced fraction; null for none.  :func:`exact_means` takes groups of any size."""
     out = []
     for fractions in parts:
         total = sum((Fraction(int(f["n"]), int(f["d"])) for f in fractions), Fraction(0)) / len(fractions) if len(fractions) else None
@@ -236,6 +236,54 @@ def exact_mean(parts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["numerator", "denominator"])
 
 
+#: Fractions that meet in one row while they are added.
+FAN_IN = 64
+
+
+@F.pandas_udf(StructType([StructField("numerator", BinaryType()), StructField("denominator", BinaryType())]))
+def _added(parts: pd.Series) -> pd.DataFrame:
+    """The sums of short lists of fractions, reduced; integers are two's-complement bytes, as they may have any length."""
+    whole = lambda x: int.from_bytes(x, "big", signed=True)
+    octets = lambda x: x.to_bytes(x.bit_length() // 8 + 1, "big", signed=True)
+    sums = [sum((Fraction(whole(f["numerator"]), whole(f["denominator"])) for f in fractions), Fraction(0)) for fractions in parts]
+    return pd.DataFrame([(octets(x.numerator), octets(x.denominator)) for x in sums], columns=["numerator", "denominator"])
+
+
+@F.pandas_udf(StructType([StructField("numerator", BinaryType()), StructField("denominator", BinaryType())]))
+def _fraction(numerator: pd.Series, denominator: pd.Series) -> pd.DataFrame:
+    octets = lambda x: x.to_bytes(x.bit_length() // 8 + 1, "big", signed=True)
+    return pd.DataFrame([(octets(int(n)), octets(int(d))) for n, d in zip(numerator, denominator, strict=True)], columns=["numerator", "denominator"])
+
+
+@F.pandas_udf(StructType([StructField("numerator", StringType()), StructField("denominator", StringType()), StructField("value", DoubleType())]))
+def _mean(numerator: pd.Series, denominator: pd.Series, count: pd.Series) -> pd.DataFrame:
+    digits = lambda x: str(x) if x.bit_length() < 10_000 else f"0x{x:x}"
+    whole = lambda x: int.from_bytes(x, "big", signed=True)
+    means = [Fraction(whole(a), whole(b)) / int(n) for a, b, n in zip(numerator, denominator, count, strict=True)]
+    return pd.DataFrame([(digits(x.numerator), digits(x.denominator), x.numerator / x.denominator) for x in means], columns=["numerator", "denominator", "value"])
+
+
+def exact_means(rows: DataFrame, group: str, part: str) -> DataFrame:
+    """Per group the number of fractions and their mean as a reduced fraction and as the nearest double.
+
+    ``part`` is a struct of longs n and d (d over 0) or null, which isn't counted.  Numerators of one denominator
+    are summed as decimals first, with partial sums, so a group of any number of rows leaves a row for each
+    denominator; these are added ``FAN_IN`` at a time in a tree, so no row or task holds a group's list.
+    A numerator or denominator of over 3,000 digits is written in hexadecimal (0x...).
+    """
+    sums = rows.where(F.col(part).isNotNull()).groupBy(F.col(group).alias("__group"), F.col(f"{part}.d").alias("__d")).agg(F.sum(F.col(f"{part}.n").cast("decimal(38,0)")).alias("__n"), F.count("*").alias("__count"))
+    found = sums.select("__group", F.col("__d").alias("__place"), "__count", _fraction(F.col("__n").cast("string"), "__d").alias("__sum"))
+    widest = found.groupBy("__group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    levels = 0
+    while FAN_IN**levels < widest:
+        levels += 1
+    found = found.withColumn("__place", F.pmod(F.xxhash64("__place"), F.lit(FAN_IN**levels)))
+    for _ in range(levels + 1):
+        found = found.groupBy("__group", "__place").agg(F.collect_list("__sum").alias("__parts"), F.sum("__count").alias("__count"))
+        found = found.select("__group", F.floor(F.col("__place") / FAN_IN).alias("__place"), "__count", _added("__parts").alias("__sum"))
+    return found.select(F.col("__group").alias(group), F.col("__count").alias("n"), _mean("__sum.numerator", "__sum.denominator", "__count").alias("__m")).select(group, "n", "__m.numerator", "__m.denominator", "__m.value")
+
+
 METRICS = ("grounding_accuracy", "action_accuracy", "tool_accuracy", "argument_exact_match", "stale_ref_rejection", "coordinate_ref_disagreement_rejection", "prediction_coordinate_ref_disagreement_rate")
 
 
@@ -271,7 +319,8 @@ def scored_cases(cases: DataFrame, predictions: DataFrame, suite: str, case_id:
 def grounding_report(scored: DataFrame, suite: str) -> DataFrame:
     """Per suite and metric correct, total, value (null where total is 0: not applicable), and mean_iou as an exact fraction."""
     cells = [x for name in METRICS for x in (F.count_if(f"{name}.hit").alias(f"{name}_n"), F.count_if(f"{name}.of").alias(f"{name}_of"))]
-    sums = scored.groupBy(suite).agg(*cells, F.collect_list("overlap").alias("__parts"))
+    means = exact_means(scored, suite, "overlap").select(F.col(suite).alias("__suite"), F.col("n").alias("__n"), "numerator", "denominator", "value")
+    sums = scored.groupBy(suite).agg(*cells).join(means, F.col(suite).eqNullSafe(F.col("__suite")), "left")
     rows = [F.struct(F.lit(name).alias("metric"), F.col(f"{name}_n").alias("correct"), F.col(f"{name}_of").alias("total"), F.lit(None).cast("string").alias("numerator"), F.lit(None).cast("string").alias("denominator"), ratio(F.col(f"{name}_n"), F.col(f"{name}_of"), None).alias("value")) for name in METRICS]
-    mean = F.struct(F.lit("mean_iou").alias("metric"), F.lit(None).cast("long").alias("correct"), F.size("__parts").cast("long").alias("total"), F.col("__mean.numerator").alias("numerator"), F.col("__mean.denominator").alias("denominator"), F.try_divide(F.col("__mean.numerator").cast("double"), F.col("__mean.denominator").cast("double")).alias("value"))
-    return sums.withColumn("__mean", exact_mean("__parts")).select(suite, F.inline(F.array(*rows, mean)))
+    mean = F.struct(F.lit("mean_iou").alias("metric"), F.lit(None).cast("long").alias("correct"), F.coalesce("__n", F.lit(0)).cast("long").alias("total"), "numerator", "denominator", "value")
+    return sums.select(suite, F.inline(F.array(*rows, mean)))

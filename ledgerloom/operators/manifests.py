@@ -85,7 +85,7 @@ def remote_files(listing: Column) -> Column:
     files = F.transform(F.try_variant_get(listing, "$.siblings", "array<variant>"), c.opened)
     large = lambda f, path, kind: F.try_variant_get(f["v"], path, kind)
     return F.array_sort(F.transform(files, lambda f: F.struct(
-        c.text_at(f, "rfilename").alias("name"), c.number_at(f, "size").alias("size"), c.text_at(f, "blobId").alias("blob_id"),
+        c.text_at(f, "rfilename").alias("name"), c.number_at(f, "size").try_cast("bigint").alias("size"), c.text_at(f, "blobId").alias("blob_id"),
         F.when(c.is_object(c.at(f, "lfs")), F.struct(large(f, "$.lfs.pointerSize", "bigint").alias("pointer_size"), large(f, "$.lfs.sha256", "string").alias("sha256"), large(f, "$.lfs.size", "bigint").alias("size"))).alias("lfs"),
     )))
 

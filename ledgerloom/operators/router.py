@@ -102,10 +102,10 @@ def record_violations(records: DataFrame, key: str, raw: str) -> DataFrame:
 
     Every ``example_id`` but the first by ``key`` is DUPLICATE_EXAMPLE_ID.  A key that a document has twice counts with its last value, as records are read without that check.
     """
-    scope = c.Scope()
+    scope = c.Scope(F.col(raw))
     doc = scope.keep(c.opened(F.col("__parsed")))
     rules = first_broken(record_rules(doc, scope))
-    parts = scope.applied(records.select(key, c.document(last_value_wins(F.col(raw))).alias("__parsed")))
+    parts = scope.applied(records.select(key, raw, last_value_wins(F.col(raw)).alias("__last")).withColumn("__parsed", c.document("__last")))
     found = F.when(F.col("__parsed").isNull(), F.struct(F.lit("MALFORMED_JSON").alias("code"), F.lit("$").alias("location"))).otherwise(rules)
     judged = parts.select(key, found.alias("found"), c.text_at(doc, "example_id").alias("example_id"))
     first = judged.groupBy("example_id").agg(F.min(key).alias("__first"))
@@ -128,7 +128,7 @@ def last_value_wins(raw: Column) -> Column:
 
         return texts.map(one)
 
-    refused = c.document(raw).isNull()
+    refused = ~c.is_strict(raw)
     return F.when(refused, again(F.when(refused, raw))).otherwise(raw)
 
 
@@ -189,7 +189,7 @@ def judged_answers(gold: DataFrame, answers: DataFrame, key: str = "example_id",
     are MODEL_OUTPUT_ID_MISMATCH, an answer that is null INVALID_RAW_OUTPUT.
     """
     joined = gold.select(key, F.col(record).alias("__record"), F.lit(True).alias("__gold")).join(answers.select(key, F.col(output).alias("__raw"), F.lit(True).alias("__given")), key, "full_outer")
-    parts = joined.withColumns({"__record": c.opened(F.col("__record")), "__answer": c.document(last_value_wins(F.col("__raw")))})
+    parts = joined.withColumns({"__record": c.opened(F.col("__record")), "__last": last_value_wins(F.col("__raw"))}).withColumn("__answer", c.document("__last"))
     parts = parts.withColumns({"gold": c.opened(c.at(F.col("__record"), "decision")["v"]), "answer": c.opened(F.col("__answer")), "tools": c.strings(c.at(F.col("__record"), "available_tools"))})
     fields = c.literal(DECISION_FIELDS)
     other_keys = (F.size(F.array_except(fields, c.keys(F.col("answer")))) > 0) | (F.size(F.array_except(c.keys(F.col("answer")), fields)) > 0)

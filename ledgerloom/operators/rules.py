@@ -8,7 +8,6 @@ validator that stops at once reports.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,40 +90,3 @@ def json_code(text: str | None) -> str | None:
 def strict_json_code(raw: pd.Series) -> pd.Series:
     """A3 as a column."""
     return raw.map(json_code)
-
-
-def json_leaves(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """One row for each leaf of a JSON document of any depth: path, name of the last key, value as JSON.
-
-    A document that is null or no strict JSON has one row, with its code (:func:`strict_json_code`) as the name
-    and null as path and value.
-    """
-    schema = f"{key} {dict(df.dtypes)[key]}, path string, name string, value string"
-
-    def leaves(value, path: str, name: str) -> Iterator[tuple[str, str, str]]:
-        stack = [(value, path, name)]
-        while stack:
-            value, path, name = stack.pop()
-            if isinstance(value, dict) and value:
-                stack.extend((v, f"{path}.{k}", k) for k, v in reversed(value.items()))
-            elif isinstance(value, list) and value:
-                stack.extend((v, f"{path}[{i}]", name) for i, v in reversed(list(enumerate(value))))
-            else:
-                yield path, name, json.dumps(value, ensure_ascii=False, sort_keys=True)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, text in zip(frame[key], frame[raw], strict=True):
-                code = json_code(text)
-                rows += [(k, None, code, None)] if code else [(k, *leaf) for leaf in leaves(json.loads(text), "$", "")]
-            yield pd.DataFrame(rows, columns=[key, "path", "name", "value"])
-
-    return df.select(key, raw).mapInPandas(run, schema)
-
-
-def changed_leaves(before: DataFrame, after: DataFrame, key: str, raw: str, allowed: list[str]) -> DataFrame:
-    """Leaves that differ between two versions of a document, and whether the path is one that may; ``!CODE`` is the path of one that isn't JSON."""
-    a, b = (json_leaves(df, key, raw).withColumn("path", F.coalesce("path", F.concat(F.lit("!"), "name"))) for df in (before, after))
-    both = a.select(key, "path", F.col("value").alias("before")).join(b.select(key, "path", F.col("value").alias("after")), [key, "path"], "full_outer")
-    return both.where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("allowed", F.col("path").isin(allowed))

@@ -26,6 +26,28 @@ def with_defect(template: str, defects: list[Defect], number: Column) -> Column:
     return F.replace(named, F.replace(pick(0), F.lit("@id"), number.cast("string")), pick(1))
 
 
+def with_two_defects(template: str, defects: list[Defect], number: Column, unreadable: int) -> Column:
+    """The template with the two defects that the number chooses, the earlier one first; ``defects`` stand in the order of the rules.
+
+    The first ``unreadable`` of them leave no document to judge: the second defect is none of those.
+    """
+    n = len(defects)
+    a, b = F.pmod(number, F.lit(n)), unreadable + F.pmod(F.floor(number / n), F.lit(n - unreadable))
+    pick = lambda k, at: F.element_at(F.array(*(F.lit(d[k]) for d in defects)), at.cast("int") + 1)
+    named = lambda text: F.replace(text, F.lit("@id"), number.cast("string"))
+    out = named(F.lit(template))
+    first, second = F.least(a, b), F.greatest(a, b)
+    out = F.replace(out, named(pick(0, first)), pick(1, first))
+    return F.when(a == b, out).otherwise(F.replace(out, named(pick(0, second)), pick(1, second)))
+
+
+def two_defects_sql(source: str, key: str, defects: list[Defect], unreadable: int) -> str:
+    """Of the two defects the one that stands first in the rules' order is reported; the last of the list is none."""
+    values = ", ".join(f"({k}, {sql_text(code)}, {sql_text(location)})" for k, (_, _, code, location) in enumerate(defects))
+    n = len(defects)
+    return f"select {key}, code, location from {source} join (values {values}) v(d, code, location) on least({key} % {n}, {unreadable} + ({key} // {n}) % {n - unreadable}) = d"
+
+
 def sql_text(value: str | None) -> str:
     return "null::varchar" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -38,20 +60,20 @@ def defects_sql(source: str, key: str, defects: list[Defect]) -> str:
 TOOL = {"name": "look", "description": "Looks", "input_schema": {"type": "object"}, "effect": "observation", "result_content": "text", "result_sensitivity": "normal", "redaction_policy": "none", "grounding": "none", "requires_host_approval": False, "invalidates_observation": False, "sensitive_arguments": [], "required_safety_baselines": ["b1"]}
 MANIFEST = json.dumps({"manifest_version": 1, **exports.MANIFEST_VERSIONS, "tools": [TOOL, {**TOOL, "name": "press", "effect": "side_effect"}], "automatic_export": dict.fromkeys(exports.EXPORT_DECLARATIONS, False)})
 MANIFEST_DEFECTS: list[Defect] = [
-    ("", "", None, None), ("{", "[", "MALFORMED_JSON", "manifest"), ('"manifest_version": 1', '"manifest_version": 2', "UNSUPPORTED_VERSION", "manifest.manifest_version"),
+    ("{", "[", "MALFORMED_JSON", "manifest"), ('"tools": [', '"tools": [], "tools": [', "DUPLICATE_JSON_KEY", "manifest"), ('"trace_version": 1', '"trace_version": -Infinity', "NONFINITE_NUMBER", "manifest"),
+    (', "checkpoint_version": 1', "", "MISSING_FIELD", "manifest"), ('"tools"', '"extra": null, "tools"', "UNKNOWN_FIELD", "manifest"), ('"manifest_version": 1', '"manifest_version": 2', "UNSUPPORTED_VERSION", "manifest.manifest_version"),
     ('"agent_contract_version": "0.1.0"', '"agent_contract_version": "0.2.0"', "UNSUPPORTED_VERSION", "manifest.agent_contract_version"), ('"trace_version": 1', '"trace_version": 1.5', "UNSUPPORTED_VERSION", "manifest.trace_version"),
     ('"contains_images": false', '"contains_images": true', "UNSAFE_AUTOMATIC_EXPORT", "manifest.automatic_export"), (', "contains_memory": false', "", "UNSAFE_AUTOMATIC_EXPORT", "manifest.automatic_export"),
-    ('"name": "press"', '"name": "look"', "DUPLICATE_TOOL", "manifest.tools[1].name"), ('"name": "press"', '"name": ""', "INVALID_TYPE", "manifest.tools[1].name"),
-    ('"effect": "side_effect"', '"effect": "none"', "INVALID_VALUE", "manifest.tools[1].effect"), ('"tools": [', '"tools": [7, ', "INVALID_TYPE", "manifest.tools[0]"),
-    ('"grounding": "none", ', "", "MISSING_FIELD", "manifest.tools[0]"), ('"requires_host_approval": false', '"requires_host_approval": 0', "INVALID_TYPE", "manifest.tools[0].requires_host_approval"),
-    ('["b1"]', '["b1", "b1"]', "DUPLICATE_VALUE", "manifest.tools[0].required_safety_baselines"), ('"tools"', '"extra": null, "tools"', "UNKNOWN_FIELD", "manifest"),
+    ('"name": "look", "description": "Looks", ', '"name": "look", ', "MISSING_FIELD", "manifest.tools[0]"), ('"name": "look"', '"name": 5', "INVALID_TYPE", "manifest.tools[0].name"), ('"type": "object"', '"type": [0, -2e400]', "NONFINITE_NUMBER", "manifest.tools[0].input_schema.type[1]"),
+    ('"requires_host_approval": false', '"requires_host_approval": 0', "INVALID_TYPE", "manifest.tools[0].requires_host_approval"), ('["b1"]', '["b1", "b1"]', "DUPLICATE_VALUE", "manifest.tools[0].required_safety_baselines"),
+    ('"name": "press"', '"name": "look"', "DUPLICATE_TOOL", "manifest.tools[1].name"), ('"name": "press"', '"name": ""', "INVALID_TYPE", "manifest.tools[1].name"), ('"effect": "side_effect"', '"effect": "none"', "INVALID_VALUE", "manifest.tools[1].effect"), ("", "", None, None),
 ]
 
 
-@query(defects_sql("part", "p_partkey", MANIFEST_DEFECTS))
+@query(two_defects_sql("part", "p_partkey", MANIFEST_DEFECTS, 3))
 def manifest_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that each manifest breaks."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", with_defect(MANIFEST, MANIFEST_DEFECTS, F.col("p_partkey")).alias("raw"))
+    """The first rule that each manifest breaks, of two defects the one whose rule comes first."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", with_two_defects(MANIFEST, MANIFEST_DEFECTS, F.col("p_partkey"), 3).alias("raw"))
     return exports.manifest_violations(rows, "p_partkey", "raw")
 
 
@@ -71,25 +93,30 @@ RUN = json.dumps({
     },
     "events": [{"trace_version": 1, "sequence": k, "run_id": "run-@id", **e} for k, e in enumerate(EVENTS, 1)],
 })
+#: An integer that no machine word holds, and one greater.
+LONG = "9" * 46
 RUN_DEFECTS: list[Defect] = [
-    ("", "", None, None), ('"code": "OK"}', '"code": "OK"}]}, {"a": [{}', "MALFORMED_JSON", "run_export"), ('{"run_export_version"', '[] {"run_export_version"', "MALFORMED_JSON", "run_export"), ('{"run_export_version"', '{"x": 1}] {"run_export_version"', "MALFORMED_JSON", "run_export"), ('"run_id"', '"run_id', "MALFORMED_JSON", "run_export"), ('"phase"', '"phase": "SUCCESS", "phase"', "DUPLICATE_JSON_KEY", "run_export"), ('"text_length": 3', '"text_length": NaN', "NONFINITE_NUMBER", "run_export"),
-    ('"run_export_version": 1', '"run_export_version": 2', "UNSUPPORTED_VERSION", "run_export.run_export_version"), ('"run_export_version": 1', '"run_export_version": true', "UNSUPPORTED_VERSION", "run_export.run_export_version"),
-    ('"sha256:0', '"sha256:1', "MANIFEST_DIGEST_MISMATCH", "run_export.manifest_digest"), ('"redacted_runtime_evidence"', '"raw"', "INVALID_DATA_CLASS", "run_export.data_class"),
-    ('"reliability_and_verifier_only"', '"any"', "INVALID_TRAINING_USE", "run_export.training_use"), ('"data_class"', '"more": 1, "data_class"', "UNKNOWN_FIELD", "run_export"), ('"policy_version": "p1", ', "", "MISSING_FIELD", "run_export.checkpoint"),
-    ('"checkpoint_sequence": 3, "run_id": "run-@id"', '"checkpoint_sequence": 3, "run_id": "run-x"', "RUN_ID_MISMATCH", "run_export.checkpoint.run_id"), ('"checkpoint_sequence": 3', '"checkpoint_sequence": true', "INVALID_TYPE", "run_export.checkpoint.checkpoint_sequence"),
+    ('"code": "OK"}', '"code": "OK"}]}, {"a": [{}', "MALFORMED_JSON", "run_export"), ('{"run_export_version"', '[] {"run_export_version"', "MALFORMED_JSON", "run_export"), ('{"run_export_version"', '{"x": 1}] {"run_export_version"', "MALFORMED_JSON", "run_export"), ('"run_id"', '"run_id', "MALFORMED_JSON", "run_export"),
+    ('"phase"', '"phase": "SUCCESS", "phase"', "DUPLICATE_JSON_KEY", "run_export"), ('"text_length": 3', '"text_length": NaN', "NONFINITE_NUMBER", "run_export"),
+    (', "training_use": "reliability_and_verifier_only"', "", "MISSING_FIELD", "run_export"), ('"data_class"', '"more": 1, "data_class"', "UNKNOWN_FIELD", "run_export"), ('"run_export_version": 1', '"run_export_version": 2', "UNSUPPORTED_VERSION", "run_export.run_export_version"),
+    ('"run_export_version": 1', '"run_export_version": true', "UNSUPPORTED_VERSION", "run_export.run_export_version"), ('"sha256:0', '"sha256:1', "MANIFEST_DIGEST_MISMATCH", "run_export.manifest_digest"), ('"redacted_runtime_evidence"', '"raw"', "INVALID_DATA_CLASS", "run_export.data_class"),
+    ('"reliability_and_verifier_only"', '"any"', "INVALID_TRAINING_USE", "run_export.training_use"), ('"policy_version": "p1", ', "", "MISSING_FIELD", "run_export.checkpoint"),
+    ('"checkpoint_sequence": 3, "run_id": "run-@id"', '"checkpoint_sequence": 3, "run_id": "run-x"', "RUN_ID_MISMATCH", "run_export.checkpoint.run_id"), ('"checkpoint_sequence": 3', '"checkpoint_sequence": 1e999', "INVALID_TYPE", "run_export.checkpoint.checkpoint_sequence"),
     ('"phase": "SUCCESS"', '"phase": "DONE"', "INVALID_VALUE", "run_export.checkpoint.phase"), ('"resume_allowed": false', '"resume_allowed": "no"', "INVALID_TYPE", "run_export.checkpoint.resume_allowed"), ('"failure_code": "NONE"', '"failure_code": ""', "INVALID_TYPE", "run_export.checkpoint.failure_code"),
-    ('"tool_calls_used": 1', '"tool_calls_used": 6', "INVALID_VALUE", "run_export.checkpoint.budgets.tool_calls_used"), ('"retry_count": 1', '"retry_count": -1', "INVALID_TYPE", "run_export.checkpoint.metrics.retry_count"), ('"event_count": 7', '"event_count": 8', "INCOMPLETE_EVENTS", "run_export.events"),
-    ('"sequence": 4', '"sequence": 5', "INCOMPLETE_EVENTS", "run_export.events[3].sequence"), ('"kind": "observation"', '"kind": "glance"', "UNKNOWN_EVENT_KIND", "run_export.events[1].kind"), (', "latency_ms": 80', "", "MISSING_FIELD", "run_export.events[2]"),
-    ('"decision": "allow"', '"decision": "allow", "note": 1', "UNKNOWN_FIELD", "run_export.events[3]"), ('"decision": "allow"', '"decision": "perhaps"', "INVALID_VALUE", "run_export.events[3].decision"), ('["title"]', '["title", "title"]', "DUPLICATE_VALUE", "run_export.events[4].redacted_fields"),
+    ('"max_side_effects": 2', f'"max_side_effects": -{LONG}', "INVALID_TYPE", "run_export.checkpoint.budgets.max_side_effects"), ('"max_tool_calls": 5, "tool_calls_used": 1', f'"max_tool_calls": {LONG}, "tool_calls_used": {LONG}1', "INVALID_VALUE", "run_export.checkpoint.budgets.tool_calls_used"), ('"retry_count": 1', f'"retry_count": {LONG}.5', "INVALID_TYPE", "run_export.checkpoint.metrics.retry_count"),
+    ('"event_count": 7', '"event_count": 8', "INCOMPLETE_EVENTS", "run_export.events"), ('"kind": "observation"', '"kind": "glance"', "UNKNOWN_EVENT_KIND", "run_export.events[1].kind"), (', "latency_ms": 80', "", "MISSING_FIELD", "run_export.events[2]"),
+    ('"decision": "allow"', '"decision": "allow", "note": 1', "UNKNOWN_FIELD", "run_export.events[3]"), ('"sequence": 4', '"sequence": 5', "INCOMPLETE_EVENTS", "run_export.events[3].sequence"), ('"decision": "allow"', '"decision": "perhaps"', "INVALID_VALUE", "run_export.events[3].decision"),
+    ("2.5", "1e999", "NONFINITE_NUMBER", "run_export.events[4].arguments.where.x[1]"), ('["title"]', '["title", "title"]', "DUPLICATE_VALUE", "run_export.events[4].redacted_fields"),
     ('"dispatch": "dispatched"', '"dispatch": "sent"', "INVALID_VALUE", "run_export.events[5].dispatch"), ('"code": "OK"', '"code": 0', "INVALID_TYPE", "run_export.events[5].code"), ('"kind": "user_task", "task_length": 12', '"kind": "user_task", "task_length": 13', "INCOMPLETE_EVENTS", "run_export.events[0]"),
-    ('"where"', '"Raw_Task"', "FORBIDDEN_RICH_FIELD", "run_export.events[4]"), ('{"x":', '{"screenshot":', "FORBIDDEN_RICH_FIELD", "run_export.events[4]"),
+    ('"arguments": {', '"arguments": {"Raw_Task": 0, ', "FORBIDDEN_RICH_FIELD", "run_export.events[4].arguments.Raw_Task"), ('{"x":', '{"s\\u0063reenshot": 1, "x":', "FORBIDDEN_RICH_FIELD", "run_export.events[4].arguments.where.screenshot"),
+    ('"retry_count": 1', f'"retry_count": {LONG}', None, None), ("", "", None, None),
 ]
 
 
-@query(defects_sql("orders", "o_orderkey", RUN_DEFECTS))
+@query(two_defects_sql("orders", "o_orderkey", RUN_DEFECTS, 6))
 def run_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that each run export breaks, malformed documents included."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(RUN, RUN_DEFECTS, F.col("o_orderkey")).alias("raw"))
+    """The first rule that each run export breaks, malformed documents included; of two defects the one whose rule comes first."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_two_defects(RUN, RUN_DEFECTS, F.col("o_orderkey"), 6).alias("raw"))
     return exports.run_violations(rows, "o_orderkey", "raw", F.lit(DIGEST))
 
 

@@ -81,15 +81,15 @@ def suite_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED_SQL = """
 b(t, ref, x1, y1, x2, y2) as (values ('t0', 'r0', 0, 0, 10, 10), ('t1', 'r1', 20, 0, 30, 10), ('t2', 'r2', 20, 20, 40, 40)),
-l as (select l_orderkey as suite, l_linenumber as n, l_partkey as p, l_suppkey as s, ['ref_grounding', 'bbox_grounding', 'fused_grounding'][(l_linenumber % 3 + 1)::int] as capability, ['stale_ref', 'coordinate_ref_disagreement', 'occluded', 'none', 'none', 'none', 'none'][(l_partkey % 7 + 1)::int] as perturbation
+l as materialized (select l_orderkey as suite, l_linenumber as n, l_partkey as p, l_suppkey as s, ['ref_grounding', 'bbox_grounding', 'fused_grounding'][(l_linenumber % 3 + 1)::int] as capability, ['stale_ref', 'coordinate_ref_disagreement', 'occluded', 'none', 'none', 'none', 'none'][(l_partkey % 7 + 1)::int] as perturbation
   from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem group by all)),
 c as (select *, case perturbation when 'none' then 'act' when 'occluded' then 'fallback' else 'reject' end as gold_end, case perturbation when 'occluded' then 'insufficient_visual_evidence' when 'none' then null else perturbation end as gold_reason,
     perturbation = 'none' as act, 't' || (s % 3) as target, perturbation = 'none' and capability <> 'ref_grounding' as boxed,
     case when p % 5 <> 0 then 'act' when p % 2 = 0 then 'reject' else 'fallback' end as said, case when p % 5 = 0 then ['stale_ref', 'coordinate_ref_disagreement', 'insufficient_visual_evidence'][(s % 3 + 1)::int] end as why, p % 5 <> 0 as acts from l),
 d as (select *, case when acts and p % 4 <> 1 then 'r' || (case when p % 3 = 0 then (s + p) % 4 else s % 3 end) end as ref, case when acts and p % 4 <> 2 then (case when p % 3 = 1 then (s + p) % 3 else s % 3 end) end as k, case when p % 6 = 5 then 0 else (p % 6) end as dx from c),
-e as (select d.*, q.x1 + dx as ax1, q.y1 as ay1, q.x2 + dx as ax2, q.y2 as ay2 from d left join b q on q.t = 't' || d.k),
-f as (select e.*, b.t as bt, greatest(0, least(ax2, b.x2) - greatest(ax1, b.x1)) * greatest(0, least(ay2, b.y2) - greatest(ay1, b.y1)) as shared, (ax2 - ax1) * (ay2 - ay1) + (b.x2 - b.x1) * (b.y2 - b.y1) as areas from e, b),
-g as (select suite, n, arg_max(bt, shared::double / (areas - shared)) as bt, max(shared::double / (areas - shared)) as top, count(*) filter (shared::double / (areas - shared) = m) as ties from (select *, max(shared::double / (areas - shared)) over (partition by suite, n) as m from f where ax1 is not null) group by suite, n),
+e as materialized (select d.*, q.x1 + dx as ax1, q.y1 as ay1, q.x2 + dx as ax2, q.y2 as ay2 from d left join b q on q.t = 't' || d.k),
+f as materialized (select e.*, b.t as bt, greatest(0, least(ax2, b.x2) - greatest(ax1, b.x1)) * greatest(0, least(ay2, b.y2) - greatest(ay1, b.y1)) as shared, (ax2 - ax1) * (ay2 - ay1) + (b.x2 - b.x1) * (b.y2 - b.y1) as areas from e, b),
+g as materialized (select suite, n, arg_max(bt, shared::double / (areas - shared)) as bt, max(shared::double / (areas - shared)) as top, count(*) filter (shared::double / (areas - shared) = m) as ties from (select *, max(shared::double / (areas - shared)) over (partition by suite, n) as m from f where ax1 is not null) group by suite, n),
 h as (select e.*, r.t as ref_target, case when g.ties = 1 and g.top >= 0.5 then g.bt end as box_target, o.shared as o_shared, o.areas - o.shared as o_union from e left join b r on r.ref = e.ref left join g on g.suite = e.suite and g.n = e.n left join f o on o.suite = e.suite and o.n = e.n and o.bt = e.target and o.ax1 is not null),
 j as (select *, act and coalesce(case capability when 'ref_grounding' then ref_target = target when 'bbox_grounding' then box_target = target else ref_target = target and box_target = target end, false) as grounded from h)"""
 

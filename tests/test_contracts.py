@@ -1,5 +1,6 @@
 """Contracts, scores and generators on small cases: strictness against Python's parser, every predicate, exact fractions, outcomes."""
 
+import collections
 import json
 import math
 import os
@@ -164,3 +165,45 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["runs", str(tmp_path / "runs")], spark) == 2 and '"code":"MALFORMED_JSON"' in capsys.readouterr().err
     (tmp_path / "none").mkdir()
     assert main(["cases", str(tmp_path / "none")], spark) == 2 and "EMPTY_DATASET_INPUT" in capsys.readouterr().err
+
+
+def test_exact_means_of_any_size(spark):
+    n, primes = F.col("id") % 97, [d for d in range(2, 3000) if all(d % k for k in range(2, int(d**0.5) + 1))]
+    d = F.element_at(F.array(*map(F.lit, primes)), (F.col("id") % len(primes) + 1).cast("int"))
+    rows = spark.range(300_000).select(F.when(F.col("id") < 5, "few").otherwise("many").alias("g"), F.when(F.col("id") % 11 != 0, F.struct(n.alias("n"), d.cast("long").alias("d"))).alias("part"))
+    rows = rows.unionByName(spark.sql("select 'huge' as g, named_struct('n', 9223372036854775807L, 'd', 3L) as part from range(40)")).unionByName(spark.sql("select 'none' as g, cast(null as struct<n: bigint, d: bigint>) as part"))
+    found = {r.g: r for r in grounding.exact_means(rows, "g", "part").collect()}
+    assert found.keys() == {"few", "many", "huge"}
+    for g, ids in (("few", range(5)), ("many", range(5, 300_000))):
+        parts = collections.Counter()
+        used = [k for k in ids if k % 11]
+        for k in used:
+            parts[primes[k % len(primes)]] += k % 97
+        mean = sum((Fraction(a, b) for b, a in parts.items()), Fraction(0)) / len(used)
+        r = found[g]
+        assert r.n == len(used) and Fraction(int(r.numerator, 0), int(r.denominator, 0)) == mean and r.value == float(mean)
+    assert (found["huge"].n, found["huge"].numerator, found["huge"].denominator) == (40, str(2**63 - 1), "3")
+
+
+def test_tree_digests_of_several_levels(spark):
+    import hashlib
+
+    def node(digests):
+        return hashlib.sha256("\n".join(digests).encode()).hexdigest()
+
+    def digest(rows, fan):
+        level = {}
+        for o, d in sorted(rows):
+            level.setdefault(o // fan, []).append(d)
+        level = {k: node(v) for k, v in level.items()}
+        while max(level) >= fan:
+            up = {}
+            for k in sorted(level):
+                up.setdefault(k // fan, []).append(level[k])
+            level = {k: node(v) for k, v in up.items()}
+        return node([level[k] for k in sorted(level)])
+
+    data = {"big": [(k, f"h{k}") for k in range(0, 700, 3)], "mid": [(k, f"m{k}") for k in range(30)], "one": [(0, "x")], None: [(5, "y")]}
+    rows = spark.createDataFrame([(g, o, d) for g, own in data.items() for o, d in own], "g string, o long, d string").repartition(5)
+    found = {r.g: (r.n, r.digest) for r in generate.tree_digest(rows, ["g"], "o", "d", chunk=6).collect()}
+    assert found == {g: (len(own), digest(own, 6)) for g, own in data.items()}

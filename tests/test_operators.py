@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import geometry, identity, text
-from ledgerloom.operators import audit, diverge, gates, generate, rules, score, traces
+from ledgerloom.operators import audit, diverge, gates, generate, rules, score, traces, walk
 from ledgerloom.sources import files, sinks
 from ledgerloom.streaming import runs
 
@@ -182,9 +182,9 @@ def test_paths_and_leaves(spark):
     assert {r.p: r.u for r in df.select("p", rules.unsafe_path(F.col("p")).alias("u")).collect()} == paths
     deep = "[" * 200 + "1" + "]" * 200
     a = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":null}]},"d":{}}'), (2, deep)], "k long, j string")
-    assert [(r.path, r.value) for r in rules.json_leaves(a, "k", "j").where("k = 1").collect()] == [("$.a.b[0]", "1"), ("$.a.b[1].c", "null"), ("$.d", "{}")]
+    assert [(r.path, r.value) for r in walk.leaves(a, "k", "j").where("k = 1").collect()] == [("$.a.b[0]", "1"), ("$.a.b[1].c", "null"), ("$.d", "{}")]
     b = a.withColumn("j", F.replace("j", F.lit("[1,"), F.lit("[2,")))
-    assert rows(rules.changed_leaves(a, b, "k", "j", ["$.a.b[0]"])) == [(1, "$.a.b[0]", "1", "2", True)]
+    assert rows(walk.changed_leaves(a, b, "k", "j", ["$.a.b[0]"])) == [(1, "$.a.b[0]", "1", "2", True)]
 
 
 # -- generators
