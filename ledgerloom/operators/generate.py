@@ -57,43 +57,54 @@ def fixture_records(specs: DataFrame, split: str, suffixed: bool, untouched: tup
     return specs.select(F.format_string(f"{split}-%03d", "number").alias("example_id"), F.lit(split).alias("split"), "category", text.alias("instruction"), arguments.alias("arguments"))
 
 
-MODES, ENDS = ("uia_only", "screenshot_only", "fused"), ("act", "reject", "fallback")
-
-
-def training_grid(spark, split: str, repeats: int) -> DataFrame:
-    """Repeats x modes x dispositions, numbered in that order, with what each shows and is to answer."""
-    cells = len(MODES) * len(ENDS)
-    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), k.cast("int") + 1)
-    i = F.col("id") + 1
-    grid = spark.range(repeats * cells).select(i.alias("index"), (F.floor(F.col("id") / cells) + 1).alias("repeat"), pick(MODES, F.floor(F.col("id") / len(ENDS)) % len(MODES)).alias("mode"), pick(ENDS, F.col("id") % len(ENDS)).alias("disposition"))
-    token = F.format_string(f"{split[0]}%02d", "index")
-    x, y = 34 + (F.col("index") * 29) % 170, 72 + (F.col("index") * 37) % 190
-    box = F.array(x, y, x + 132, y + 62)
-    act, has_ref, has_box = F.col("disposition") == "act", F.col("mode") != "screenshot_only", F.col("mode") != "uia_only"
-    label = F.concat(F.lit("OPEN "), token)
-    says = F.when(act, F.format_string("Activate the reviewed synthetic %s control.", label)).when(F.col("disposition") == "reject", F.format_string("Activate the expired synthetic %s reference.", label)).otherwise(F.format_string("Activate the absent synthetic %s control.", label))
-    ref = F.concat(F.lit("ref-open-"), token)
-    return grid.select(
-        F.format_string(f"pt-{split}-%03d", "index").alias("case_id"), F.format_string(f"pt-{split}-family-%03d", "index").alias("family_id"), F.col("mode").alias("observation_mode"), F.col("repeat").alias("training_repeat_group"), says.alias("instruction"),
-        F.when(has_ref, ref).alias("cue_ref"), F.when(has_box, box).alias("cue_bbox"), F.concat(F.when(F.col("disposition") == "fallback", F.concat(F.lit("OTHER "), token)).otherwise(label), F.lit(" CLOSE "), token).alias("ocr_text"),
-        "disposition", F.when(act, "click").alias("tool"), F.when(act & has_ref, ref).alias("ref"), F.when(act & has_box, box).alias("bbox"), F.when(F.col("disposition") == "reject", "stale_ref").when(F.col("disposition") == "fallback", "insufficient_grounding").alias("reason"),
+def training_grid(seeds: DataFrame, modes: dict[str, tuple[bool, bool]], sentences: dict[str, str], answers: dict[str, str | None], tool: str = "click") -> DataFrame:
+    """Every seed in every mode with every disposition: what is shown, and what is to be answered.
+
+    ``seeds``: number, label, bbox (array of four integers).  ``modes``: by name, whether a mode shows the reference and whether it shows
+    the box.  ``sentences``: by disposition, the instruction with ``{label}``; ``answers``: by disposition, the reason to give, or null for
+    the one that acts.  Both are specification lists; the grid is an explode of theirs, so nothing is joined.
+    """
+    cells = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(ref).alias("has_ref"), F.lit(box).alias("has_box"), F.lit(d).alias("disposition"), F.lit(sentences[d]).alias("sentence"), F.lit(answers[d]).cast("string").alias("reason")) for m, (ref, box) in modes.items() for d in sentences))
+    rows = seeds.select("number", "label", "bbox", F.explode(cells).alias("cell"))
+    acts = F.col("cell.reason").isNull()
+    ref = F.concat(F.lit("ref-"), F.col("number").cast("string"))
+    shown = lambda there, x: F.when(F.col(there), x)
+    return rows.select(
+        F.concat_ws("-", F.col("number").cast("string"), "cell.mode", "cell.disposition").alias("case_id"), F.col("number").alias("family"), F.col("cell.mode").alias("observation_mode"), "cell.disposition",
+        F.replace("cell.sentence", F.lit("{label}"), "label").alias("instruction"), shown("cell.has_ref", ref).alias("cue_ref"), shown("cell.has_box", F.col("bbox")).alias("cue_bbox"),
+        F.when(acts, tool).alias("tool"), F.when(acts, shown("cell.has_ref", ref)).alias("ref"), F.when(acts, shown("cell.has_box", F.col("bbox"))).alias("bbox"), "cell.reason",
     )
 
 
-def hard_negatives(categories: DataFrame, families: int, train_families: int, base: dict[str, str]) -> DataFrame:
-    """Every category x family x variant, the category's overrides over a base observation.
+def hard_negatives(scenes: DataFrame, categories: DataFrame, base: DataFrame, sentence: str) -> DataFrame:
+    """For every scene of a category a clean record and a hard negative that differ in the candidate alone.
+
+    ``scenes``: category_id, scene_id, split.  ``categories``: category_id, overrides (map of the fields that the category changes), clean and
+    negative (structs of disposition, tool and target; a null target names none).  ``base``: one row with the map ``observation`` that
+    every scene starts from.  ``sentence``: the instruction with ``{category}`` and ``{scene}``.
+    """
+    told = scenes.join(categories, "category_id").crossJoin(F.broadcast(base))  # base is one row
+    kept = F.map_filter("observation", lambda field, _: ~F.map_contains_key("overrides", field))
+    variants = F.array(*(F.struct(F.lit(name).alias("variant"), F.col(candidate).alias("candidate"), F.lit(verdict).alias("verdict")) for name, candidate, verdict in (("clean", "clean", "accept"), ("hard_negative", "negative", "reject"))))
+    rows = told.select("category_id", "scene_id", "split", F.map_concat(kept, "overrides").alias("observation"), F.inline(variants))
+    instruction = F.replace(F.replace(F.lit(sentence), F.lit("{category}"), "category_id"), F.lit("{scene}"), "scene_id")
+    target = F.when(F.col("candidate.target").isNotNull(), F.concat("scene_id", F.lit("/"), "candidate.target"))
+    return rows.select("category_id", "scene_id", "split", "variant", instruction.alias("instruction"), "observation", "candidate.disposition", "candidate.tool", target.alias("target_ref"), "verdict", F.when(F.col("verdict") == "accept", "sound").otherwise(F.col("category_id")).alias("reason_code"))
+
+
+def seeded_order(records: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """E33 for groups of any size: the place (from 0 on) of each record of a group in an order that the seed shuffles.
 
-    ``categories``: number (from 0 on), category_id, overrides (map), clean and negative (struct of disposition, tool, target, rationale), evidence_refs.
+    Records stand by the SHA-256 of seed and key.  Places are counted by the digest's first byte before they are within
+    one, so no window holds more than about a 256th of a group.
     """
-    observation = F.map_concat(F.map_filter(F.create_map(*(F.lit(x) for pair in base.items() for x in pair)), lambda k, _: ~F.map_contains_key("overrides", k)), "overrides")
-    grid = categories.withColumns({"ordinal": F.explode(F.sequence(F.lit(1), F.lit(families))), "observation": observation})
-    split = F.when(F.col("ordinal") <= train_families, "train").otherwise("validation")
-    scene = F.format_string("scene-%02d-%02d", F.col("number") + 1, "ordinal")
-    made = grid.withColumns({"split": split, "scene_id": scene}).withColumn("instruction", F.format_string("Review synthetic %s scene %d in the %s split and choose only the evidence-supported safe candidate.", "category_id", "ordinal", "split"))
-    pair = F.array(F.struct(F.lit("clean").alias("variant"), F.col("clean").alias("candidate"), F.lit("accept").alias("verdict"), F.lit("contract_satisfied").alias("reason_code")), F.struct(F.lit("hard_negative").alias("variant"), F.col("negative").alias("candidate"), F.lit("reject").alias("verdict"), F.col("category_id").alias("reason_code")))
-    rows = made.select("category_id", "scene_id", "split", "instruction", "observation", "evidence_refs", F.inline(pair))
-    target = F.when(F.col("candidate.target").isNotNull(), F.concat("scene_id", F.lit("-"), F.col("candidate.target")))
-    return rows.select("category_id", "scene_id", "split", "variant", "instruction", "observation", "evidence_refs", F.col("candidate.disposition").alias("disposition"), F.col("candidate.tool").alias("tool"), target.alias("target_ref"), F.col("candidate.rationale").alias("rationale"), "verdict", "reason_code")
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    rows = records.select(group, key, digest.alias("__digest")).withColumn("__head", F.substring("__digest", 1, 2))
+    before = Window.partitionBy(group).orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(group, "__head").agg(F.count("*").alias("__n")).select(F.col(group).alias("__group"), F.col("__head").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(group, "__head").orderBy("__digest", key)) - 1
+    placed = rows.withColumn("__own", own).join(heads, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__head") == F.col("__of")))
+    return placed.select(group, key, (F.col("__before") + F.col("__own")).alias("place"))
 
 
 def render_chat(turns: DataFrame, key: str, order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

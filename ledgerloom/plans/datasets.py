@@ -59,45 +59,45 @@ def fixture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("example_id", "split", "category", "instruction", F.col("arguments")["query"].alias("query"), F.col("arguments")["reason_code"].alias("reason_code"))
 
 
+MODES = {"tree": (True, False), "picture": (False, True), "both": (True, True)}
+SENTENCES = {"press": "Press the {label}.", "refuse": "Press the {label} that was there before.", "ask": "Press the {label} or the like."}
+ANSWERS = {"press": None, "refuse": "gone", "ask": "unclear"}
+
+
 @query("""
-with g as (select i + 1 as n, i // 9 + 1 as repeat, ['uia_only', 'screenshot_only', 'fused'][(i // 3 % 3 + 1)::int] as mode, ['act', 'reject', 'fallback'][(i % 3 + 1)::int] as d, 't' || lpad((i + 1)::varchar, 2, '0') as t, 34 + (i + 1) * 29 % 170 as x, 72 + (i + 1) * 37 % 190 as y from range(18) r(i))
-select 'pt-train-' || lpad(n::varchar, 3, '0') as case_id, 'pt-train-family-' || lpad(n::varchar, 3, '0') as family_id, mode as observation_mode, repeat::bigint as training_repeat_group,
-  case d when 'act' then 'Activate the reviewed synthetic OPEN ' || t || ' control.' when 'reject' then 'Activate the expired synthetic OPEN ' || t || ' reference.' else 'Activate the absent synthetic OPEN ' || t || ' control.' end as instruction,
-  case when mode <> 'screenshot_only' then 'ref-open-' || t end as cue_ref, case when mode <> 'uia_only' then [x, y, x + 132, y + 62] end as cue_bbox, case when d = 'fallback' then 'OTHER ' else 'OPEN ' end || t || ' CLOSE ' || t as ocr_text,
-  d as disposition, case when d = 'act' then 'click' end as tool, case when d = 'act' and mode <> 'screenshot_only' then 'ref-open-' || t end as ref, case when d = 'act' and mode <> 'uia_only' then [x, y, x + 132, y + 62] end as bbox, case d when 'reject' then 'stale_ref' when 'fallback' then 'insufficient_grounding' end as reason from g""")
+with s as (select p_partkey as number, p_name as label, [p_size::bigint, p_partkey % 40, p_size + 30, p_partkey % 40 + 12] as box from part),
+g as (select * from s, (values ('tree', true, false), ('picture', false, true), ('both', true, true)) m(mode, has_ref, has_box), (values ('press', 'Press the ', '.', null), ('refuse', 'Press the ', ' that was there before.', 'gone'), ('ask', 'Press the ', ' or the like.', 'unclear')) d(disposition, a, b, reason))
+select number || '-' || mode || '-' || disposition as case_id, number as family, mode as observation_mode, disposition, a || label || b as instruction, case when has_ref then 'ref-' || number end as cue_ref, case when has_box then box end as cue_bbox,
+  case when reason is null then 'click' end as tool, case when reason is null and has_ref then 'ref-' || number end as ref, case when reason is null and has_box then box end as bbox, reason from g""")
 def training_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two repeats of three modes and three dispositions."""
-    return generate.training_grid(spark, "train", 2)
-
-
-#: category, overridden field and value, clean and negative candidate (disposition, tool, target, rationale), evidence.
-HARD = [
-    ("wrong_control_grounding", None, None, ("act", "click", "primary", "target_grounded_primary"), ("act", "click", "decoy", "targeted_plausible_decoy"), "primary_control"),
-    ("observation_conflict", "visual_state", "primary_disabled", ("reject", None, None, "modalities_conflict"), ("act", "click", "primary", "trusted_one_modality"), "visual_state"),
-    ("ignored_post_state", "post_state", "already_completed", ("reject", None, None, "post_state_already_complete"), ("act", "click", "primary", "ignored_completed_post_state"), "post_state"),
-    ("duplicate_side_effect", "prior_side_effect_count", "1", ("reject", None, None, "side_effect_already_recorded"), ("act", "click", "primary", "repeat_side_effect"), "prior_side_effect_count"),
-    ("approval_bypass", "approval", "required_not_granted", ("request_approval", None, "primary", "approval_required"), ("act", "click", "primary", "act_without_approval"), "approval"),
-    ("tool_failure_false_success", "tool_result", "failed", ("fallback", None, None, "tool_failure_observed"), ("success", None, "primary", "claimed_success_after_failure"), "tool_result"),
-    ("plausible_without_evidence", "claim_evidence", "none", ("fallback", None, None, "evidence_missing"), ("success", None, "primary", "plausible_unverified_success"), "claim_evidence"),
-]
-BASE = {"structured_state": "primary_enabled", "visual_state": "primary_enabled", "post_state": "not_started", "prior_side_effect_count": "0", "approval": "not_required", "tool_result": "not_called", "claim_evidence": "image"}
-_null = lambda x: "null" if x is None else f"'{x}'"
+    """Every part as a control, in three modes and with three dispositions."""
+    size, place = F.col("p_size").cast("long"), F.col("p_partkey") % 40
+    seeds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("label"), F.array(size, place, size + 30, place + 12).alias("bbox"))
+    return generate.training_grid(seeds, MODES, SENTENCES, ANSWERS)
 
 
-@query(f"""
-with c(number, category_id, field, value, clean, negative, evidence) as (values {", ".join(f"({k}, '{c}', {_null(f)}, {_null(v)}, [{', '.join(map(_null, a))}], [{', '.join(map(_null, b))}], '{e}')" for k, (c, f, v, a, b, e) in enumerate(HARD))}),
-g as (select *, 'scene-' || lpad((number + 1)::varchar, 2, '0') || '-' || lpad(o::varchar, 2, '0') as scene_id, case when o <= 3 then 'train' else 'validation' end as split, unnest(['clean', 'hard_negative']) as variant from c, range(1, 5) r(o)),
-h as (select *, case variant when 'clean' then clean else negative end as k from g)
-select category_id, scene_id, split, variant, 'Review synthetic ' || category_id || ' scene ' || o || ' in the ' || split || ' split and choose only the evidence-supported safe candidate.' as instruction, k[1] as disposition, k[2] as tool, scene_id || '-' || k[3] as target_ref, k[4] as rationale,
-  case variant when 'clean' then 'accept' else 'reject' end as verdict, case variant when 'clean' then 'contract_satisfied' else category_id end as reason_code, [evidence] as evidence_refs,
-  {", ".join(f"case when field = '{f}' then value else '{v}' end as {f}" for f, v in BASE.items())} from h""")
+@query("""
+with base as (select map_from_entries(list((r_name, 'calm') order by r_name)) as observation from region),
+c as (select n_nationkey, n_name as category, r_name as field, 'busy-' || n_nationkey as value, n_nationkey % 4 <> 0 as changes, n_nationkey % 3 = 0 as acts from nation join region on n_regionkey = r_regionkey),
+s as (select 'scene-' || s_suppkey as scene, s_nationkey, case when s_acctbal < 2000 then 'validation' else 'train' end as split from supplier),
+g as (select *, unnest(['clean', 'hard_negative']) as variant from s join c on s_nationkey = n_nationkey, base)
+select category as category_id, scene as scene_id, split, variant, 'In ' || scene || ', judge what ' || category || ' shows.' as instruction,
+  list_transform(list_sort(map_keys(observation)), lambda f: f || '=' || case when changes and f = field then value else 'calm' end) as observation,
+  case when variant = 'hard_negative' or acts then 'act' else 'wait' end as disposition, case when variant = 'hard_negative' or acts then 'press' end as tool,
+  case when variant = 'hard_negative' then scene || '/other' when acts then scene || '/own' end as target_ref, case when variant = 'clean' then 'accept' else 'reject' end as verdict, case when variant = 'clean' then 'sound' else category end as reason_code from g""")
 def hard_negative_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven categories, four families, two variants: 56 records with the overrides of their category."""
-    candidate = "struct<disposition:string, tool:string, target:string, rationale:string>"
-    rows = [(k, c, {f: v} if f else {}, a, b, [e]) for k, (c, f, v, a, b, e) in enumerate(HARD)]
-    categories = spark.createDataFrame(rows, f"number int, category_id string, overrides map<string,string>, clean {candidate}, negative {candidate}, evidence_refs array<string>")
-    made = generate.hard_negatives(categories, 4, 3, BASE)
-    return made.select(*(x for x in made.columns if x != "observation"), *(F.col("observation")[f].alias(f) for f in BASE))
+    """Suppliers as scenes of their nation's category, each with a clean record and a hard negative."""
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    base = regions.agg(F.map_from_entries(F.collect_list(F.struct("r_name", F.lit("calm")))).alias("observation"))
+    n = F.col("n_nationkey")
+    candidate = lambda acts, target: F.struct(F.when(acts, "act").otherwise("wait").alias("disposition"), F.when(acts, "press").alias("tool"), F.when(acts, target).alias("target"))
+    changes = F.when(n % 4 != 0, F.create_map("r_name", F.concat(F.lit("busy-"), n.cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    categories = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(F.col("n_name").alias("category_id"), n.alias("number"), changes.alias("overrides"), candidate(n % 3 == 0, "own").alias("clean"), candidate(F.lit(True), "other").alias("negative"))
+    suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == n)
+    scenes = suppliers.select(F.col("n_name").alias("category_id"), F.concat(F.lit("scene-"), F.col("s_suppkey").cast("string")).alias("scene_id"), F.when(F.col("s_acctbal") < 2000, "validation").otherwise("train").alias("split"))
+    made = generate.hard_negatives(scenes, categories.drop("number"), base, "In {scene}, judge what {category} shows.")
+    fields = F.array_sort(F.transform(F.map_entries("observation"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return made.withColumn("observation", fields)
 
 
 IDS_SQL = """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, identity
 from ..functions.text import partition_label
-from ..operators import diverge, documents, rules
+from ..operators import diverge, documents, generate, rules
 from ..sources import files, sinks
 from ..sources.scratch import shared_folder
 from .registry import query, table
@@ -106,14 +106,28 @@ def archive_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.archive_issues(records, total, ["run_id", "semantic_key"])
 
 
-@query("select 't' || vec_id as tensor_id, 64::bigint as elements, true as aligned, true as whole, true as finite from embeddings where vec_id < 50")
+#: Vectors of one archive file.
+PER_ARCHIVE = 1000
+
+
+@F.pandas_udf("binary")
+def float_bytes(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: struct.pack(f"<{len(v)}f", *v))
+
+
+@query("select 't' || vec_id as tensor_id, 64::bigint as elements, true as aligned, true as whole, true as finite, true as same_raw, true as same_canonical, true as same_bound from embeddings")
 def tensor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty vectors as one archive (a file of its own kind, so its size is the example's), its records read by range."""
-    chosen = table(spark, sf_dir, "embeddings").where("vec_id < 50").select("vec_id", "embedding")
-    packed = chosen.groupBy(F.lit(0).alias("one")).applyInPandas(lambda f: pd.DataFrame({"name": ["all.bin"], "content": [b"".join(struct.pack(f"<{len(v)}f", *v) for v in f.sort_values("vec_id")["embedding"])]}), "name string, content binary")
+    """All vectors in archives of a thousand, read by range; the three digests against those of the vectors in the table."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / PER_ARCHIVE).alias("file"), float_bytes("embedding").alias("raw"))
+    parts = F.array_sort(F.collect_list(F.struct("vec_id", F.hex("raw").alias("h"))))
+    packed = e.groupBy("file").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("content")).select(F.concat(F.lit("part-"), F.col("file").cast("string"), F.lit(".bin")).alias("name"), "content")
     folder = written(spark, packed, "archive")
-    records = chosen.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("tensor_id"), (F.col("vec_id") * 256).alias("byte_offset"), F.lit(256).cast("long").alias("byte_length"))
-    return files.tensor_records(spark, f"{folder}/all.bin", records).select("tensor_id", "elements", "aligned", "whole", "finite")
+    at, size = (F.col("vec_id") % PER_ARCHIVE) * 256, F.lit(256).cast("long")
+    records = e.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("tensor_id"), at.alias("byte_offset"), size.alias("byte_length"), F.concat(F.lit(f"{folder}/part-"), F.col("file").cast("string"), F.lit(".bin")).alias("path"))
+    eight = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    own = e.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("tensor_id"), F.sha2("raw", 256).alias("__raw"), F.sha2(F.concat(eight(at), eight(size), F.unhex(F.sha2("raw", 256))), 256).alias("__bound"))
+    found = files.tensor_records(spark, None, records).join(own, "tensor_id")
+    return found.select("tensor_id", "elements", "aligned", "whole", "finite", (F.col("sha256") == F.col("__raw")).alias("same_raw"), (F.col("canonical_sha256") == F.col("__raw")).alias("same_canonical"), (F.col("bound_sha256") == F.col("__bound")).alias("same_bound"))
 
 
 @query("""select (row_number() over (order by n_nationkey) - 1)::bigint as place, '{"comment":' || case when n_nationkey % 5 = 0 then 'null' else to_json(n_name) end || ',"key":' || n_nationkey || '}' as line from nation""")
@@ -199,11 +213,10 @@ def chained_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chained_digest(rows, "conv_id", "turn", "role", "text")
 
 
-@query()
+@query("select source, doc_id, (row_number() over (partition by source order by sha256('20260101:' || doc_id), doc_id) - 1)::bigint as place from documents")
 def epoch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded orders of a source's records; a generator of Python's own, which no SQL has, so tests run it."""
-    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.least(F.count("*"), F.lit(100)).alias("n"))
-    return n.select("source", documents.epoch_order(F.col("n"), F.lit(20260101)).alias("order"))
+    """The place of every document in a seeded order of its source."""
+    return generate.seeded_order(table(spark, sf_dir, "documents"), "source", "doc_id", 20260101)
 
 
 @query("""

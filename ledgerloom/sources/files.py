@@ -124,27 +124,32 @@ def safetensors_issues(headers: DataFrame, required: list[str] | None = None) ->
     return found.unionByName(names.withColumn("issue", F.lit("MISSING_TENSOR")))
 
 
-def tensor_records(spark: SparkSession, file: str, records: DataFrame) -> DataFrame:
+def tensor_records(spark: SparkSession, file: str | None, records: DataFrame) -> DataFrame:
     """Each record (tensor_id, byte_offset, byte_length) of a flat float32 archive, read by range.
 
+    Without ``file`` the records name theirs in a column ``path``, and those of one archive are read together.
+
     raw, canonical (with 0.0 for -0.0) and bound digest (offset and length in eight bytes, then the raw one), alignment, finiteness, elements.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, place = opened(file)
-        with files.open_input_file(place) as f:
-            for frame in frames:
+        for frame in frames:
+            for path, own in frame.groupby("path", sort=False):
+                files, place = opened(path)
                 rows = []
-                for key, at, n in zip(frame["tensor_id"], frame["byte_offset"].astype(int), frame["byte_length"].astype(int), strict=True):
-                    f.seek(at)
-                    raw = f.read(n)
-                    whole, aligned = len(raw) == n, at % 4 == 0 and n % 4 == 0
-                    values = np.frombuffer(raw, "<f4") if whole and aligned else np.zeros(0, "<f4")
-                    bound = hashlib.sha256(struct.pack(">QQ", at, n) + hashlib.sha256(raw).digest()).hexdigest()
-                    rows.append((key, at, n, hashlib.sha256(raw).hexdigest(), hashlib.sha256((values + np.float32(0)).tobytes()).hexdigest(), bound, aligned, whole, bool(np.isfinite(values).all()), len(values)))
+                with files.open_input_file(place) as f:
+                    for key, at, n in zip(own["tensor_id"], own["byte_offset"].astype(int), own["byte_length"].astype(int), strict=True):
+                        f.seek(at)
+                        raw = f.read(n)
+                        whole, aligned = len(raw) == n, at % 4 == 0 and n % 4 == 0
+                        values = np.frombuffer(raw, "<f4") if whole and aligned else np.zeros(0, "<f4")
+                        bound = hashlib.sha256(struct.pack(">QQ", at, n) + hashlib.sha256(raw).digest()).hexdigest()
+                        rows.append((key, at, n, hashlib.sha256(raw).hexdigest(), hashlib.sha256((values + np.float32(0)).tobytes()).hexdigest(), bound, aligned, whole, bool(np.isfinite(values).all()), len(values)))
                 yield pd.DataFrame(rows, columns=["tensor_id", "byte_offset", "byte_length", "sha256", "canonical_sha256", "bound_sha256", "aligned", "whole", "finite", "elements"])
 
-    chosen = records.select(F.col("tensor_id").cast("string").alias("tensor_id"), F.col("byte_offset").cast("long").alias("byte_offset"), F.col("byte_length").cast("long").alias("byte_length"))
+    chosen = records.select(F.col("tensor_id").cast("string").alias("tensor_id"), F.col("byte_offset").cast("long").alias("byte_offset"), F.col("byte_length").cast("long").alias("byte_length"), F.lit(file).alias("path") if file is not None else F.col("path"))
+    if file is None:
+        chosen = chosen.repartition("path").sortWithinPartitions("path", "byte_offset")
     return chosen.mapInPandas(run, "tensor_id string, byte_offset long, byte_length long, sha256 string, canonical_sha256 string, bound_sha256 string, aligned boolean, whole boolean, finite boolean, elements long")
 
 
