@@ -27,6 +27,9 @@ Merging is aggregates with partial sums (no task sees a host's pages together).
 removed comes as 64-bit digests of (host, path) or (host, path, text); they are broadcast up to
 ``BROADCAST_DIGESTS`` of them, beyond that each page's own digests are joined with them.
 
+A named part that is inline and stands in a sentence of its block (``a <span class="comment">comment</span>
+on``) is text like any other.
+
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by ``\n``; whole texts of any length and elements of any depth are read.  Null
 and empty pages, and pages without main text, give an empty string; an empty table gives no rows.
@@ -63,11 +66,14 @@ K = 1.0
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|object)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>script|style|textarea|title)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>{_ATTRIBUTES})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+#: Elements that are no text up to their end tag; one that closes itself or has no end tag is its start tag alone.
+UNREAD = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("noscript", "template", "iframe", "svg", "select", "object")}
+NEXT_TEXT = re.compile(r"\s*[^<\s]")
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s"'>/=]+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))""")
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,7 +182,23 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, int]]]:
         held.extend(element.outer)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    endless: set[str] = set()
+
+    def end_of(tag: str, pattern: re.Pattern) -> int | None:
+        """Where the next end tag ends; a tag that has none from here on isn't looked for again."""
+        found = None if tag in endless else pattern.search(page, at)
+        if found is None:
+            endless.add(tag)
+        return None if found is None else found.end()
+
+    def in_a_sentence(tag: str) -> bool:
+        """Whether text of its own block stands before the inline part that begins here, or right behind it."""
+        if any(not t.isspace() for t, _ in held):
+            return True
+        end = end_of(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE))
+        return end is not None and NEXT_TEXT.match(page, end) is not None
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             held.append((page[at : m.start()], not opened["a"]))
         at = m.end()
@@ -184,6 +206,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, int]]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in UNREAD and not m["close"]:
+            closed = m["attributes"].endswith("/")
+            at = at if closed else end_of(tag, UNREAD[tag]) or at
+            continue
         if m["close"]:
             if tag not in INLINE:
                 flush()
@@ -210,6 +236,8 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, int]]]:
             continue
         top, around = open_blocks[-1], []
         state, label = _state(tag, m["attributes"], top.state)
+        if tag in INLINE and state != top.state and in_a_sentence(tag):
+            state = top.state  # a word of a sentence, whatever it is named
         opened[tag] += 1
         if tag in INLINE:
             if state == top.state:

@@ -478,6 +478,18 @@ def test_html_markup_and_article_text_stay_apart():
     assert text(deep) == "deep"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>a <svg width=1/> b</p><p>c</p></article>", "a b\nc"), ("<title>T</title><p>a</p>", "a"), ("<p>a<object/>b<select>x", "abx"), ("<svg><title>n</title></svg>q<iframe src=x></iframe>r", "qr"), ("<svg>" * 3 + "a<svg/>b", "ab"),
+    ('<p>He wrote <span class="comment">a comment</span> today</p>', "He wrote a comment today"), ('<p><span class="comment">Comment</span> on it', "Comment on it"), ('<div><span class="ad">Buy</span></div><p>x', "x"), ('<p>a</p><p><b class="advert">Buy', "a"),
+])
+def test_html_of_loose_pages(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_tags_without_an_end_cost_no_time():
+    assert html_extraction.main_text("<svg>" * 100_000 + "a") == "a"
+
+
 def test_many_removed_keys_are_joined(spark):
     rng = random.Random(6)
     rows = [(i, f"http://h{i % 3}/x", f"<body><div class='g{i % 7}'>Menu {i % 7}</div><p>{rng.random()}</p><p>Shared</p></body>") for i in range(90)] + [(90, None, None), (91, "http://h1/x", "")]
