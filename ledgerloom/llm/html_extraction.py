@@ -28,7 +28,7 @@ removed comes as 64-bit digests of (host, path) or (host, path, text); they are
 ``BROADCAST_DIGESTS`` of them, beyond that each page's own digests are joined with them.
 
 A named part that is inline and stands in a sentence of its block (``a <span class="comment">comment</span>
-on``) is text like any other.
+on``) is text like any other, unless it is named an advert.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by ``\n``; whole texts of any length and elements of any depth are read.  Null
@@ -84,6 +84,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 CLOSES_SAME = frozenset("li dt dd tr td th option".split())
 #: Names (in class, id or role) of what an article doesn't hold; names that only hint at it; and what may stand beside either.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo complementary masthead comment comments discussion disqus reply replies newsletter subscribe signup login".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
 HINTS = frozenset("header banner promo promotion share sharing social related recommended search widget pagination pager toolbar skip".split())
 BESIDE = frozenset("area bar block bottom box container group item items left link links list main panel right section site slot the top unit wrap wrapper".split())
 WORDS = re.compile(r"[a-z]+|[0-9]+")
@@ -137,6 +138,10 @@ def _state(tag: str, attributes: str, parent: int) -> tuple[int, str]:
     return (HINTED if hint and tag not in ("html", "body") else parent), label
 
 
+def _is_advert(attributes: str) -> bool:
+    return any(w in ADVERTS for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") for w in WORDS.findall((a or b or c).lower()))
+
+
 class Element:
     """A block element: its place in the style tree, the labels of its children, and its own texts."""
 
@@ -236,7 +241,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, int]]]:
             continue
         top, around = open_blocks[-1], []
         state, label = _state(tag, m["attributes"], top.state)
-        if tag in INLINE and state != top.state and in_a_sentence(tag):
+        if tag in INLINE and state != top.state and not _is_advert(m["attributes"]) and in_a_sentence(tag):
             state = top.state  # a word of a sentence, whatever it is named
         opened[tag] += 1
         if tag in INLINE:
