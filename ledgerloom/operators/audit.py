@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalized, token_set
+from ..sources.scratch import written_once
 
 
 def exact_duplicates(records: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -48,6 +49,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 
 #: Tokens and item numbers of the smaller side are sent to the tasks up to this many (about 100 MB); beyond, both sides are joined.
 MOST_SENT = 2_000_000
+#: Postings of the smaller side that a task holds at a time (one token's list at least).
+MOST_POSTINGS = 1 << 22
 
 
 def similarity_summary(left: DataFrame, right: DataFrame, right_key: str, thresholds: list[float], text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
@@ -81,9 +84,18 @@ def similarity_summary(left: DataFrame, right: DataFrame, right_key: str, thresh
                 place = pc.index_in(lists.flatten(), vocabulary).to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(len(n)), n)[~np.isnan(place)]
                 place = place[~np.isnan(place)].astype(np.int64)
-                many = begin[place + 1] - begin[place]
-                cell = np.repeat(doc, many) * len(sizes) + posting[np.repeat(begin[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-                shared = np.bincount(cell, minlength=len(n) * len(sizes)).reshape(len(n), len(sizes)) if len(sizes) else np.zeros((len(n), 0))
+                shared = np.zeros(len(n) * len(sizes), dtype=np.int64)
+                before = np.concatenate([[0], np.cumsum(begin[place + 1] - begin[place])])
+                low = 0
+                while low < len(place):  # so many postings at a time, whatever the documents hold
+                    high = max(low + 1, int(np.searchsorted(before, before[low] + MOST_POSTINGS, "right")) - 1)
+                    some = place[low:high]
+                    many = begin[some + 1] - begin[some]
+                    cell = np.repeat(doc[low:high], many) * len(sizes) + posting[np.repeat(begin[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                    found = np.bincount(cell)
+                    shared[: len(found)] += found
+                    low = high
+                shared = shared.reshape(len(n), len(sizes))
                 union = n[:, None] + sizes[None] - shared
                 both_empty = union == 0
                 jaccard = np.where(both_empty, 1.0, shared / np.maximum(union, 1))
@@ -113,7 +125,9 @@ def pairs_above(records: DataFrame, key: str, split: str, threshold: float, text
     """
     base = records.select(key, split, token_set(F.col(text)).alias("t")).where(F.size("t") > 0)
     base = base.select(key, split, F.unhex(F.sha2(F.array_join(F.array_sort("t"), " "), 256)).alias("set"), F.array_sort(F.transform("t", lambda x: F.xxhash64(x))).alias("t"))
-    classes = base.groupBy("set").agg(F.any_value("t").alias("t")).withColumn("n", F.size("t"))
+    # the texts are read twice, for the classes and for their members; all else reads these tables
+    classes = written_once(base.groupBy("set").agg(F.any_value("t").alias("t")).withColumn("n", F.size("t")), "token-sets")
+    belonging = written_once(base.select("set", key, split), "set-members")
     rarity = classes.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = classes.select("set", "n", F.explode("t").alias("token")).join(rarity, "token")
     ordered = ranked.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered"))
@@ -128,7 +142,7 @@ def pairs_above(records: DataFrame, key: str, split: str, threshold: float, text
     linked = with_b.withColumn("jaccard", jaccard(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).where(F.col("jaccard") > threshold).select("a", "b", "jaccard")
     alike = classes.select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("jaccard")).where(F.lit(1.0) > threshold)
     both_ways = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(alike)
-    members = lambda x: base.select(F.col("set").alias(x), F.col(key).alias(f"key_{x}"), F.col(split).alias(f"split_{x}"))
+    members = lambda x: belonging.select(F.col("set").alias(x), F.col(key).alias(f"key_{x}"), F.col(split).alias(f"split_{x}"))
     found = both_ways.join(members("a"), "a").join(members("b"), "b").where(F.col("split_a") < F.col("split_b"))
     return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "split_a", "split_b", "jaccard")
 

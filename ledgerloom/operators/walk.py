@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..sources.scratch import shared_folder
+from ..sources.scratch import written_once
 from .contracts import document, parse_code
 
 #: Levels that one plan takes apart; the rows of deeper documents are written in between, so that no plan grows with its data.
@@ -54,9 +54,7 @@ def deepest(df: DataFrame, *raws: Column) -> int:
 def _descended(rows: DataFrame, step: Callable[[DataFrame], DataFrame], levels: int) -> DataFrame:
     for level in range(levels):
         if level and level % LEVELS == 0:
-            path = shared_folder(rows.sparkSession, "walk")
-            rows.write.parquet(path)
-            rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+            rows = written_once(rows, "walk")
         rows = step(rows)
     return rows
 
