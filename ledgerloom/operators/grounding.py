@@ -1,7 +1,7 @@
 """Grounding cases and predictions: contracts and exact scores.
 
 A case is one JSON text a row, of a suite and with its place in it.  Suites that are read as files are
-short by contract (``MOST_CASES``, checked by :mod:`..sources.suites`); scores hold for suites of any size.
+short by contract (``MOST_CASES``, ``plans`` and :func:`suite_violations` hold them to it); scores hold for suites of any size.
 """
 
 from __future__ import annotations
@@ -171,12 +171,15 @@ def case_rules(case: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
     ]
 
 
-def prediction_rules(record: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
-    """C17: an action has grounding and no reason, an end has a reason and nothing else."""
+def prediction_rules(record: Column, scope: c.Scope, place: str = "$", expected: Column | None = None) -> list[Rule]:
+    """C17: an action has grounding and no reason, an end has a reason and nothing else.
+
+    ``expected``: the id of the case that the record's place in its file belongs to; without it, any will do.
+    """
     get = lambda f: c.at(record, f)
     act = c.text_at(record, "disposition") == "act"
     return [
-        *_object(record, PREDICTION_FIELDS, place), *_identifier(get("case_id"), f"{place}.case_id"), *_enum(get("disposition"), DISPOSITIONS, f"{place}.disposition"),
+        *_object(record, PREDICTION_FIELDS, place), *_identifier(get("case_id"), f"{place}.case_id"), *([] if expected is None else [("PREDICTION_ORDER_MISMATCH", f"{place}.case_id", c.text_at(record, "case_id") != expected)]), *_enum(get("disposition"), DISPOSITIONS, f"{place}.disposition"),
         *_where(act, [
             *_identifier(get("tool"), f"{place}.tool"), *_arguments(get("arguments"), f"{place}.arguments"), *_unless_null(get("ref"), _identifier(get("ref"), f"{place}.ref")), *_unless_null(get("bbox"), _box(get("bbox"), f"{place}.bbox")),
             ("MISSING_GROUNDING", place, c.is_null(get("ref")) & c.is_null(get("bbox"))), *_null(record, ("reason",), place),
@@ -185,6 +188,48 @@ def prediction_rules(record: Column, scope: c.Scope, place: str = "$") -> list[R
     ]
 
 
+#: Fixed values of the contract: the fields of a file of predictions and of its producer.
+PREDICTION_FILE_FIELDS, PRODUCER_FIELDS, PRODUCERS = ("suite_id", "producer", "records"), ("kind", "model_id", "model_revision"), ("synthetic_probe", "model")
+MOST_PREDICTION_BYTES = 1 << 20
+
+
+def producer_rules(producer: Column, place: str) -> list[Rule]:
+    """C17: a probe names no model, a model its id and revision."""
+    probe = c.text_at(producer, "kind") == "synthetic_probe"
+    named = lambda f: ("INVALID_STRING", f"{place}.{f}", ~c.is_text(c.at(producer, f)) | (F.length(c.text_at(producer, f)) > MOST_TEXT))
+    return [
+        *_object(producer, PRODUCER_FIELDS, place), *_enum(c.at(producer, "kind"), PRODUCERS, f"{place}.kind"),
+        *_where(probe, _null(producer, ("model_id", "model_revision"), place)), *_where(~probe, [named("model_id"), named("model_revision")]),
+    ]
+
+
+def prediction_file_violations(predictions: DataFrame, key: str, raw: str, suite_id: str, case_ids: str, version_field: str, version: int = 1) -> DataFrame:
+    """Code and location of the first rule that each file of predictions breaks; null where it is sound.
+
+    ``suite_id`` and ``case_ids`` (in order) are the columns of the suite that the file is held against.  A file is at most
+    ``MOST_PREDICTION_BYTES`` long; its records are judged as rows of their own, and the first of them by place counts.
+    """
+    root = "$predictions"
+
+    def head(doc: Column, scope: c.Scope) -> list[Rule]:
+        producer = scope.open(c.at(doc, "producer"))
+        records = scope.keep(c.items_at(doc, "records"))
+        return [
+            *_object(doc, (version_field, *PREDICTION_FILE_FIELDS), root), ("UNSUPPORTED_VERSION", f"{root}.{version_field}", ~c.is_exactly(c.at(doc, version_field), version)),
+            *_identifier(c.at(doc, "suite_id"), f"{root}.suite_id"), ("SUITE_BINDING_MISMATCH", f"{root}.suite_id", ~c.text_at(doc, "suite_id").eqNullSafe(F.col(suite_id))),
+            *producer_rules(producer, f"{root}.producer"), ("EXPECTED_ARRAY", f"{root}.records", ~c.is_list(c.at(doc, "records"))), ("PREDICTION_COUNT_MISMATCH", f"{root}.records", F.size(records) != F.size(case_ids)),
+        ]
+
+    heads = c.judged(predictions, [key], raw, root, head, (suite_id, case_ids), MOST_PREDICTION_BYTES)
+    cut = predictions.where(F.octet_length(raw) <= MOST_PREDICTION_BYTES).select(F.col(key).alias("__file"), F.col(case_ids).alias("__ids"), F.posexplode(c.items_at(c.opened(c.document(raw)), "records")).alias("__place", "__item"))
+    rows = cut.select("__file", "__place", F.col("__item.json").alias("__record"), F.get("__ids", F.col("__place")).alias("__expected"))
+    judged = c.judged(rows, ["__file", "__place"], "__record", "$", lambda doc, scope: prediction_rules(doc, scope, "$", F.col("__expected")), ("__expected",))
+    first = judged.where("code is not null").groupBy("__file").agg(F.min(F.struct("__place", "code", "location")).alias("__first"))
+    location = F.concat(F.lit(f"{root}.records["), F.col("__first.__place").cast("string"), F.lit("]"), F.substr("__first.location", F.lit(2)))
+    both = heads.join(first, heads[key] == first["__file"], "left")
+    return both.select(key, F.coalesce("code", "__first.code").alias("code"), F.when(F.col("code").isNotNull(), F.col("location")).otherwise(location).alias("location"))
+
+
 def document_violations(df: DataFrame, key: list[str], raw: str, rules, most_bytes: int = 2 << 20) -> DataFrame:
     """Code and location of the first rule that each document breaks: its size and text first."""
     return c.judged(df, key, raw, "$", rules, most_bytes=most_bytes)

@@ -97,22 +97,43 @@ def record_rules(record: Column, scope: c.Scope, place: str = "$") -> list[Rule]
     ]
 
 
+def _judged_records(records: DataFrame, keys: list[str], raw: str) -> DataFrame:
+    """``keys``, found (code and location of the first rule broken, or null) and example_id of each record."""
+    scope = c.Scope(F.col(raw))
+    doc = scope.keep(c.opened(F.col("__parsed")))
+    rules = first_broken(record_rules(doc, scope))
+    parts = scope.applied(records.select(*keys, raw, last_value_wins(F.col(raw)).alias("__last")).withColumn("__parsed", c.document("__last")))
+    found = F.when(F.col("__parsed").isNull(), F.struct(F.lit("MALFORMED_JSON").alias("code"), F.lit("$").alias("location"))).otherwise(rules)
+    return parts.select(*keys, found.alias("found"), c.text_at(doc, "example_id").alias("example_id"))
+
+
 def record_violations(records: DataFrame, key: str, raw: str) -> DataFrame:
     """Code and location of the first rule that each record breaks.
 
     Every ``example_id`` but the first by ``key`` is DUPLICATE_EXAMPLE_ID.  A key that a document has twice counts with its last value, as records are read without that check.
     """
-    scope = c.Scope(F.col(raw))
-    doc = scope.keep(c.opened(F.col("__parsed")))
-    rules = first_broken(record_rules(doc, scope))
-    parts = scope.applied(records.select(key, raw, last_value_wins(F.col(raw)).alias("__last")).withColumn("__parsed", c.document("__last")))
-    found = F.when(F.col("__parsed").isNull(), F.struct(F.lit("MALFORMED_JSON").alias("code"), F.lit("$").alias("location"))).otherwise(rules)
-    judged = parts.select(key, found.alias("found"), c.text_at(doc, "example_id").alias("example_id"))
+    judged = _judged_records(records, [key], raw)
     first = judged.groupBy("example_id").agg(F.min(key).alias("__first"))
     again = F.when(F.col(key) != F.col("__first"), F.struct(F.lit("DUPLICATE_EXAMPLE_ID").alias("code"), F.lit("$.example_id").alias("location")))
     return judged.join(first, "example_id", "left").select(key, F.coalesce("found", again).alias("found")).select(key, "found.code", "found.location")
 
 
+def fixture_violations(records: DataFrame, file: str = "path", place: str = "place", raw: str = "raw", code: str = "code") -> DataFrame:
+    """A4: code and location of the first offence of each fixture file, as :func:`..sources.files.array_records` reads them; null where it is sound.
+
+    A file that couldn't be read has its own code; of its records the first by place counts, and in it the rules come before a repeated example_id.
+    """
+    unread = records.where(F.col(code).isNotNull()).select(file, F.col(code).alias("code"), F.lit("$").alias("location"))
+    judged = _judged_records(records.where(F.col(code).isNull()), [file, place], raw)
+    first = judged.where(F.col("example_id").isNotNull()).groupBy(F.col(file).alias("__file"), F.col("example_id").alias("__id")).agg(F.min(place).alias("__first"))
+    same = (F.col(file) == F.col("__file")) & (F.col("example_id") == F.col("__id"))
+    again = F.when(F.col(place) > F.col("__first"), F.struct(F.lit("DUPLICATE_EXAMPLE_ID").alias("code"), F.lit("$.example_id").alias("location")))
+    told = judged.join(first, same, "left").select(file, place, F.coalesce("found", again).alias("found"))
+    worst = told.groupBy(file).agg(F.min(F.when(F.col("found").isNotNull(), F.struct(F.col(place).alias("at"), "found"))).alias("__worst"))
+    location = F.concat(F.lit("$["), F.col("__worst.at").cast("string"), F.lit("]"), F.substr("__worst.found.location", F.lit(2)))
+    return worst.select(file, F.col("__worst.found.code").alias("code"), location.alias("location")).unionByName(unread)
+
+
 def last_value_wins(raw: Column) -> Column:
     """The text of a document with repeated keys as a plain reader takes it; others as they are."""
 

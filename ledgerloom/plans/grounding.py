@@ -60,6 +60,35 @@ def prediction_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.document_violations(rows, ["o_orderkey"], "raw", grounding.prediction_rules)
 
 
+@query("""
+with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders),
+c as (select o_custkey, count(*) as n, min(o_totalprice) as least, min(o_orderpriority) as priority from orders group by o_custkey),
+r as (select o_custkey, i, case when o_totalprice > 400000 then 'PREDICTION_ORDER_MISMATCH' when o_orderstatus = 'P' then 'MISSING_GROUNDING' when o_orderstatus = 'O' and o_totalprice < 20000 then 'EXPECTED_STRING' end as code,
+  '$predictions.records[' || i || ']' || case when o_totalprice > 400000 then '.case_id' when o_orderstatus = 'P' then '' else '.reason' end as location from o),
+f as (select o_custkey, arg_min(code, i) as code, arg_min(location, i) as location from r join c using (o_custkey) where code is not null and i < case when n > 15 then n - 1 else n end group by o_custkey),
+h as (select o_custkey, case when least < 2000 then 'SUITE_BINDING_MISMATCH' when priority = '2-HIGH' then 'EXPECTED_NULL' when priority = '3-MEDIUM' then 'INVALID_STRING' when n > 15 then 'PREDICTION_COUNT_MISMATCH' end as code,
+  '$predictions.' || case when least < 2000 then 'suite_id' when priority = '2-HIGH' then 'producer.model_id' when priority = '3-MEDIUM' then 'producer.model_revision' else 'records' end as location from c)
+select h.o_custkey, coalesce(h.code, f.code) as code, case when h.code is not null then h.location else f.location end as location from h left join f on h.o_custkey = f.o_custkey""")
+def prediction_file_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the cases of a suite and a file of predictions: producer, count, order and shape of the records."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    name = lambda k: F.format_string("ground-%03d", k)
+    acts, none = F.col("o_orderstatus") != "O", F.lit(None).cast("string")
+    record = F.struct(
+        name(F.when(F.col("o_totalprice") > 400000, F.col("i") + 1).otherwise(F.col("i"))).alias("case_id"), F.when(acts, "act").otherwise("reject").alias("disposition"), F.when(acts, "click").alias("tool"), F.when(acts, F.struct(F.col("i").alias("count"))).alias("arguments"),
+        F.when(F.col("o_orderstatus") == "F", "r1").alias("ref"), F.lit(None).cast("array<int>").alias("bbox"), F.when(~acts & (F.col("o_totalprice") >= 20000), "stale_ref").alias("reason"),
+    )
+    files = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.min("o_orderpriority").alias("priority"), F.array_sort(F.collect_list(F.struct("i", record.alias("r")))).alias("rows"))
+    rows, urgent = F.transform("rows", lambda x: x["r"]), F.col("priority").isin("3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    producer = F.struct(F.when(urgent, "model").otherwise("synthetic_probe").alias("kind"), F.when(urgent | (F.col("priority") == "2-HIGH"), "m-1").otherwise(none).alias("model_id"), F.when(urgent & (F.col("priority") != "3-MEDIUM"), "r-1").otherwise(none).alias("model_revision"))
+    suite = F.concat(F.lit("s-"), F.col("o_custkey").cast("string"))
+    document = F.struct(F.lit(1).alias("prediction_version"), F.when(F.col("least") < 2000, "s-other").otherwise(suite).alias("suite_id"), producer.alias("producer"), F.slice(rows, F.lit(1), F.when(F.col("n") > 15, F.col("n") - 1).otherwise(F.col("n")).cast("int")).alias("records"))
+    given = files.select("o_custkey", F.to_json(document, {"ignoreNullFields": "false"}).alias("raw"), suite.alias("suite"), F.transform(F.sequence(F.lit(1).cast("long"), "n"), name).alias("cases"))
+    return grounding.prediction_file_violations(given, "o_custkey", "raw", "suite", "cases", "prediction_version")
+
+
 @query("""
 with c as (select o_custkey as suite, row_number() over (partition by o_custkey order by o_orderkey) as k, o_orderkey, ['uia_only', 'screenshot_only', 'fused'][(o_orderkey % 3 + 1)::int] as mode, ['ref_grounding', 'bbox_grounding', 'fused_grounding'][(o_orderkey // 3 % 3 + 1)::int] as capability,
   ['clean', 'missing', 'noisy'][(o_orderkey % 5 % 3 + 1)::int] as ocr, ['none', 'moved', 'occluded', 'stale_ref', 'coordinate_ref_disagreement'][(o_orderkey % 5 + 1)::int] as perturbation from orders),

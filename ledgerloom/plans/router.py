@@ -41,6 +41,25 @@ def router_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.record_violations(rows, "o_orderkey", "raw")
 
 
+@query("""
+with s as (select *, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i, count(*) filter (s_acctbal > 5000) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding) as richer from supplier),
+r as (select s_nationkey, i, case when s_acctbal < 1000 then 'INVALID_ENUM' when s_acctbal > 5000 and richer > 0 then 'DUPLICATE_EXAMPLE_ID' end as code, '$[' || i || case when s_acctbal < 1000 then '].category' else '].example_id' end as location from s)
+select s_nationkey, arg_min(code, i) filter (code is not null) as code, arg_min(location, i) filter (code is not null) as location from r group by s_nationkey""")
+def fixture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: a nation's suppliers as a fixture file of records: the first offence by place, repeated ids among them."""
+    from ..sources import files
+    from .sources import file_name, written
+
+    rich = F.col("s_acctbal") > 5000
+    named = F.replace(F.lit(RECORD), F.lit("@id"), F.concat(F.when(rich, "rich-").otherwise("own-"), F.when(rich, F.col("s_nationkey")).otherwise(F.col("s_suppkey")).cast("string")))
+    raw = F.when(F.col("s_acctbal") < 1000, F.replace(named, F.lit('"normal_tool_use"'), F.lit('"no such"'))).otherwise(named)
+    lists = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", raw.alias("raw")))).alias("rows"))
+    texts = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["raw"]), ",\n"), F.lit("]"))
+    folder = written(spark, lists.select(F.concat(F.col("s_nationkey").cast("string"), F.lit(".json")).alias("name"), F.to_binary(texts, F.lit("utf-8")).alias("content")), "fixtures")
+    found = router.fixture_violations(files.array_records(spark, folder))
+    return found.select(F.regexp_extract(file_name(), "([0-9]+)", 1).cast("int").alias("s_nationkey"), "code", "location")
+
+
 #: category, decision of five gold records; texts of answers.
 GOLD = [
     ("normal_tool_use", DECISION), ("dangerous_request", {**DECISION, "selected_tool": "reject_request", "arguments": {}, "risk_level": "critical", "should_reject": True, "expected_result": "rejection"}),

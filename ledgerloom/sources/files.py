@@ -82,6 +82,40 @@ def json_documents(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTE
     return listing(spark, folder).select("path").mapInPandas(run, "path string, text string, code string")
 
 
+#: A fixture file's size and records.
+MOST_FIXTURE_BYTES, MOST_RECORDS = 1 << 20, 1000
+
+
+def array_records(spark: SparkSession, folder: str, most_bytes: int = MOST_FIXTURE_BYTES, most_records: int = MOST_RECORDS) -> DataFrame:
+    """A4: path, place, raw of every record of the files that hold one JSON array each; a file that is none has one row, with its code.
+
+    UNSAFE_FIXTURE (no regular file of its own), FIXTURE_TOO_LARGE, MALFORMED_JSON, INVALID_FIXTURE_ROOT (no array, or
+    an empty one), TOO_MANY_RECORDS.  The last value of a repeated key counts.  A file is at most ``most_bytes``, so it is one row's work.
+    """
+    renamed = {"INPUT_TOO_LARGE": "FIXTURE_TOO_LARGE", "EMPTY_JSON": "MALFORMED_JSON"}
+
+    def records_of(path: str) -> tuple[list[str], str | None]:
+        data, code = read_once(path, most_bytes)
+        if code is not None:
+            return [], renamed.get(code, "UNSAFE_FIXTURE")
+        try:
+            value = json.loads(data.decode("utf-8"))
+        except (ValueError, RecursionError):
+            return [], "MALFORMED_JSON"
+        if not isinstance(value, list) or not value:
+            return [], "INVALID_FIXTURE_ROOT"
+        return ([], "TOO_MANY_RECORDS") if len(value) > most_records else ([json.dumps(x, ensure_ascii=False) for x in value], None)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                found, code = records_of(path)
+                rows = [(path, k, x, None) for k, x in enumerate(found)] or [(path, None, None, code)]
+                yield pd.DataFrame(rows, columns=["path", "place", "raw", "code"]).astype({"place": "Int64"})
+
+    return listing(spark, folder).select("path").mapInPandas(run, "path string, place long, raw string, code string")
+
+
 def safetensors_headers(spark: SparkSession, folder: str) -> DataFrame:
     """One row a tensor: path, name, dtype, shape, start, size, and where the file's data end; only headers are read.
 
