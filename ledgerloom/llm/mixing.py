@@ -14,10 +14,12 @@ those of its own size and salt.  There are about as many salts (doc_id modulo
 their number) as the square root of the rows, so even a group of a third of all rows is
 neither one long salt nor a long list of salts.  Where many rows have one id (or none), a salt
 can still be long: groups of more than ``HOT`` rows are ranked by id and by part of an id, the
-parts being runs of row numbers, as rows of one id and size may stand in any order.
+parts being runs of row numbers.  Either way rows stand by id and then by row number, so that
+bound changes how a place is worked out, and no place.
 
 Sizes count ``[^\x20\x09-\x0D]+`` in the text (null: 0).  A null source is a source, last
-in order.  Repeated rows are documents of their own; an empty table gives no rows.
+in order.  Repeated rows are documents of their own; an empty table gives no rows.  Texts of any
+length are counted whole, and extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
     large = F.broadcast(counts.where(F.col("n") > hot).select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("salt").alias("__salt")))  # at most rows / hot of them
     is_large = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("salt") == F.col("__salt"))
-    group = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), *kept, "__number")
+    group = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "__number")
     ranked = salted.join(large, is_large, "left_anti").withColumn("__own", F.row_number().over(group) - 1)
     ranked = ranked.unionByName(ranked_in_parts(salted.join(large, is_large, "left_semi"), hot)).drop("__number")
     placed = ranked.alias("d").join(lower.alias("l"), same(ranked, lower, ["source", "size", "salt"])).select("d.*", "lower")

@@ -12,10 +12,11 @@ so any zstandard decoder reads the ids of a whole shard, and :class:`ShardReader
 reads the seek table and decompresses only the frames of the requested documents.
 Ids are little-endian unsigned 16-bit integers if the vocabulary fits, else 32-bit.
 
-Documents are dealt by ``repartitionByRange(doc_id)``; each task writes its shard under
-a temporary name and renames it, so a repeated task leaves the same file.  Shard k holds
-smaller ids than shard k+1.  Null and empty texts hold the end id alone.  Null ids come
-first; rows with equal ids stand in the order of their texts.  Texts of any length are encoded
+Documents are dealt by ranges of doc_id, the text's first ``PREFIX`` characters, its hash and the
+row, so rows that share an id (or have none) needn't meet in one task; each task writes its
+shard under a temporary name and renames it, so a repeated task leaves the same file.  Shard k
+holds no greater ids than shard k+1.  Null and empty texts hold the end id alone.  Null ids come
+first; rows with equal ids stand in the order of those prefixes, then of the hashes.  Texts of any length are encoded
 whole; an empty table has no shards and gives no rows; extra columns are left alone.
 """
 
@@ -46,6 +47,8 @@ FRAME_BYTES = 256 << 10
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 MEMO_ENTRIES = 500_000
+#: Characters of a text that rows with equal ids are ordered by.
+PREFIX = 32
 
 
 # -- encoding ---------------------------------------------------------------------------
@@ -255,7 +258,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{final.rpartition('/')[2]}"], "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.counts)], **{name: pa.array([end_of(x for x in writer.ids if x is not None)], pa.int64()) for name, end_of in (("first_id", lambda ids: min(ids, default=None)), ("last_id", lambda ids: max(ids, default=None)))}})
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = rows.select("*", F.left("text", F.lit(PREFIX)).alias("__prefix"), F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__prefix").asc_nulls_first(), F.col("__hash"), F.col("__row")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -286,10 +291,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, ids of the wanted documents (column doc_id; null ones aren't found), as often as the files hold them; only their frames are decompressed.
 
-    Where each shard's ids begin is known from the manifest (16 bytes a shard), so a wanted id goes to the one
-    shard that can hold it; those of one shard are read together, in order, as they come.
+    Where each shard's ids begin and end is known from the manifest (16 bytes a shard), so a wanted id goes to the
+    shards that can hold it (one, but for an id that many rows share); those of one shard are read together, in order, as they come.
     """
-    known = manifest.where("first_id is not null").select("shard", "path", "first_id", "last_id").orderBy("first_id").toArrow()
+    known = manifest.where("first_id is not null").select("shard", "path", "first_id", "last_id").orderBy("shard").toArrow()
     firsts, lasts = (np.asarray(known.column(c).to_numpy()) for c in ("first_id", "last_id"))
     paths = known.column("path").to_pylist()
     sent = manifest.sparkSession.sparkContext.broadcast((firsts, lasts, paths))
@@ -298,9 +303,10 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
         firsts, lasts, _ = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.searchsorted(firsts, ids, "right") - 1
-            here = (at >= 0) & (ids <= lasts[np.maximum(at, 0)]) if len(firsts) else np.zeros(len(ids), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(at[here].astype(np.int64)), pa.array(ids[here])], names=["place", "doc_id"])
+            low, high = np.searchsorted(lasts, ids, "left"), np.searchsorted(firsts, ids, "right")
+            many = np.maximum(high - low, 0)
+            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(np.repeat(ids, many))], names=["place", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, held, source, reader = sent.value[2], -1, None, None

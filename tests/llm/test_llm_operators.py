@@ -96,6 +96,30 @@ def test_documents_are_read_by_id(spark, docs, none, tmp_path):
     assert token_files.read_documents(empty, wanted).count() == 0
 
 
+def test_rows_of_one_id_fill_many_shards(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [f"text number {k}" for k in range(400)] + ["the same"] * 400
+    docs = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(texts)] + [(3, "three"), (9, "nine")], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(docs, f"file://{tmp_path}/ids", path, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    found = sorted((r.doc_id, tuple(r.ids)) for r in token_files.read_documents(manifest, spark.createDataFrame([(7,), (9,), (8,)], "doc_id long")).collect())
+    assert found == sorted((r.doc_id, (*library.encode(r.text, add_special_tokens=False).ids, 1)) for r in docs.where("doc_id in (7, 9)").collect())
+    back = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None] * 400 + [3] + [7] * 400 + [9]
+
+
+def test_order_of_tied_rows_is_the_same_whatever_is_hot(spark):
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 2).cast("string").alias("source"), "id").repartition(3)
+    a, b = (sorted((r.id, r.copies) for r in mixing.mix(rows, keep=("id",), hot=hot).collect()) for hot in (1_000_000, 2))
+    assert a == b
+
+
 def test_shards_are_plain_zstandard_and_checked(tmp_path):
     import zstandard
 
