@@ -110,6 +110,27 @@ def _may_have_unbounded_numbers(raw: Column) -> Column:
     return raw.rlike(rf"[0-9]{{{LONG_DIGITS}}}") | may_be_nonfinite(raw)
 
 
+def first_object(text: Column) -> Column:
+    """From the first ``{`` to the bracket that closes it, whatever stands around; null if there is none.
+
+    Only brackets outside strings count, so what comes out is the whole first object wherever that is JSON.
+    """
+    way = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+
+    def step(state: Column, token: Column) -> Column:
+        depth = state["depth"] + way(token)
+        open_still = F.struct(depth.alias("depth"), (state["n"] + 1).alias("n"), (depth == 0).alias("done"))
+        return F.when(state["done"], state).otherwise(open_still)
+
+    def cut(found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        end = F.aggregate(found, start, step, lambda s: F.when(s["done"], s["n"]))
+        return bound(end, lambda n: F.when(n.isNotNull(), F.array_join(F.slice(found, F.lit(1), n), "")))
+
+    at = F.instr(text, "{")
+    return F.when(at > 0, bound(F.regexp_extract_all(F.substr(text, at), F.lit(TOKEN + r"|\s++|."), F.lit(0)), cut))
+
+
 def tagged(raw: Column) -> Column:
     """The document with every scalar as a string: ``s`` and the text, or ``n`` and the number or literal as written."""
     one = lambda t: F.when(is_key(t) | t.isin("{", "}", "[", "]", ","), t).when(F.startswith(t, F.lit('"')), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).otherwise(F.concat(F.lit('"n'), t, F.lit('"')))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
+from ..functions import lexical
 from ..functions.geometry import iou
 from . import contracts as c
 from .rules import Rule
@@ -188,6 +189,30 @@ def prediction_rules(record: Column, scope: c.Scope, place: str = "$", expected:
     ]
 
 
+def compiled_predictions(outputs: DataFrame, case_id: str, raw: str, tool: str = "click", arguments: str = '{"button":"left"}', reason: str = "model_output_invalid") -> DataFrame:
+    """Each raw output of a model as a prediction: its first JSON object, whatever stands around it, if that is a sound record of its case.
+
+    Else, and for a null output, the fixed fallback record, so every case has one row: case_id, disposition, tool, arguments (JSON), ref, bbox,
+    reason, and compiled (false for a fallback).  An action has the given tool and arguments, and a reference or a box.
+    """
+    parts = outputs.select(F.col(case_id).alias("__case"), c.opened(c.document(lexical.first_object(F.col(raw)))).alias("__r"))
+    record = F.col("__r")
+    get = lambda f: c.at(record, f)
+    fields = c.literal(PREDICTION_FIELDS)
+    shape = (F.size(F.array_except(fields, c.keys(record))) == 0) & (F.size(F.array_except(c.keys(record), fields)) == 0) & c.text_at(record, "case_id").eqNullSafe(F.col("__case"))
+    box = F.coalesce((F.size(c.items_at(record, "bbox")) == 4) & F.forall(c.items_at(record, "bbox"), lambda x: c.is_integer(x, 0, MOST_PLACE)), F.lit(False))
+    grounded = (c.is_null(get("ref")) | c.matches(get("ref"), IDENTIFIER)) & (c.is_null(get("bbox")) | box) & ~(c.is_null(get("ref")) & c.is_null(get("bbox")))
+    acts = c.is_exactly(get("tool"), tool) & F.coalesce(get("arguments")["json"] == arguments, F.lit(False)) & c.is_null(get("reason")) & grounded
+    ends = c.is_null(get("tool")) & c.is_null(get("arguments")) & c.is_null(get("ref")) & c.is_null(get("bbox")) & c.matches(get("reason"), IDENTIFIER)
+    sound = F.coalesce(shape & F.when(c.is_exactly(get("disposition"), "act"), acts).when(c.is_member(get("disposition"), DISPOSITIONS), ends), F.lit(False))
+    said = lambda f: F.when(F.col("__sound"), c.text_at(record, f))
+    given = c.at(record, "arguments")["json"]
+    return parts.withColumn("__sound", sound).select(
+        F.col("__case").alias(case_id), F.coalesce(said("disposition"), F.lit("fallback")).alias("disposition"), said("tool").alias("tool"), F.when(F.col("__sound") & (given != "null"), given).alias("arguments"), said("ref").alias("ref"),
+        F.when(F.col("__sound"), F.transform(c.items_at(record, "bbox"), lambda x: x["json"].cast("int"))).alias("bbox"), F.when(F.col("__sound"), c.text_at(record, "reason")).otherwise(reason).alias("reason"), F.col("__sound").alias("compiled"),
+    )
+
+
 #: Fixed values of the contract: the fields of a file of predictions and of its producer.
 PREDICTION_FILE_FIELDS, PRODUCER_FIELDS, PRODUCERS = ("suite_id", "producer", "records"), ("kind", "model_id", "model_revision"), ("synthetic_probe", "model")
 MOST_PREDICTION_BYTES = 1 << 20

@@ -187,6 +187,28 @@ def compiled(selected_tool: Column, requires_approval: Column) -> list[Column]:
     return [approval.alias("requires_approval"), (selected_tool == "reject_request").alias("should_reject"), (selected_tool == "fallback_to_strong_model").alias("should_fallback"), F.coalesce(result, F.when(approval, "approval_required"), F.lit("tool_candidate")).alias("expected_result")]
 
 
+def compiler_rules(decision: Column, scope: c.Scope) -> list[Rule]:
+    """What a decision must have for its flags to be derived."""
+    other = (F.size(F.array_except(c.literal(DECISION_FIELDS), c.keys(decision))) > 0) | (F.size(F.array_except(c.keys(decision), c.literal(DECISION_FIELDS))) > 0)
+    get = lambda f: c.at(decision, f)
+    return [
+        ("INVALID_DECISION_KEYS", "$", other), ("INVALID_SELECTED_TOOL", "$.selected_tool", ~c.is_member(get("selected_tool"), TOOLS)), ("INVALID_ARGUMENTS", "$.arguments", ~c.is_object(get("arguments"))),
+        ("INVALID_RISK_LEVEL", "$.risk_level", ~c.is_member(get("risk_level"), RISKS)), ("INVALID_APPROVAL_FLAG", "$.requires_approval", ~c.is_flag(get("requires_approval"))),
+    ]
+
+
+def compiled_decisions(predictions: DataFrame, key: str, raw: str) -> DataFrame:
+    """Every decision (JSON text) with its flags and result derived from the chosen tool, or the code and location of what is wrong with it.
+
+    key, code, location, selected_tool, arguments (JSON), risk_level, requires_approval, should_reject, should_fallback, expected_result; a refused one has its code alone.
+    """
+    judged = c.judged(predictions, [key], raw, "$", compiler_rules).withColumnRenamed(key, "__key")
+    parts = predictions.select(key, c.opened(c.document(raw)).alias("__decision")).join(judged, F.col(key).eqNullSafe(F.col("__key")))
+    of, sound = F.col("__decision"), F.col("code").isNull()
+    fields = [c.text_at(of, "selected_tool").alias("selected_tool"), c.at(of, "arguments")["json"].alias("arguments"), c.text_at(of, "risk_level").alias("risk_level"), *compiled(c.text_at(of, "selected_tool"), c.is_true(c.at(of, "requires_approval")))]
+    return parts.select(key, "code", "location", F.when(sound, F.struct(*fields)).alias("__made")).select(key, "code", "location", "__made.*")
+
+
 def semantic_error(answer: Column) -> Column:
     """The first way in which a sound answer contradicts itself, or null."""
     flag = lambda f: c.is_true(c.at(answer, f))

@@ -89,6 +89,27 @@ def prediction_file_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.prediction_file_violations(given, "o_custkey", "raw", "suite", "cases", "prediction_version")
 
 
+#: A model's raw output made from an order's columns, in SQL that both engines read.
+OUTPUTS_SQL = """
+  select concat('case-', o_orderkey) as case_id, concat(o_orderpriority, case when o_totalprice < 15000 then ' gives no object' else concat(': {"case_id": "case-', o_orderkey + case when o_totalprice > 480000 then 1 else 0 end, '", "disposition": "', case o_orderstatus when 'F' then 'act' when 'O' then 'reject' else 'fallback' end, '", ',
+    case when o_orderstatus = 'F' then concat('"tool": "click", "arguments": {"button": "', case when o_custkey % 7 = 0 then 'right' else 'left' end, '"}, "ref": ', case when o_custkey % 3 = 0 then 'null' else '"r-1"' end, ', "bbox": ', case when o_custkey % 2 = 0 then concat('[1, 2, ', o_custkey, ', ', cast(floor(o_totalprice / 100) as int), ']') else 'null' end, ', "reason": null')
+      else concat('"tool": null, "arguments": null, "ref": ', case when o_totalprice > 450000 then '"r-2"' else 'null' end, ', "bbox": null, "reason": "', case when o_custkey % 5 = 0 then 'No reason' else 'not_there' end, '"') end,
+    case when o_totalprice < 40000 then ', "reason": "again"' else '' end, '} and {"more": "}"', case when o_custkey % 4 = 0 then '}' else '' end) end) as raw, o_orderkey, o_custkey, o_orderstatus, o_totalprice
+  from orders
+"""
+
+
+@query(f"""
+with o as ({OUTPUTS_SQL}), j as (select *, cast(floor(o_totalprice / 100) as int) as y,
+  o_totalprice >= 40000 and o_totalprice <= 480000 and case when o_orderstatus = 'F' then o_custkey % 7 <> 0 and (o_custkey % 2 <> 0 or (o_custkey <= 4096 and floor(o_totalprice / 100) <= 4096)) and not (o_custkey % 3 = 0 and o_custkey % 2 <> 0) else o_totalprice <= 450000 and o_custkey % 5 <> 0 end as ok from o)
+select case_id, case when not ok then 'fallback' when o_orderstatus = 'F' then 'act' when o_orderstatus = 'O' then 'reject' else 'fallback' end as disposition, case when ok and o_orderstatus = 'F' then 'click' end as tool, case when ok and o_orderstatus = 'F' then '{{"button":"left"}}' end as arguments,
+  case when ok and o_orderstatus = 'F' and o_custkey % 3 <> 0 then 'r-1' end as ref, case when ok and o_orderstatus = 'F' and o_custkey % 2 = 0 then [1, 2, o_custkey::int, y] end as bbox, case when not ok then 'model_output_invalid' when o_orderstatus <> 'F' then 'not_there' end as reason, ok as compiled from j""")
+def raw_prediction_compiler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw outputs with text around their object, some of another case, shape or kind: a prediction or the fallback for each."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return grounding.compiled_predictions(spark.sql(OUTPUTS_SQL), "case_id", "raw")
+
+
 @query("""
 with c as (select o_custkey as suite, row_number() over (partition by o_custkey order by o_orderkey) as k, o_orderkey, ['uia_only', 'screenshot_only', 'fused'][(o_orderkey % 3 + 1)::int] as mode, ['ref_grounding', 'bbox_grounding', 'fused_grounding'][(o_orderkey // 3 % 3 + 1)::int] as capability,
   ['clean', 'missing', 'noisy'][(o_orderkey % 5 % 3 + 1)::int] as ocr, ['none', 'moved', 'occluded', 'stale_ref', 'coordinate_ref_disagreement'][(o_orderkey % 5 + 1)::int] as perturbation from orders),

@@ -180,6 +180,26 @@ def decision_compiler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", tool.alias("selected_tool"), *router.compiled(tool, F.col("o_orderkey") % 3 == 0))
 
 
+#: A decision made from an order's columns, in SQL that both engines read.
+DECISIONS_SQL = f"""
+  select o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_totalprice, concat('{{"selected_tool": "', element_at(array({", ".join(repr(t) for t in router.TOOLS)}), cast(o_custkey % {len(router.TOOLS)} as int) + 1), '", "arguments": ', case when o_totalprice > 400000 then '[]' else concat('{{"n": ', o_custkey, '}}') end,
+    ', "risk_level": "', case when o_orderpriority = '1-URGENT' then 'urgent' else 'low' end, '", "requires_approval": ', case when o_totalprice < 50000 then '"no"' when o_orderstatus = 'F' then 'true' else 'false' end, ', "should_reject": false, "should_fallback": 1', case when o_totalprice < 30000 then '' else ', "expected_result": null' end, '}}') as raw
+  from orders
+"""
+
+
+@query(f"""
+with o as (select *, {list(router.TOOLS)}[(o_custkey % {len(router.TOOLS)})::int + 1] as tool, case when o_totalprice < 30000 then 'INVALID_DECISION_KEYS' when o_totalprice > 400000 then 'INVALID_ARGUMENTS' when o_orderpriority = '1-URGENT' then 'INVALID_RISK_LEVEL' when o_totalprice < 50000 then 'INVALID_APPROVAL_FLAG' end as code from orders),
+r as (select *, case tool when 'reject_request' then 'rejection' when 'fallback_to_strong_model' then 'fallback' when 'request_clarification' then 'clarification' else case when o_orderstatus = 'F' then 'approval_required' else 'tool_candidate' end end as result from o)
+select o_orderkey, code, case code when 'INVALID_DECISION_KEYS' then '$' when 'INVALID_ARGUMENTS' then '$.arguments' when 'INVALID_RISK_LEVEL' then '$.risk_level' when 'INVALID_APPROVAL_FLAG' then '$.requires_approval' end as location,
+  case when code is null then tool end as selected_tool, case when code is null then '{{"n":' || o_custkey || '}}' end as arguments, case when code is null then 'low' end as risk_level, case when code is null then result = 'approval_required' end as requires_approval,
+  case when code is null then result = 'rejection' end as should_reject, case when code is null then result = 'fallback' end as should_fallback, case when code is null then result end as expected_result from r""")
+def decision_compiler_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions compiled from the chosen tool, or refused with the first rule that they break."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return router.compiled_decisions(spark.sql(DECISIONS_SQL), "o_orderkey", "raw")
+
+
 @query(f"""select o_orderkey, '{{"available_tools":["file_read"],"instruction":"go ' || o_orderkey || '","state":{{"attempt":1}}}}' as prompt, case o_orderkey % 4 when 0 then '{{"a":1}}' when 1 then '{{"a":{{"b":"}}"}}}}' end as first_document from orders""")
 def visible_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of a record that a model may see, and the first document in a loose answer."""

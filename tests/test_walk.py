@@ -130,3 +130,22 @@ def test_run_exports_are_located_and_exact(spark):
     df = spark.createDataFrame([(k, sound.replace(a, b)) for k, (a, b) in enumerate(changes)], "k long, j string")
     found = [(r.code, r.location) for r in exports.run_violations(df, "k", "j", F.lit(DIGEST)).orderBy("k").collect()]
     assert found == list(changes.values())
+
+
+def test_first_objects_and_fallbacks(spark):
+    from ledgerloom.operators import grounding
+
+    sound = '{"case_id": "c1", "disposition": "act", "tool": "click", "arguments": {"button": "left"}, "ref": "r", "bbox": null, "reason": null}'
+    ended = '{"case_id": "c1", "disposition": "reject", "tool": null, "arguments": null, "ref": null, "bbox": null, "reason": "gone"}'
+    texts = {
+        sound: True, f"Sure }} [ \" {sound} and }} {{": True, ended: True, f"{ended}{ended}": True, sound[:-1]: False, "": False, None: False, "no object": False, sound.replace('"r"', '"R"'): False, sound.replace('"r"', "null"): False,
+        sound.replace('"bbox": null', '"bbox": [0, 1, 2, 4096]'): True, sound.replace('"bbox": null', '"bbox": [0, 1, 2, 4097]'): False, sound.replace('"bbox": null', '"bbox": [0, 1, 2, 3.0]'): False, sound.replace('"bbox": null', '"bbox": [0, 1, 2, true]'): False,
+        sound.replace("c1", "c2"): False, sound.replace('"reason": null', '"reason": null, "reason": null'): False, sound.replace('"left"', '"left", "n": NaN'): False, ended.replace('"gone"', '"a }{ b"'): False, "{} " + sound: False, sound.replace('"tool": "click", ', ""): False,
+    }
+    df = spark.createDataFrame([("c1", t) for t in texts], "case_id string, raw string").withColumn("k", F.monotonically_increasing_id())
+    found = grounding.compiled_predictions(df.select("case_id", "raw").coalesce(1), "case_id", "raw").collect()
+    assert [r.compiled for r in found] == list(texts.values())
+    assert all((r.disposition, r.reason) == ("fallback", "model_output_invalid") for r in found if not r.compiled)
+    objects = ['{"a": "}"} x', 'x{"a": {"b": ["]}"]}} y}', "{", "[1]", 'say "{" {"a": 1}']
+    cut = spark.createDataFrame([(t,) for t in objects], "t string").coalesce(1).select(lexical.first_object(F.col("t"))).collect()
+    assert [r[0] for r in cut] == ['{"a": "}"}', '{"a": {"b": ["]}"]}}', None, None, '{" {"a": 1}']  # the last one is no JSON
