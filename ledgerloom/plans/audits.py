@@ -84,10 +84,11 @@ def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.count("*").alias("documents")).crossJoin(items.agg(F.count("*").alias("items"))).crossJoin(best).crossJoin(exact)
 
 
-@query(f"select source, list_sort(list(distinct {SPLIT_SQL})) as splits from documents group by source having count(distinct {SPLIT_SQL}) > 1")
+@query(f"select family, list_sort(list(distinct {SPLIT_SQL})) as splits from (select *, case when n_chars % 9 = 0 then 'f' || (n_chars % 50) else source || '-' || doc_id end as family from documents) group by family having count(distinct {SPLIT_SQL}) > 1")
 def family_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H-1."""
-    return audit.crossing(records(spark, sf_dir), "source", "split")
+    """H-1: families of one record each, but for records of some lengths, which share one."""
+    shared = F.concat(F.lit("f"), (F.col("n_chars") % 50).cast("string"))
+    return audit.crossing(records(spark, sf_dir).withColumn("family", F.when(F.col("n_chars") % 9 == 0, shared).otherwise(F.concat_ws("-", "source", "doc_id"))), "family", "split")
 
 
 @query("select doc_id, lang from documents where doc_id not in (select doc_id from labels where doc_id is not null)")

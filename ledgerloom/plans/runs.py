@@ -54,16 +54,17 @@ def budget_limit_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("user_id", F.inline(cells)).withColumn("hit", traces.limit_hit("used", "cap"))
 
 
-@query("select conv_id, turn, (row_number() over (partition by conv_id order by turn) - 1)::bigint as expected from conversations qualify expected <> turn")
+@query("select conv_id, turn, (row_number() over (partition by conv_id order by turn) - 1)::bigint as expected from conversations where turn <> 1 or length(text) % 5 <> 0 qualify expected <> turn")
 def sequence_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, F2."""
-    return traces.sequence_gaps(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", first=0)
+    """of some conversations the second turn is missing."""
+    kept = table(spark, sf_dir, "conversations").where((F.col("turn") != 1) | (F.length("text") % 5 != 0))
+    return traces.sequence_gaps(kept.select("conv_id", "turn"), "conv_id", "turn", first=0)
 
 
-@query("select conv_id, role as first_role from conversations where turn = 0 and role not in ('system', 'user')")
+@query("select * from (select conv_id, arg_min(role, turn) as first_role from conversations where turn <> 0 or length(text) % 7 <> 0 group by conv_id) where first_role not in ('system', 'user')")
 def first_event_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations whose first turn is of the wrong kind."""
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"))
+    """conversations whose first turn is of the wrong kind, as some have lost theirs."""
+    first = table(spark, sf_dir, "conversations").where((F.col("turn") != 0) | (F.length("text") % 7 != 0)).groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"))
     return first.where(~F.col("first_role").isin("system", "user"))
 
 
@@ -88,10 +89,10 @@ def fk_role_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.reference_issues(edges, table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", "c_mktsegment", "expected").select("o_orderkey", "o_custkey", "issue")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8."""
-    return traces.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    """Customers that no urgent order names."""
+    return traces.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey")
 
 
 @query("""
