@@ -19,7 +19,9 @@ covers exactly the texts of assistant turns.  :func:`read_back` recovers turns f
 joined text alone and the loss text from the mask.
 
 Null texts and roles are empty; turns with equal numbers stand in the order of role and
-text, null turn numbers first; an empty table gives no rows; extra columns are left alone.
+text, null turn numbers first; repeated rows are turns, or records, of their own; texts of any
+length are formatted whole; an empty table gives no rows.  Extra columns are left alone, but
+those with the names of the results (fingerprint, layout, turns, segments, text) are replaced.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ has words.
 
 Null and empty texts have no words; texts without words are no windows and are never hit.  Null
 item ids are written as ``null``; repeated items count once; repeated documents get equal results;
-one very long document is a block of its own.  Empty tables give no rows, or no hits.  Extra
+one very long document is a block of its own; a null doc_id is a document like any other.  Empty tables give no rows, or no hits.  Extra
 columns are left alone.
 """
 

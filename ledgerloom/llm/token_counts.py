@@ -7,7 +7,8 @@ through the merge rules (each distinct one once, in a bounded memo).
 
 Counts equal those of the ``tokenizers`` library: special strings inside texts are
 its default special tokens, nothing is added, truncated or padded.  Null and empty
-texts have 0 bytes and 0 tokens; repeated rows and extra columns are left alone.
+texts have 0 bytes and 0 tokens; texts of any length are counted whole; repeated rows and extra
+columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations

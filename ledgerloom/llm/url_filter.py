@@ -14,7 +14,8 @@ equal length, the one with the longer host.
 Host: what stands between the first ``://`` and the next ``/``, ``?``, ``#`` or the end,
 A-Z lower-cased; path: from there to ``?``, ``#`` or the end.  A null url, or one without
 ``://``, has an empty host and path and fits no rule.  A url that fits none gets the
-method's verdict: it isn't in the array, so it is allowed.
+method's verdict: it isn't in the array, so it is allowed.  Urls of any length are read whole;
+repeated rows are judged alike; extra columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations

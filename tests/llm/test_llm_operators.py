@@ -400,6 +400,26 @@ def test_chat_of_an_empty_table(spark):
     assert chat_format.digests(chat_format.read_back(chat_format.formatted(chat_format.to_turns(chat_format.records_of_turns(rows))))).count() == 0
 
 
+def test_chat_of_long_and_repeated_turns(spark):
+    long = "word <|im_end|> [INST] " * 20_000
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (1, 1, "assistant", long), (2, None, None, None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat_format.digests(chat_format.read_back(chat_format.formatted(chat_format.to_turns(chat_format.records_of_turns(df))))).collect()}
+    turns = [("user", long), ("user", long), ("assistant", long)]
+    assert (found[1].n_turns, found[1].loss_chars, found[2].n_turns, found[2].loss_chars) == (3, len(long), 2, 0)
+    assert found[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest() and found[2].turns_sha256 == hashlib.sha256(b"\n\n\n\n").hexdigest()
+
+
+def test_long_urls_and_null_ids(spark):
+    long = "http://" + "a." * 3000 + "net/de/" + "x/" * 50_000
+    df = spark.createDataFrame([(1, long), (2, "http://" + "h" * 100_000)], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judge(df, [("allow", "net", "/de/"), ("block", "a.net", "/de/x/x")]).collect()}
+    assert (found[1].rule, found[1].verdict, len(found[1].path)) == ("a.net/de/x/x", "block", 4 + 100_000) and (found[2].rule, found[2].verdict, found[2].path) == (None, "allow", "")
+    docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, None), (1, "x")], "doc_id long, text string")
+    hits = decontamination.contamination(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.n_words, r.n_hit, r.contaminated) for r in hits) == [(False, 1, 0, False), (True, 0, 0, False), (True, 3, 2, True), (True, 3, 2, True)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- c <p>no</p> --><article><h1>Head &amp; Shoulders</h1><p><b>One &lt;two&gt;<br><p>Three
  four&nbsp;five &am <span class="ad">buy</span> six<div class="comments"><p>first!</p></div><ul><li>i1<li>i2</ul></article><aside>side</aside><form><p>name</p></form><footer>&copy; x</footer>"""
