@@ -49,7 +49,7 @@ def _time(value: Column, field: str, place: str) -> tuple[Column, list[Rule]]:
     return at, [("INVALID_TIMESTAMP", f"{place}.{field}", at.isNull())]
 
 
-def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent") -> list[Rule]:
+def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent", version_field: str = "consent_version") -> list[Rule]:
     """A grant with a window, a scope without wildcards, control sets, and a retention window inside what it grants."""
     get = lambda f: c.at(consent, f)
     operator, granted_scope, controls, retention, forbidden, authority = (scope.open(get(f)) for f in ("operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"))
@@ -60,8 +60,8 @@ def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent") ->
     listed = lambda f, values: [("INVALID_VALUE", f"{place}.scope.{f}", ~F.coalesce(c.strings(c.at(granted_scope, f)) == F.array(*map(F.lit, values)), F.lit(False)))]
     days = c.number_at(retention, "max_days")
     return [
-        *_object(consent, ("consent_version", "consent_id", "session_id", "decision", "operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"), place),
-        ("UNSUPPORTED_VERSION", f"{place}.consent_version", ~c.is_exactly(get("consent_version"), 1)), *_named(consent, "consent_id", place), *_named(consent, "session_id", place), ("VALUE_MISMATCH", f"{place}.decision", ~c.is_exactly(get("decision"), "granted")),
+        *_object(consent, (version_field, "consent_id", "session_id", "decision", "operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"), place),
+        ("UNSUPPORTED_VERSION", f"{place}.{version_field}", ~c.is_exactly(get(version_field), 1)), *_named(consent, "consent_id", place), *_named(consent, "session_id", place), ("VALUE_MISMATCH", f"{place}.decision", ~c.is_exactly(get("decision"), "granted")),
         *_object(operator, ("granted_at_utc", "expires_at_utc", "visible_indicator_acknowledged"), f"{place}.operator_action"), *is_granted, *is_expiry, *_flags(operator, ["visible_indicator_acknowledged"], [], f"{place}.operator_action"), ("INVALID_CONSENT_WINDOW", f"{place}.operator_action", expires <= granted),
         *_object(granted_scope, ("data_classes", "purposes", "application_scope", "network_upload_allowed"), f"{place}.scope"), *listed("data_classes", DATA_CLASSES), *listed("purposes", PURPOSES),
         ("EMPTY_ARRAY", f"{place}.scope.application_scope", F.size(applications) == 0), ("INVALID_STRING", f"{place}.scope.application_scope", ~c.all_texts(c.at(granted_scope, "application_scope"))), ("DUPLICATE_ARRAY_ITEM", f"{place}.scope.application_scope", c.repeats(applications)),

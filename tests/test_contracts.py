@@ -207,3 +207,12 @@ def test_tree_digests_of_several_levels(spark):
     rows = spark.createDataFrame([(g, o, d) for g, own in data.items() for o, d in own], "g string, o long, d string").repartition(5)
     found = {r.g: (r.n, r.digest) for r in generate.tree_digest(rows, ["g"], "o", "d", chunk=6).collect()}
     assert found == {g: (len(own), digest(own, 6)) for g, own in data.items()}
+
+
+def test_consents_state_their_version_under_any_name(spark):
+    from ledgerloom.plans import consent as made
+
+    text = made.CONSENT.replace("@id", "1")
+    df = spark.createDataFrame([(1, text), (2, text.replace('"consent_version"', '"terms"')), (3, text.replace('"consent_version": 1', '"terms": 2'))], "k long, j string")
+    found = grounding.document_violations(df, ["k"], "j", lambda doc, scope: consent.consent_rules(doc, scope, version_field="terms"))
+    assert {r.k: (r.code, r.location) for r in found.collect()} == {1: ("MISSING_FIELD", "$.consent"), 2: (None, None), 3: ("UNSUPPORTED_VERSION", "$.consent.terms")}
