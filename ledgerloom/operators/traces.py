@@ -39,6 +39,17 @@ def sequence_gaps(rows: DataFrame, group: str, sequence: str, first: int = 1) ->
     return rows.withColumn("expected", place.cast("long")).where(F.col("expected") != F.col(sequence))
 
 
+def completeness(events: DataFrame, run: str, sequence: str, event_count: str) -> DataFrame:
+    """one row a run: run, expected (the greatest count that its events state), seen (distinct numbers from 1 on), first_missing (null: 1 to expected are all there, and no more)."""
+    stated = events.groupBy(F.col(run).cast("string").alias("run")).agg(F.max(F.col(event_count).cast("long")).alias("expected"))
+    once = events.where(F.col(sequence) >= 1).select(F.col(run).cast("string").alias("__run"), F.col(sequence).cast("long").alias("__n")).distinct()
+    placed = once.withColumn("__place", F.row_number().over(Window.partitionBy("__run").orderBy("__n")).cast("long"))
+    seen = placed.groupBy("__run").agg(F.count("*").alias("__seen"), F.min(F.when(F.col("__n") != F.col("__place"), F.col("__place"))).alias("__gap"))
+    both = stated.join(seen, F.col("run").eqNullSafe(F.col("__run")), "left").withColumn("seen", F.coalesce("__seen", F.lit(0)).cast("long"))
+    due = F.coalesce("__gap", F.col("seen") + 1)
+    return both.select("run", "expected", "seen", F.when((due == F.col("expected") + 1) & F.col("__gap").isNull(), None).otherwise(due).cast("long").alias("first_missing"))
+
+
 def range_gaps(rows: DataFrame, group: str, start: str, size: str) -> DataFrame:
     """byte ranges that don't begin where the one before ended (0 for the first)."""
     before = Window.partitionBy(group).orderBy(start)
