@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import geometry, identity
 from ..functions.text import partition_label
@@ -52,6 +53,10 @@ def json_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract(file_name(), "([0-9]+)", 1).cast("long").alias("item_id"), "code")
 
 
+#: Ids of the vectors of one archive file.
+PER_ARCHIVE = 1000
+
+
 def tensor_file(frame: pd.DataFrame) -> bytes:
     """A tensor file of one label's vectors; label 3 leaves a gap after its second tensor, label 5 has four bytes too many, label 7 a wrong shape."""
     label, at, header, data = int(frame["label"].iloc[0]), 0, {}, b""
@@ -65,12 +70,13 @@ def tensor_file(frame: pd.DataFrame) -> bytes:
 
 
 def tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(lambda f: pd.DataFrame({"name": [f"label-{f['label'].iloc[0]}.safetensors"], "content": [tensor_file(f)]}), "name string, content binary")
+    vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.floor(F.col("vec_id") / PER_ARCHIVE).alias("part"))  # a thousand ids a file at most
+    packed = vectors.groupBy("label", "part").applyInPandas(lambda f: pd.DataFrame({"name": [f"label-{f['label'].iloc[0]}-{f['part'].iloc[0]}.safetensors"], "content": [tensor_file(f)]}), "name string, content binary")
     return files.safetensors_headers(spark, written(spark, packed, "tensors"))
 
 
 @query("""
-with p as (select label, vec_id, (row_number() over (partition by label order by vec_id) - 1) as k, count(*) over (partition by label) as n from embeddings)
+with p as (select label, vec_id, (row_number() over (partition by label, vec_id // 1000 order by vec_id) - 1) as k, count(*) over (partition by label, vec_id // 1000) as n from embeddings)
 select label, 'v' || vec_id as name, 'F32' as dtype, [32 - case when label = 7 and k = 0 then 1 else 0 end, 2]::bigint[] as shape, (k * 256 + case when label = 3 and k > 1 then 4 else 0 end)::bigint as start, 256::bigint as size, (n * 256 + case when label = 3 and n > 1 or label = 5 then 4 else 0 end)::bigint as data_bytes from p""")
 def safetensors_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tensors of files that hold each label's vectors; only the headers are read."""
@@ -79,10 +85,10 @@ def safetensors_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select label, vec_id, (row_number() over (partition by label order by vec_id) - 1) as k, count(*) over (partition by label) as n from embeddings)
+with p as (select label, vec_id, (row_number() over (partition by label, vec_id // 1000 order by vec_id) - 1) as k, count(*) over (partition by label, vec_id // 1000) as n from embeddings)
 select label, 'v' || vec_id as name, case label when 7 then 'SHAPE_MISMATCH' when 3 then case when n = 2 then 'NOT_EXHAUSTIVE' else 'NOT_CONTIGUOUS' end else 'NOT_EXHAUSTIVE' end as issue from p
 where (label = 7 and k = 0) or (label = 3 and (k = 2 or (n = 2 and k = 1))) or (label = 5 and k = n - 1)
-union all select distinct label, 'bias', 'MISSING_TENSOR' from embeddings""")
+union all select label, 'bias', 'MISSING_TENSOR' from (select distinct label, vec_id // 1000 as part from embeddings)""")
 def safetensors_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps, left-over data, wrong sizes and missing tensors."""
     found = files.safetensors_issues(tensor_files(spark, sf_dir), required=["bias"])
@@ -106,11 +112,7 @@ def archive_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.archive_issues(records, total, ["run_id", "semantic_key"])
 
 
-#: Vectors of one archive file.
-PER_ARCHIVE = 1000
-
-
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def float_bytes(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: struct.pack(f"<{len(v)}f", *v))
 
