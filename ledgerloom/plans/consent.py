@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import consent, grounding
 from .contracts import Defect, defects_sql, with_defect
-from .registry import query, table
+from .registry import query, spread, table
 
 CONSENT = json.dumps({
     "consent_version": 1, "consent_id": "c-@id", "session_id": "s-@id", "decision": "granted",
@@ -34,7 +34,7 @@ CONSENT_DEFECTS: list[Defect] = [
 @query(defects_sql("orders", "o_orderkey", CONSENT_DEFECTS))
 def consent_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows, retention, wildcards and control sets of a consent."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(CONSENT, CONSENT_DEFECTS, F.col("o_orderkey")).alias("raw"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", with_defect(CONSENT, CONSENT_DEFECTS, F.col("o_orderkey")).alias("raw"))
     return grounding.document_violations(rows, ["o_orderkey"], "raw", consent.consent_rules)
 
 
@@ -62,7 +62,7 @@ def candidate_action_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modes, execution fields, tool support and evidence of a candidate action."""
     able = lambda box, ref: F.struct(F.lit(box).alias("supports_bbox"), F.lit(ref).alias("supports_ref"))
     tools = F.create_map(F.lit("click"), able(True, True), F.lit("type"), able(False, True), F.lit("point"), able(True, False))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(ACTION, ACTION_DEFECTS, F.col("o_orderkey")).alias("raw"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", with_defect(ACTION, ACTION_DEFECTS, F.col("o_orderkey")).alias("raw"))
     return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.action_rules(doc, scope, roles(), F.array(F.lit(A), F.lit(B)), tools))
 
 
@@ -77,7 +77,7 @@ VERIFIER_DEFECTS: list[Defect] = [
 @query(defects_sql("orders", "o_orderkey", VERIFIER_DEFECTS))
 def verifier_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was seen after the action is in the verifier's evidence, and its own too."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(VERIFIER, VERIFIER_DEFECTS, F.col("o_orderkey")).alias("raw"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", with_defect(VERIFIER, VERIFIER_DEFECTS, F.col("o_orderkey")).alias("raw"))
     return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.verifier_rules(doc, scope, roles(), F.array(F.lit(B))))
 
 
@@ -92,7 +92,7 @@ GOVERNANCE_DEFECTS: list[Defect] = [
 @query(defects_sql("orders", "o_orderkey", GOVERNANCE_DEFECTS))
 def governance_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governance fields have the one value that each may have."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(GOVERNANCE, GOVERNANCE_DEFECTS, F.col("o_orderkey")).alias("raw"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", with_defect(GOVERNANCE, GOVERNANCE_DEFECTS, F.col("o_orderkey")).alias("raw"))
     return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.constant_rules(doc, consent.GOVERNANCE, Q))
 
 

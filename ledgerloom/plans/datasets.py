@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import generate, grounding, isolation, manifests, remediation, score
 from .contracts import Defect, defects_sql, with_defect
-from .registry import query, table
+from .registry import query, spread, table
 from .router import ANSWERED_SQL, judged
 
 FAMILIES_SQL = """
@@ -227,7 +227,7 @@ def family_manifest_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5, C4: the first rule that each family manifest breaks."""
     # a defect may hold the number in what it puts there
     raw = F.replace(with_defect(FAMILY_MANIFEST, FAMILY_DEFECTS, F.col("o_orderkey")), F.lit("@id"), F.col("o_orderkey").cast("string"))
-    return grounding.document_violations(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw", manifests.family_rules)
+    return grounding.document_violations(spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", raw.alias("raw")), ["o_orderkey"], "raw", manifests.family_rules)
 
 
 TARGETS = ["argument_drift", "dangerous_action_candidate", "duplicate_action", "over_fallback"]
@@ -246,7 +246,7 @@ TAXONOMY_DEFECTS: list[Defect] = [
 @query(defects_sql("orders", "o_orderkey", TAXONOMY_DEFECTS))
 def taxonomy_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that each bad-case taxonomy breaks."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", with_defect(TAXONOMY, TAXONOMY_DEFECTS, F.col("o_orderkey")).alias("raw"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", with_defect(TAXONOMY, TAXONOMY_DEFECTS, F.col("o_orderkey")).alias("raw"))
     return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: manifests.taxonomy_rules(doc, scope, TARGETS, 3))
 
 

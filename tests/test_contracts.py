@@ -216,3 +216,23 @@ def test_consents_state_their_version_under_any_name(spark):
     df = spark.createDataFrame([(1, text), (2, text.replace('"consent_version"', '"terms"')), (3, text.replace('"consent_version": 1', '"terms": 2'))], "k long, j string")
     found = grounding.document_violations(df, ["k"], "j", lambda doc, scope: consent.consent_rules(doc, scope, version_field="terms"))
     assert {r.k: (r.code, r.location) for r in found.collect()} == {1: ("MISSING_FIELD", "$.consent"), 2: (None, None), 3: ("UNSUPPORTED_VERSION", "$.consent.terms")}
+
+
+def test_rows_of_one_row_group_are_judged_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans.registry import spread
+
+    rows = spread(spark.range(0, 5000, numPartitions=1), "id")
+    held = rows.groupBy(F.spark_partition_id()).count()
+    assert held.count() >= 32 and held.agg(F.max("count")).first()[0] < 1000
+    assert rows.agg(F.count_distinct("id")).first()[0] == 5000
+
+
+def test_a_text_that_closes_or_fills_the_list_around_it_is_no_document(spark):
+    from ledgerloom.operators import contracts as c
+
+    texts = ['{"a": 1}', " [1] ", "1", "1], [1", "1, 2", '1, "x"], [1, "x"', '{"a": 1} {}', "", " ", "1]", '"a', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, raw string")
+    found = rows.select("k", c.document("raw").isNotNull().alias("d"), c.is_strict(rows["raw"]).alias("s")).orderBy("k").collect()
+    assert [r.d for r in found] == [r.s for r in found] == [True] * 3 + [False] * 9
