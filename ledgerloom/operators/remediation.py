@@ -60,7 +60,9 @@ def conflict_cohort(judged: DataFrame, key: str, signature: dict[str, str], code
     fits = F.lit(True)
     for f, value in signature.items():
         fits &= F.coalesce(c.at(F.col("answer"), f)["json"] == value, F.lit(False))
-    return judged.where(F.col("semantic_error") == code).select(key, fits.alias("has_signature"))
+    # the filter stays above the generator; below it, all that leads to the error would be written out once more in its condition
+    both = judged.select(key, F.inline_outer(F.array(F.struct(F.col("semantic_error").alias("__error"), fits.alias("has_signature")))))
+    return both.where(F.col("__error") == code).select(key, "has_signature")
 
 
 def attribution(judged: DataFrame, cohort: DataFrame) -> DataFrame:

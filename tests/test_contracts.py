@@ -236,3 +236,23 @@ def test_a_text_that_closes_or_fills_the_list_around_it_is_no_document(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, raw string")
     found = rows.select("k", c.document("raw").isNotNull().alias("d"), c.is_strict(rows["raw"]).alias("s")).orderBy("k").collect()
     assert [r.d for r in found] == [r.s for r in found] == [True] * 3 + [False] * 9
+
+
+def test_a_filter_on_the_semantic_error_does_not_hold_what_leads_to_it(spark):
+    step = F.concat(F.col("k"), F.lit("CONFLICTING"))
+    for _ in range(3):
+        step = F.when(F.length(step) > 4, F.concat(step, F.lit("x"))).otherwise(step)
+    answer = F.struct(F.create_map(F.lit("n"), F.struct(F.lit("1").alias("json"))).alias("fields"))
+    judged = spark.createDataFrame([("a",), ("b",)], "k string").select("k", step.alias("semantic_error"), answer.alias("answer"))
+    cohort = remediation.conflict_cohort(judged, "k", {"n": "1"}, "aCONFLICTINGxxx")
+    assert [tuple(r) for r in cohort.collect()] == [("a", True)]
+    filters = [x for x in cohort._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("CONFLICTING," in x or "length" in x for x in filters)
+
+
+def test_fixture_of_more_records_than_a_file_holds(spark, tmp_path):
+    from ledgerloom.plans.router import fixture_files
+
+    k = F.col("id")
+    spark.range(1, 1201).select(k.alias("s_suppkey"), (k % 1).cast("int").alias("s_nationkey"), F.when(k == 1150, 10.0).otherwise(2000.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in fixture_files(spark, str(tmp_path)).collect()] == [(0, "INVALID_ENUM", "$[1149].category")]
