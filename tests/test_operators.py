@@ -277,3 +277,23 @@ def test_ordered_digest_holds_no_group_in_a_row(spark):
     assert "collect_list" not in found._jdf.queryExecution().toString()
     lines = lambda keep: "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n) if (i % 3 == 0) == keep)
     assert {r.g: (r.n, r.digest) for r in found.collect()} == {g: (n // 3 if keep else n - n // 3, hashlib.sha256(lines(keep).encode()).hexdigest()) for g, keep in ((None, True), ("a", False))}
+
+
+def test_first_tokens_need_not_know_every_count(spark):
+    import itertools
+    import random
+
+    from ledgerloom.operators import audit
+
+    rng = random.Random(3)
+    sets = [rng.sample([f"w{k}" for k in range(14)], rng.randint(1, 12)) for _ in range(120)]
+    rows = spark.createDataFrame([(i, "ab"[i % 2], " ".join(s)) for i, s in enumerate(sets)], "k int, s string, text string")
+    classes = spark.createDataFrame([(i, len(s), sorted(hash(w) for w in s)) for i, s in enumerate(map(set, sets))], "id long, n int, t array<long>")
+    for most in (1, 4, 100):
+        heads = {}
+        for r in audit._first_tokens(classes, 0.6, most).collect():
+            heads.setdefault(r["id"], []).append(r["token"])
+        of = {r["id"]: (set(r["t"]), set(heads[r["id"]])) for r in classes.collect()}
+        assert all(of[x][1] & of[y][1] for x, y in itertools.combinations(of, 2) if len(of[x][0] & of[y][0]) > 0.6 * len(of[x][0] | of[y][0]))
+    exact = {(x, y) for x, y in itertools.product(range(0, 120, 2), range(1, 120, 2)) if len(set(sets[x]) & set(sets[y])) > 0.6 * len(set(sets[x]) | set(sets[y]))}
+    assert {(r["a"], r["b"]) for r in audit.pairs_above(rows, "k", "s", 0.6).collect()} == exact
