@@ -22,6 +22,12 @@ def correctness(gold: Column, answer: Column, error: Column, semantic_error: Col
     return {"valid": valid, "semantic_valid": valid & semantic_error.isNull(), **{name: same(f) for name, f in FIELDS.items()}}
 
 
+def flagged(judged: DataFrame, key: str) -> DataFrame:
+    """The flags of every judged answer (:func:`.router.judged_answers`) as one struct, without the texts."""
+    flags = correctness(F.col("gold"), F.col("answer"), F.col("error"), F.col("semantic_error"))
+    return judged.select(key, F.struct(*(v.alias(k) for k, v in flags.items())).alias("flags"))
+
+
 def compared(reference: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
     """Both judgements of every example (:func:`.router.judged_answers`), and their flags as structs."""
     flags = lambda: F.struct(*(v.alias(k) for k, v in correctness(F.col("gold"), F.col("answer"), F.col("error"), F.col("semantic_error")).items()))

@@ -5,8 +5,10 @@ Records and answers are JSON texts, one a row; see :mod:`.contracts` for how the
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import contracts as c
 from .rules import Rule, first_broken
@@ -32,23 +34,32 @@ def _object(value: Column, fields: tuple[str, ...], place: str) -> list[Rule]:
     return [("EXPECTED_OBJECT", place, ~c.is_object(value)), *c.closed(value, c.literal(fields), c.literal(fields), place, "INVALID_KEYS", "INVALID_KEYS")]
 
 
-def argument_rules(arguments: Column, place: str) -> list[Rule]:
-    """C11: at most twenty arguments, each a short text, an integer, a flag or null."""
-    values = c.values(arguments)
+def argument_rules(arguments: Column, place: str, given: Column | None = None) -> list[Rule]:
+    """C11: at most twenty arguments, each a short text, an integer, a flag or null; ``given`` is their map of variants, if it is a column already."""
+    given = F.try_variant_get(arguments["v"], "$", "map<string,variant>") if given is None else given
+    names = F.coalesce(F.map_keys(given), F.array().cast("array<string>"))
+    # most arguments are sound by their type alone; the others are opened
+    plain = lambda s, x: s.isin("VOID", "BOOLEAN", "BIGINT") | ((s == "STRING") & F.coalesce(F.length(F.try_variant_get(x, "$", "string")) <= MOST_VALUE, F.lit(False)))
+    sound = F.forall(F.map_values(given), lambda x: c.bound(F.schema_of_variant(x), lambda s: plain(s, x)))
     good = lambda x: c.is_null(x) | c.is_flag(x) | c.is_integer(x) | F.coalesce(F.length(c.text(x)) <= MOST_VALUE, F.lit(False))
     return [
-        ("INVALID_ARGUMENTS", place, ~c.is_object(arguments) | (F.size(c.keys(arguments)) > MOST_ARGUMENTS)),
-        ("INVALID_STRING", place, F.array_contains(c.keys(arguments), "")), ("INVALID_ARGUMENT_VALUE", place, ~F.forall(values, good)),
+        ("INVALID_ARGUMENTS", place, ~c.is_object(arguments) | (F.size(names) > MOST_ARGUMENTS)),
+        ("INVALID_STRING", place, F.array_contains(names, "")), ("INVALID_ARGUMENT_VALUE", place, ~(sound | F.forall(c.values(arguments), good))),
     ]
 
 
 def decision_rules(decision: Column, available: Column, place: str) -> list[Rule]:
     """C11: a decision by itself; the tool must be one of the row's."""
+    return [*_object(decision, DECISION_FIELDS, place), *decision_field_rules(decision, available, place)]
+
+
+def decision_field_rules(decision: Column, available: Column, place: str, given: Column | None = None) -> list[Rule]:
+    """C11: the fields of an object that has all of a decision's and no other; ``given`` as in :func:`argument_rules`."""
     get = lambda f: c.at(decision, f)
     return [
-        *_object(decision, DECISION_FIELDS, place), ("INVALID_ENUM", f"{place}.selected_tool", ~c.is_member(get("selected_tool"), TOOLS)),
+        ("INVALID_ENUM", f"{place}.selected_tool", ~c.is_member(get("selected_tool"), TOOLS)),
         ("TOOL_NOT_AVAILABLE", f"{place}.selected_tool", ~F.coalesce(F.array_contains(available, c.text_at(decision, "selected_tool")), F.lit(False))),
-        *argument_rules(get("arguments"), f"{place}.arguments"), ("INVALID_ENUM", f"{place}.risk_level", ~c.is_member(get("risk_level"), RISKS)),
+        *argument_rules(get("arguments"), f"{place}.arguments", given), ("INVALID_ENUM", f"{place}.risk_level", ~c.is_member(get("risk_level"), RISKS)),
         *(("INVALID_BOOLEAN", f"{place}.{f}", ~c.is_flag(get(f))) for f in FLAGS), ("INVALID_ENUM", f"{place}.expected_result", ~c.is_member(get("expected_result"), RESULTS)),
     ]
 
@@ -134,23 +145,25 @@ def fixture_violations(records: DataFrame, file: str = "path", place: str = "pla
     return worst.select(file, F.col("__worst.found.code").alias("code"), location.alias("location")).unionByName(unread)
 
 
-def last_value_wins(raw: Column) -> Column:
-    """The text of a document with repeated keys as a plain reader takes it; others as they are."""
+@F.pandas_udf(StringType())
+def _with_last_values(texts: pd.Series) -> pd.Series:
+    """Documents as a plain reader writes them again: of a repeated key the last value counts; texts that are none as they are."""
+    import json
 
-    @F.pandas_udf("string")
-    def again(texts):
-        import json
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text))
+        except (ValueError, RecursionError):
+            return text
 
-        def one(text: str | None) -> str | None:
-            try:
-                return None if text is None else json.dumps(json.loads(text))
-            except (ValueError, RecursionError):
-                return text
+    return texts.map(one)
 
-        return texts.map(one)
+
+def last_value_wins(raw: Column) -> Column:
+    """The text of a document with repeated keys as a plain reader takes it; others as they are."""
 
     refused = ~c.is_strict(raw)
-    return F.when(refused, again(F.when(refused, raw))).otherwise(raw)
+    return F.when(refused, _with_last_values(F.when(refused, raw))).otherwise(raw)
 
 
 def visible(record: Column) -> Column:
@@ -231,18 +244,25 @@ def judged_answers(gold: DataFrame, answers: DataFrame, key: str = "example_id",
     ``gold`` holds records (variant), ``answers`` texts; the decisions come out opened (:func:`.contracts.opened`).  Records without an answer and answers without a record
     are MODEL_OUTPUT_ID_MISMATCH, an answer that is null INVALID_RAW_OUTPUT.
     """
-    joined = gold.select(key, F.col(record).alias("__record"), F.lit(True).alias("__gold")).join(answers.select(key, F.col(output).alias("__raw"), F.lit(True).alias("__given")), key, "full_outer")
-    parts = joined.withColumns({"__record": c.opened(F.col("__record")), "__last": last_value_wins(F.col("__raw"))}).withColumn("__answer", c.document("__last"))
-    parts = parts.withColumns({"gold": c.opened(c.at(F.col("__record"), "decision")["v"]), "answer": c.opened(F.col("__answer")), "tools": c.strings(c.at(F.col("__record"), "available_tools"))})
+    of = lambda field, kind: F.try_variant_get(F.col(record), f"$.{field}", kind)
+    records = gold.select(key, of("decision", "variant").alias("__decision"), of("available_tools", "array<string>").alias("__tools"), F.when(F.schema_of_variant(of("category", "variant")) == "STRING", of("category", "string")).alias("category"), F.lit(True).alias("__gold"))
+    read = c.with_document(answers.select(key, F.col(output).alias("__raw")), "__raw", "__parsed")
+    given = read.select(key, "__parsed", F.when(F.col("__parsed").isNull(), F.col("__raw")).alias("__refused"), F.col("__raw").isNotNull().alias("__given"))
+    # a text is parsed once; Python sees the refused ones alone, and what it gives is parsed instead
+    both = records.join(given, key, "full_outer").withColumn("__again", _with_last_values("__refused"))
+    both = c.with_document(both, "__again", "__reread").withColumn("__answer", F.coalesce("__parsed", "__reread"))
+    parts = both.withColumns({"__keys": F.map_keys(F.try_variant_get("__answer", "$", "map<string,variant>")), "__arguments": F.try_variant_get("__answer", "$.arguments", "map<string,variant>")})
+    parts = c.with_opened_fields(c.with_opened_fields(parts, "__decision", DECISION_FIELDS, "gold"), "__answer", DECISION_FIELDS, "answer")
     fields = c.literal(DECISION_FIELDS)
-    other_keys = (F.size(F.array_except(fields, c.keys(F.col("answer")))) > 0) | (F.size(F.array_except(c.keys(F.col("answer")), fields)) > 0)
+    other_keys = (F.size("__keys") != len(DECISION_FIELDS)) | (F.size(F.array_except(fields, F.col("__keys"))) > 0)
     error = first_rule(
-        ("MODEL_OUTPUT_ID_MISMATCH", F.col("__gold").isNull() | F.col("__given").isNull()), ("INVALID_RAW_OUTPUT", F.col("__raw").isNull()), ("MALFORMED_MODEL_JSON", F.col("answer").isNull()),
+        ("MODEL_OUTPUT_ID_MISMATCH", F.col("__gold").isNull() | F.col("__given").isNull()), ("INVALID_RAW_OUTPUT", ~F.col("__given")), ("MALFORMED_MODEL_JSON", F.col("answer").isNull()),
         ("MODEL_OUTPUT_NOT_OBJECT", ~c.is_object(F.col("answer"))), ("MODEL_OUTPUT_INVALID_KEYS", other_keys),
     )
-    out = parts.withColumn("error", F.coalesce(error, first_broken(decision_rules(F.col("answer"), F.col("tools"), "$"))["code"]))
+    rules = decision_field_rules(F.col("answer"), F.col("__tools"), "$", F.col("__arguments"))
+    out = parts.withColumn("error", F.coalesce(error, first_broken(rules)["code"]))
     sound = F.when(F.col("error").isNull(), F.col("answer"))
-    return out.select(key, "gold", c.text_at(F.col("__record"), "category").alias("category"), sound.alias("answer"), "error", F.when(F.col("error").isNull(), semantic_error(F.col("answer"))).alias("semantic_error"))
+    return out.select(key, "gold", "category", sound.alias("answer"), "error", F.when(F.col("error").isNull(), semantic_error(F.col("answer"))).alias("semantic_error"))
 
 
 def answer_report(judged: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import generate, grounding, isolation, manifests, remediation, score
+from ..sources.scratch import written_once
 from .contracts import Defect, defects_sql, with_defect
 from .registry import query, spread, table
 from .router import ANSWERED_SQL, judged
@@ -155,8 +156,10 @@ COMPARED_SQL = f"""{ANSWERED_SQL}, c as (
 
 
 def both_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = judged(spark, sf_dir)
-    return remediation.compared(one, one.withColumn("example_id", F.col("example_id") - 75), "example_id")
+    # judged once: the flags alone are written, and meet themselves
+    flags = written_once(remediation.flagged(judged(spark, sf_dir), "example_id"), "judged")
+    candidate = flags.select((F.col("example_id") - 75).alias("example_id"), F.col("flags").alias("candidate"))
+    return flags.select("example_id", F.col("flags").alias("reference")).join(candidate, "example_id")
 
 
 @query(f"with {COMPARED_SQL} select example_id, dimension, case when reference then 'regression' else 'improvement' end as event from c where reference <> candidate")

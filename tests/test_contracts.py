@@ -256,3 +256,15 @@ def test_fixture_of_more_records_than_a_file_holds(spark, tmp_path):
     k = F.col("id")
     spark.range(1, 1201).select(k.alias("s_suppkey"), (k % 1).cast("int").alias("s_nationkey"), F.when(k == 1150, 10.0).otherwise(2000.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
     assert [tuple(r) for r in fixture_files(spark, str(tmp_path)).collect()] == [(0, "INVALID_ENUM", "$[1149].category")]
+
+
+def test_an_answer_is_parsed_once_and_python_sees_what_is_refused(spark):
+    decision = {"selected_tool": "file_read", "arguments": {"a\n": 'q"\\', "n": None}, "risk_level": "low", "requires_approval": False, "should_reject": False, "should_fallback": False, "expected_result": "tool_candidate"}
+    record = json.dumps({"available_tools": ["file_read", 5], "category": "approval", "decision": decision})
+    texts = [json.dumps(decision), json.dumps(decision).replace("{", '{"risk_level": "none", ', 1), json.dumps({**decision, "arguments": {"n": 10**20, "x": 1.5}}), json.dumps({**decision, "arguments": {"": 1}}), "[]", None, json.dumps(decision)[:-1], json.dumps({**decision, "selected_tool": 5})]
+    gold = spark.createDataFrame([(k, record) for k in range(len(texts))], "example_id int, raw string").select("example_id", contracts.document("raw").alias("record"))
+    judged = router.judged_answers(gold, spark.createDataFrame(list(enumerate(texts)), "example_id int, raw_output string"))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") <= 3  # the record, the answer, and what Python gave instead of a refused one
+    found = [(r.error, r.hits) for r in judged.select("example_id", "error", (contracts.at(F.col("answer"), "arguments")["json"] == contracts.at(F.col("gold"), "arguments")["json"]).alias("hits")).orderBy("example_id").collect()]
+    assert found == [(None, True), (None, True), ("INVALID_ARGUMENT_VALUE", None), ("INVALID_STRING", None), ("MODEL_OUTPUT_NOT_OBJECT", None), ("INVALID_RAW_OUTPUT", None), ("MALFORMED_MODEL_JSON", None), ("INVALID_ENUM", None)]
