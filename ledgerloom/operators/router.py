@@ -215,11 +215,13 @@ def compiled_decisions(predictions: DataFrame, key: str, raw: str) -> DataFrame:
 
     key, code, location, selected_tool, arguments (JSON), risk_level, requires_approval, should_reject, should_fallback, expected_result; a refused one has its code alone.
     """
-    judged = c.judged(predictions, [key], raw, "$", compiler_rules).withColumnRenamed(key, "__key")
-    parts = predictions.select(key, c.opened(c.document(raw)).alias("__decision")).join(judged, F.col(key).eqNullSafe(F.col("__key")))
-    of, sound = F.col("__decision"), F.col("code").isNull()
-    fields = [c.text_at(of, "selected_tool").alias("selected_tool"), c.at(of, "arguments")["json"].alias("arguments"), c.text_at(of, "risk_level").alias("risk_level"), *compiled(c.text_at(of, "selected_tool"), c.is_true(c.at(of, "requires_approval")))]
-    return parts.select(key, "code", "location", F.when(sound, F.struct(*fields)).alias("__made")).select(key, "code", "location", "__made.*")
+    def made(of: Column) -> list[Column]:
+        fields = [c.text_at(of, "selected_tool").alias("selected_tool"), c.at(of, "arguments")["json"].alias("arguments"), c.text_at(of, "risk_level").alias("risk_level"), *compiled(c.text_at(of, "selected_tool"), c.is_true(c.at(of, "requires_approval")))]
+        return [F.struct(*fields).alias("__made")]
+
+    # judged and compiled in one row: nothing is joined, so keys may repeat and no task sorts documents
+    judged = c.judged(predictions, [key], raw, "$", compiler_rules, also=made)
+    return judged.select(key, "code", "location", F.when(F.col("code").isNull(), F.col("__made")).alias("__made")).select(key, "code", "location", "__made.*")
 
 
 def semantic_error(answer: Column) -> Column:

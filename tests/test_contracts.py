@@ -268,3 +268,11 @@ def test_an_answer_is_parsed_once_and_python_sees_what_is_refused(spark):
     assert plan.count("parseJson") <= 3  # the record, the answer, and what Python gave instead of a refused one
     found = [(r.error, r.hits) for r in judged.select("example_id", "error", (contracts.at(F.col("answer"), "arguments")["json"] == contracts.at(F.col("gold"), "arguments")["json"]).alias("hits")).orderBy("example_id").collect()]
     assert found == [(None, True), (None, True), ("INVALID_ARGUMENT_VALUE", None), ("INVALID_STRING", None), ("MODEL_OUTPUT_NOT_OBJECT", None), ("INVALID_RAW_OUTPUT", None), ("MALFORMED_MODEL_JSON", None), ("INVALID_ENUM", None)]
+
+
+def test_decisions_of_one_key_are_compiled_one_by_one(spark):
+    decision = {"selected_tool": "file_read", "arguments": {}, "risk_level": "low", "requires_approval": True, "should_reject": 0, "should_fallback": 0, "expected_result": 0}
+    rows = [(1, json.dumps(decision)), (1, json.dumps({**decision, "selected_tool": "reject_request"})), (None, json.dumps(decision)), (2, "{")]
+    found = router.compiled_decisions(spark.createDataFrame(rows, "k int, raw string"), "k", "raw")
+    assert sorted((str(r.k), r.code, r.expected_result) for r in found.collect()) == [("1", None, "approval_required"), ("1", None, "rejection"), ("2", "MALFORMED_JSON", None), ("None", None, "approval_required")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
