@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..sources.scratch import written_once
-from .contracts import document, parse_code
+from .contracts import document, parse_code, with_document
 
 #: Levels that one plan takes apart; the rows of deeper documents are written in between, so that no plan grows with its data.
 LEVELS = 16
@@ -31,6 +31,10 @@ def _fields(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def _key(name: Column) -> Column:
+    return F.substr(name, F.lit(2))
+
+
 def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
@@ -38,7 +42,7 @@ def _items(v: Column) -> Column:
 def _written(v: Column) -> Column:
     """A leaf as JSON: an empty list or object, a string, a literal or number; equal numbers alike, integers of any length kept."""
     said = F.try_variant_get(v, "$", "string")
-    own = F.substr(said, F.lit(2))
+    own = F.when(F.startswith(said, F.lit("s")), F.substr(said, F.lit(2))).otherwise(said)
     number = F.when(own.rlike("[.eE]"), own.try_cast("double").cast("string")).when(own == "-0", "0").otherwise(own)
     plain = F.when(F.startswith(own, F.lit("t")) | F.startswith(own, F.lit("f")) | (own == "null"), own).otherwise(number)
     quoted = F.regexp_extract(F.to_json(F.struct(own.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
@@ -46,9 +50,17 @@ def _written(v: Column) -> Column:
 
 
 def deepest(df: DataFrame, *raws: Column) -> int:
-    """The depth of the deepest strict document of the columns."""
-    depths = [F.max(F.when(document(raw).isNotNull(), lexical.depth(raw))) for raw in raws]
-    return max((x or 0 for x in df.agg(*(d.alias(f"d{k}") for k, d in enumerate(depths))).first()), default=0)
+    """Levels that hold every strict document of the columns: the depth of the deepest, or up to ``LEVELS``.
+
+    A text's depth is that of its brackets, so each shape is looked at once; only texts of more than ``LEVELS`` are parsed, as those that are no JSON
+    mustn't add levels.
+    """
+    texts = df.select(F.explode(F.array(*raws)).alias("raw")).where("raw is not null").withColumn("shape", lexical.brackets(F.col("raw")))
+    depths = texts.select("shape").distinct().select(lexical.depth(F.col("shape")).alias("d")).agg(F.max("d"), F.max(F.when(F.col("d") <= LEVELS, F.col("d")))).first()
+    if (depths[0] or 0) <= LEVELS:
+        return depths[1] or 0
+    beyond = texts.where(F.length("shape") > 2 * LEVELS).select("raw", lexical.depth(F.col("shape")).alias("d")).where(F.col("d") > LEVELS)
+    return max(depths[1] or 0, beyond.agg(F.max(F.when(document("raw").isNotNull(), F.col("d")))).first()[0] or 0)
 
 
 def _descended(rows: DataFrame, step: Callable[[DataFrame], DataFrame], levels: int) -> DataFrame:
@@ -65,17 +77,19 @@ def leaves(df: DataFrame, key: str, raw: str) -> DataFrame:
     A document that is null or no strict JSON has one row, with its code as the name and null as path and value.
     """
 
-    def children(path: Column, name: Column, v: Column) -> Column:
-        fields, items = _fields(v), _items(v)
-        of_object = F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["key"].alias("name"), e["value"].alias("v")))
+    def children(rows: DataFrame) -> DataFrame:
+        # what a node holds is taken out once, as columns; lambdas that name it would do so again for every child
+        rows = rows.withColumns({"__fields": _fields(F.col("v")), "__items": _items(F.col("v"))})
+        path, name, fields, items = F.col("path"), F.col("name"), F.col("__fields"), F.col("__items")
+        of_object = F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(path, F.lit("."), _key(e["key"])).alias("path"), _key(e["key"]).alias("name"), e["value"].alias("v")))
         of_list = F.transform(items, lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), name.alias("name"), x.alias("v")))
-        itself = F.array(F.struct(path.alias("path"), name.alias("name"), v.alias("v")))
-        return F.when(F.size(fields) > 0, of_object.cast(_NODE)).when(F.size(items) > 0, of_list.cast(_NODE)).otherwise(itself.cast(_NODE))
+        itself = F.array(F.struct(path.alias("path"), name.alias("name"), F.col("v").alias("v")))
+        return rows.select("__key", "__code", F.inline(F.when(F.size(fields) > 0, of_object.cast(_NODE)).when(F.size(items) > 0, of_list.cast(_NODE)).otherwise(itself.cast(_NODE))))
 
-    parsed = df.select(F.col(key).alias("__key"), F.col(raw).alias("__raw"), document(raw).alias("__parsed"))
+    parsed = with_document(df.select(F.col(key).alias("__key"), F.col(raw).alias("__raw")), "__raw", "__parsed")
     code = parse_code("__raw", F.col("__parsed"))
     rows = parsed.select("__key", code.alias("__code"), F.lit("$").alias("path"), F.lit("").alias("name"), F.when(F.col("__parsed").isNotNull(), _tree(F.col("__raw"))).alias("v"))
-    rows = _descended(rows, lambda x: x.select("__key", "__code", F.inline(children(F.col("path"), F.col("name"), F.col("v")))), deepest(df, F.col(raw)))
+    rows = _descended(rows, children, deepest(df, F.col(raw)))
     refused = F.col("__code").isNotNull()
     return rows.select(F.col("__key").alias(key), F.when(~refused, F.col("path")).alias("path"), F.coalesce("__code", "name").alias("name"), F.when(~refused, _written(F.col("v"))).alias("value"))
 
@@ -97,19 +111,22 @@ def changed_paths(pairs: DataFrame, key: str, left: str, right: str) -> DataFram
     or no strict JSON differs at ``$``, unless both have the same text.
     """
 
-    def children(path: Column, a: Column, b: Column) -> Column:
+    def children(rows: DataFrame) -> DataFrame:
+        # as in :func:`leaves`: a lambda that names a node's map would make it again for every key
+        rows = rows.withColumns({f"__{x}{kind}": of(F.col(x)) for x in ("l", "r") for kind, of in (("fields", _fields), ("items", _items))})
+        path, a, b, fa, fb, ia, ib = (F.col(x) for x in ("path", "l", "r", "__lfields", "__rfields", "__litems", "__ritems"))
         one = lambda p, x, y: F.struct(p.alias("path"), x.alias("l"), y.alias("r"))
-        fa, fb, ia, ib = _fields(a), _fields(b), _items(a), _items(b)
         names = F.array_union(F.map_keys(fa), F.map_keys(fb))
-        of_object = F.transform(names, lambda k: one(F.concat(path, F.lit("."), k), F.try_element_at(fa, k), F.try_element_at(fb, k)))
+        of_object = F.transform(names, lambda k: one(F.concat(path, F.lit("."), _key(k)), F.try_element_at(fa, k), F.try_element_at(fb, k)))
         of_list = F.transform(F.arrays_zip(ia.alias("x"), ib.alias("y")), lambda z, i: one(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), z["x"], z["y"]))
         itself = F.array(one(path, a, b))
-        return F.when((F.size(fa) > 0) & (F.size(fb) > 0), of_object.cast(_PAIR)).when((F.size(ia) > 0) & (F.size(ia) == F.size(ib)), of_list.cast(_PAIR)).otherwise(itself.cast(_PAIR))
+        return rows.select("__key", F.inline(F.when((F.size(fa) > 0) & (F.size(fb) > 0), of_object.cast(_PAIR)).when((F.size(ia) > 0) & (F.size(ia) == F.size(ib)), of_list.cast(_PAIR)).otherwise(itself.cast(_PAIR))))
 
     # an object's missing key is SQL null; a document that is no JSON is a string that no leaf is
-    root = lambda raw: F.when(document(raw).isNotNull(), _tree(F.col(raw)))
-    rows = pairs.where(~F.col(left).eqNullSafe(F.col(right))).select(F.col(key).alias("__key"), F.lit("$").alias("path"), root(left).alias("l"), root(right).alias("r"))
-    rows = _descended(rows, lambda x: x.select("__key", F.inline(children(F.col("path"), F.col("l"), F.col("r")))), deepest(pairs, F.col(left), F.col(right)))
+    differ = pairs.where(~F.col(left).eqNullSafe(F.col(right))).select(F.col(key).alias("__key"), F.lit("$").alias("path"), F.col(left).alias("__l"), F.col(right).alias("__r"))
+    read = with_document(with_document(differ, "__l", "__ldocument"), "__r", "__rdocument")
+    root = lambda x: F.when(F.col(f"__{x}document").isNotNull(), _tree(F.col(f"__{x}"))).alias(x)
+    rows = _descended(read.select("__key", "path", root("l"), root("r")), children, deepest(differ, F.col("__l"), F.col("__r")))
     a, b = F.col("l"), F.col("r")
     kinds = lambda v: F.when(_fields(v).isNotNull(), 1).when(_items(v).isNotNull(), 2).otherwise(0)
     container = (kinds(a) > 0) | (kinds(b) > 0)
@@ -117,7 +134,7 @@ def changed_paths(pairs: DataFrame, key: str, left: str, right: str) -> DataFram
     # objects of which one is empty part at the other's keys
     one_sided = (kinds(a) == 1) & (kinds(b) == 1) & ~both_empty
     same = F.when(a.isNull() | b.isNull(), False).when(container, F.coalesce(both_empty, F.lit(False))).otherwise(_equal(a, b))
-    names = F.when(one_sided, F.transform(F.array_union(F.map_keys(_fields(a)), F.map_keys(_fields(b))), lambda k: F.concat(F.col("path"), F.lit("."), k))).otherwise(F.array("path"))
+    names = F.when(one_sided, F.transform(F.array_union(F.map_keys(_fields(a)), F.map_keys(_fields(b))), lambda k: F.concat(F.col("path"), F.lit("."), _key(k)))).otherwise(F.array("path"))
     return rows.where(~same).select(F.col("__key").alias(key), F.explode(names).alias("path"))
 
 

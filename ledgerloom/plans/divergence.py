@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, identity
 from ..functions.text import tokens
 from ..operators import diverge, gates, generate, rules, walk
-from .registry import query, table
+from .registry import query, spread, table
 
 VECTOR_PAIRS_SQL = "p as (select a.vec_id, a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1), c as (select vec_id, unnest(range(len(x))) as pos, unnest(x)::double as l, unnest(y)::double as r from p)"
 
@@ -295,7 +295,7 @@ with v as ({VERSIONS_SQL}), l as (select event_id, t.fullkey as k, t.type as ty,
 select event_id, path from d where not exists (select 1 from d u where u.event_id = d.event_id and (starts_with(d.path, u.path || '.') or starts_with(d.path, u.path || '[')))""")
 def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two nested documents differ; a list of another length is one path, a key that one lacks has nothing below it."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"), "event_id").createOrReplaceTempView("events")
     return walk.changed_paths(spark.sql(VERSIONS_SQL), "event_id", "before", "after")
 
 
@@ -306,6 +306,6 @@ select coalesce(l.event_id, r.event_id) as event_id, coalesce(l.path, r.path) as
 from l full join r on l.event_id = r.event_id and l.path = r.path where before is distinct from after""")
 def changed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of nested documents that changed, against a list of paths that may."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"), "event_id").createOrReplaceTempView("events")
     versions = spark.sql(VERSIONS_SQL)
     return walk.changed_leaves(versions.select("event_id", F.col("before").alias("raw")), versions.select("event_id", F.col("after").alias("raw")), "event_id", "raw", ["$.who.user", "$.cents"])

@@ -149,3 +149,16 @@ def test_first_objects_and_fallbacks(spark):
     objects = ['{"a": "}"} x', 'x{"a": {"b": ["]}"]}} y}', "{", "[1]", 'say "{" {"a": 1}']
     cut = spark.createDataFrame([(t,) for t in objects], "t string").coalesce(1).select(lexical.first_object(F.col("t"))).collect()
     assert [r[0] for r in cut] == ['{"a": "}"}', '{"a": {"b": ["]}"]}}', None, None, '{" {"a": 1}']  # the last one is no JSON
+
+
+def test_scalars_are_tagged_by_two_replacements(spark):
+    raw = r'{"k": "a\" 1", "n" : [1, -2.5e3, true, null, "5", ""], "": {}}'
+    said = spark.range(1).select(lexical.tagged(F.lit(raw)).alias("t"), lexical.brackets(F.lit(raw)).alias("b")).first()
+    assert said.t == r'{"sk": "sa\" 1", "sn" : ["1", "-2.5e3", "true", "null", "s5", "s"], "s": {}}' and said.b == "{[]{}}"
+
+
+def test_levels_are_those_of_strict_documents(spark):
+    deep = "[" * 40
+    texts = [('{"a": [1]}', None), (deep, "{}")]
+    assert walk.deepest(spark.createDataFrame(texts, "l string, r string"), F.col("l"), F.col("r")) <= walk.LEVELS
+    assert walk.deepest(spark.createDataFrame([*texts, (deep + "]" * 40, "{}")], "l string, r string"), F.col("l"), F.col("r")) == 40
