@@ -185,6 +185,40 @@ def test_exact_means_of_any_size(spark):
     assert (found["huge"].n, found["huge"].numerator, found["huge"].denominator) == (40, str(2**63 - 1), "3")
 
 
+def test_exact_means_in_one_pass(spark):
+    rng = random.Random(7)
+    parts = {"short": [(rng.randint(-9, 9), rng.randint(1, 800)) for _ in range(5)], "wide": [(rng.randint(-(2**62), 2**62), rng.randint(2**40, 2**62)) for _ in range(90)], "zero": [(0, 7)] * 3, "none": [None, None]}
+    rows = spark.createDataFrame([(g, p) for g, ps in parts.items() for p in ps], "g string, part struct<n: long, d: long>")
+    for most in (None, 1, 90, 5000):
+        found = {r.g: r for r in grounding.exact_means(rows, "g", "part", {"odd": F.col("part.n") % 2 != 0}, most).collect()}
+        assert found.keys() == parts.keys() and (found["none"].n, found["none"].odd, found["none"].numerator, found["none"].value) == (0, 0, None, None)
+        for g in ("short", "wide", "zero"):
+            mean, r = sum((Fraction(*p) for p in parts[g]), Fraction(0)) / len(parts[g]), found[g]
+            assert (r.n, r.odd) == (len(parts[g]), sum(n % 2 for n, _ in parts[g])) and Fraction(int(r.numerator, 0), int(r.denominator, 0)) == mean and r.value == float(mean)
+
+
+def test_cases_are_joined_with_their_predictions(spark):
+    gold = "named_struct('disposition', 'act', 'tool', 'click', 'arguments', map('n', '1', 'm', '2'), 'ref', 'r', 'bbox', array(0, 0, 10, 10), 'target_id', 'a', 'reason', cast(null as string), 'target_catalog', array(named_struct('target_id', 'a', 'ref', 'r', 'bbox', array(0, 0, 10, 10)), named_struct('target_id', 'b', 'ref', 'q', 'bbox', array(2, 0, 12, 10))))"
+    cases = spark.sql(f"select 's' as suite, id as case_id, 'fused_grounding' as capability, 'none' as perturbation, {gold} as gold from range(3)")
+    said = "named_struct('disposition', 'act', 'tool', 'click', 'arguments', map('m', '2', 'n', '1'), 'ref', 'r', 'bbox', array(int(id), 0, int(id) + 10, 10), 'reason', cast(null as string))"
+    predictions = spark.sql(f"select 's' as suite, id as case_id, {said} as prediction from range(10) where id <> 2")
+    found = {r.case_id: r for r in grounding.scored_cases(cases, predictions, "suite", "case_id").collect()}
+    assert found.keys() == {0, 1, 2}
+    assert found[0].grounding_accuracy.hit and found[0].argument_exact_match.hit and (found[0].box_target, tuple(found[0].overlap)) == ("a", (100, 100))
+    assert not found[1].grounding_accuracy.hit and (found[1].ref_target, found[1].box_target, tuple(found[1].overlap)) == ("a", None, (90, 110)) and found[1].tool_accuracy.hit
+    assert not found[2].action_accuracy.hit and (found[2].ref_target, found[2].box_target, tuple(found[2].overlap)) == (None, None, (0, 1)) and found[2].tool_accuracy.of and not found[2].prediction_coordinate_ref_disagreement_rate.of
+
+
+def test_grounding_scores_reads_lines_once(spark, tmp_path):
+    from ledgerloom.plans.grounding import grounding_scores
+
+    spark.sql("select id div 3 as l_orderkey, int(id % 3 + 1) as l_linenumber, id * 7 as l_partkey, id * 5 as l_suppkey from range(60)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = grounding_scores(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    assert found.count() == 20 * 8
+
+
 def test_tree_digests_of_several_levels(spark):
     import hashlib
 
