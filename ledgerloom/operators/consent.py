@@ -18,6 +18,10 @@ TRUE_CONTROLS = ("disabled_by_default", "run_scoped", "separate_adapter", "separ
 FALSE_CONTROLS = ("automatic_runtime_export", "background_capture")
 FORBIDDEN_CONTENT = ("api_keys_or_tokens", "assigned_secret_plaintext", "memory_database", "continuation_data", "cooperative_control_record", "authority_handoff_or_resume_state", "unredacted_sensitive_content")
 NO_AUTHORITY = ("model_output_is_authority", "grants_execution_permission", "runtime_policy_bypass_allowed", "runner_mcp_desktop_bypass_allowed")
+PART_FIELDS = {
+    "operator_action": ("granted_at_utc", "expires_at_utc", "visible_indicator_acknowledged"), "scope": ("data_classes", "purposes", "application_scope", "network_upload_allowed"), "capture_controls": (*TRUE_CONTROLS, *FALSE_CONTROLS),
+    "retention": ("policy_id", "max_days", "delete_by_utc", "operator_delete_on_request"), "forbidden_content": FORBIDDEN_CONTENT, "authority": (*NO_AUTHORITY, "state_verifier_required"),
+}
 IDENTIFIER, DIGEST = "[a-z0-9][a-z0-9._-]{0,127}", "sha256:[0-9a-f]{64}"
 MOST_DAYS, MOST_ARGUMENTS, MOST_TEXT = 90, 20, 4096
 RISKS = ("low", "medium", "high", "critical")
@@ -51,8 +55,10 @@ def _time(value: Column, field: str, place: str) -> tuple[Column, list[Rule]]:
 
 def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent", version_field: str = "consent_version") -> list[Rule]:
     """A grant with a window, a scope without wildcards, control sets, and a retention window inside what it grants."""
+    fields = (version_field, "consent_id", "session_id", "decision", *PART_FIELDS)
+    consent = scope.open(consent, fields)
     get = lambda f: c.at(consent, f)
-    operator, granted_scope, controls, retention, forbidden, authority = (scope.open(get(f)) for f in ("operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"))
+    operator, granted_scope, controls, retention, forbidden, authority = (scope.open(get(f), names) for f, names in PART_FIELDS.items())
     granted, is_granted = _time(operator, "granted_at_utc", f"{place}.operator_action")
     expires, is_expiry = _time(operator, "expires_at_utc", f"{place}.operator_action")
     delete_by, is_deletion = _time(retention, "delete_by_utc", f"{place}.retention")
@@ -60,17 +66,17 @@ def consent_rules(consent: Column, scope: c.Scope, place: str = "$.consent", ver
     listed = lambda f, values: [("INVALID_VALUE", f"{place}.scope.{f}", ~F.coalesce(c.strings(c.at(granted_scope, f)) == F.array(*map(F.lit, values)), F.lit(False)))]
     days = c.number_at(retention, "max_days")
     return [
-        *_object(consent, (version_field, "consent_id", "session_id", "decision", "operator_action", "scope", "capture_controls", "retention", "forbidden_content", "authority"), place),
+        *_object(consent, fields, place),
         ("UNSUPPORTED_VERSION", f"{place}.{version_field}", ~c.is_exactly(get(version_field), 1)), *_named(consent, "consent_id", place), *_named(consent, "session_id", place), ("VALUE_MISMATCH", f"{place}.decision", ~c.is_exactly(get("decision"), "granted")),
-        *_object(operator, ("granted_at_utc", "expires_at_utc", "visible_indicator_acknowledged"), f"{place}.operator_action"), *is_granted, *is_expiry, *_flags(operator, ["visible_indicator_acknowledged"], [], f"{place}.operator_action"), ("INVALID_CONSENT_WINDOW", f"{place}.operator_action", expires <= granted),
-        *_object(granted_scope, ("data_classes", "purposes", "application_scope", "network_upload_allowed"), f"{place}.scope"), *listed("data_classes", DATA_CLASSES), *listed("purposes", PURPOSES),
+        *_object(operator, PART_FIELDS["operator_action"], f"{place}.operator_action"), *is_granted, *is_expiry, *_flags(operator, ["visible_indicator_acknowledged"], [], f"{place}.operator_action"), ("INVALID_CONSENT_WINDOW", f"{place}.operator_action", expires <= granted),
+        *_object(granted_scope, PART_FIELDS["scope"], f"{place}.scope"), *listed("data_classes", DATA_CLASSES), *listed("purposes", PURPOSES),
         ("EMPTY_ARRAY", f"{place}.scope.application_scope", F.size(applications) == 0), ("INVALID_STRING", f"{place}.scope.application_scope", ~c.all_texts(c.at(granted_scope, "application_scope"))), ("DUPLICATE_ARRAY_ITEM", f"{place}.scope.application_scope", c.repeats(applications)),
-        ("WILDCARD_SCOPE_FORBIDDEN", f"{place}.scope.application_scope", F.exists(applications, lambda a: a.contains("*") | (F.lower(a) == "all"))), *_flags(granted_scope, [], ["network_upload_allowed"], f"{place}.scope"),
-        *_object(controls, (*TRUE_CONTROLS, *FALSE_CONTROLS), f"{place}.capture_controls"), *_flags(controls, TRUE_CONTROLS, FALSE_CONTROLS, f"{place}.capture_controls"),
-        *_object(retention, ("policy_id", "max_days", "delete_by_utc", "operator_delete_on_request"), f"{place}.retention"), *_named(retention, "policy_id", f"{place}.retention"), ("INVALID_INTEGER", f"{place}.retention.max_days", ~c.is_integer(c.at(retention, "max_days"), 1, MOST_DAYS)),
+        ("WILDCARD_SCOPE_FORBIDDEN", f"{place}.scope.application_scope", F.exists(applications, lambda a: a.rlike(r"\*|\A(?i:all)\z"))), *_flags(granted_scope, [], ["network_upload_allowed"], f"{place}.scope"),
+        *_object(controls, PART_FIELDS["capture_controls"], f"{place}.capture_controls"), *_flags(controls, TRUE_CONTROLS, FALSE_CONTROLS, f"{place}.capture_controls"),
+        *_object(retention, PART_FIELDS["retention"], f"{place}.retention"), *_named(retention, "policy_id", f"{place}.retention"), ("INVALID_INTEGER", f"{place}.retention.max_days", ~c.is_integer(c.at(retention, "max_days"), 1, MOST_DAYS)),
         *is_deletion, *_flags(retention, ["operator_delete_on_request"], [], f"{place}.retention"), ("INVALID_RETENTION_WINDOW", f"{place}.retention", (delete_by < expires) | (delete_by > granted + F.make_dt_interval(days.try_cast("int")))),
         *_object(forbidden, FORBIDDEN_CONTENT, f"{place}.forbidden_content"), *_flags(forbidden, FORBIDDEN_CONTENT, [], f"{place}.forbidden_content"),
-        *_object(authority, (*NO_AUTHORITY, "state_verifier_required"), f"{place}.authority"), *_flags(authority, ["state_verifier_required"], NO_AUTHORITY, f"{place}.authority"),
+        *_object(authority, PART_FIELDS["authority"], f"{place}.authority"), *_flags(authority, ["state_verifier_required"], NO_AUTHORITY, f"{place}.authority"),
     ]
 
 
@@ -92,13 +98,14 @@ def action_rules(action: Column, scope: c.Scope, roles: Column, before: Column,
 
     ``roles``: role by artifact id; ``before``: ids seen before the action; ``tools``: struct(supports_bbox, supports_ref) by name.
     """
+    action = scope.open(action, ACTION_FIELDS)
     get = lambda f: c.at(action, f)
     tool, box, ref = c.text_at(action, "next_tool"), ~c.is_null(get("bbox")), ~c.is_null(get("ref"))
     chosen = scope.keep(F.try_element_at(tools, tool))
     reject, fallback = c.is_true(get("should_reject")), c.is_true(get("should_fallback"))
     refs = scope.keep(c.strings(get("evidence_refs")))
     role = lambda wanted: F.exists(refs, lambda r: F.try_element_at(roles, r).isin(*wanted))
-    n = F.transform(c.items_at(action, "bbox"), lambda x: F.when(c.is_integer(x, 0), x["json"].cast("bigint")))
+    n = F.transform(c.items_at(action, "bbox"), lambda x: F.when(c.is_integer(x, 0), x["said"].cast("bigint")))
     good_box = F.coalesce((F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull()) & (F.get(n, F.lit(2)) > F.get(n, F.lit(0))) & (F.get(n, F.lit(3)) > F.get(n, F.lit(1))), F.lit(False))
     values = c.values(get("arguments"))
     long = lambda x: F.coalesce(F.length(c.text(x)) > MOST_TEXT, F.lit(False))
@@ -106,11 +113,11 @@ def action_rules(action: Column, scope: c.Scope, roles: Column, before: Column,
     return [
         *_object(action, ACTION_FIELDS, place), ("UNKNOWN_ARTIFACT_REF", f"{place}.record_ref", ~F.map_contains_key(roles, c.text_at(action, "record_ref"))),
         ("ARTIFACT_ROLE_MISMATCH", f"{place}.record_ref", ~F.try_element_at(roles, c.text_at(action, "record_ref")).eqNullSafe(F.lit("model_candidate_action"))), ("UNAVAILABLE_TOOL", f"{place}.next_tool", ~c.is_null(get("next_tool")) & chosen.isNull()),
-        ("EXPECTED_OBJECT", f"{place}.arguments", ~c.is_object(get("arguments"))), ("TOO_MANY_ARGUMENTS", f"{place}.arguments", F.size(c.keys(get("arguments"))) > MOST_ARGUMENTS), ("INVALID_ARGUMENT_VALUE", f"{place}.arguments", F.exists(values, lambda x: c.is_object(x) | c.is_list(x) | long(x))),
+        ("EXPECTED_OBJECT", f"{place}.arguments", ~c.is_object(get("arguments"))), ("TOO_MANY_ARGUMENTS", f"{place}.arguments", F.size(c.keys_of(get("arguments"))) > MOST_ARGUMENTS), ("INVALID_ARGUMENT_VALUE", f"{place}.arguments", F.exists(values, lambda x: c.is_object(x) | c.is_list(x) | long(x))),
         ("INVALID_BBOX", f"{place}.bbox", box & ~good_box), ("INVALID_STRING", f"{place}.ref", ref & ~c.is_text(get("ref"))), ("INVALID_ENUM", f"{place}.risk_level", ~c.is_member(get("risk_level"), RISKS)),
         *(("EXPECTED_BOOLEAN", f"{place}.{f}", ~c.is_flag(get(f))) for f in ("requires_approval", "should_reject", "should_fallback")), ("INVALID_CONFIDENCE", f"{place}.confidence", ~c.is_number(get("confidence"), 0, 1)),
         *evidence_rules(refs, roles, f"{place}.evidence_refs"), ("CANDIDATE_EVIDENCE_NOT_PRE_OBSERVATION", f"{place}.evidence_refs", outside(refs, before)), ("VALUE_MISMATCH", f"{place}.execution_authority", ~c.is_exactly(get("execution_authority"), "none")),
-        ("INVALID_CANDIDATE_MODE", place, reject & fallback), ("TERMINAL_ACTION_HAS_EXECUTION_FIELDS", place, terminal & (tool.isNotNull() | (F.size(c.keys(get("arguments"))) > 0) | box | ref)), ("TERMINAL_ACTION_REQUIRES_APPROVAL", place, terminal & c.is_true(get("requires_approval"))),
+        ("INVALID_CANDIDATE_MODE", place, reject & fallback), ("TERMINAL_ACTION_HAS_EXECUTION_FIELDS", place, terminal & (tool.isNotNull() | (F.size(c.keys_of(get("arguments"))) > 0) | box | ref)), ("TERMINAL_ACTION_REQUIRES_APPROVAL", place, terminal & c.is_true(get("requires_approval"))),
         ("ACTION_TOOL_REQUIRED", f"{place}.next_tool", ~terminal & chosen.isNull()), ("BBOX_NOT_SUPPORTED", f"{place}.bbox", box & ~F.coalesce(chosen["supports_bbox"], F.lit(False))), ("BBOX_IMAGE_EVIDENCE_REQUIRED", f"{place}.evidence_refs", box & ~role([IMAGE_ROLE])),
         ("REF_NOT_SUPPORTED", f"{place}.ref", ref & ~F.coalesce(chosen["supports_ref"], F.lit(False))), ("REF_TEXT_EVIDENCE_REQUIRED", f"{place}.evidence_refs", ref & ~role(TEXT_ROLES)),
     ]
@@ -118,11 +125,13 @@ def action_rules(action: Column, scope: c.Scope, roles: Column, before: Column,
 
 def verifier_rules(verifier: Column, scope: c.Scope, roles: Column, after: Column, place: str = "$.verifier") -> list[Rule]:
     """A state-based label whose evidence holds all that was seen after the action, and the verifier's own."""
+    fields = ("source", "label", "evidence_refs", "model_self_report_used")
+    verifier = scope.open(verifier, fields)
     get = lambda f: c.at(verifier, f)
     refs = scope.keep(c.strings(get("evidence_refs")))
     own = F.exists(refs, lambda r: F.try_element_at(roles, r).eqNullSafe(F.lit("state_verifier_evidence")))
     return [
-        *_object(verifier, ("source", "label", "evidence_refs", "model_self_report_used"), place), ("VALUE_MISMATCH", f"{place}.source", ~c.is_exactly(get("source"), "state_based")), ("INVALID_ENUM", f"{place}.label", ~c.is_member(get("label"), ("success", "failure", "unknown"))),
+        *_object(verifier, fields, place), ("VALUE_MISMATCH", f"{place}.source", ~c.is_exactly(get("source"), "state_based")), ("INVALID_ENUM", f"{place}.label", ~c.is_member(get("label"), ("success", "failure", "unknown"))),
         *evidence_rules(refs, roles, f"{place}.evidence_refs"), ("VERIFIER_EVIDENCE_INCOMPLETE", f"{place}.evidence_refs", outside(after, refs) | ~own), *_flags(verifier, [], ["model_self_report_used"], place),
     ]
 

@@ -29,7 +29,8 @@ def _at(place: str, i: Column, field: str = "") -> Column:
 
 def family_rules(manifest: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
     """A5: versions, digest, families with distinct ids, and examples that are their split's and no other family's."""
-    families = scope.open_items(c.at(manifest, "families"))
+    manifest = scope.open(manifest, MANIFEST_FIELDS)
+    families = scope.open_items(c.at(manifest, "families"), FAMILY_FIELDS)
     ids = scope.keep(F.transform(families, lambda f: c.text_at(f, "family_id")))
     examples = scope.keep(F.transform(families, lambda f: F.coalesce(c.strings(c.at(f, "example_ids")), F.array().cast("array<string>"))))
     root = f"{place}.families"
@@ -53,10 +54,11 @@ def family_rules(manifest: Column, scope: c.Scope, place: str = "$") -> list[Rul
 
 def taxonomy_rules(taxonomy: Column, scope: c.Scope, targets: list[str], epoch: int, place: str = "$") -> list[Rule]:
     """One bad case for each repair target, overfitting facts, and a policy of constants."""
-    cases = scope.open_items(c.at(taxonomy, "badcases"))
+    taxonomy = scope.open(taxonomy, TAXONOMY_FIELDS)
+    cases = scope.open_items(c.at(taxonomy, "badcases"), BADCASE_FIELDS)
     ids = scope.keep(F.transform(cases, lambda b: c.text_at(b, "example_id")))
-    root, fit = f"{place}.badcases", scope.open(c.at(taxonomy, "overfitting"))
-    number = lambda f: F.try_variant_get(c.at(fit, f)["v"], "$", "double")
+    root, fit = f"{place}.badcases", scope.open(c.at(taxonomy, "overfitting"), OVERFITTING_FIELDS)
+    number = lambda f: c.double(c.at(fit, f))
     is_number = lambda f: c.is_any_number(c.at(fit, f))
 
     def case(b: Column, i: Column) -> list[Rule]:
@@ -66,7 +68,7 @@ def taxonomy_rules(taxonomy: Column, scope: c.Scope, targets: list[str], epoch:
             ("INVALID_REPAIR_TARGET", _at(root, i, "repair_target"), ~c.is_member(c.at(b, "repair_target"), targets)), ("INVALID_FAILURE_CODES", _at(root, i, "failure_codes"), ~c.all_texts(codes) | (F.size(c.strings(codes)) == 0)), ("INVALID_BADCASE_CLASSIFICATION", _at(root, i, "classification"), ~c.is_text(c.at(b, "classification"))),
         ]
 
-    policy = scope.open(c.at(taxonomy, "repair_policy"))
+    policy = scope.open(c.at(taxonomy, "repair_policy"), POLICY)
     as_said = F.lit(True)
     for f, value in POLICY.items():
         as_said &= c.is_true(c.at(policy, f)) if value else c.is_false(c.at(policy, f))
@@ -82,7 +84,7 @@ def taxonomy_rules(taxonomy: Column, scope: c.Scope, targets: list[str], epoch:
 
 def remote_files(listing: Column) -> Column:
     """The files of a remote listing by name: name, size, blob_id, and size and digest of what a pointer stands for."""
-    files = F.transform(F.try_variant_get(listing, "$.siblings", "array<variant>"), c.opened)
+    files = F.transform(F.try_variant_get(listing, "$.siblings", "array<variant>"), lambda f: c.opened(f))
     large = lambda f, path, kind: F.try_variant_get(f["v"], path, kind)
     return F.array_sort(F.transform(files, lambda f: F.struct(
         c.text_at(f, "rfilename").alias("name"), c.number_at(f, "size").try_cast("bigint").alias("size"), c.text_at(f, "blobId").alias("blob_id"),

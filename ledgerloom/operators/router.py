@@ -6,10 +6,11 @@ Records and answers are JSON texts, one a row; see :mod:`.contracts` for how the
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import lexical
 from . import contracts as c
 from .rules import Rule, first_broken
 from .score import confusion, first_rule, ratio
@@ -85,9 +86,9 @@ def invariants(record: Column, state: Column, decision: Column, place: str) -> l
 
 
 def record_rules(record: Column, scope: c.Scope, place: str = "$") -> list[Rule]:
-    """C10."""
+    """C10, of a record opened with its fields."""
     get = lambda f: c.at(record, f)
-    state, decision, tools = scope.open(get("state")), scope.open(get("decision")), scope.keep(c.strings(get("available_tools")))
+    state, decision, tools = scope.open(get("state"), STATE_FIELDS), scope.open(get("decision"), DECISION_FIELDS), scope.keep(c.strings(get("available_tools")))
     failures = c.items_at(state, "tool_failures")
     known = lambda root: lambda x, i: [("INVALID_ENUM", F.concat(F.lit(f"{root}["), i.cast("string"), F.lit("]")), ~c.is_member(x, TOOLS))]
     text = c.text_at(record, "instruction")
@@ -104,18 +105,29 @@ def record_rules(record: Column, scope: c.Scope, place: str = "$") -> list[Rule]
         ("INVALID_TOOL_FAILURES", f"{place}.state.tool_failures", failures.isNull() | (F.size(failures) > len(TOOLS))), *c.nested(c.first_of_items(failures, known(f"{place}.state.tool_failures"))),
         ("INVALID_NONNEGATIVE_INT", f"{place}.state.loop_count", ~c.is_integer(c.at(state, "loop_count"), 0)), ("INVALID_POSITIVE_INT", f"{place}.state.loop_limit", ~c.is_integer(c.at(state, "loop_limit"), 1)),
         ("INVALID_BOOLEAN", f"{place}.state.approval_granted", ~c.is_flag(c.at(state, "approval_granted"))),
-        *decision_rules(decision, tools, f"{place}.decision"), *invariants(record, state, decision, f"{place}.decision"), ("FORBIDDEN_RICH_FIELD", place, c.has_key(record, FORBIDDEN, fold_case=False)),
+        *decision_rules(decision, tools, f"{place}.decision"), *invariants(record, state, decision, f"{place}.decision"), ("FORBIDDEN_RICH_FIELD", place, lexical.may_have_key(scope.raw, FORBIDDEN, fold_case=False) & c.has_key(record, FORBIDDEN, fold_case=False)),
     ]
 
 
 def _judged_records(records: DataFrame, keys: list[str], raw: str) -> DataFrame:
-    """``keys``, found (code and location of the first rule broken, or null) and example_id of each record."""
-    scope = c.Scope(F.col(raw))
-    doc = scope.keep(c.opened(F.col("__parsed")))
+    """``keys``, found (code and location of the first rule broken, or null) and example_id of each record.
+
+    A text is parsed once; Python sees the refused ones alone, and what it gives is parsed instead.
+    """
+    read = c.with_document(records.select(*keys, F.col(raw).alias("__raw")), "__raw", "__strict")
+    again = read.withColumn("__again", _with_last_values(F.when(F.col("__strict").isNull(), F.col("__raw"))))
+    both = c.with_document(again, "__again", "__reread").select(*keys, F.coalesce("__again", "__raw").alias("__last"), F.coalesce("__strict", "__reread").alias("__parsed"))
+    scope = c.Scope(F.col("__last"))
+    doc = scope.open(scope.leaf(F.col("__parsed")), RECORD_FIELDS)
     rules = first_broken(record_rules(doc, scope))
-    parts = scope.applied(records.select(*keys, raw, last_value_wins(F.col(raw)).alias("__last")).withColumn("__parsed", c.document("__last")))
     found = F.when(F.col("__parsed").isNull(), F.struct(F.lit("MALFORMED_JSON").alias("code"), F.lit("$").alias("location"))).otherwise(rules)
-    return parts.select(*keys, found.alias("found"), c.text_at(doc, "example_id").alias("example_id"))
+    # a filter on the id stays above the generator, so the document isn't made once more in its condition
+    return scope.applied(both).select(*keys, F.inline_outer(F.array(F.struct(found.alias("found"), c.text_at(doc, "example_id").alias("example_id")))))
+
+
+def _first_of_id(group: list[str], key: str) -> Column:
+    """The first key of the rows with the same example_id (in the same ``group``); rows without one are spread by their own key."""
+    return F.min(key).over(Window.partitionBy(*group, "example_id", F.when(F.col("example_id").isNull(), F.col(key))))
 
 
 def record_violations(records: DataFrame, key: str, raw: str) -> DataFrame:
@@ -123,10 +135,9 @@ def record_violations(records: DataFrame, key: str, raw: str) -> DataFrame:
 
     Every ``example_id`` but the first by ``key`` is DUPLICATE_EXAMPLE_ID.  A key that a document has twice counts with its last value, as records are read without that check.
     """
-    judged = _judged_records(records, [key], raw)
-    first = judged.groupBy("example_id").agg(F.min(key).alias("__first"))
-    again = F.when(F.col(key) != F.col("__first"), F.struct(F.lit("DUPLICATE_EXAMPLE_ID").alias("code"), F.lit("$.example_id").alias("location")))
-    return judged.join(first, "example_id", "left").select(key, F.coalesce("found", again).alias("found")).select(key, "found.code", "found.location")
+    judged = _judged_records(records, [key], raw).withColumn("__first", _first_of_id([], key))
+    again = F.when(F.col("example_id").isNotNull() & (F.col(key) != F.col("__first")), F.struct(F.lit("DUPLICATE_EXAMPLE_ID").alias("code"), F.lit("$.example_id").alias("location")))
+    return judged.select(key, F.coalesce("found", again).alias("found")).select(key, "found.code", "found.location")
 
 
 def fixture_violations(records: DataFrame, file: str = "path", place: str = "place", raw: str = "raw", code: str = "code") -> DataFrame:
@@ -135,11 +146,9 @@ def fixture_violations(records: DataFrame, file: str = "path", place: str = "pla
     A file that couldn't be read has its own code; of its records the first by place counts, and in it the rules come before a repeated example_id.
     """
     unread = records.where(F.col(code).isNotNull()).select(file, F.col(code).alias("code"), F.lit("$").alias("location"))
-    judged = _judged_records(records.where(F.col(code).isNull()), [file, place], raw)
-    first = judged.where(F.col("example_id").isNotNull()).groupBy(F.col(file).alias("__file"), F.col("example_id").alias("__id")).agg(F.min(place).alias("__first"))
-    same = (F.col(file) == F.col("__file")) & (F.col("example_id") == F.col("__id"))
-    again = F.when(F.col(place) > F.col("__first"), F.struct(F.lit("DUPLICATE_EXAMPLE_ID").alias("code"), F.lit("$.example_id").alias("location")))
-    told = judged.join(first, same, "left").select(file, place, F.coalesce("found", again).alias("found"))
+    judged = _judged_records(records.where(F.col(code).isNull()), [file, place], raw).withColumn("__first", _first_of_id([file], place))
+    again = F.when(F.col("example_id").isNotNull() & (F.col(place) > F.col("__first")), F.struct(F.lit("DUPLICATE_EXAMPLE_ID").alias("code"), F.lit("$.example_id").alias("location")))
+    told = judged.select(file, place, F.coalesce("found", again).alias("found"))
     worst = told.groupBy(file).agg(F.min(F.when(F.col("found").isNotNull(), F.struct(F.col(place).alias("at"), "found"))).alias("__worst"))
     location = F.concat(F.lit("$["), F.col("__worst.at").cast("string"), F.lit("]"), F.substr("__worst.found.location", F.lit(2)))
     return worst.select(file, F.col("__worst.found.code").alias("code"), location.alias("location")).unionByName(unread)
@@ -159,13 +168,6 @@ def _with_last_values(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def last_value_wins(raw: Column) -> Column:
-    """The text of a document with repeated keys as a plain reader takes it; others as they are."""
-
-    refused = ~c.is_strict(raw)
-    return F.when(refused, _with_last_values(F.when(refused, raw))).otherwise(raw)
-
-
 def visible(record: Column) -> Column:
     """What a model may see of a record: neither category nor split nor decision."""
     fields = ("available_tools", "instruction", "state")
@@ -200,8 +202,8 @@ def compiled(selected_tool: Column, requires_approval: Column) -> list[Column]:
     return [approval.alias("requires_approval"), (selected_tool == "reject_request").alias("should_reject"), (selected_tool == "fallback_to_strong_model").alias("should_fallback"), F.coalesce(result, F.when(approval, "approval_required"), F.lit("tool_candidate")).alias("expected_result")]
 
 
-def compiler_rules(decision: Column, scope: c.Scope) -> list[Rule]:
-    """What a decision must have for its flags to be derived."""
+def compiler_rules(decision: Column) -> list[Rule]:
+    """What a decision (opened with its fields) must have for its flags to be derived."""
     other = (F.size(F.array_except(c.literal(DECISION_FIELDS), c.keys(decision))) > 0) | (F.size(F.array_except(c.keys(decision), c.literal(DECISION_FIELDS))) > 0)
     get = lambda f: c.at(decision, f)
     return [
@@ -215,12 +217,20 @@ def compiled_decisions(predictions: DataFrame, key: str, raw: str) -> DataFrame:
 
     key, code, location, selected_tool, arguments (JSON), risk_level, requires_approval, should_reject, should_fallback, expected_result; a refused one has its code alone.
     """
-    def made(of: Column) -> list[Column]:
-        fields = [c.text_at(of, "selected_tool").alias("selected_tool"), c.at(of, "arguments")["json"].alias("arguments"), c.text_at(of, "risk_level").alias("risk_level"), *compiled(c.text_at(of, "selected_tool"), c.is_true(c.at(of, "requires_approval")))]
-        return [F.struct(*fields).alias("__made")]
+    parts: list[Column] = []
+
+    def rules(doc: Column, scope: c.Scope) -> list[Rule]:
+        parts.append(scope.open(doc, DECISION_FIELDS))
+        return compiler_rules(parts[0])
+
+    def made() -> list[Column]:
+        of = parts[0]
+        tool = c.text_at(of, "selected_tool")
+        fields = {"selected_tool": tool, "arguments": c.json_of(c.at(of, "arguments")), "risk_level": c.text_at(of, "risk_level"), **dict(zip(("requires_approval", "should_reject", "should_fallback", "expected_result"), compiled(tool, c.is_true(c.at(of, "requires_approval"))), strict=True))}
+        return [F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value))).alias("__made")]
 
     # judged and compiled in one row: nothing is joined, so keys may repeat and no task sorts documents
-    judged = c.judged(predictions, [key], raw, "$", compiler_rules, also=made)
+    judged = c.judged(predictions, [key], raw, "$", rules, also=made)
     return judged.select(key, "code", "location", F.when(F.col("code").isNull(), F.col("__made")).alias("__made")).select(key, "code", "location", "__made.*")
 
 

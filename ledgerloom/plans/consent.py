@@ -93,7 +93,7 @@ GOVERNANCE_DEFECTS: list[Defect] = [
 def governance_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governance fields have the one value that each may have."""
     rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", with_defect(GOVERNANCE, GOVERNANCE_DEFECTS, F.col("o_orderkey")).alias("raw"))
-    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.constant_rules(doc, consent.GOVERNANCE, Q))
+    return grounding.document_violations(rows, ["o_orderkey"], "raw", lambda doc, scope: consent.constant_rules(scope.open(doc, consent.GOVERNANCE), consent.GOVERNANCE, Q))
 
 
 @query("""

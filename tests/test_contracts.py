@@ -310,3 +310,37 @@ def test_decisions_of_one_key_are_compiled_one_by_one(spark):
     found = router.compiled_decisions(spark.createDataFrame(rows, "k int, raw string"), "k", "raw")
     assert sorted((str(r.k), r.code, r.expected_result) for r in found.collect()) == [("1", None, "approval_required"), ("1", None, "rejection"), ("2", "MALFORMED_JSON", None), ("None", None, "approval_required")]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_write_no_value_as_json_again(spark):
+    from ledgerloom.operators import consent, exports, grounding, manifests
+    from ledgerloom.plans import contracts as made
+
+    rows = spark.createDataFrame([(0, "{}")], "k int, raw string")
+    judged = [
+        exports.run_violations(rows, "k", "raw", F.lit(made.DIGEST)), grounding.document_violations(rows, ["k"], "raw", consent.consent_rules),
+        grounding.document_violations(rows, ["k"], "raw", lambda doc, scope: manifests.taxonomy_rules(doc, scope, ["a"], 1)), router.record_violations(rows, "k", "raw"),
+    ]
+    for df in judged:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("to_json") <= 12  # where a rule is about the size or a key of a part
+
+
+def test_a_digest_of_digits_is_no_long_number(spark):
+    from ledgerloom.functions import lexical
+
+    long, far = "9" * 46, "1e999"
+    texts = ['{"a": "sha256:%s"}' % ("0" * 64), '{"a": "%s"}' % ("ab3e45" * 9), '{"a": %s}' % long, "[-%s]" % long, long, '{"a": [1, %s\n]}' % far, far, '{"a": 1.5E+0400}']
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    rows = df.select("k", "j", lexical.with_bounded_numbers(F.col("j")).alias("b"), lexical._may_have_unbounded_numbers(F.col("j")).alias("m"), lexical.may_be_nonfinite(F.col("j")).alias("n")).orderBy("k").collect()
+    assert [r.m for r in rows] == [False] * 2 + [True] * 6 and [r.n for r in rows] == [False] * 5 + [True] * 3
+    assert [r.b == r.j for r in rows] == [True] * 2 + [False] * 6
+
+
+def test_records_are_judged_once_to_find_repeated_ids(spark):
+    from ledgerloom.plans import router as made
+
+    texts = [made.RECORD.replace("@id", "7"), made.RECORD.replace("@id", "7"), "{", "{", made.RECORD.replace("@id", "8").replace('"low"', '"tiny"'), made.RECORD.replace("@id", "8"), '{"split": "x", ' + made.RECORD.replace("@id", "9")[1:], None]
+    found = router.record_violations(spark.createDataFrame(list(enumerate(texts)), "k int, raw string"), "k", "raw")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("parseJson") == 2  # the text, and what Python gave instead of a refused one
+    assert [r.code for r in found.orderBy("k").collect()] == [None, "DUPLICATE_EXAMPLE_ID", "MALFORMED_JSON", "MALFORMED_JSON", "INVALID_ENUM", "DUPLICATE_EXAMPLE_ID", None, "MALFORMED_JSON"]
