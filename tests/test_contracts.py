@@ -336,6 +336,15 @@ def test_a_digest_of_digits_is_no_long_number(spark):
     assert [r.b == r.j for r in rows] == [True] * 2 + [False] * 6
 
 
+def test_the_first_object_is_found_at_any_depth(spark):
+    from ledgerloom.functions import lexical
+
+    deep = '{"a": ' + "[" * 20 + "]" * 20 + "}"
+    cases = {'so {"a": "}\\"]", "b": [1, {"c": []}]} and {"d": 1}': '{"a": "}\\"]", "b": [1, {"c": []}]}', f"x {deep} y": deep, '{"a": 1': None, 'none "at all"': None, '{"open: 1}': '{"open: 1}', 'a ] { "x": "\n" }': '{ "x": "\n" }'}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", lexical.first_object(F.col("t")).alias("o")).collect()
+    assert {r.t: r.o for r in rows} == cases
+
+
 def test_records_are_judged_once_to_find_repeated_ids(spark):
     from ledgerloom.plans import router as made
 
