@@ -71,7 +71,7 @@ def invariants(record: Column, state: Column, decision: Column, place: str) -> l
     flag = lambda f: c.is_true(c.at(decision, f))
     tool, result = c.text_at(decision, "selected_tool"), c.text_at(decision, "expected_result")
     reject, fallback, approval = flag("should_reject"), flag("should_fallback"), flag("requires_approval")
-    failures = F.size(c.items_at(state, "tool_failures")) > 0
+    failures = c.length_at(state, "tool_failures") > 0
     return [
         ("INCONSISTENT_REJECTION", place, reject != ((tool == "reject_request") & (result == "rejection"))),
         ("INCONSISTENT_FALLBACK", place, fallback != ((tool == "fallback_to_strong_model") & (result == "fallback"))),
@@ -102,7 +102,7 @@ def record_rules(record: Column, scope: c.Scope, place: str = "$") -> list[Rule]
         *c.nested(c.first_of_items(c.items_at(record, "available_tools"), known(f"{place}.available_tools"))),
         *_object(state, STATE_FIELDS, f"{place}.state"), ("INVALID_STRING", f"{place}.state.delivery_id", ~c.is_text(c.at(state, "delivery_id"))),
         ("INVALID_POSITIVE_INT", f"{place}.state.attempt", ~c.is_integer(c.at(state, "attempt"), 1)), ("INVALID_BOOLEAN", f"{place}.state.duplicate_delivery", ~c.is_flag(c.at(state, "duplicate_delivery"))),
-        ("INVALID_TOOL_FAILURES", f"{place}.state.tool_failures", failures.isNull() | (F.size(failures) > len(TOOLS))), *c.nested(c.first_of_items(failures, known(f"{place}.state.tool_failures"))),
+        ("INVALID_TOOL_FAILURES", f"{place}.state.tool_failures", ~c.is_list(c.at(state, "tool_failures")) | (c.length_at(state, "tool_failures") > len(TOOLS))), *c.nested(c.first_of_items(failures, known(f"{place}.state.tool_failures"))),
         ("INVALID_NONNEGATIVE_INT", f"{place}.state.loop_count", ~c.is_integer(c.at(state, "loop_count"), 0)), ("INVALID_POSITIVE_INT", f"{place}.state.loop_limit", ~c.is_integer(c.at(state, "loop_limit"), 1)),
         ("INVALID_BOOLEAN", f"{place}.state.approval_granted", ~c.is_flag(c.at(state, "approval_granted"))),
         *decision_rules(decision, tools, f"{place}.decision"), *invariants(record, state, decision, f"{place}.decision"), ("FORBIDDEN_RICH_FIELD", place, lexical.may_have_key(scope.raw, FORBIDDEN, fold_case=False) & c.has_key(record, FORBIDDEN, fold_case=False)),
